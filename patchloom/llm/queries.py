@@ -23,6 +23,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patchloom.llm.quality_rules import quality_report
+
+    return quality_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from patchloom.llm.pieces import encode_documents
 
@@ -32,6 +38,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_quality_rules": op2_quality_rules,
         "op7_sentencepiece": op7_sentencepiece,
     }
 
