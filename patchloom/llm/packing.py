@@ -11,6 +11,8 @@ order inside a task is fixed by the running number, so a repeated task packs the
 from __future__ import annotations
 
 import os
+import string
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -29,14 +31,21 @@ WINDOW = 2048
 #: Bins that a packing task keeps open.
 OPEN_BINS = 4096
 #: Words whose ids a worker remembers; the memory is emptied when full.
-WORD_MEMORY = 600_000
+WORD_MEMORY = 1_200_000
 #: Python's split() cuts at these, the tokenizer does not: such texts are encoded as a whole.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
-def _plain(c: str) -> bool:
-    """A letter or digit that normalising and lower-casing leave one letter or digit."""
-    return c.isalnum() and (c.isascii() or (len(c.lower()) == 1 and c.lower().isalpha() and unicodedata.normalize("NFC", c) == c))
+#: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTER = [""] * 256
+for _n, _b in enumerate(_PRINTABLE + [b for b in range(256) if b not in _PRINTABLE]):
+    _BYTE_LETTER[_b] = chr(_b if _n < len(_PRINTABLE) else 256 + _n - len(_PRINTABLE))
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit bytes."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordEncoder:
@@ -51,38 +60,49 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.memory: dict[str, bytes] = {}
 
-    def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True)}
+    def _letters(self, word: str) -> bytes:
+        """Ids of a run of letters, normalised and lower-cased already: one pre-token, so the model alone is asked."""
+        if not word.isascii():
+            word = "".join([_BYTE_LETTER[x] for x in word.encode()])
+        return pack_ids([t.id for t in self.model.tokenize(word)])
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [pack_ids(e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
-        """Words of a core and closing commas or stops are put together from their parts."""
-        memory = self.memory
+        """A word of letters and closing punctuation is put together from those two; others go through the tokenizer."""
+        memory, rest, split = self.memory, [], []
         if len(memory) + len(words) > WORD_MEMORY:
             memory.clear()
-        parts: dict[str, tuple[str, str]] = {}
         for w in words:
-            core = w.rstrip(".,")
-            if core and _plain(core[-1]) and "<|" not in w:
-                parts[w] = (core.lower() if w.isascii() else core, w[len(core) :])
+            core = w.rstrip(string.punctuation)
+            low = core.lower()
+            if low.isalpha() and (core.isascii() or (unicodedata.is_normalized("NFC", core) and unicodedata.is_normalized("NFC", low) and "Σ" not in core)):
+                split.append((w, low, w[len(core) :]))
             else:
-                parts[w] = (w, "")
-        new = {x for pair in parts.values() for x in pair if x and x not in memory}
-        memory.update(self._encoded(list(new)))
-        for w, (core, tail) in parts.items():
-            memory[w] = memory[core] + (memory[tail] if tail else b"")
+                rest.append(w)
+        tails = list({tail for _, _, tail in split if tail and tail not in memory})
+        for found in (rest, tails):
+            memory.update(zip(found, self._whole(found), strict=True))
+        for w, low, tail in split:
+            if (ids := memory.get(low)) is None:
+                ids = memory[low] = self._letters(low)
+            memory[w] = ids + memory[tail] if tail else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if any(c in t for c in _NOT_SPACE) else t.split() for t in texts]
-        known = self.memory.keys()
-        missing = {w for words in split if words for w in words if w not in known}
-        if missing:
+        words: set[str] = set()
+        for one in split:
+            words.update(one or ())
+        if missing := words.difference(self.memory):
             self._learn(missing)
-            if not all(w in known for words in split if words for w in words):  # the memory was emptied
-                self._learn({w for words in split if words for w in words})
+            if missing := words.difference(self.memory):  # the memory was emptied
+                self._learn(missing)
         get = self.memory.__getitem__
-        return [b"".join(map(get, words)) if words is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, words in zip(texts, split, strict=True)]
+        return [b"".join(map(get, one)) if one is not None else self._whole([t])[0] for t, one in zip(texts, split, strict=True)]
 
 
 @cache
