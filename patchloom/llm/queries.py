@@ -42,12 +42,26 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patchloom.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patchloom.llm.near_duplicates import link_components
+
+    return link_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_quality_rules": op2_quality_rules,
         "op3_topk_search": op3_topk_search,
         "op7_sentencepiece": op7_sentencepiece,
+        "op8_suffix_dedup": op8_suffix_dedup,
+        "op10_minhash_dedup": op10_minhash_dedup,
     }
 
 
