@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 SHARD_ROWS, BLOCK_ROWS = 16384, 1024
 #: Rows scored in full before a query meets a shard, which give its first threshold.
 SEED_ROWS = 64
+#: Groups of shards whose results merge first, so that no query's results from all shards meet in one row.
+MERGE_PARTS = 256
 
 _BLOCK = "block long, n int, width int, ids binary, values binary"
 
@@ -150,15 +152,15 @@ def top_k(rows: DataFrame, is_query: Column, k: int, id_column: str = "vec_id",
     """
     shards = _blocks(rows, id_column, vector_column, scale, shard_rows)
     queries = _blocks(rows.filter(is_query), id_column, vector_column, scale, block_rows)
-    numbers = shards.select(F.col("block").alias("shard"))
-    met = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], F.lit(0).alias("all")).join(numbers.groupBy(F.lit(0).alias("all")).agg(F.collect_list("shard").alias("shards")), "all").select("q_block", "q_n", "q_width", "q_ids", "q_values", F.explode("shards").alias("shard"))
-    pairs = met.join(shards.withColumnRenamed("block", "shard"), "shard").select("q_ids", "q_values", "q_n", "q_width", "ids", "values", "n", "width")
+    numbers = shards.agg(F.collect_list("block").alias("all")).scalar()
+    met = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], F.explode(numbers).alias("shard"))
+    pairs = met.join(shards.withColumnRenamed("block", "shard"), "shard").select("q_ids", "q_values", "q_n", "q_width", "ids", "values", "n", "width", F.pmod(F.xxhash64("shard"), F.lit(MERGE_PARTS)).alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, shard = None, None
         for batch in batches:
             for row in range(batch.num_rows):
-                q_ids, q_values, q_n, q_width, ids, values, n, width = (c[row].as_py() for c in batch.columns)
+                q_ids, q_values, q_n, q_width, ids, values, n, width, part = (c[row].as_py() for c in batch.columns)
                 if ids != last:
                     last, shard = ids, Shard(*_opened(ids, values, n, width))
                 keys, weights = _opened(q_ids, q_values, q_n, q_width)
@@ -168,9 +170,10 @@ def top_k(rows: DataFrame, is_query: Column, k: int, id_column: str = "vec_id",
                     query.append(np.full(len(a), keys[q]))
                     found.append(a)
                     score.append(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (query, found, score)], names=["query_id", id_column, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (query, found, score, [np.full(sum(map(len, found)), part)])], names=["query_id", id_column, "score", "part"])
 
-    found = pairs.mapInArrow(run, f"query_id long, {id_column} long, score long")
+    found = pairs.mapInArrow(run, f"query_id long, {id_column} long, score long, part long")
     entry = F.struct((-F.col("score")).alias("minus"), F.col(id_column).alias("id"))
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("best"))
+    best = found.groupBy("query_id", "part").agg(F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("best"))
+    best = best.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("place", "one")).select("query_id", (F.col("place") + 1).alias("rank"), F.col("one.id").alias(id_column), (-F.col("one.minus")).alias("score"))
