@@ -43,11 +43,52 @@ for _n, _b in enumerate(_PRINTABLE + [b for b in range(256) if b not in _PRINTAB
     _BYTE_LETTER[_b] = chr(_b if _n < len(_PRINTABLE) else 256 + _n - len(_PRINTABLE))
 
 
+def _lower(text: str) -> str:
+    """The text in lower case where that changes nothing for the tokenizer, which lower-cases too: it leaves fewer distinct words."""
+    if "<|" in text:
+        return text
+    low = text.lower()
+    if text.isascii() or ("Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+        return low
+    return text
+
+
 def pack_ids(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit bytes."""
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class WordIds(dict):
+    """Ids of words as bytes; a word that isn't held yet is encoded when it is asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
+
+    def whole(self, text: str) -> bytes:
+        return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORD_MEMORY:
+            self.clear()
+        core = word.rstrip(string.punctuation)
+        low = core.lower()
+        if not low.isalpha() or not (core.isascii() or (unicodedata.is_normalized("NFC", core) and unicodedata.is_normalized("NFC", low) and "Σ" not in core)):
+            ids = self.whole(word)
+        elif low == word:  # letters are one pre-token, so the model alone is asked
+            found = self.tokenize(low if low.isascii() else "".join([_BYTE_LETTER[x] for x in low.encode()]))
+            ids = pack_ids([t.id for t in found])
+        else:  # letters and closing punctuation
+            tail = word[len(core) :]
+            ids = self[low] + (self.tail(tail) if tail else b"")
+        self[word] = ids
+        return ids
+
+    def tail(self, tail: str) -> bytes:
+        if (ids := self.get(tail)) is None:
+            ids = self[tail] = self.whole(tail)
+        return ids
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
@@ -60,49 +101,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.memory: dict[str, bytes] = {}
-
-    def _letters(self, word: str) -> bytes:
-        """Ids of a run of letters, normalised and lower-cased already: one pre-token, so the model alone is asked."""
-        if not word.isascii():
-            word = "".join([_BYTE_LETTER[x] for x in word.encode()])
-        return pack_ids([t.id for t in self.model.tokenize(word)])
-
-    def _whole(self, words: list[str]) -> list[bytes]:
-        return [pack_ids(e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        """A word of letters and closing punctuation is put together from those two; others go through the tokenizer."""
-        memory, rest, split = self.memory, [], []
-        if len(memory) + len(words) > WORD_MEMORY:
-            memory.clear()
-        for w in words:
-            core = w.rstrip(string.punctuation)
-            low = core.lower()
-            if low.isalpha() and (core.isascii() or (unicodedata.is_normalized("NFC", core) and unicodedata.is_normalized("NFC", low) and "Σ" not in core)):
-                split.append((w, low, w[len(core) :]))
-            else:
-                rest.append(w)
-        tails = list({tail for _, _, tail in split if tail and tail not in memory})
-        for found in (rest, tails):
-            memory.update(zip(found, self._whole(found), strict=True))
-        for w, low, tail in split:
-            if (ids := memory.get(low)) is None:
-                ids = memory[low] = self._letters(low)
-            memory[w] = ids + memory[tail] if tail else ids
+        self.words = WordIds(self.tokenizer)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(c in t for c in _NOT_SPACE) else t.split() for t in texts]
-        words: set[str] = set()
-        for one in split:
-            words.update(one or ())
-        if missing := words.difference(self.memory):
-            self._learn(missing)
-            if missing := words.difference(self.memory):  # the memory was emptied
-                self._learn(missing)
-        get = self.memory.__getitem__
-        return [b"".join(map(get, one)) if one is not None else self._whole([t])[0] for t, one in zip(texts, split, strict=True)]
+        get = self.words.__getitem__
+        return [self.words.whole(t) if any(c in t for c in _NOT_SPACE) else b"".join(map(get, _lower(t).split())) for t in texts]
 
 
 @cache
