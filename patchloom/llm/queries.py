@@ -54,6 +54,12 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patchloom.llm.pii import find_personal_data
+
+    return find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from patchloom.llm.near_duplicates import link_components
 
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_lm_scoring": op5_lm_scoring,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_suffix_dedup": op8_suffix_dedup,
+        "op9_pii": op9_pii,
         "op10_minhash_dedup": op10_minhash_dedup,
     }
 
