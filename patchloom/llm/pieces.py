@@ -4,8 +4,8 @@ The encoder is the score-ordered agenda: all adjacent symbol pairs that make a p
 score first and then leftmost; taking one joins its symbols and enters the two new pairs beside it. Two
 characters that stand side by side in no piece are never joined, so a text falls there into chunks whose ids
 don't depend on each other: before a run of space marks, at line ends, before most punctuation. A worker
-encodes each distinct chunk once, remembers it, and checks every new word against the sentencepiece library;
-a difference stops the job.
+encodes each distinct chunk once and remembers it. Against the sentencepiece library it checks every new chunk that
+begins a word and, in each Arrow batch, whole texts; a difference stops the job.
 """
 
 from __future__ import annotations
@@ -22,14 +22,31 @@ from pyspark.sql import DataFrame
 from patchloom.llm.textbatch import slices
 
 MARK = "▁"
-#: Chunks that a worker remembers; the memory is emptied when full.
-CHUNK_MEMORY = 500_000
+#: Words, and parts of words, that a worker remembers; the memory is emptied when full.
+WORD_MEMORY, PART_MEMORY = 1_200_000, 800_000
 #: Symbols up to which the agenda is a plain list, whose smallest entry is as fast to find as in a heap.
 SHORT = 48
 _NEVER = 1 << 60
 _CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
+class Words(dict):
+    """Ids, comma-joined, of what stands between spaces; what isn't held yet is encoded when it is asked for.
+
+    A mark precedes a word unless it begins with a line end.
+    """
+
+    def __init__(self, codec: PieceCodec):
+        self.codec = codec
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= WORD_MEMORY:
+            self.clear()
+        known, part = self.codec.parts.get, self.codec._part
+        ids = self[word] = ",".join([known(x) or part(x) for x in self.codec._cut(word if word.startswith("\n") else MARK + word)])
+        return ids
+
+
 class PieceCodec:
     """Encoder and decoder of one model file."""
 
@@ -52,8 +69,12 @@ class PieceCodec:
         self.unknown = self.library.unk_id()
         self.raw = [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else b"" if self.library.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
         self.check = check
-        #: By chunk: its ids, comma-joined, and what they decode to.
-        self.memory: dict[str, tuple[str, str]] = {}
+        self.new: list[str] = []
+        #: Ids, comma-joined: by what stands between spaces, and by the parts of that.
+        self.words = Words(self)
+        self.parts: dict[str, str] = {}
+        #: Parts that don't decode to themselves, with what they decode to.
+        self.other: dict[str, str] = {}
 
     def merge(self, text: str) -> list[int]:
         """Ids of a text in which spaces are marks already, by the agenda."""
@@ -104,51 +125,47 @@ class PieceCodec:
         text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
-    def _parts(self, chunk: str) -> list[str]:
+    def _cut(self, chunk: str) -> list[str]:
         """The chunk cut wherever no piece has the two characters side by side."""
-        cuts = [0, *(k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in self.beside), len(chunk)]
-        return [chunk[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        memory = self.memory
-        for chunk in chunks:
-            found = []
-            for part in self._parts(chunk):
-                if (known := memory.get(part)) is None:
-                    ids = self.merge(part)
-                    raw = b"".join([self.raw[i] for i in ids])
-                    known = memory[part] = (",".join(map(str, ids)), raw.decode("utf-8", "replace"))
-                found.append(known)
-            memory[chunk] = found[0] if len(found) == 1 else (",".join([x[0] for x in found]), "".join([x[1] for x in found]))
+        beside, a, out = self.beside, 0, []
+        for k in range(1, len(chunk)):
+            if chunk[k - 1 : k + 1] not in beside:
+                out.append(chunk[a:k])
+                a = k
+        out.append(chunk[a:])
+        return out
+
+    def _part(self, part: str) -> str:
+        if len(self.parts) >= PART_MEMORY:
+            self.parts.clear()
+        ids = self.merge(part)
+        if (decoded := b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")) != part.replace(MARK, " "):
+            self.other[part] = decoded
+        joined = self.parts[part] = ",".join(map(str, ids))
         if self.check:
-            own = [c for c in chunks if c.startswith(MARK) and c != MARK]
-            for chunk, ids in zip(own, self.library.encode([c[1:] for c in own], num_threads=1), strict=True):
-                if ",".join(map(str, ids)) != memory[chunk][0]:
-                    raise AssertionError(f"the agenda and the library differ on {chunk!r}")
+            self.new.append(part)
+        return joined
+
+    def verify(self, text: str) -> None:
+        """Compares whole ``text`` and the new parts that begin a word with the library."""
+        new, self.new = [x[1:] for x in self.new if x[0] == MARK and x != MARK], []
+        for part, ids in zip(new, self.library.encode(new, num_threads=1), strict=True):
+            if ",".join(map(str, ids)) != (self.parts.get(MARK + part) or ",".join(map(str, self.merge(MARK + part)))):
+                raise AssertionError(f"the agenda and the library differ on {part!r}")
+        own, ids = self.encode_joined(text), self.library.encode(text)
+        if own != (",".join(map(str, ids)), self.library.decode(ids)):
+            raise AssertionError(f"the agenda and the library differ on {text[:200]!r}")
 
     def encode_joined(self, text: str) -> tuple[str, str]:
         """Decimal ids of a whole text, joined by commas, and what they decode to."""
         if not text:
             return "", ""
-        text = MARK + text.replace(" ", MARK)
-        if MARK + MARK in text:
-            chunks = _CHUNK.findall(text)
-        else:
-            chunks = []
-            for word in text[1:].split(MARK):
-                word = MARK + word
-                if "\n" in word and word not in self.memory:
-                    chunks += _CHUNK.findall(word)
-                else:
-                    chunks.append(word)
-        memory = self.memory
-        if new := list({c for c in chunks if c not in memory}):
-            if len(memory) + len(new) > CHUNK_MEMORY:
-                memory.clear()
-                new = list(set(chunks))
-            self._learn(new)
-        found = [memory[c] for c in chunks]
-        return ",".join([x[0] for x in found]), "".join([x[1] for x in found])[1:]
+        if not (text[0] == " " or "  " in text or MARK in text):
+            joined = ",".join(map(self.words.__getitem__, text.replace("\n", " \n").split(" ")))
+            if not self.other:  # every part decodes to itself
+                return joined, text
+        parts = [x for chunk in _CHUNK.findall(MARK + text.replace(" ", MARK)) for x in self._cut(chunk)]
+        return ",".join([self.parts.get(x) or self._part(x) for x in parts]), "".join([self.other.get(x) or x.replace(MARK, " ") for x in parts])[1:]
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.encode_joined(text)[0].split(",") if x]
@@ -173,7 +190,11 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
         codec = codec_of(model_path)
         for batch in batches:
             for part in slices(batch, "text"):
-                joined = [codec.encode_joined(t or "") for t in part.column("text").to_pylist()]
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                joined = [codec.encode_joined(t) for t in texts]
+                if codec.check:
+                    codec.verify(min(texts, key=len))
+                    codec.verify(texts[len(texts) // 2])
                 out = [
                     part.column("doc_id"),
                     pa.array([a.count(",") + 1 if a else 0 for a, _ in joined], pa.int64()),
