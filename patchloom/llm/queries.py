@@ -36,6 +36,12 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patchloom.llm.html_text import extract_main_text
+
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from patchloom.llm.lm_scoring import score_documents
 
@@ -71,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_quality_rules": op2_quality_rules,
         "op3_topk_search": op3_topk_search,
+        "op4_html_extraction": op4_html_extraction,
         "op5_lm_scoring": op5_lm_scoring,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_suffix_dedup": op8_suffix_dedup,
