@@ -48,6 +48,12 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patchloom.llm.quality_classifier import score_quality
+
+    return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from patchloom.llm.pieces import encode_documents
 
@@ -79,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_topk_search": op3_topk_search,
         "op4_html_extraction": op4_html_extraction,
         "op5_lm_scoring": op5_lm_scoring,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_pii": op9_pii,
