@@ -5,15 +5,18 @@ blocks of suffixes decide that; which suffixes meet in a block is settled so tha
 
 1. Documents are dealt into blocks of a few MB by a hash of doc_id (a shuffle that all later steps reuse). In every
    LENGTH-byte string the smallest of its KMER-byte strings' hashes is an anchor: equal strings have equal anchors.
-   Each block sends the distinct anchors it has, 32 bits each, in packed rows by hash range.
-2. A range tells each block which of its anchors other documents hold. Documents without such anchors are done.
-3. Blocks send the surroundings of those anchors, each distinct one once a block with its smallest document; later
-   documents of the same block are settled at once. An anchor in very many blocks has its surroundings sent as
+2. About every sixteenth anchor begins a segment, which reaches LENGTH bytes into the next. Blocks send 128-bit hashes of
+   their distinct segments; a segment that a smaller document has too is covered as a whole. That settles the
+   inside of copies cheaply: strings inside covered segments take no further part, as their first holder still does.
+3. Each block sends the distinct anchors of its other strings, 32 bits each, in packed rows by hash range, and hears
+   which of them other documents hold. Documents without such anchors are done.
+4. Blocks send the surroundings of those anchors, each distinct one once a block with its smallest document; later
+   documents of the same block are settled at once. An anchor in very many documents has its surroundings sent as
    single LENGTH-byte strings dealt by their own hash, so a passage in a third of all documents makes no large task.
-4. A range orders its suffixes (as far as LENGTH bytes, ties in document order) and takes from each the previous and
+5. A range orders its suffixes (as far as LENGTH bytes, ties in document order) and takes from each the previous and
    next one of a smaller document: the longer common prefix is the longest previous factor, and from LENGTH bytes on
    the bytes are covered. Hashes only tell which suffixes can't have a match; bytes decide.
-5. Covered spans return to the blocks, which merge and cut them.
+6. Covered spans return to the blocks, which merge and cut them.
 """
 
 from __future__ import annotations
@@ -33,12 +36,16 @@ LENGTH, KMER = 50, 25
 REACH = LENGTH - KMER
 SURROUND = LENGTH + REACH
 #: Bytes of text in a block and in what one range orders, and the least number of either.
-BLOCK_BYTES, RANGE_BYTES, LEAST = 8 << 20, 32 << 20, 64
-#: Blocks that hold an anchor from which on it is dealt string by string.
-WIDE = 48
+BLOCK_BYTES, RANGE_BYTES, LEAST = 6 << 20, 12 << 20, 64
+#: Documents that hold an anchor from which on it is dealt string by string (at least; a block counts up to 255).
+WIDE = 2000
 #: UTF-8 has no such byte: it stands around every document.
 PAD = 0xFF
 _SLICE = 1 << 20
+#: One anchor in so many begins a segment.
+SEGMENT = 16
+#: Surroundings whose suffixes are ordered together, about.
+_PART = 30_000
 
 _rng = np.random.default_rng(505)
 _CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,8 +113,8 @@ class Block:
             yield a, begins, x
 
 
-def anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors in padded bytes, and their hashes."""
+def anchors(x: np.ndarray, done: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the anchors in padded bytes, and their hashes; ``done`` marks starts of strings that take no part."""
     if len(x) < SURROUND:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     real = x != PAD
@@ -115,6 +122,8 @@ def anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hashes[~(real[: len(hashes)] & real[KMER - 1 :])] = np.iinfo(np.uint64).max
     least = _pass(hashes, REACH + 1, np.minimum)
     least[~(real[: len(least)] & real[LENGTH - 1 :])] = 0
+    if done is not None:
+        least[done[: len(least)]] = 0
     edge = np.zeros(REACH, np.uint64)
     most = _pass(np.concatenate([edge, least, edge]), REACH + 1, np.maximum)
     places = np.flatnonzero(most == hashes)
@@ -143,52 +152,169 @@ def _distinct(rows: np.ndarray, order: np.ndarray, docs: np.ndarray) -> tuple[np
     return first, docs[first]
 
 
-def _send_anchors(bits: int):
-    """By block: each range's distinct anchors, as their 32 bits below the range's, and which several documents hold."""
+_SEGMENTS = {"range": pa.int64(), "block": pa.int64(), "kind": pa.int32(), "codes": pa.binary(), "docs": pa.binary(), "numbers": pa.binary(), "starts": pa.binary(), "ends": pa.binary()}
+_SPANS = {"block": pa.int64(), "numbers": pa.binary(), "starts": pa.binary(), "ends": pa.binary()}
+
+
+def _add(out: dict[str, list], **row) -> None:
+    for name, value in row.items():
+        out[name].append(value.astype(np.int32).tobytes() if isinstance(value, np.ndarray) and name in ("numbers", "starts", "ends") else value.tobytes() if isinstance(value, np.ndarray) else value)
+
+
+def _send_segments(bits: int):
+    """By block: hashes of distinct segments by range, each with its smallest document; kind -1: spans settled here."""
 
     def run(key, table):
-        block, codes, docs = Block(table), [], []
+        number, block, out = key[0].as_py(), Block(table), {k: [] for k in _SEGMENTS}
+        codes, docs, starts, ends = [], [], [], []
         for first, begins, x in block.padded():
             places, hashes = anchors(x)
+            places = places[(hashes >> np.uint64(20)) % np.uint64(SEGMENT) == 0]
+            stops = begins + np.diff(block.offsets)[first : first + len(begins)]
+            heads = np.sort(np.concatenate([begins, places]))
+            heads = heads[np.concatenate([[True], heads[1:] != heads[:-1]])]
+            doc = np.searchsorted(begins, heads, "right") - 1
+            last = np.concatenate([doc[1:] != doc[:-1], [True]])
+            tails = np.where(last, stops[doc], np.minimum(np.append(heads[1:], 0) + LENGTH, stops[doc]))
+            use = (tails - heads >= LENGTH) & block.known[first + doc]
+            heads, tails, doc = heads[use], tails[use], doc[use]
+            data = x.tobytes()
+            codes += [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(heads.tolist(), tails.tolist(), strict=True)]
+            docs.append(first + doc)
+            starts.append(heads - begins[doc])
+            ends.append(tails - begins[doc])
+        if not codes:
+            return _rows(out, _SEGMENTS)
+        codes = np.frombuffer(b"".join(codes), np.uint64).reshape(-1, 2)
+        docs, starts, ends = np.concatenate(docs), np.concatenate(starts), np.concatenate(ends)
+        ids = block.ids[docs]
+        late = ids > _least(codes, ids)
+        if late.any():
+            n, a, z = _merged(docs[late], starts[late], ends[late])
+            _add(out, range=number % (1 << bits), block=number, kind=-1, codes=b"", docs=b"", numbers=n, starts=a, ends=z)
+        codes, docs, starts, ends, ids = (x[~late] for x in (codes, docs, starts, ends, ids))
+        for r, own in _dealt(codes[:, 0] >> np.uint64(64 - bits), 1 << bits):
+            _add(out, range=r, block=number, kind=0, codes=codes[own], docs=ids[own], numbers=docs[own], starts=starts[own], ends=ends[own])
+        return _rows(out, _SEGMENTS)
+
+    return run
+
+
+def _least(codes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each pair of 64-bit codes the smallest id of an equal pair."""
+    by = np.lexsort((ids, codes[:, 1], codes[:, 0]))
+    fresh = np.concatenate([[True], (codes[by][1:] != codes[by][:-1]).any(axis=1)])
+    out = np.empty(len(ids), ids.dtype)
+    out[by] = ids[by][np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+    return out
+
+
+def _dealt(to: np.ndarray, n: int):
+    """The used ranges, with the numbers of their rows."""
+    by = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[by], np.arange(n + 1, dtype=np.uint64))
+    for r in np.flatnonzero(np.diff(cuts)):
+        yield int(r), by[cuts[r] : cuts[r + 1]]
+
+
+def _settle_segments(key, table):
+    """By range: spans of segments that a smaller document has, by block."""
+    out, kinds = {k: [] for k in _SPANS}, np.asarray(table.column("kind"))
+    for k in np.flatnonzero(kinds == -1):
+        for name in _SPANS:
+            out[name].append(table.column(name)[int(k)].as_py())
+    use = np.flatnonzero(kinds == 0)
+    if len(use):
+        get = lambda name, kind: [np.frombuffer(table.column(name)[int(k)].as_buffer(), kind) for k in use]
+        docs = get("docs", np.int64)
+        late = np.concatenate(docs) > _least(np.concatenate(get("codes", np.uint64)).reshape(-1, 2), np.concatenate(docs))
+        at = 0
+        for k, own, numbers, starts, ends in zip(use, docs, get("numbers", np.int32), get("starts", np.int32), get("ends", np.int32), strict=True):
+            hit = late[at : at + len(own)]
+            at += len(own)
+            if hit.any():
+                _add(out, block=table.column("block")[int(k)].as_py(), numbers=numbers[hit], starts=starts[hit], ends=ends[hit])
+    return _rows(out, _SPANS)
+
+
+def _spans_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All spans of a table's rows, merged."""
+    return _merged(*(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_buffer(), np.int32).astype(np.int64) for x in table.column(name))]) for name in ("numbers", "starts", "ends")))
+
+
+def _done(spans: tuple, first: int, begins: np.ndarray, size: int) -> np.ndarray:
+    """Marks the starts of strings that lie inside spans, in a slice's padded bytes."""
+    numbers, starts, ends = spans
+    own = (numbers >= first) & (numbers < first + len(begins)) & (ends - starts >= LENGTH)
+    steps = np.zeros(size + 1, np.int32)
+    np.add.at(steps, begins[numbers[own] - first] + starts[own], 1)
+    np.add.at(steps, begins[numbers[own] - first] + ends[own] - LENGTH + 1, -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def _send_anchors(bits: int):
+    """By block: each range's distinct anchors, as their 32 bits below the range's, and how many documents hold it.
+
+    One row more (kind -1) takes the block's covered spans along.
+    """
+
+    def run(key, table, covered):
+        if not table.num_rows:
+            return _rows({k: [] for k in _ANCHORS}, _ANCHORS)
+        block, codes, docs, spans = Block(table), [], [], _spans_of(covered)
+        for first, begins, x in block.padded():
+            places, hashes = anchors(x, _done(spans, first, begins, len(x)))
             codes.append(hashes >> np.uint64(32 - bits))
             docs.append(first + np.searchsorted(begins, places, "right") - 1)
         codes, docs = np.concatenate([np.zeros(0, np.uint64), *codes]), np.concatenate([np.zeros(0, np.int64), *docs])
         by = np.argsort(codes, kind="stable")
         codes, ids = codes[by], block.ids[docs[by]]
         starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
-        several = np.zeros(0, bool) if not len(codes) else np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)
+        other = np.concatenate([[True], ids[1:] != ids[:-1]])[: len(ids)]  # a code's documents are in order
+        other[starts] = True
+        holders = np.minimum(np.add.reduceat(other, starts, dtype=np.int64), 255).astype(np.uint8) if len(codes) else np.zeros(0, np.uint8)
         codes = codes[starts]
         cuts = np.searchsorted(codes >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
         low = (codes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        used = np.flatnonzero(np.diff(cuts))
-        return _rows(
-            {"range": used, "block": [key[0].as_py()] * len(used), "codes": [low[cuts[r] : cuts[r + 1]].tobytes() for r in used], "several": [several[cuts[r] : cuts[r + 1]].tobytes() for r in used]},
-            {"range": pa.int64(), "block": pa.int64(), "codes": pa.binary(), "several": pa.binary()},
-        )
+        out, number = {k: [] for k in _ANCHORS}, key[0].as_py()
+        for r in np.flatnonzero(np.diff(cuts)).tolist():
+            _add(out, range=r, block=number, kind=0, codes=low[cuts[r] : cuts[r + 1]], holders=holders[cuts[r] : cuts[r + 1]], numbers=b"", starts=b"", ends=b"")
+        _add(out, range=number % (1 << bits), block=number, kind=-1, codes=b"", holders=b"", numbers=spans[0], starts=spans[1], ends=spans[2])
+        return _rows(out, _ANCHORS)
 
     return run
 
 
-def _shared_anchors(key, table):
-    """By range: for each block, those of its anchors that other documents hold too; apart, those in very many blocks."""
-    own = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("codes")]
-    several = np.concatenate([np.frombuffer(x.as_buffer(), bool) for x in table.column("several")])
-    values, place, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-    again = count > 1
-    again[place[several]] = True
-    wide = count >= WIDE
-    shared, broad, at = [], [], 0
-    for x in own:
-        flags, many = again[place[at : at + len(x)]], wide[place[at : at + len(x)]]
-        shared.append(x[flags & ~many].tobytes())
-        broad.append(x[flags & many].tobytes())
-        at += len(x)
-    n = len(own)
-    return _rows({"range": [key[0].as_py()] * n, "block": table.column("block").to_pylist(), "codes": shared, "broad": broad}, {"range": pa.int64(), "block": pa.int64(), "codes": pa.binary(), "broad": pa.binary()})
+_ANCHORS = {"range": pa.int64(), "block": pa.int64(), "kind": pa.int32(), "codes": pa.binary(), "holders": pa.binary(), "numbers": pa.binary(), "starts": pa.binary(), "ends": pa.binary()}
+_REPLIES = {"range": pa.int64(), "block": pa.int64(), "codes": pa.binary(), "broad": pa.binary(), "numbers": pa.binary(), "starts": pa.binary(), "ends": pa.binary()}
+
+
+def _shared_anchors(limit: int):
+    """By range: for each block, those of its anchors that other documents hold too; apart, those in ``limit`` documents and more."""
+
+    def run(key, table):
+        out, kinds, number = {k: [] for k in _REPLIES}, np.asarray(table.column("kind")), key[0].as_py()
+        for k in np.flatnonzero(kinds == -1).tolist():
+            _add(out, range=number, codes=b"", broad=b"", **{name: table.column(name)[k].as_py() for name in ("block", "numbers", "starts", "ends")})
+        use = np.flatnonzero(kinds == 0).tolist()
+        if use:
+            own = [np.frombuffer(table.column("codes")[k].as_buffer(), np.uint32) for k in use]
+            holders = np.concatenate([np.frombuffer(table.column("holders")[k].as_buffer(), np.uint8) for k in use])
+            values, place = np.unique(np.concatenate(own), return_inverse=True)
+            count = np.bincount(place, weights=holders, minlength=len(values))
+            again, wide = count > 1, count >= limit
+            at = 0
+            for k, x in zip(use, own, strict=True):
+                flags, many = again[place[at : at + len(x)]], wide[place[at : at + len(x)]]
+                at += len(x)
+                if flags.any():
+                    _add(out, range=number, block=table.column("block")[k].as_py(), codes=x[flags & ~many], broad=x[flags & many], numbers=b"", starts=b"", ends=b"")
+        return _rows(out, _REPLIES)
+
+    return run
 
 
 _SENT = {"range": pa.int64(), "block": pa.int64(), "kind": pa.int32(), "strings": pa.binary(), "docs": pa.binary(), "numbers": pa.binary(), "places": pa.binary()}
-_SPANS = {"block": pa.int64(), "numbers": pa.binary(), "starts": pa.binary(), "ends": pa.binary()}
 
 
 def _edges(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +331,7 @@ def _send_surroundings(bits: int):
         out: dict[str, list] = {k: [] for k in _SENT}
         if not table.num_rows or not replies.num_rows:
             return _rows(out, _SENT)
-        ranges = np.asarray(replies.column("range"))
+        ranges, spans = np.asarray(replies.column("range")), _spans_of(replies)
 
         def known(name: str) -> np.ndarray:
             found = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) | (np.uint64(r) << np.uint64(32)) for r, x in zip(ranges, replies.column(name), strict=True)]
@@ -214,7 +340,7 @@ def _send_surroundings(bits: int):
         wanted = {0: known("codes"), 1: known("broad")}
         block, got = Block(table), {0: [], 1: []}
         for first, begins, x in block.padded():
-            places, hashes = anchors(x)
+            places, hashes = anchors(x, _done(spans, first, begins, len(x)))
             codes = hashes >> np.uint64(32 - bits)
             for kind, names in wanted.items():
                 if not len(names):
@@ -230,7 +356,7 @@ def _send_surroundings(bits: int):
                     to = rolling(rows.reshape(-1), LENGTH)[:: SURROUND][: len(rows)] >> np.uint64(64 - bits) if len(rows) else at.astype(np.uint64)
                 doc = np.searchsorted(begins, at + (0 if kind else REACH), "right") - 1
                 got[kind].append((rows, first + doc, at - begins[doc], to))
-        settled: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        settled: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [spans]
         for kind, parts in got.items():
             if not parts:
                 continue
@@ -247,9 +373,8 @@ def _send_surroundings(bits: int):
                 own = by[cuts[r] : cuts[r + 1]]
                 for name, value in (("range", r), ("block", number), ("kind", kind), ("strings", rows[own].tobytes()), ("docs", ids[own].tobytes()), ("numbers", docs[own].astype(np.int32).tobytes()), ("places", at[own].astype(np.int32).tobytes())):
                     out[name].append(value)
-        if settled:
-            docs, starts, ends = (np.concatenate(x) for x in zip(*settled, strict=True))
-            docs, starts, ends = _merged(docs, starts, ends)
+        docs, starts, ends = _merged(*(np.concatenate(x) for x in zip(*settled, strict=True)))
+        if len(docs):
             for name, value in (("range", number % (1 << bits)), ("block", number), ("kind", -1), ("strings", starts.astype(np.int32).tobytes()), ("docs", b""), ("numbers", docs.astype(np.int32).tobytes()), ("places", ends.astype(np.int32).tobytes())):
                 out[name].append(value)
         return _rows(out, _SENT)
@@ -278,8 +403,23 @@ def covered_strings(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.
     one never shares more; so the longest previous factor reaches LENGTH just where the run began with a smaller one.
     """
     low, high = np.full(len(rows), REACH + 1), np.full(len(rows), -1)
-    if len(rows) < 2:
-        return low, high
+    # equal strings have an anchor in common, so surroundings meet by the bytes of their anchor, a part of them at a time
+    wide = np.zeros((len(rows), 32), np.uint8)
+    wide[:, :KMER] = rows[:, REACH : REACH + KMER]
+    with np.errstate(over="ignore"):
+        anchor = mix((mix(wide.view(np.uint64)) * _FACTORS[:4]).sum(axis=1, dtype=np.uint64))
+    by = np.argsort(anchor, kind="stable")
+    fresh = np.concatenate([[True], anchor[by][1:] != anchor[by][:-1]]) if len(rows) else np.zeros(0, bool)
+    sizes = np.diff(np.append(np.flatnonzero(fresh), len(rows)))
+    group, by = np.repeat(np.cumsum(sizes * (sizes > 1)), sizes), by[np.repeat(sizes > 1, sizes)]
+    group = group[np.repeat(sizes > 1, sizes)] // _PART
+    for part in np.split(by, np.flatnonzero(np.diff(group)) + 1) if len(by) else ():
+        low[part], high[part] = _covered_part(rows[part], docs[part])
+    return low, high
+
+
+def _covered_part(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low, high = np.full(len(rows), REACH + 1), np.full(len(rows), -1)
     flat = rows.reshape(-1)
     codes = rolling(flat, LENGTH)
     codes = np.lib.stride_tricks.as_strided(codes, (len(rows), REACH + 1), (SURROUND * 8, 8)).copy()
@@ -356,8 +496,7 @@ def _cut(with_text: bool):
     def run(key, table, spans):
         block = Block(table)
         n = len(block.ids)
-        got = [np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_buffer(), np.int32).astype(np.int64) for x in spans.column(name))]) for name in ("numbers", "starts", "ends")]
-        docs, starts, ends = _merged(*got)
+        docs, starts, ends = _spans_of(spans)
         by_doc = np.searchsorted(docs, np.arange(n + 1))
         removed, count, sha, left = [], [], [], []
         for k in range(n):
@@ -383,7 +522,7 @@ def _cut(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, wide: int = WIDE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256[, text] of each row of ``docs``.
 
     Strings are judged on the input, as UTF-8 bytes; a null text is empty and never matches. Matches need a smaller
@@ -395,12 +534,16 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     bits = (max(LEAST, total // RANGE_BYTES + 1) - 1).bit_length()
     rest = ["row_rest"] if with_text and "row_rest" in docs.columns else []
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long").alias("block"), F.col("doc_id"), F.col("text"), *rest).repartition(blocks, "block")
-    sent = dealt.groupBy("block").applyInArrow(_send_anchors(bits), "range long, block long, codes binary, several binary")
-    replies = sent.groupBy("range").applyInArrow(_shared_anchors, "range long, block long, codes binary, broad binary")
-    strings = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_send_surroundings(bits), "range long, block long, kind int, strings binary, docs binary, numbers binary, places binary")
-    spans = strings.groupBy("range").applyInArrow(_settle, "block long, numbers binary, starts binary, ends binary")
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    ddl = lambda kinds: ", ".join(f"{k} {names[t]}" for k, t in kinds.items())
+    by_block = dealt.groupBy("block")
+    segments = by_block.applyInArrow(_send_segments(bits), ddl(_SEGMENTS)).groupBy("range").applyInArrow(_settle_segments, ddl(_SPANS))
+    sent = by_block.cogroup(segments.groupBy("block")).applyInArrow(_send_anchors(bits), ddl(_ANCHORS))
+    replies = sent.groupBy("range").applyInArrow(_shared_anchors(wide), ddl(_REPLIES))
+    strings = by_block.cogroup(replies.groupBy("block")).applyInArrow(_send_surroundings(bits), ddl(_SENT))
+    spans = strings.groupBy("range").applyInArrow(_settle, ddl(_SPANS))
     key = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if with_text:
         schema += ", text string" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return dealt.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut(with_text), schema)
+    return by_block.cogroup(spans.groupBy("block")).applyInArrow(_cut(with_text), schema)
