@@ -99,6 +99,7 @@ def rule_columns(docs: DataFrame) -> DataFrame:
         (F.size("__lines") - F.size("__good")).cast("long").alias("n_lines_removed"),
         F.aggregate("__good", F.lit(0).cast("long"), lambda a, x: a + _size_without(x, _SPACE + "+")).alias("left_chars"),
         F.array_join("__good", "\n").alias("__clean"),
+        F.monotonically_increasing_id().alias("__number"),
     )
     assert not set(helpers) & set(counted.columns)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
@@ -107,13 +108,15 @@ def rule_columns(docs: DataFrame) -> DataFrame:
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """A row for each document: its counts, whether the base rules fail it, and whether it is kept."""
-    return rule_columns(docs.select("doc_id", "text")).drop("text", "__clean")
+    return rule_columns(docs.select("doc_id", "text")).drop("text", "__clean", "__number")
 
 
 def clean_documents(docs: DataFrame, drop_lines: bool = False) -> DataFrame:
     """The kept documents with their own columns; with ``drop_lines`` their failing lines are gone too."""
-    judged = rule_columns(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")).filter("kept")
+    judged = rule_columns(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text"))
+    # a filter on a numbered row stays above the counts: below them each test would count the words anew
+    judged = judged.filter(F.col("kept") & (F.col("__number") >= 0))
     row = F.col("__row")
     if drop_lines:
-        row = row.withField("text", F.col("__clean"))
+        row = row.withField("text", F.when(F.col("n_lines_removed") > 0, F.col("__clean")).otherwise(F.col("text")))
     return judged.select(row.alias("__row")).select("__row.*")
