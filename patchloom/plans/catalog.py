@@ -155,7 +155,7 @@ def symbol_changes_moved(s, d):
     return graph.moved_symbols(base.withColumn("qualified_name", F.lower("signature")), head.withColumn("qualified_name", F.lower("signature")))
 
 
-@query("unique_name_links", "WITH names AS (SELECT p_name AS name, count(*) AS n, 'part:' || min(p_partkey) AS k FROM part GROUP BY p_name), e AS (SELECT DISTINCT 'order:' || l_orderkey AS from_key, p_name AS name FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT from_key, CASE WHEN n = 1 THEN k ELSE 'unresolved:' || e.name END AS to_key, CASE WHEN n = 1 THEN 0.7 ELSE 0.4 END AS confidence FROM e JOIN names ON names.name = e.name")
+@query("unique_name_links", "WITH names AS (SELECT p_name AS name, count(*) AS n, 'part:' || min(p_partkey) AS k FROM part GROUP BY p_name), e AS (SELECT DISTINCT 'order:' || l_orderkey AS from_key, p_name AS name FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT from_key, CASE WHEN n = 1 THEN k ELSE 'unresolved:' || e.name END AS to_key, CAST(CASE WHEN n = 1 THEN 0.7 ELSE 0.4 END AS DOUBLE) AS confidence FROM e JOIN names ON names.name = e.name")
 def unique_name_links(s, d):
     part, line = table(s, d, "part"), table(s, d, "lineitem")
     symbols = part.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("stable_key"), F.col("p_name").alias("name"))
