@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.functions import text as T
-from patchloom.operators import diff, evaluation, findings, graph, rules, state
+from patchloom.operators import diff, evaluation, findings, graph, review, rules, state
 from patchloom.plans import adapters as A
 from patchloom.sources.tables import table
 
@@ -426,3 +426,87 @@ def name_tokens(s, d):
 @query("content_hashes", "SELECT p_partkey, sha256(p_type || p_name) AS content_hash FROM part")
 def content_hashes(s, d):
     return table(s, d, "part").select("p_partkey", F.sha2(F.concat("p_type", "p_name"), 256).alias("content_hash"))
+
+
+# --- review ----------------------------------------------------------------------------------------------------------
+
+
+@query("truth_set_eval", "WITH e AS (SELECT DISTINCT l_returnflag AS repo, l_orderkey, l_partkey FROM lineitem WHERE l_quantity < 40), a AS (SELECT DISTINCT l_returnflag AS repo, l_orderkey, l_partkey FROM lineitem WHERE l_discount > 0.01), r AS (SELECT repo, count(*) FILTER (x AND y) AS tp, count(*) FILTER (y IS NULL) AS fp, count(*) FILTER (x IS NULL) AS fn FROM (SELECT *, true AS x FROM a) FULL JOIN (SELECT *, true AS y FROM e) USING (repo, l_orderkey, l_partkey) GROUP BY repo), u AS (SELECT * FROM r UNION ALL SELECT NULL, CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT) FROM r) SELECT *, round(tp / CAST(tp + fp AS DOUBLE), 4) AS precision FROM u")
+def truth_set_eval(s, d):
+    line = table(s, d, "lineitem").withColumn("repo", F.col("l_returnflag"))
+    return review.truth_set(line.filter("l_quantity < 40"), line.filter("l_discount > 0.01"), ["l_orderkey", "l_partkey"], "repo")
+
+
+@query("coverage_levels", "WITH f AS (SELECT p_brand, CASE WHEN p_size > 45 THEN 'skipped' WHEN p_size < 3 THEN 'absent' WHEN p_size = 20 THEN 'failed' ELSE 'indexed' END AS status FROM part), c AS (SELECT p_brand, count(*) AS total, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'absent') AS absent, count(*) FILTER (status = 'failed') AS failed FROM f GROUP BY 1) SELECT *, CASE WHEN indexed = 0 THEN 'FAILED' WHEN failed > 0 OR skipped > 0 THEN 'PARTIAL' ELSE 'SEMANTIC' END AS level FROM c")
+def coverage_levels(s, d):
+    status = F.when(F.col("p_size") > 45, "skipped").when(F.col("p_size") < 3, "absent").when(F.col("p_size") == 20, "failed").otherwise("indexed")
+    return review.coverage_level(table(s, d, "part").select("p_brand", status.alias("status")), "p_brand")
+
+
+@query("decision_gate", "SELECT o_orderkey, concat_ws(',', CASE WHEN NOT o_totalprice <= 200000 THEN 'budget' END, CASE WHEN NOT o_orderstatus <> 'P' THEN 'state' END, CASE WHEN NOT o_orderpriority NOT LIKE '5%' THEN 'priority' END) AS reasons FROM orders")
+def decision_gate(s, d):
+    checks = [("budget", F.col("o_totalprice") <= 200000), ("state", F.col("o_orderstatus") != "P"), ("priority", ~F.col("o_orderpriority").startswith("5"))]
+    return table(s, d, "orders").select("o_orderkey", review.reasons(checks).alias("reasons"))
+
+
+@query("decision_history", "SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS INT) AS revision, lead(o_orderkey) OVER w IS NOT NULL AS superseded FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def decision_history(s, d):
+    return review.decision_history(table(s, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+
+
+@query("quota_shortfall")
+def quota_shortfall(s, d):
+    return review.quota_sample(table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "source"), "doc_id").select("source", "doc_id"), "source", "doc_id", 300)
+
+
+@query("interleaved_queue", "WITH t AS (SELECT count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality = 0) AS n FROM labels), r AS (SELECT doc_id, quality = 0 AS positive, row_number() OVER (PARTITION BY quality = 0 ORDER BY doc_id) - 1 AS k FROM labels WHERE quality IS NOT NULL), q AS (SELECT r.*, t.n AS p, greatest(1, t.p // t.n) AS each FROM r, t) SELECT doc_id, positive, CAST(CASE WHEN positive THEN k * (each + 1) WHEN k // each < p THEN (k // each) * (each + 1) + 1 + k % each ELSE k + p END AS BIGINT) AS place FROM q")
+def interleaved_queue(s, d):
+    return review.interleaved(table(s, d, "labels").filter("quality IS NOT NULL").select("doc_id", (F.col("quality") == 0).alias("positive")), "positive", "doc_id")
+
+
+@query("manifest_check", "WITH a AS (SELECT n_name AS name, sha256(n_name) AS checksum FROM nation WHERE n_nationkey % 7 <> 0), e AS (SELECT n_name AS name, sha256(n_name || CASE WHEN n_nationkey % 5 = 0 THEN '!' ELSE '' END) AS checksum FROM nation WHERE n_nationkey % 6 <> 0) SELECT * FROM (SELECT name, CASE WHEN e.checksum IS NULL THEN 'unknown' WHEN a.checksum IS NULL THEN 'missing' WHEN a.checksum <> e.checksum THEN 'mismatch' END AS problem FROM a FULL JOIN e USING (name)) WHERE problem IS NOT NULL")
+def manifest_check(s, d):
+    nation = table(s, d, "nation")
+    applied = nation.filter("n_nationkey % 7 <> 0").select(F.col("n_name").alias("name"), F.sha2("n_name", 256).alias("checksum"))
+    expected = nation.filter("n_nationkey % 6 <> 0").select(F.col("n_name").alias("name"), F.sha2(F.concat("n_name", F.when(F.col("n_nationkey") % 5 == 0, "!").otherwise("")), 256).alias("checksum"))
+    return review.manifest_check(applied, expected)
+
+
+@query("markdown_rules", "WITH l AS (SELECT source, doc_id, k, trim(regexp_extract(ls[k], '^\\s*[-*]\\s+(.+)$', 1)) AS rule FROM (SELECT CAST(doc_id AS VARCHAR) AS source, doc_id, string_split(substr(text, 1, 20000), chr(10)) AS ls, unnest(range(1, len(string_split(substr(text, 1, 20000), chr(10))) + 1)) AS k FROM (SELECT doc_id, '- ' || replace(text, chr(10), chr(10) || '* ') AS text FROM documents))) SELECT source, ordinal, 'md-' || substr(sha256(rule), 1, 12) AS rule_key, rule FROM (SELECT source, rule, CAST(row_number() OVER (PARTITION BY source ORDER BY k) AS INT) AS ordinal FROM l WHERE rule <> '') WHERE ordinal <= 100")
+def markdown_rules(s, d):
+    return review.markdown_rules(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("source"), F.concat(F.lit("- "), F.regexp_replace("text", "\n", "\n* ")).alias("text")))
+
+
+@query("unreferenced_snapshots", "SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AND p_partkey NOT IN (SELECT l_suppkey FROM lineitem)")
+def unreferenced_snapshots(s, d):
+    line = table(s, d, "lineitem")
+    return review.unreferenced(table(s, d, "part").select(F.col("p_partkey").alias("id")), line.select(F.when(F.col("l_returnflag") == "R", F.col("l_partkey")).alias("base_id"), F.col("l_suppkey").alias("head_id")))
+
+
+@query("audit_outcomes", "SELECT o_orderkey, coalesce(upper(stage), 'PENDING') AS outcome FROM orders LEFT JOIN (SELECT l_orderkey, min(CASE WHEN l_linestatus = 'F' THEN 'committed' ELSE 'denied' END) AS stage FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1) ON l_orderkey = o_orderkey")
+def audit_outcomes(s, d):
+    ended = table(s, d, "lineitem").filter("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min(F.when(F.col("l_linestatus") == "F", "committed").otherwise("denied")).alias("stage"))
+    return review.audit_outcome(table(s, d, "orders").select("o_orderkey"), ended, ["o_orderkey"])
+
+
+@query("load_summary", "SELECT event_type, count(*) AS requests, count(*) FILTER (event_id % 5 = 0) AS refused, round(count(*) FILTER (event_id % 5 = 0) / CAST(count(*) AS DOUBLE), 4) AS refused_rate FROM events GROUP BY 1")
+def load_summary(s, d):
+    refused = F.count_if(F.col("event_id") % 5 == 0)
+    return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("requests"), refused.alias("refused"), evaluation.share(refused, F.count("*")).alias("refused_rate"))
+
+
+@query("change_groups", "WITH RECURSIVE c AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey % 50 = 0), t AS (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM c a JOIN c b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey), r AS (SELECT p_partkey AS a, p_partkey AS b FROM part WHERE p_partkey % 50 = 0 UNION SELECT r.a, t.b FROM r JOIN t ON t.a = r.b) SELECT 'part:' || a AS path, min('part:' || b) AS \"group\" FROM r GROUP BY a")
+def change_groups(s, d):
+    key = lambda c, n: F.concat(F.lit("part:"), F.col(c).cast("string")).alias(n)
+    files = table(s, d, "part").filter("p_partkey % 50 = 0").select(key("p_partkey", "path"))
+    lines = table(s, d, "lineitem").filter("l_partkey % 50 = 0").select("l_orderkey", "l_partkey").distinct()
+    ties = lines.join(lines.select("l_orderkey", F.col("l_partkey").alias("other")), "l_orderkey").filter("l_partkey != other").select(key("l_partkey", "a"), key("other", "b")).distinct()
+    return review.change_groups(files, ties)
+
+
+@query("fact_audit", _EDG + " SELECT count(*) AS calls, count(*) FILTER (c.stable_key IS NOT NULL AND b.stable_key IS NULL) AS from_unchanged, count(DISTINCT from_key) FILTER (c.stable_key IS NOT NULL AND b.stable_key IS NULL) AS callers FROM edges LEFT JOIN changes c ON c.stable_key = to_key LEFT JOIN changes b ON b.stable_key = from_key WHERE type = 'CALLS' AND type_resolved")
+def fact_audit(s, d):
+    flag = lambda c: A.changes(s, d).select(F.col("stable_key").alias(c), F.lit(True).alias(f"{c}_changed"))
+    rows = A.edges(s, d).filter("type = 'CALLS' AND type_resolved").join(flag("to_key"), "to_key", "left").join(flag("from_key"), "from_key", "left")
+    into = F.col("to_key_changed").isNotNull() & F.col("from_key_changed").isNull()
+    return rows.agg(F.count("*").alias("calls"), F.count_if(into).alias("from_unchanged"), F.countDistinct(F.when(into, F.col("from_key"))).alias("callers"))
