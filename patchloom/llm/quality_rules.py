@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
 _SYMBOL = r"[#*$%&|<>]"
+_SHOUT = r"[!?]{2,}([\x20\x09-\x0D]|$)"
+_ANY_MARK, _MARK = r"[|»›·•→>/]", r"^[|»›·•→>/]$"
 
 #: Fixed values. Phrases of cookie bars, legal lines, share bars and script warnings.
 BOILERPLATE = (
-    r"(?i)\b(all rights reserved|cookie (policy|settings|consent)|we use cookies|privacy policy|terms of (use|service)"
+    r"(?i)(^|[^a-z])(all rights reserved|cookie (policy|settings|consent)|we use cookies|privacy policy|terms of (use|service)"
     r"|lorem ipsum|enable javascript|subscribe to our newsletter|click here to|share (this|on) (facebook|twitter)"
-    r"|alle rechte vorbehalten|datenschutzerklärung|tous droits réservés|todos los derechos reservados)\b"
+    r"|alle rechte vorbehalten|datenschutzerklärung|tous droits réservés|todos los derechos reservados)([^a-z]|$)"
 )
 
 #: A document fails with fewer words than this.
@@ -47,8 +49,8 @@ def line_fails(line: Column) -> Column:
     chars = F.length(line)
     words = F.size(F.split(F.trim(line), _SPACE + "+"))
     symbols = chars - _size_without(line, _SYMBOL)
-    shouts = (chars - _size_without(line, r"[!?]{2,}(?=[\x20\x09-\x0D]|$)")) / 2
-    marks = words - F.size(F.split(F.trim(F.regexp_replace(line, r"(^|\x20)[|»›·•→>/](?=\x20|$)", "")), _SPACE + "+"))
+    shouts = (chars - F.length(F.regexp_replace(line, _SHOUT, "$1"))) / 2
+    marks = F.when(line.rlike(_ANY_MARK), F.size(F.filter(F.split(line, " "), lambda w: w.rlike(_MARK)))).otherwise(0)
     return (
         (symbols > LINE_SYMBOLS * words)
         | (shouts > LINE_SHOUTS * words)

@@ -93,5 +93,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _quality_sql() -> str:
+    from patchloom.llm import quality_rules as Q
+
+    space, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    size = lambda x, p: f"length(regexp_replace({x}, '{p}', '', 'g'))"
+    symbol = "[#*$%&|<>]"
+    return f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}+') AS w FROM documents),
+x AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM t),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM x),
+p AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM c, range(0, 3) AS o(k) WHERE n > 1 GROUP BY r),
+l AS (SELECT r, line, len(regexp_split_to_array(trim(line), '{space}+')) AS words, length(line) AS chars FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '{word}')),
+f AS (SELECT r, line, chars - {size("line", symbol)} > {Q.LINE_SYMBOLS} * words OR (chars - length(regexp_replace(line, '{Q._SHOUT}', '\\1', 'g'))) / 2.0 > {Q.LINE_SHOUTS} * words
+  OR (len([m FOR m IN string_split(line, ' ') IF regexp_matches(m, '{Q._MARK}')]) >= {Q.NAV_MARKS} AND 4 * len([m FOR m IN string_split(line, ' ') IF regexp_matches(m, '{Q._MARK}')]) >= words)
+  OR regexp_matches(line, '{Q.BOILERPLATE}') OR NOT regexp_matches(line, '\\p{{L}}|\\p{{N}}') AS bad FROM l),
+g AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (bad) AS n_lines_removed, coalesce(sum({size("line", space + "+")}) FILTER (NOT bad), 0) AS left_chars FROM f GROUP BY r),
+z AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, {size("text", space + "+")} AS word_chars, length(text) - {size("text", symbol)} AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines_removed, 0) AS n_lines_removed, CAST(coalesce(left_chars, 0) AS BIGINT) AS left_chars FROM t LEFT JOIN p USING (r) LEFT JOIN g USING (r)),
+b AS (SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEATED} * n_words AS base_failed FROM z)
+SELECT *, NOT base_failed AND left_chars >= {Q.MIN_LEFT} * word_chars AS kept FROM b"""
+
+
+_SEARCH_SQL = """WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM v AS q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": _quality_sql(), "op3_topk_search": _SEARCH_SQL}
