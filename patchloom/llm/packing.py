@@ -24,14 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.llm.textbatch import mix, slices
+from patchloom.llm.textbatch import mix, release, slices
 
 #: Tokens in a sequence.
 WINDOW = 2048
 #: Bins that a packing task keeps open.
 OPEN_BINS = 4096
 #: Words whose ids a worker remembers; the memory is emptied when full.
-WORD_MEMORY = 1_200_000
+WORD_MEMORY = 400_000
 #: Python's split() cuts at these, the tokenizer does not: such texts are encoded as a whole.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -149,6 +149,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
                     out.append(pa.array(kept, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names=names)
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

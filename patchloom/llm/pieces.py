@@ -19,11 +19,11 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from patchloom.llm.textbatch import slices
+from patchloom.llm.textbatch import release, slices
 
 MARK = "▁"
 #: Words, and parts of words, that a worker remembers; the memory is emptied when full.
-WORD_MEMORY, PART_MEMORY = 1_200_000, 800_000
+WORD_MEMORY, PART_MEMORY = 500_000, 300_000
 #: Symbols up to which the agenda is a plain list, whose smallest entry is as fast to find as in a heap.
 SHORT = 48
 _NEVER = 1 << 60
@@ -206,5 +206,6 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
                     out += [pa.array([[int(x) for x in a.split(",") if x] for a, _ in joined], pa.list_(pa.int32())), pa.array([b for _, b in joined], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(out, names=names)
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.llm.textbatch import buffer_of, mix
+from patchloom.llm.textbatch import buffer_of, mix, release
 
 #: Bytes of a string that counts as repeated, and of the strings whose hashes are anchors.
 LENGTH, KMER = 50, 25
@@ -41,7 +41,7 @@ BLOCK_BYTES, RANGE_BYTES, LEAST = 6 << 20, 12 << 20, 64
 WIDE = 2000
 #: UTF-8 has no such byte: it stands around every document.
 PAD = 0xFF
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 #: One anchor in so many begins a segment.
 SEGMENT = 16
 #: Surroundings whose suffixes are ordered together, about.
@@ -377,6 +377,7 @@ def _send_surroundings(bits: int):
         if len(docs):
             for name, value in (("range", number % (1 << bits)), ("block", number), ("kind", -1), ("strings", starts.astype(np.int32).tobytes()), ("docs", b""), ("numbers", docs.astype(np.int32).tobytes()), ("places", ends.astype(np.int32).tobytes())):
                 out[name].append(value)
+        release()
         return _rows(out, _SENT)
 
     return run
@@ -487,6 +488,7 @@ def _settle(key, table):
             n, s, e = _merged(numbers[own], starts[own], ends[own])
             for name, value in (("block", b), ("numbers", n.astype(np.int32).tobytes()), ("starts", s.astype(np.int32).tobytes()), ("ends", e.astype(np.int32).tobytes())):
                 out[name].append(value)
+    release()
     return _rows(out, _SPANS)
 
 
@@ -517,6 +519,7 @@ def _cut(with_text: bool):
             for c in block.table.column_names:
                 if c.startswith("row_"):
                     own[c] = block.table.column(c)
+        release()
         return pa.table(own)
 
     return run

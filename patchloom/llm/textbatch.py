@@ -6,6 +6,7 @@ slice size and the longest single text, never the number of rows in a partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text in a slice; one longer text makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: The white space of the words ``[^\x20\x09-\x0D]+``.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -98,3 +99,11 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.nd
 def lowered(raw: np.ndarray) -> np.ndarray:
     """A-Z as a-z; every other byte as it is."""
     return _LOWER[raw]
+
+
+def release() -> None:
+    """Gives freed memory back to the machine: a Python worker lives on after its task, and keeps what it once had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
