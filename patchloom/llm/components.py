@@ -39,5 +39,5 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
         seen = state
-        edges = saved(_star(_star(edges, True), False), "edges")
+        edges = saved(_star(saved(_star(edges, True), "edges"), False), "edges")
     raise RuntimeError("components did not settle")

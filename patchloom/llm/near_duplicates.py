@@ -6,11 +6,16 @@
    ``MATCHES`` of ``COORDINATES`` places (it fails to with a chance below 1e-6), so it shares one of the
    COORDINATES - MATCHES + 1 rarest values of either class: only those prefixes are kept as postings. Values held once are
    skipped; classes whose prefix has no others drop out.
-3. In each posting every class meets the most central one (whose values are the most shared); pairs with enough
-   collisions are confirmed on whole sets, and linked classes become components. That joins a large group of near
-   copies with as many pairs as it has members.
-4. Postings that still hold more than one component then give every pair between components, confirmed likewise.
-   So no link between components is lost, and pairs inside one component aren't made at all.
+3. In each posting every class meets one class, the pivot: the most central in the posting (its values are the most
+   shared), or, at first, the most central that can be reached from it in two such steps, so that a group has few
+   pivots. Whole sets tell their similarity and their difference, and linked classes become components. That joins
+   a large group of near copies with about as many pairs as it has members.
+4. Two classes that one pivot doesn't link can only be similar if they differ from the pivot alike: of one's difference
+   about half must be in the other's too. So the rarer half of each difference is looked up in the whole differences of
+   classes that aren't linked with the pivot; pairs that meet there and lie in different components are confirmed on
+   signatures and whole sets.
+5. Classes far from their posting's pivot can't be similar to those near it. They go on as a posting of their own,
+   with a new pivot; what is left after ``ROUNDS`` rounds gives every pair between components.
 
 Sets are made again for classes with postings, from the table; pairs, links and components are DataFrames.
 """
@@ -26,14 +31,19 @@ from pyspark.sql import functions as F
 
 from patchloom.llm.components import components
 from patchloom.llm.saved import saved
-from patchloom.llm.textbatch import buffer_of, lowered, mix, slices, span_hashes, word_spans
+from patchloom.llm.textbatch import buffer_of, lowered, mix, release, slices, span_hashes, word_spans
 
 #: Words in a shingle.
 SHINGLE = 5
 #: MinHash coordinates, and those that must agree: a pair at 0.85 agrees in fewer with a chance of 4e-7.
 COORDINATES, MATCHES = 64, 38
+#: Rounds of pivots. Per cent of similarity with a pivot: from NEAR on differences are compared, below FAR a class goes on
+#: to the next pivot. They lie more than the allowed distance (15) apart: a class below NEAR is similar to none from FAR on.
+ROUNDS, NEAR, FAR = 3, 40, 56
 #: Classes with postings up to which their ids (8 bytes each) are broadcast to the second reading of the texts.
 BROADCAST_IDS = 2_000_000
+#: Rows in an Arrow batch that holds whole texts or sets.
+BATCH_ROWS = 1000
 
 _rng = np.random.default_rng(77)
 _FACTORS = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,6 +105,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), _ints([signature(x) if len(x) else np.zeros(0, np.int64) for x in sets], pa.int64())],
                     names=["doc_id", "n_shingles", "set_a", "set_b", "sig"],
                 )
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n_shingles long, set_a long, set_b long, sig array<long>")
 
@@ -111,15 +122,25 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary()), _ints([signature(x) if len(x) else np.zeros(0, np.int64) for x in sets], pa.int64())], names=["doc_id", "shingles", "sig"])
+        release()
 
     return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, f"doc_id {key}, shingles binary, sig array<long>")
 
 
+def _pairs_with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (u, v) with the columns of u's and then v's row of ``sets``."""
+    one = lambda x: sets.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
+    return pairs.join(one("u"), "u").join(one("v"), "v").select("u", "v", *[f"{x}_{c}" for c in columns for x in "uv"])
+
+
+def _within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of sorted ``a`` are in sorted ``b``."""
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose signatures collide often enough and whose whole sets are similar enough."""
     key = sets.schema["doc_id"].dataType.simpleString()
-    one = lambda x: sets.select(*[F.col(c).alias(f"{x}{'' if c == 'doc_id' else '_' + c}") for c in ("doc_id", "sig", "shingles")])
-    both = pairs.join(one("u"), "u").join(one("v"), "v").select("u", "v", "u_sig", "v_sig", "u_shingles", "v_shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,13 +150,48 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if (x == y).sum() < MATCHES:
                     continue
                 a, b = (np.frombuffer(batch.column(k)[row].as_buffer(), np.uint64) for k in (4, 5))
-                a, b = (a, b) if len(a) >= len(b) else (b, a)
-                shared = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+                shared = int(_within(a, b).sum())
                 if 100 * shared >= percent * (len(a) + len(b) - shared):
                     keep.append(row)
             yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
+        release()
 
-    return both.mapInArrow(run, f"u {key}, v {key}")
+    return _pairs_with_sets(pairs, sets, "sig", "shingles").mapInArrow(run, f"u {key}, v {key}")
+
+
+def _met(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v, linked, far, probe, whole: each class u with its pivot v, and their difference if they are near.
+
+    With p the pivot's set, r of it missing in x and a added, x and another class s are similar only if their differences
+    share at least (1 + 100 * r + percent * a) / (100 + percent) elements, given that s isn't linked with the pivot. So one
+    shared element is among any ``probe`` elements of x's difference, as many as leave fewer than that.
+    """
+    key = sets.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, far, probe, whole, sizes = [], [], [], [], []
+            for row in range(batch.num_rows):
+                x, pivot = (np.frombuffer(batch.column(k)[row].as_buffer(), np.uint64) for k in (2, 3))
+                own = _within(x, pivot)
+                shared = int(own.sum())
+                union = len(x) + len(pivot) - shared
+                linked.append(100 * shared >= percent * union)
+                far.append(100 * shared < FAR * union)
+                full, part = x[:0], 0
+                if 100 * shared >= NEAR * union:
+                    added, missing = x[~own], pivot[~_within(pivot, x)]
+                    with np.errstate(over="ignore"):
+                        full = np.concatenate([added, mix(missing + np.uint64(1))])
+                    least = -(-(1 + 100 * len(missing) + percent * len(added)) // (100 + percent))
+                    part = max(0, len(full) - least + 1)
+                probe.append(part)
+                sizes.append((len(pivot), len(pivot) - shared, len(x) - shared))
+                whole.append(full.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(far, pa.bool_()), pa.array(probe, pa.int32()), _ints(whole, pa.int64()), *(pa.array([x[k] for x in sizes], pa.int64()) for k in range(3))], names=["u", "v", "linked", "far", "probe", "whole", "n", "r", "a"])
+        release()
+
+    return _pairs_with_sets(pairs, sets, "shingles").mapInArrow(run, f"u {key}, v {key}, linked boolean, far boolean, probe int, whole array<long>, n long, r long, a long")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -161,33 +217,68 @@ def link_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     if percent < 85:
         raise ValueError("the signature's match threshold is set for 85 per cent and more")
-    sigs = saved(signatures(docs), "signatures")
+    sigs = saved(signatures(docs), "signatures", BATCH_ROWS)
     full = sigs.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     mark = ["set_a", "set_b", "n_shingles"]
     classes = full.groupBy(*mark).agg(F.min("doc_id").alias("first_id"))
     members = full.select("doc_id", *mark).join(classes, mark).select("doc_id", F.col("first_id"))
     chosen = full.join(classes.select(F.col("first_id").alias("doc_id"), *mark), ["doc_id", *mark], "left_semi").dropDuplicates(["doc_id", *mark])
     postings = saved(_postings(chosen.select("doc_id", "sig")), "postings")
-    sets = saved(_whole_sets(docs, postings.select("doc_id").distinct()), "sets")
-
-    centre = postings.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("v"))
-    star = postings.select("key", F.col("doc_id").alias("u")).join(centre, "key").filter("u != v").select("u", "v").distinct()
-    found = saved(_confirmed(star, sets, percent), "links")
-
-    label = components(found)
-    labelled = postings.select("key", "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most").select("key")
-    rest = saved(labelled.join(mixed, "key", "left_semi"), "rest")
-    left = rest.select("key", F.col("doc_id").alias("u"), F.col("component").alias("cu"))
-    right = rest.select("key", F.col("doc_id").alias("v"), F.col("component").alias("cv"))
-    between = left.join(right, "key").filter("u < v AND cu != cv").select("u", "v").distinct().join(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), ["u", "v"], "left_anti")
-    links = saved(_confirmed(between, sets, percent), "links")
-    joined = components(found.unionByName(links).unionByName(members.select(F.col("doc_id").alias("u"), F.col("first_id").alias("v"))))
-    out = sigs.select("doc_id", "n_shingles").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    sets = saved(_whole_sets(docs, postings.select("doc_id").distinct()), "sets", BATCH_ROWS)
+
+    met, rest = None, postings
+    for turn in range(ROUNDS):
+        centre = rest.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("top"), F.count("*").alias("n")).filter("n > 1").select("key", "top")
+        if turn == 0:  # up from each pivot to the most central one of its own postings, twice
+            up = saved(rest.join(centre, "key").groupBy("doc_id").agg(F.max("top").alias("top")).select((-F.col("doc_id")).alias("minus"), "top"), "up")
+            for _ in range(2):
+                centre = centre.select("key", F.col("top.minus").alias("minus")).join(up, "minus").select("key", "top")
+        star = rest.withColumnRenamed("doc_id", "u").join(centre.select("key", (-F.col("top.minus")).alias("v")), "key").filter("u != v")
+        round_met = saved(_met(star.select("u", "v").distinct(), sets, percent), "met", BATCH_ROWS)
+        met = round_met if met is None else met.unionByName(round_met)
+        rest = saved(star.join(round_met.filter("far").select("u", "v"), ["u", "v"], "left_semi").select("key", F.col("u").alias("doc_id"), "weight"), "far")
+        if not rest.limit(1).count():
+            break
+    found = saved(met.filter("linked").select("u", "v"), "links")
+
+    label = components(found).withColumnRenamed("node", "u")
+    labelled = lambda x: x.join(label, "u", "left").withColumn("component", F.coalesce("component", "u"))
+    apart = labelled(met.filter("probe > 0"))
+    # two classes with the same main pivot, the one that most others met, are compared in its group alone
+    members_of = apart.groupBy("v").agg(F.count("*").alias("many"))
+    main = apart.select("u", "v").join(members_of, "v").groupBy("u").agg(F.max(F.struct("many", "v")).alias("main")).select("u", F.col("main.v").alias("main"))
+    apart = apart.join(main, "u")
+    groups = apart.groupBy("v").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("linked").alias("linked")).filter("least != most AND NOT linked").select("v")
+    apart = saved(apart.join(groups, "v", "left_semi"), "differences")
+    holders = apart.filter("NOT linked").select("v", F.explode("whole").alias("e")).groupBy("v", "e").agg(F.count("*").alias("holders"))
+    own = F.struct("component", "main", "linked", "probe", "n", "r", "a", F.size("whole").alias("size")).alias("own")
+    entries = apart.select("v", "u", own, F.explode("whole").alias("e")).join(holders, ["v", "e"])
+    held = entries.groupBy("v", "u").agg(F.first("own").alias("own"), F.sort_array(F.collect_list(F.struct("holders", "e"))).alias("held"))
+    # elements that no class in question holds come first in every order; "left" are an element and those behind it
+    placed = saved(held.select("v", "u", "own.*", F.size("held").alias("m"), F.posexplode("held").alias("k", "one")).select("v", "u", "component", "main", "linked", "probe", "n", "r", "a", "size", F.col("one.e").alias("e"), (F.col("m") - F.col("k")).alias("left")), "placed")
+    probes = placed.filter(F.col("size") - F.col("left") < F.col("probe"))
+    wholes = placed.filter("NOT linked").select("v", "e", *[F.col(c).alias(f"{c}_w") for c in ("u", "component", "main", "r", "a", "left")])
+    wanted = (percent - 100) * F.col("n") + 100 * (F.col("r") + F.col("r_w")) + percent * (F.col("a") + F.col("a_w"))
+    most = F.least("left", "left_w", F.least("r", "r_w") + F.least("a", "a_w"))
+    once = F.when(F.col("main") == F.col("main_w"), F.col("v") == F.col("main")).otherwise(True)
+    alike = probes.join(wholes, ["v", "e"]).filter(once & (F.col("component") != F.col("component_w")) & ((100 + percent) * most >= wanted)).select(F.least("u", "u_w").alias("u"), F.greatest("u", "u_w").alias("v"))
+    left = labelled(rest.select("key", F.col("doc_id").alias("u")))
+    mixed = left.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most").select("key")
+    left = left.join(mixed, "key", "left_semi")
+    between = left.join(left.select("key", F.col("u").alias("v"), F.col("component").alias("cv")), "key").filter("u < v AND component != cv").select("u", "v")
+    links = saved(_confirmed(alike.unionByName(between).distinct(), sets, percent), "links", BATCH_ROWS)
+    joined = components(found.unionByName(links)).withColumnRenamed("node", "first_id")
+    whole = members.join(joined, "first_id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "first_id")).alias("component"))
+    out = sigs.select("doc_id", "n_shingles").join(whole, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def first_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The documents that stay when one of each group of near duplicates does, with their own columns."""
-    stay = link_components(docs, percent).filter("kept").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, docs["doc_id"] == F.col("__stay"), "left_semi")
+    """The documents that stay when one of each group of near duplicates does, with their own columns.
+
+    Rows that share a doc_id stay or go together; rows without one stay.
+    """
+    gone = saved(link_components(docs, percent).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")

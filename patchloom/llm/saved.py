@@ -1,25 +1,5 @@
-"""Intermediate tables in the folder that all machines share, to cut lineage and to survive lost executors."""
+"""Where this subpackage keeps intermediate tables."""
 
-from __future__ import annotations
+from patchloom.sources.saved import saved, shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where it is unset, a new temporary folder (tests, one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="patchloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def saved(frame: DataFrame, name: str) -> DataFrame:
-    """``frame``, written as Parquet under the shared folder and read again."""
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+__all__ = ["saved", "shared_folder"]
