@@ -3,8 +3,8 @@
 1. Each document becomes its set of 5-word shingles (64-bit hashes) and a MinHash signature. Documents with equal
    sets form a class; only its smallest document goes on.
 2. Each class is posted under each (coordinate, value). A pair with the wanted similarity agrees in at least
-   ``MATCHES`` of ``COORDINATES`` places (it fails to with a chance below 1e-6), so it shares one of the
-   COORDINATES - MATCHES + 1 rarest values of either class: only those prefixes are kept as postings. Values held once are
+   ``matches_at`` of ``COORDINATES`` places (it fails to with a chance of ``LOST`` at most), so it shares one of the
+   COORDINATES - matches + 1 rarest values of either class: only those prefixes are kept as postings. Values held once are
    skipped; classes whose prefix has no others drop out.
 3. In each posting every class meets one class, the pivot: the most central in the posting (its values are the most
    shared), or, at first, the most central that can be reached from it in two such steps, so that a group has few
@@ -23,6 +23,7 @@ Sets are made again for classes with postings, from the table; pairs, links and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,12 @@ from patchloom.llm.textbatch import buffer_of, lowered, mix, release, slices, sp
 
 #: Words in a shingle.
 SHINGLE = 5
-#: MinHash coordinates, and those that must agree: a pair at 0.85 agrees in fewer with a chance of 4e-7.
-COORDINATES, MATCHES = 64, 38
-#: Rounds of pivots. Per cent of similarity with a pivot: from NEAR on differences are compared, below FAR a class goes on
-#: to the next pivot. They lie more than the allowed distance (15) apart: a class below NEAR is similar to none from FAR on.
-ROUNDS, NEAR, FAR = 3, 40, 56
+#: MinHash coordinates, and the chance at most that a pair with just the wanted similarity isn't looked at.
+COORDINATES, LOST = 64, 4e-7
+#: Rounds of pivots. Below FAR per cent of similarity with its pivot a class goes on to the next one.
+ROUNDS, FAR = 3, 56
+#: The least similarity that may be asked for, in per cent.
+LEAST_PERCENT = 80
 #: Classes with postings up to which their ids (8 bytes each) are broadcast to the second reading of the texts.
 BROADCAST_IDS = 2_000_000
 #: Rows in an Arrow batch that holds whole texts or sets.
@@ -51,6 +53,22 @@ _PLACES = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.
 _NUMBERS = np.arange(COORDINATES, dtype=np.int64) << 32
 
 
+def matches_at(percent: int) -> int:
+    """Coordinates that must agree: a pair with a similarity of ``percent`` agrees in fewer with a chance of ``LOST`` at most."""
+    s, lost, m = percent / 100, 0.0, 0
+    while m < COORDINATES and (lost := lost + comb(COORDINATES, m) * s**m * (1 - s) ** (COORDINATES - m)) <= LOST:
+        m += 1
+    return m
+
+
+def near_at(percent: int) -> int:
+    """Per cent of similarity with a pivot from which differences are compared.
+
+    It lies further below FAR than the allowed distance: a class below it is similar to none from FAR on.
+    """
+    return FAR - (101 - percent)
+
+
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     """Sorted hashes of each text's distinct shingles of lower-cased words (A-Z only).
 
@@ -140,14 +158,14 @@ def _within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose signatures collide often enough and whose whole sets are similar enough."""
-    key = sets.schema["doc_id"].dataType.simpleString()
+    key, matches = sets.schema["doc_id"].dataType.simpleString(), matches_at(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for row in range(batch.num_rows):
                 x, y = (batch.column(k)[row].values.to_numpy() for k in (2, 3))
-                if (x == y).sum() < MATCHES:
+                if (x == y).sum() < matches:
                     continue
                 a, b = (np.frombuffer(batch.column(k)[row].as_buffer(), np.uint64) for k in (4, 5))
                 shared = int(_within(a, b).sum())
@@ -166,7 +184,7 @@ def _met(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     share at least (1 + 100 * r + percent * a) / (100 + percent) elements, given that s isn't linked with the pivot. So one
     shared element is among any ``probe`` elements of x's difference, as many as leave fewer than that.
     """
-    key = sets.schema["doc_id"].dataType.simpleString()
+    key, near = sets.schema["doc_id"].dataType.simpleString(), near_at(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +197,7 @@ def _met(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * shared >= percent * union)
                 far.append(100 * shared < FAR * union)
                 full, part = x[:0], 0
-                if 100 * shared >= NEAR * union:
+                if 100 * shared >= near * union:
                     added, missing = x[~own], pivot[~_within(pivot, x)]
                     with np.errstate(over="ignore"):
                         full = np.concatenate([added, mix(missing + np.uint64(1))])
@@ -194,7 +212,7 @@ def _met(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _pairs_with_sets(pairs, sets, "shingles").mapInArrow(run, f"u {key}, v {key}, linked boolean, far boolean, probe int, whole array<long>, n long, r long, a long")
 
 
-def _postings(classes: DataFrame) -> DataFrame:
+def _postings(classes: DataFrame, percent: int) -> DataFrame:
     """key, doc_id, weight: each class under the rarest values of its signature that others hold too.
 
     weight tells how widely the class's values are shared.
@@ -202,8 +220,8 @@ def _postings(classes: DataFrame) -> DataFrame:
     entries = classes.select("doc_id", F.explode("sig").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     held = entries.join(shared, "key").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("held"), F.sum("n").alias("weight"))
-    skip = COORDINATES - F.size("held")
-    prefix = held.filter(COORDINATES - MATCHES + 1 > skip).select("doc_id", "weight", F.explode(F.slice("held", F.lit(1), F.lit(COORDINATES - MATCHES + 1) - skip)).alias("one"))
+    skip, size = COORDINATES - F.size("held"), COORDINATES - matches_at(percent) + 1
+    prefix = held.filter(size > skip).select("doc_id", "weight", F.explode(F.slice("held", F.lit(1), F.lit(size) - skip)).alias("one"))
     return prefix.select(F.col("one.key").alias("key"), "doc_id", "weight")
 
 
@@ -213,17 +231,18 @@ def link_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     Two documents are linked if 100 * |A and B| >= ``percent`` * |A or B| of their shingle sets; component_id is the
     smallest doc_id reachable by links, kept is true for it alone. Texts without words, and null texts, have no
     shingles and are linked with nothing. Rows that share a doc_id are linked by either text. Rows without a doc_id have
-    no component and aren't kept. ``percent`` must be 80 or more for the bound on lost links to hold at 85.
+    no component and aren't kept. ``percent`` is ``LEAST_PERCENT`` to 100; a pair at just ``percent`` is missed with a chance of
+    ``LOST`` at most, a closer one with a smaller chance.
     """
-    if percent < 85:
-        raise ValueError("the signature's match threshold is set for 85 per cent and more")
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"a similarity of {LEAST_PERCENT} to 100 per cent can be asked for")
     sigs = saved(signatures(docs), "signatures", BATCH_ROWS)
     full = sigs.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     mark = ["set_a", "set_b", "n_shingles"]
     classes = full.groupBy(*mark).agg(F.min("doc_id").alias("first_id"))
     members = full.select("doc_id", *mark).join(classes, mark).select("doc_id", F.col("first_id"))
     chosen = full.join(classes.select(F.col("first_id").alias("doc_id"), *mark), ["doc_id", *mark], "left_semi").dropDuplicates(["doc_id", *mark])
-    postings = saved(_postings(chosen.select("doc_id", "sig")), "postings")
+    postings = saved(_postings(chosen.select("doc_id", "sig"), percent), "postings")
     sets = saved(_whole_sets(docs, postings.select("doc_id").distinct()), "sets", BATCH_ROWS)
 
     met, rest = None, postings
