@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from patchloom.llm import gru, lm_scoring
 from patchloom.llm.near_duplicates import link_components, matches_at, near_at
 from tests.llm.test_dedup import near_copies, shingles
 
@@ -49,3 +51,13 @@ def test_pipeline_drops_copies_at_80(spark, tmp_path):
     assert 80 <= 100 * len(a & b) / len(a | b) < 85
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).collect()} == {1, 3}
+
+
+def test_every_window_is_learned_from():
+    lay = gru.Layout(np.array([30, 20, 10, 8]))
+    trainer = gru.Trainer(gru.fresh(lay), lay, 0.1, lanes=1)
+    before = trainer.sum["embed"].copy()
+    ids = np.repeat(np.arange(4), gru.WINDOW).astype(np.int32)  # each window has words of its own
+    trainer.learn(ids, np.array([0]), np.array([len(ids)]))
+    assert (trainer.sum["embed"] > before)[:4].any(axis=1).all()
+    assert (lm_scoring.WORDS, lm_scoring.CLUSTERS) == (2000, 256)
