@@ -6,7 +6,8 @@
    Their token streams are laid end to end, a suffix array orders them, and runs of ``RUN`` tokens and more that
    stand on ``PAGES`` distinct pages are boilerplate; what they cover goes from blocks that no article holds, and unique
    runs stay. A page that is covered nearly whole is a copy of another page, not boilerplate, and stays whole.
-3. Inside an article only long runs (``ARTICLE_RUN``) go, and only those that also stand outside articles on other pages.
+3. An article is evidence for main text: inside one, runs go that stand on ``ARTICLE_PAGES`` pages and more, and stretches of
+   ``ARTICLE_RUN`` tokens and more whose runs stand on ``PAGES`` pages and outside articles, too.
 
 Where a page has text in an article, that is its main text; else what is left of its other blocks.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from patchloom.llm.textbatch import slices
 
 GROUP_PAGES = 512
-RUN, PAGES, ARTICLE_RUN = 8, 3, 24
+RUN, PAGES, ARTICLE_RUN, ARTICLE_PAGES = 8, 3, 24, 10
 #: Share of a page's tokens that, if covered, shows a copy of another page.
 COPY_SHARE = 0.8
 #: Hosts with more pages than a group up to which their list is broadcast.
@@ -173,40 +174,72 @@ def _covered(starts: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(steps)[: len(starts)] > 0
 
 
-def main_texts(pages: list[list[tuple[int, str]]]) -> list[str]:
+class Runs:
+    """The token streams of pages end to end, and of each run of ``RUN`` tokens on how many pages it stands, and if outside articles.
+
+    Only page ends are tokens of their own, so runs go on from block to block of a page.
+    """
+
+    def __init__(self, pages: list[list[tuple[int, str]]]):
+        words: dict[str, int] = {}
+        tokens, owner, kinds, block, blocks = [], [], [], [], 0
+        for number, page in enumerate(pages):
+            for kind, text in page:
+                own = [words.setdefault(w, len(words)) for w in text.split(" ")]
+                tokens += own
+                kinds += [kind] * len(own)
+                block += [blocks] * len(own)
+                blocks += 1
+            owner += [number] * (len(tokens) + 1 - len(owner))
+            tokens.append(-1)
+            kinds.append(-1)
+            block.append(blocks)
+            blocks += 1
+        self.ids, self.owner, self.kinds, self.block = (np.array(x, np.int64) for x in (tokens, owner, kinds, block))
+        self.ends = self.ids < 0
+        self.ids[self.ends] = len(words) + np.arange(len(pages))
+        order, self.rank = suffix_order(self.ids, RUN)
+        ranks, owners = self.rank[order], self.owner[order]
+        fresh = np.concatenate([[True], (ranks[1:] != ranks[:-1]) | (owners[1:] != owners[:-1])])
+        self.pages = np.bincount(ranks[fresh])
+        self.outside = np.zeros(len(self.pages), bool)
+        self.outside[self.rank[self.kinds != ARTICLE]] = True
+
+    def _gone(self, starts: np.ndarray, kind: int) -> np.ndarray:
+        """Which tokens of blocks of a kind the runs cover."""
+        last = np.minimum(np.arange(len(self.ids)) + RUN - 1, len(self.ids) - 1)
+        gone = _covered(starts & (self.block == self.block[last]), RUN)
+        return gone & (self.kinds == kind)
+
+    def _without_copies(self, gone: np.ndarray, kind: int) -> np.ndarray:
+        """``gone`` without pages that are covered nearly whole."""
+        own = self.kinds == kind
+        total, part = np.bincount(self.owner[own], minlength=self.owner[-1] + 1), np.bincount(self.owner[own & gone], minlength=self.owner[-1] + 1)
+        return gone & ~(part > COPY_SHARE * total)[self.owner]
+
+    def boilerplate(self) -> np.ndarray:
+        """Which tokens go."""
+        pages, outside = self.pages[self.rank], self.outside[self.rank]
+        gone = self._without_copies(self._gone(pages >= PAGES, OTHER), OTHER)
+        gone |= self._without_copies(self._gone(pages >= ARTICLE_PAGES, ARTICLE), ARTICLE)
+        # long stretches in articles: each run in them repeats and stands outside articles, too
+        known = (pages >= PAGES) & outside & (self.kinds == ARTICLE)
+        cut = np.flatnonzero(np.diff(np.concatenate([[False], known, [False]]).astype(np.int8)))
+        for a, b in zip(cut[::2].tolist(), cut[1::2].tolist(), strict=True):
+            if b - a + RUN - 1 >= ARTICLE_RUN:
+                gone[a : b + RUN - 1] |= self.kinds[a : b + RUN - 1] == ARTICLE
+        return gone
+
+
+def main_texts(pages: list[list[tuple[int, str]]], runs: Runs | None = None) -> list[str]:
     """Main texts of the pages of one group of a host, from their blocks."""
-    chosen = [[b for b in page if b[0] == ARTICLE] or [b for b in page if b[0] == OTHER] for page in pages]
-    open_pages = any(own and own[0][0] == OTHER for own in chosen)
-    outside = any(kind != ARTICLE and text.count(" ") + 1 >= ARTICLE_RUN for page in pages for kind, text in page)
-    if not open_pages and not outside:  # nothing that a repeated run could cover
-        return ["\n".join(text for _, text in own) for own in chosen]
-    words: dict[str, int] = {}
-    tokens, owner, kinds = [], [], []
-    for number, page in enumerate(pages):
-        for kind, text in page:
-            own = [words.setdefault(w, len(words)) for w in text.split(" ")]
-            tokens += [*own, -1]
-            owner += [number] * (len(own) + 1)
-            kinds += [kind] * (len(own) + 1)
-    ids, owner, kinds = np.array(tokens, np.int64), np.array(owner, np.int64), np.array(kinds)
-    gaps = ids < 0
-    ids[gaps] = len(words) + np.arange(int(gaps.sum()))  # every block's end differs from all others
-    gone = _covered(repeated(ids, owner, RUN, PAGES) & (kinds == OTHER), RUN) & (kinds == OTHER)
-    free = (kinds == OTHER) & ~gaps
-    for number in np.unique(owner[gone]):
-        own = free & (owner == number)
-        if gone[own].mean() > COPY_SHARE:
-            gone[own] = False
-    if outside:
-        twice = repeated(ids, owner, ARTICLE_RUN, PAGES)
-        rank = suffix_order(ids, ARTICLE_RUN)[1]
-        elsewhere = np.zeros(int(rank.max()) + 1, bool)
-        elsewhere[rank[(kinds != ARTICLE) & twice]] = True
-        gone |= _covered(twice & (kinds == ARTICLE) & elsewhere[rank], ARTICLE_RUN) & (kinds == ARTICLE)
+    if not pages:
+        return []
+    gone = (runs or Runs(pages)).boilerplate()
     out, at = [], 0
-    for page, own in zip(pages, chosen, strict=True):
-        lines = []
-        wanted = own[0][0] if own else -1
+    for page in pages:
+        lines, held = [], {k for k, _ in page}
+        wanted = ARTICLE if ARTICLE in held else OTHER
         for kind, text in page:
             n = text.count(" ") + 1
             if kind == wanted:
@@ -214,8 +247,9 @@ def main_texts(pages: list[list[tuple[int, str]]]) -> list[str]:
                 left = text if not drop.any() else " ".join(w for w, d in zip(text.split(" "), drop, strict=True) if not d)
                 if left:
                     lines.append(left)
-            at += n + 1
+            at += n
         out.append("\n".join(lines))
+        at += 1
     return out
 
 

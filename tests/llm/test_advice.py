@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from patchloom.llm import gru, lm_scoring
+from patchloom.llm.html_text import blocks_of, main_texts
 from patchloom.llm.near_duplicates import link_components, matches_at, near_at
 from tests.llm.test_dedup import near_copies, shingles
 
@@ -61,3 +62,12 @@ def test_every_window_is_learned_from():
     trainer.learn(ids, np.array([0]), np.array([len(ids)]))
     assert (trainer.sum["embed"] > before)[:4].any(axis=1).all()
     assert (lm_scoring.WORDS, lm_scoring.CLUSTERS) == (2000, 256)
+
+
+def test_repeats_inside_articles_go():
+    notice = "this story is brought to you by the friends of our paper"
+    page = "<nav>menu</nav><article><p>unique text {0} of page {0} and more {0}</p><div>{1}</div></article>"
+    got = main_texts([blocks_of(page.format(k, notice)) for k in range(30)])
+    assert got == [f"unique text {k} of page {k} and more {k}" for k in range(30)]
+    quoted = main_texts([blocks_of(page.format(k, notice if k < 4 else f"other {k}")) for k in range(30)])
+    assert quoted[0].endswith(notice)  # a quotation on few pages stays
