@@ -206,10 +206,11 @@ class Runs:
         self.outside[self.rank[self.kinds != ARTICLE]] = True
 
     def _gone(self, starts: np.ndarray, kind: int) -> np.ndarray:
-        """Which tokens of blocks of a kind the runs cover."""
+        """Which tokens of blocks of a kind the runs cover: runs inside one block, and those across blocks if a block is covered whole."""
         last = np.minimum(np.arange(len(self.ids)) + RUN - 1, len(self.ids) - 1)
         gone = _covered(starts & (self.block == self.block[last]), RUN)
-        return gone & (self.kinds == kind)
+        bare = np.bincount(self.block[~_covered(starts, RUN)], minlength=self.block[-1] + 1)
+        return (gone | (bare[self.block] == 0)) & (self.kinds == kind)
 
     def _without_copies(self, gone: np.ndarray, kind: int) -> np.ndarray:
         """``gone`` without pages that are covered nearly whole."""

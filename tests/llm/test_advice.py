@@ -71,3 +71,9 @@ def test_repeats_inside_articles_go():
     assert got == [f"unique text {k} of page {k} and more {k}" for k in range(30)]
     quoted = main_texts([blocks_of(page.format(k, notice if k < 4 else f"other {k}")) for k in range(30)])
     assert quoted[0].endswith(notice)  # a quotation on few pages stays
+
+
+def test_runs_go_on_over_short_blocks():
+    menu = "".join(f"<li>{w}</li>" for w in "Home News Sport Contact About Terms Privacy Login".split())
+    page = "<ul class=links>{1}</ul><div>page {0} says {0} in its own words {0}</div><div>(c) Our Paper</div><div>All rights reserved here and there</div>"
+    assert main_texts([blocks_of(page.format(k, menu)) for k in range(5)]) == [f"page {k} says {k} in its own words {k}" for k in range(5)]
