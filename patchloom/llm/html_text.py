@@ -2,10 +2,11 @@
 
 1. Each page is read once, from front to back, into blocks of text with what its elements say of them: in an article
    or main element, in a menu, header, footer, sidebar, notice, advert, form or comment, or neither.
-2. Pages of a host meet (a host with very many pages in several groups of about ``GROUP_PAGES``, by a hash of the page).
-   Their token streams are laid end to end, a suffix array orders them, and runs of ``RUN`` tokens and more that
-   stand on ``PAGES`` distinct pages are boilerplate; what they cover goes from blocks that no article holds, and unique
-   runs stay. A page that is covered nearly whole is a copy of another page, not boilerplate, and stays whole.
+2. Pages of a host meet. Their token streams are laid end to end, a suffix array orders them, and runs of ``RUN`` tokens and
+   more that stand on ``PAGES`` distinct pages are boilerplate; what they cover goes from blocks that no article holds, and
+   unique runs stay. A page that is covered nearly whole is a copy of another page, not boilerplate, and stays whole.
+   A host with very many pages has a suffix array for each group of about ``GROUP_PAGES`` of them (by a hash of the page);
+   groups send their runs' hashes and page counts to ranges of the hash, which answer with what the whole host has.
 3. An article is evidence for main text: inside one, runs go that stand on ``ARTICLE_PAGES`` pages and more, and stretches of
    ``ARTICLE_RUN`` tokens and more whose runs stand on ``PAGES`` pages and outside articles, too.
 
@@ -14,6 +15,7 @@ Where a page has text in an article, that is its main text; else what is left of
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.llm.textbatch import slices
+from patchloom.llm.textbatch import mix, slices
 
 GROUP_PAGES = 512
 RUN, PAGES, ARTICLE_RUN, ARTICLE_PAGES = 8, 3, 24, 10
@@ -51,6 +53,8 @@ _WORDS = re.compile(r"[a-z]+")
 
 ARTICLE, OTHER, OUT = 0, 1, 2
 
+_PLACES = np.random.default_rng(31).integers(1, 2**63, RUN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def _unwanted(name: str, attributes: str, in_main: bool) -> bool:
     """Whether an element isn't main text, by its name and attributes."""
@@ -198,6 +202,7 @@ class Runs:
         self.ids, self.owner, self.kinds, self.block = (np.array(x, np.int64) for x in (tokens, owner, kinds, block))
         self.ends = self.ids < 0
         self.ids[self.ends] = len(words) + np.arange(len(pages))
+        self.words = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in words], np.uint64)
         order, self.rank = suffix_order(self.ids, RUN)
         ranks, owners = self.rank[order], self.owner[order]
         fresh = np.concatenate([[True], (ranks[1:] != ranks[:-1]) | (owners[1:] != owners[:-1])])
@@ -205,6 +210,31 @@ class Runs:
         self.outside = np.zeros(len(self.pages), bool)
         self.outside[self.rank[self.kinds != ARTICLE]] = True
 
+    def codes(self) -> np.ndarray:
+        """By rank: a hash of the run, the same in all groups; 0 where a page ends in it."""
+        n = len(self.ids) - RUN + 1
+        out = np.zeros(len(self.pages), np.uint64)
+        if n <= 0:
+            return out
+        words = np.concatenate([self.words, np.zeros(int(self.ends.sum()), np.uint64)])[self.ids]
+        with np.errstate(over="ignore"):
+            sums = words[:n] * _PLACES[0]
+            for k in range(1, RUN):
+                sums += words[k : n + k] * _PLACES[k]
+            sums = mix(sums)
+        whole = self.owner[:n] == self.owner[RUN - 1 :]
+        whole &= ~self.ends[RUN - 1 :]
+        out[self.rank[:n][whole]] = sums[whole]
+        return out
+
+    def told(self, codes: np.ndarray, pages: np.ndarray, outside: np.ndarray) -> None:
+        """Takes over what the whole host has of runs (sorted hashes)."""
+        if len(codes):
+            own = self.codes()
+            at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+            hit = (codes[at] == own) & (own != 0)
+            self.pages[hit], self.outside[hit] = pages[at[hit]], outside[at[hit]]
+
     def _gone(self, starts: np.ndarray, kind: int) -> np.ndarray:
         """Which tokens of blocks of a kind the runs cover: runs inside one block, and those across blocks if a block is covered whole."""
         last = np.minimum(np.arange(len(self.ids)) + RUN - 1, len(self.ids) - 1)
@@ -254,6 +284,10 @@ def main_texts(pages: list[list[tuple[int, str]]], runs: Runs | None = None) ->
     return out
 
 
+def _unpacked(table: pa.Table, column: str, kind: type, row: int) -> np.ndarray:
+    return np.frombuffer(table.column(column)[row].as_buffer(), kind)
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of ``pages`` (page_id, url, html).
 
@@ -270,14 +304,62 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
                 found = [blocks_of(t or "") for t in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array([[k for k, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[t for _, t in x] for x in found], pa.list_(pa.string()))], names=["page_id", "url", "kinds", "blocks"])
 
-    def finish(table):
-        text = main_texts([list(zip(k, t, strict=True)) for k, t in zip(table.column("kinds").to_pylist(), table.column("blocks").to_pylist(), strict=True)])
+    def blocks_in(table) -> list[list[tuple[int, str]]]:
+        return [list(zip(k, t, strict=True)) for k, t in zip(table.column("kinds").to_pylist(), table.column("blocks").to_pylist(), strict=True)]
+
+    def ask(key, table):
+        """By group of a large host: the runs' hashes with the group's pages, by range."""
+        more = table.column("more")[0].as_py() or 0
+        out: dict[str, list] = {k: [] for k in ("host", "part", "range", "codes", "pages", "outside")}
+        if more:
+            runs = Runs(blocks_in(table))
+            codes = runs.codes()
+            held = np.flatnonzero(codes)
+            range_of = codes[held] % np.uint64(more + 1)
+            held = held[np.argsort(range_of, kind="stable")]
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(range_of.astype(np.int64), minlength=more + 1))])
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                own = held[cuts[k] : cuts[k + 1]]
+                for name, value in (("host", key[0].as_py()), ("part", key[1].as_py()), ("range", k), ("codes", codes[own].tobytes()), ("pages", runs.pages[own].astype(np.int32).tobytes()), ("outside", runs.outside[own].astype(np.uint8).tobytes())):
+                    out[name].append(value)
+        return pa.table({k: pa.array(out[k], t) for k, t in kinds_asked.items()})
+
+    def tell(key, table):
+        """By range of a host: to each group its runs that stand on enough pages of the whole host."""
+        parts = [_unpacked(table, "codes", np.uint64, k) for k in range(table.num_rows)]
+        codes, place = np.unique(np.concatenate(parts), return_inverse=True)
+        pages = np.bincount(place, weights=np.concatenate([_unpacked(table, "pages", np.int32, k) for k in range(table.num_rows)])).astype(np.int64)
+        outside = np.bincount(place, weights=np.concatenate([_unpacked(table, "outside", np.uint8, k) for k in range(table.num_rows)])) > 0
+        out: dict[str, list] = {k: [] for k in kinds_told}
+        at = 0
+        for k, own in enumerate(parts):
+            where = place[at : at + len(own)]
+            where = where[pages[where] >= PAGES]
+            at += len(own)
+            if len(where):
+                for name, value in (("host", key[0].as_py()), ("part", table.column("part")[k].as_py()), ("codes", codes[where].tobytes()), ("pages", pages[where].tobytes()), ("outside", outside[where].astype(np.uint8).tobytes())):
+                    out[name].append(value)
+        return pa.table({k: pa.array(v, kinds_told[k]) for k, v in out.items()})
+
+    def finish(key, table, told):
+        pages = blocks_in(table)
+        runs = Runs(pages) if pages else None
+        if told.num_rows:
+            codes, counts, outside = (np.concatenate([_unpacked(told, c, t, k) for k in range(told.num_rows)]) for c, t in (("codes", np.uint64), ("pages", np.int64), ("outside", np.uint8)))
+            order = np.argsort(codes)
+            runs.told(codes[order], counts[order], outside[order] > 0)
+        text = main_texts(pages, runs)
         return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(text, pa.string()), "n_chars": pa.array([len(t) for t in text], pa.int64())})
 
+    kinds_told = {"host": pa.string(), "part": pa.int64(), "codes": pa.binary(), "pages": pa.binary(), "outside": pa.binary()}
+    kinds_asked = {"host": pa.string(), "part": pa.int64(), "range": pa.int64(), "codes": pa.binary(), "pages": pa.binary(), "outside": pa.binary()}
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
     large = pages.select(host.alias("host")).groupBy("host").agg((F.count("*") / GROUP_PAGES).cast("int").alias("more")).filter("more > 0")
     if large.count() <= BROADCAST_HOSTS:
         large = F.broadcast(large)
     blocks = pages.select("page_id", "url", "html").mapInArrow(parse, parsed_schema).withColumn("host", host)
     dealt = blocks.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("more", F.lit(0)) + 1))
-    return dealt.groupBy("host", "part").applyInArrow(lambda t: finish(t), f"page_id {key}, url {url}, text string, n_chars long")
+    dealt = dealt.withColumn("part", F.col("part").cast("long")).groupBy("host", "part")
+    asked = dealt.applyInArrow(ask, "host string, part long, range long, codes binary, pages binary, outside binary")
+    told = asked.groupBy("host", "range").applyInArrow(tell, "host string, part long, codes binary, pages binary, outside binary")
+    return dealt.cogroup(told.groupBy("host", "part")).applyInArrow(finish, f"page_id {key}, url {url}, text string, n_chars long")

@@ -5,7 +5,8 @@ import pytest
 
 import corpus_pipeline
 from patchloom.llm import gru, lm_scoring
-from patchloom.llm.html_text import blocks_of, main_texts
+from patchloom.llm import html_text
+from patchloom.llm.html_text import blocks_of, extract_main_text, main_texts
 from patchloom.llm.near_duplicates import link_components, matches_at, near_at
 from tests.llm.test_dedup import near_copies, shingles
 
@@ -77,3 +78,11 @@ def test_runs_go_on_over_short_blocks():
     menu = "".join(f"<li>{w}</li>" for w in "Home News Sport Contact About Terms Privacy Login".split())
     page = "<ul class=links>{1}</ul><div>page {0} says {0} in its own words {0}</div><div>(c) Our Paper</div><div>All rights reserved here and there</div>"
     assert main_texts([blocks_of(page.format(k, menu)) for k in range(5)]) == [f"page {k} says {k} in its own words {k}" for k in range(5)]
+
+
+def test_repeats_count_over_the_whole_host(spark, monkeypatch):
+    notice = "one notice of the section that stands on six pages"
+    rows = [(k, f"https://h.example.com/{k}", f"<div>page {k} says {k} of its own {k}</div>" + (f"<div>{notice}</div>" if k % 10 == 0 else "")) for k in range(60)]
+    monkeypatch.setattr(html_text, "GROUP_PAGES", 4)
+    got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.text) for r in got} == {(k, f"page {k} says {k} of its own {k}") for k in range(60)}
