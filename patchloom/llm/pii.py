@@ -1,7 +1,7 @@
 """Personal data: four exact patterns, and secrets found by a skip-chain conditional random field.
 
 The patterns find e-mail and IP addresses, card and telephone numbers. The field labels the other tokens that could be
-secrets (those with digits, or beside a word such as "password"): each token has features of its own form and of the
+secrets (those with digits, those that hold or follow a word such as "password", and all that are like one of these): each token has features of its own form and of the
 words before it; neighbours, and distant tokens that are the same or similar, share potentials. Loopy message passing
 runs over a whole document, so a secret that is named once is found wherever it is repeated. The field's weights are
 fitted here, by pseudo-likelihood on sentences made from a fixed seed; no document is needed for that.
@@ -39,10 +39,12 @@ _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _MAYBE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+")
 _CUE = re.compile(r"(?i)(?<![a-z])(" + "|".join(CUES) + r")(?![a-z])[\"']?$")
 _ASSIGNED = re.compile(r"(?i)^[\"'(\[{]*([a-z_-]*(?:" + "|".join(CUES) + r"))[\"']?[=:]+[\"']?(.+)$")
+_ANY_CUE = re.compile(r"(?i)(?<![a-z])(?:" + "|".join(CUES) + r")(?![a-z])")
+_SIGNS = ("=", ":", "=>", ":=")
 _NUMBER = re.compile(r"[0-9]+([.,:/-][0-9]+)*")
 #: Rounds of message passing, and the share of a new message that is taken over.
 ROUNDS, TAKEN = 12, 0.7
-N_FEATURES = 11
+N_FEATURES = 15
 
 
 def luhn(digits: str) -> bool:
@@ -86,20 +88,58 @@ def features(token: str, before: list[str]) -> tuple[np.ndarray, str]:
     """Features of a token after ``before`` (the words in front, nearest last), and its value without name and quotes."""
     assigned = _ASSIGNED.match(token)
     value = _core(assigned[2] if assigned else token)
-    sign = bool(before) and before[-1] in ("=", ":", "=>", ":=")
+    sign = bool(before) and before[-1] in _SIGNS
     name = before[-2] if sign and len(before) > 1 else before[-1] if before else ""
     named = bool(_CUE.search(name.rstrip(":=")))
     digits = sum(c.isdigit() for c in value)
     letters = sum(c.isalpha() for c in value)
     turns = sum(a.isdigit() != b.isdigit() for a, b in zip(value, value[1:], strict=False))
     long, mixed = len(value) >= 12, digits >= 2 and letters >= 2
+    signed, bare = sign or name.endswith((":", "=")), digits == 0
+    odd = len(value) >= 8 and (any(not c.isalnum() for c in value[1:-1]) or any(a.islower() and b.isupper() for a, b in zip(value, value[1:], strict=False)))
     x = (
-        1.0, long, mixed and long, turns >= 4 and long, bool(assigned) and digits > 0, named and digits > 0, (sign or name.endswith((":", "="))) and named and long,
+        1.0, long, mixed and long, turns >= 4 and long, bool(assigned) and digits > 0, named and digits > 0, signed and named and long and not bare,
         mixed and long and value.upper() == value and value.isalnum(), bool(_NUMBER.fullmatch(value)), "://" in token or "@" in token or "." in value.strip("."), len(value) < 8,
+        bare, bare and (bool(assigned) or (named and signed)), bare and (bool(assigned) or (named and signed)) and len(value) >= 9, bare and odd and (bool(assigned) or (named and signed)),
     )
     return np.array(x, np.float64), value
 
 
+def _alike(value: str) -> set[str]:
+    """What the values of similar tokens share."""
+    return {value, re.sub(r"[^0-9a-z]", "", value.lower())} - {""} if len(value) >= 8 else set()
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans of the tokens that may be secrets, in order."""
+    found = {m.start(): m.end() for m in _MAYBE.finditer(text)}
+    keys: set[str] = set()
+    done = 0
+    for m in _ANY_CUE.finditer(text):
+        start = m.start()
+        if start < done:
+            continue
+        while start and text[start - 1] not in "\x20\t\n\v\f\r":
+            start -= 1
+        token = _TOKEN.match(text, start)
+        done = token.end()
+        if not _ASSIGNED.match(token.group()):
+            if not _CUE.search(token.group().rstrip(":=")):
+                continue
+            token = _TOKEN.search(text, token.end())
+            if token and token.group() in _SIGNS:
+                token = _TOKEN.search(text, token.end())
+        if token and token.start() not in found:
+            found[token.start()] = token.end()
+            assigned = _ASSIGNED.match(token.group())
+            keys |= _alike(_core(assigned[2] if assigned else token.group()))
+    if keys:
+        for m in _TOKEN.finditer(text):
+            if m.start() not in found and m.end() - m.start() >= 8 and _alike(_core(m.group())) & keys:
+                found[m.start()] = m.end()
+    return sorted(found.items())
+
+
 class Graph:
     """The tokens of one document that may be secrets, their features and ties."""
 
@@ -109,22 +149,20 @@ class Graph:
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
         last: dict[str, int] = {}
-        for m in _MAYBE.finditer(text):
-            before = _TOKEN.findall(text, max(0, m.start() - 80), m.start())[-2:]
-            x, value = features(m.group(), before)
+        for start, stop in candidates(text):
+            before = _TOKEN.findall(text, max(0, start - 80), start)[-2:]
+            x, value = features(text[start:stop], before)
             k = len(rows)
             rows.append(x)
             values.append(value)
-            places.append(m.start())
-            start, stop = m.span()
-            if x[5]:  # its name goes with it
-                name = before[-2] if before[-1] in ("=", ":", "=>", ":=") and len(before) > 1 else before[-1]
+            places.append(start)
+            if x[5] or (x[12] and not _ASSIGNED.match(text[start:stop])):  # its name goes with it
+                name = before[-2] if before[-1] in _SIGNS and len(before) > 1 else before[-1]
                 start = text.rfind(name, 0, start)
             self.spans.append((start, stop))
             if k and places[k] - self.spans[k - 1][1] <= 1:
                 self.chain.append((k - 1, k))
-            alike = {value, re.sub(r"[^0-9a-z]", "", value.lower())} if len(value) >= 8 else set()
-            for key in alike:
+            for key in _alike(value):
                 if key in last and (last[key], k) not in self.skip[-2:]:
                     self.skip.append((last[key], k))
                 last[key] = k
@@ -158,7 +196,7 @@ def _examples(seed: int = 5):
         parts, secrets = [], []
         for _ in range(int(rng.integers(3, 9))):
             parts += [word() for _ in range(int(rng.integers(1, 5)))]
-            kind = int(rng.integers(0, 14))
+            kind = int(rng.integers(0, 20))
             secret = pick("0123456789abcdef", int(rng.integers(16, 48))) if rng.random() < 0.5 else pick("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", int(rng.integers(16, 40)))
             cue = str(rng.choice(CUES))
             if kind == 0:
@@ -178,6 +216,12 @@ def _examples(seed: int = 5):
             elif kind == 6:
                 parts.append(f"{cue}={word()}{number(3)}")
                 secret = parts[-1].split("=")[1]
+            elif kind in (14, 15, 16):  # letters and marks alone
+                secret = "-_.!"[int(rng.integers(0, 4))].join(word() + word() for _ in range(int(rng.integers(2, 5)))) if rng.random() < 0.5 else pick("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", int(rng.integers(10, 30)))
+                parts += [[f"{cue}={secret}"], [f"{cue}:", secret], [cue, "=", f'"{secret}"']][kind - 14]
+            elif kind in (17, 18):  # a word such as these in a sentence
+                secret = ""
+                parts += [cue if kind == 17 else f"{cue}:", word() if kind == 18 or rng.random() < 0.5 else word() + word()]
             else:
                 secret = ""
                 parts.append(str(rng.choice([number(2), f"{number(1)}.{number(1)}.", number(16), f"{number(4)}-{number(2)}-{number(2)}", f"{word()}{number(2)}", f"v{number(1)}.{number(2)}", f"https://{word()}.example.com/{number(4)}", f"{word()}.{number(2)}@{word()}.example.com", f"{number(2)}:{number(2)}", f"({number(3)})", f"{number(3)}-{number(4)}"])))

@@ -8,6 +8,7 @@ from patchloom.llm import gru, lm_scoring
 from patchloom.llm import html_text
 from patchloom.llm.html_text import blocks_of, extract_main_text, main_texts
 from patchloom.llm.near_duplicates import link_components, matches_at, near_at
+from patchloom.llm.pii import spans_of, trained
 from tests.llm.test_dedup import near_copies, shingles
 
 
@@ -86,3 +87,12 @@ def test_repeats_count_over_the_whole_host(spark, monkeypatch):
     monkeypatch.setattr(html_text, "GROUP_PAGES", 4)
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {(r.page_id, r.text) for r in got} == {(k, f"page {k} says {k} of its own {k}") for k in range(60)}
+
+
+def test_secrets_without_digits_are_found():
+    w = np.array(trained())
+    text = "the password: correct-horse-battery was set. Then token=abcdefGHIJKL came. Later they typed correct-horse-battery, and abcdefGHIJKL again."
+    found = [text[a:b] for a, b in spans_of(text, w)[4]]
+    assert found == ["password: correct-horse-battery", "token=abcdefGHIJKL", "correct-horse-battery", "abcdefGHIJKL"]
+    for clean in ("the key role of a password reset", "a secret garden and the token economy, key principles", "key: value", "no secret is well-established here"):
+        assert spans_of(clean, w)[4] == [], clean
