@@ -504,6 +504,16 @@ def change_groups(s, d):
     return review.change_groups(files, ties)
 
 
+@query("change_groups_whole")
+def change_groups_whole(s, d):
+    """change_groups over all parts and lines: each order ties its parts to its smallest one. No SQL: a recursive one is too slow."""
+    key = lambda c, n: F.concat(F.lit("part:"), F.col(c).cast("string")).alias(n)
+    parts = table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"))
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct().join(parts, "l_partkey", "left_semi")
+    ties = lines.join(lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("first")), "l_orderkey").filter("l_partkey != first").select(key("l_partkey", "a"), key("first", "b")).distinct()
+    return review.change_groups(parts.select(key("l_partkey", "path")), ties)
+
+
 @query("fact_audit", _EDG + " SELECT count(*) AS calls, count(*) FILTER (c.stable_key IS NOT NULL AND b.stable_key IS NULL) AS from_unchanged, count(DISTINCT from_key) FILTER (c.stable_key IS NOT NULL AND b.stable_key IS NULL) AS callers FROM edges LEFT JOIN changes c ON c.stable_key = to_key LEFT JOIN changes b ON b.stable_key = from_key WHERE type = 'CALLS' AND type_resolved")
 def fact_audit(s, d):
     flag = lambda c: A.changes(s, d).select(F.col("stable_key").alias(c), F.lit(True).alias(f"{c}_changed"))
