@@ -5,8 +5,10 @@
 2. Pages of a host meet. Their token streams are laid end to end, a suffix array orders them, and runs of ``RUN`` tokens and
    more that stand on ``PAGES`` distinct pages are boilerplate; what they cover goes from blocks that no article holds, and
    unique runs stay. A page that is covered nearly whole is a copy of another page, not boilerplate, and stays whole.
-   A host with very many pages has a suffix array for each group of about ``GROUP_PAGES`` of them (by a hash of the page);
-   groups send their runs' hashes and page counts to ranges of the hash, which answer with what the whole host has.
+   A host with more than ``GROUP_PAGES`` pages has a suffix array for each group of about so many; groups first send some
+   leading bits of their runs' hashes (about a byte a run) to ranges of the hash and hear which others may have, then of these the
+   whole hashes with their page counts, and are told what the whole host has. So the result doesn't hang on the groups.
+   Pages travel packed, as compressed lists of words and numbers in them.
 3. An article is evidence for main text: inside one, runs go that stand on ``ARTICLE_PAGES`` pages and more, and stretches of
    ``ARTICLE_RUN`` tokens and more whose runs stand on ``PAGES`` pages and outside articles, too.
 
@@ -15,19 +17,20 @@ Where a page has text in an article, that is its main text; else what is left of
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.llm.textbatch import mix, slices
+from patchloom.llm.textbatch import mix, release, slices, span_hashes
 
-GROUP_PAGES = 512
+#: Pages in a group of a large host, and bytes of html that a task packs together.
+GROUP_PAGES, PACK_BYTES = 2048, 4 << 20
 RUN, PAGES, ARTICLE_RUN, ARTICLE_PAGES = 8, 3, 24, 10
 #: Share of a page's tokens that, if covered, shows a copy of another page.
 COPY_SHARE = 0.8
@@ -178,68 +181,145 @@ def _covered(starts: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(steps)[: len(starts)] > 0
 
 
-class Runs:
-    """The token streams of pages end to end, and of each run of ``RUN`` tokens on how many pages it stands, and if outside articles.
+def _pressed(data: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
 
-    Only page ends are tokens of their own, so runs go on from block to block of a page.
-    """
 
-    def __init__(self, pages: list[list[tuple[int, str]]]):
-        words: dict[str, int] = {}
-        tokens, owner, kinds, block, blocks = [], [], [], [], 0
-        for number, page in enumerate(pages):
-            for kind, text in page:
-                own = [words.setdefault(w, len(words)) for w in text.split(" ")]
-                tokens += own
-                kinds += [kind] * len(own)
-                block += [blocks] * len(own)
-                blocks += 1
-            owner += [number] * (len(tokens) + 1 - len(owner))
-            tokens.append(-1)
-            kinds.append(-1)
-            block.append(blocks)
-            blocks += 1
-        self.ids, self.owner, self.kinds, self.block = (np.array(x, np.int64) for x in (tokens, owner, kinds, block))
-        self.ends = self.ids < 0
-        self.ids[self.ends] = len(words) + np.arange(len(pages))
-        self.words = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in words], np.uint64)
-        order, self.rank = suffix_order(self.ids, RUN)
-        ranks, owners = self.rank[order], self.owner[order]
-        fresh = np.concatenate([[True], (ranks[1:] != ranks[:-1]) | (owners[1:] != owners[:-1])])
-        self.pages = np.bincount(ranks[fresh])
-        self.outside = np.zeros(len(self.pages), bool)
-        self.outside[self.rank[self.kinds != ARTICLE]] = True
+def _opened(data, size: int):
+    return pa.Codec("zstd").decompress(data, size)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, byte by byte of their places, compressed; the first 16 bytes give their number and width."""
+    width = (int(x.max(initial=0)).bit_length() + 7) // 8
+    parts = [((x >> (8 * k)) & 0xFF).astype(np.uint8).tobytes() for k in range(width)]
+    return np.array([len(x), width], np.int64).tobytes() + _pressed(b"".join(parts))
+
+
+def _from_planes(data) -> np.ndarray:
+    data = memoryview(data)
+    n, width = np.frombuffer(data[:16], np.int64).tolist()
+    out = np.zeros(n, np.int64)
+    if n and width:
+        flat = np.frombuffer(_opened(data[16:], n * width), np.uint8).reshape(width, n)
+        for k in range(width):
+            out |= flat[k].astype(np.int64) << (8 * k)
+    return out
 
-    def codes(self) -> np.ndarray:
-        """By rank: a hash of the run, the same in all groups; 0 where a page ends in it."""
+
+_PARTS = ("words", "ids", "sizes", "kinds", "blocks")
+
+
+def packed(pages: list[list[tuple[int, str]]]) -> dict[str, bytes]:
+    """Pages as a list of words and numbers in it, with the blocks' sizes and kinds and the pages' numbers of blocks."""
+    words: dict[str, int] = {}
+    ids, sizes, kinds = [], [], []
+    for page in pages:
+        for kind, text in page:
+            own = text.split(" ")
+            ids += [words.setdefault(w, len(words)) for w in own]
+            sizes.append(len(own))
+            kinds.append(kind)
+    listed = " ".join(words).encode()
+    arrays = (ids, sizes, kinds, [len(x) for x in pages])
+    return {"words": np.int64(len(listed)).tobytes() + _pressed(listed), **{k: _planes(np.array(x, np.int64)) for k, x in zip(_PARTS[1:], arrays, strict=True)}}
+
+
+class Group:
+    """Pages of one host that are held together, from their packed rows: token streams end to end, a token of its own behind each page.
+
+    Only page ends are such tokens, so runs go on from block to block of a page.
+    """
+
+    def __init__(self, rows: list[dict[str, bytes]]):
+        self.words: list[str] = []
+        names, local, sizes, kinds, counts = [], [], [], [], []
+        for row in rows:
+            data = memoryview(row["words"])
+            listed = bytes(_opened(data[8:], int(np.frombuffer(data[:8], np.int64)[0])))
+            raw = np.frombuffer(listed, np.uint8)
+            cuts = np.flatnonzero(raw == 32)
+            if len(raw):
+                names.append(span_hashes(raw, np.concatenate([[0], cuts + 1]), np.append(cuts, len(raw))))
+            local.append(_from_planes(row["ids"]) + len(self.words))
+            sizes.append(_from_planes(row["sizes"]))
+            kinds.append(_from_planes(row["kinds"]))
+            counts.append(_from_planes(row["blocks"]))
+            self.words += listed.decode().split(" ") if listed else []
+        empty = [np.zeros(0, np.int64)]
+        names = np.concatenate([np.zeros(0, np.uint64), *names])
+        self.local, self.sizes, block_kinds, self.counts = (np.concatenate(empty + x) for x in (local, sizes, kinds, counts))
+        self.block_kinds = block_kinds
+        word_hashes, number = np.unique(names, return_inverse=True)
+        n, pages, blocks = len(self.local), len(self.counts), len(self.sizes)
+        page_of_block = np.repeat(np.arange(pages), self.counts)
+        tokens = np.zeros(pages, np.int64)
+        np.add.at(tokens, page_of_block, self.sizes)
+        own = np.repeat(page_of_block, self.sizes)
+        self.at = np.arange(n) + own  # where each token stands
+        self.ends = np.ones(n + pages, bool)
+        self.ends[self.at] = False
+        self.owner, self.kinds, self.block = np.repeat(np.arange(pages), tokens + 1), np.full(n + pages, -1), np.full(n + pages, -1)
+        self.kinds[self.at] = np.repeat(block_kinds, self.sizes)
+        self.block[self.at] = np.repeat(np.arange(blocks), self.sizes)
+        self.block[self.ends] = blocks + np.arange(pages)
+        self.ids = np.empty(n + pages, np.int64)
+        self.ids[self.at] = number[self.local]
+        self.ids[self.ends] = len(word_hashes) + np.arange(pages)
+        self.hashes = np.zeros(n + pages, np.uint64)
+        self.hashes[self.at] = names[self.local]
+
+    def codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a run of ``RUN`` tokens of one page starts, and hashes of these runs, the same in all groups."""
         n = len(self.ids) - RUN + 1
-        out = np.zeros(len(self.pages), np.uint64)
         if n <= 0:
-            return out
-        words = np.concatenate([self.words, np.zeros(int(self.ends.sum()), np.uint64)])[self.ids]
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         with np.errstate(over="ignore"):
-            sums = words[:n] * _PLACES[0]
+            sums = self.hashes[:n] * _PLACES[0]
             for k in range(1, RUN):
-                sums += words[k : n + k] * _PLACES[k]
+                sums += self.hashes[k : n + k] * _PLACES[k]
             sums = mix(sums)
-        whole = self.owner[:n] == self.owner[RUN - 1 :]
-        whole &= ~self.ends[RUN - 1 :]
-        out[self.rank[:n][whole]] = sums[whole]
-        return out
+        whole = np.flatnonzero((self.owner[:n] == self.owner[RUN - 1 :]) & ~self.ends[RUN - 1 :])
+        return whole, sums[whole]
+
+    def counted(self, places: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct codes, on how many pages each stands, and whether it stands outside articles somewhere."""
+        by = np.lexsort((places, codes))
+        codes, places = codes[by], places[by]
+        fresh = np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)]
+        page = np.concatenate([[True], (codes[1:] != codes[:-1]) | (self.owner[places[1:]] != self.owner[places[:-1]])])[: len(codes)]
+        heads = np.flatnonzero(fresh)
+        if not len(heads):
+            return codes, np.zeros(0, np.int64), np.zeros(0, bool)
+        return codes[heads], np.add.reduceat(page.astype(np.int64), heads), np.logical_or.reduceat(self.kinds[places] != ARTICLE, heads)
+
+
+class Runs:
+    """By a suffix array over a group's pages: of each run of ``RUN`` tokens on how many pages it stands, and if outside articles."""
+
+    def __init__(self, group: Group):
+        self.group, self.owner, self.kinds, self.block = group, group.owner, group.kinds, group.block
+        order, self.rank = suffix_order(group.ids, RUN)
+        ranks, owners = self.rank[order], self.owner[order]
+        fresh = np.concatenate([[True], (ranks[1:] != ranks[:-1]) | (owners[1:] != owners[:-1])])
+        self.pages = np.bincount(ranks[fresh])
+        self.outside = np.zeros(len(self.pages), bool)
+        self.outside[self.rank[self.kinds != ARTICLE]] = True
 
     def told(self, codes: np.ndarray, pages: np.ndarray, outside: np.ndarray) -> None:
         """Takes over what the whole host has of runs (sorted hashes)."""
-        if len(codes):
-            own = self.codes()
+        places, own = self.group.codes()
+        if len(codes) and len(own):
             at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-            hit = (codes[at] == own) & (own != 0)
-            self.pages[hit], self.outside[hit] = pages[at[hit]], outside[at[hit]]
+            hit = codes[at] == own
+            ranks = self.rank[places[hit]]
+            self.pages[ranks], self.outside[ranks] = pages[at[hit]], outside[at[hit]]
 
     def _gone(self, starts: np.ndarray, kind: int) -> np.ndarray:
         """Which tokens of blocks of a kind the runs cover: runs inside one block, and those across blocks if a block is covered whole."""
-        last = np.minimum(np.arange(len(self.ids)) + RUN - 1, len(self.ids) - 1)
+        last = np.minimum(np.arange(len(self.rank)) + RUN - 1, len(self.rank) - 1)
         gone = _covered(starts & (self.block == self.block[last]), RUN)
-        bare = np.bincount(self.block[~_covered(starts, RUN)], minlength=self.block[-1] + 1)
+        bare = np.bincount(self.block[~_covered(starts, RUN)], minlength=int(self.block.max()) + 1)
         return (gone | (bare[self.block] == 0)) & (self.kinds == kind)
 
     def _without_copies(self, gone: np.ndarray, kind: int) -> np.ndarray:
@@ -262,30 +342,160 @@ class Runs:
         return gone
 
 
-def main_texts(pages: list[list[tuple[int, str]]], runs: Runs | None = None) -> list[str]:
-    """Main texts of the pages of one group of a host, from their blocks."""
-    if not pages:
+def main_texts(group: Group, runs: Runs | None = None) -> list[str]:
+    """Main texts of the pages of one group of a host."""
+    if not len(group.counts):
         return []
-    gone = (runs or Runs(pages)).boilerplate()
-    out, at = [], 0
-    for page in pages:
-        lines, held = [], {k for k, _ in page}
-        wanted = ARTICLE if ARTICLE in held else OTHER
-        for kind, text in page:
-            n = text.count(" ") + 1
-            if kind == wanted:
-                drop = gone[at : at + n]
-                left = text if not drop.any() else " ".join(w for w, d in zip(text.split(" "), drop, strict=True) if not d)
-                if left:
-                    lines.append(left)
-            at += n
-        out.append("\n".join(lines))
-        at += 1
-    return out
+    keep = ~(runs or Runs(group)).boilerplate()[group.at]
+    page_of_block = np.repeat(np.arange(len(group.counts)), group.counts)
+    article = np.zeros(len(group.counts), bool)
+    article[page_of_block[group.block_kinds == ARTICLE]] = True
+    wanted = group.block_kinds == np.where(article[page_of_block], ARTICLE, OTHER)
+    block_of = np.repeat(np.arange(len(group.sizes)), group.sizes)
+    keep &= wanted[block_of]
+    left = np.bincount(block_of[keep], minlength=len(group.sizes))
+    words, ids, at = group.words, group.local[keep].tolist(), 0
+    lines: list[list[str]] = [[] for _ in group.counts]
+    for page, n in zip(page_of_block[left > 0].tolist(), left[left > 0].tolist(), strict=True):
+        lines[page].append(" ".join([words[k] for k in ids[at : at + n]]))
+        at += n
+    return ["\n".join(x) for x in lines]
+
 
+def texts_of(pages: list[list[tuple[int, str]]]) -> list[str]:
+    """Main texts of all pages of one small host, from their blocks."""
+    return main_texts(Group([packed(pages)]))
 
-def _unpacked(table: pa.Table, column: str, kind: type, row: int) -> np.ndarray:
-    return np.frombuffer(table.column(column)[row].as_buffer(), kind)
+
+#: Bits of a run's hash that are exchanged first, beside the bits that number the groups.
+_FIRST_BITS = 26
+
+
+def _cut_codes(codes: np.ndarray, more: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The leading bits of sorted distinct hashes that are exchanged first, each once, their ranges, and the bits that are left out."""
+    drop = np.uint64(64 - min(64, _FIRST_BITS + (more + 1).bit_length()))
+    heads = np.unique(codes >> drop)
+    return heads, ((heads << drop) >> np.uint64(32)) * np.uint64(more // 4 + 1) >> np.uint64(32), int(drop)
+
+
+def _by_range(ranges: np.ndarray):
+    """The ranges of sorted hashes, with where each begins and ends."""
+    cuts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1], [True]])) if len(ranges) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield int(ranges[a]), a, b
+
+
+def _rows_of(table: pa.Table) -> list[dict[str, bytes]]:
+    return [{k: table.column(k)[row].as_buffer() for k in _PARTS} for row in range(table.num_rows)]
+
+
+def _bits(mask: np.ndarray) -> bytes:
+    return np.int64(len(mask)).tobytes() + _pressed(np.packbits(mask).tobytes())
+
+
+def _from_bits(data) -> np.ndarray:
+    data = memoryview(data)
+    n = int(np.frombuffer(data[:8], np.int64)[0])
+    return np.unpackbits(np.frombuffer(_opened(data[8:], (n + 7) // 8), np.uint8), count=n).astype(bool) if n else np.zeros(0, bool)
+
+
+_SKETCH = {"host": pa.string(), "part": pa.int64(), "range": pa.int64(), "data": pa.binary()}
+_ASKED = {"host": pa.string(), "part": pa.int64(), "range": pa.int64(), "codes": pa.binary(), "pages": pa.binary(), "outside": pa.binary()}
+_DDL = {pa.string(): "string", pa.int64(): "long", pa.binary(): "binary"}
+
+
+def _ddl(kinds: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{k} {_DDL[t]}" for k, t in kinds.items())
+
+
+class _Out:
+    """Rows to send."""
+
+    def __init__(self, kinds: dict[str, pa.DataType]):
+        self.kinds, self.columns = kinds, {k: [] for k in kinds}
+
+    def add(self, **row) -> None:
+        for name, value in row.items():
+            self.columns[name].append(value)
+
+    def table(self) -> pa.Table:
+        release()
+        return pa.table({k: pa.array(v, self.kinds[k]) for k, v in self.columns.items()})
+
+
+def _sketch(key, table):
+    """By group of a large host: the leading bits of its runs' hashes, by range."""
+    out, more = _Out(_SKETCH), table.column("more")[0].as_py()
+    if more:
+        heads, ranges, _ = _cut_codes(Group(_rows_of(table)).codes()[1], more)
+        for r, a, b in _by_range(ranges):
+            out.add(host=key[0].as_py(), part=key[1].as_py(), range=r, data=_planes(np.diff(heads[a:b], prepend=np.uint64(0)).astype(np.int64)))
+    return out.table()
+
+
+def _shared(key, table):
+    """By range of a host: for each group, which of its heads other groups have too."""
+    out = _Out(_SKETCH)
+    heads = [np.cumsum(_from_planes(x.as_buffer())) for x in table.column("data")]
+    values, place, count = np.unique(np.concatenate(heads), return_inverse=True, return_counts=True)
+    at = 0
+    for k, x in enumerate(heads):
+        out.add(host=key[0].as_py(), part=table.column("part")[k].as_py(), range=key[1].as_py(), data=_bits(count[place[at : at + len(x)]] > 1))
+        at += len(x)
+    return out.table()
+
+
+def _ask(key, table, replies):
+    """By group: hashes of the runs that other groups may have, with the group's pages, by range."""
+    out = _Out(_ASKED)
+    if table.num_rows and replies.num_rows:
+        more, group = table.column("more")[0].as_py(), Group(_rows_of(table))
+        places, codes = group.codes()
+        heads, _, drop = _cut_codes(codes, more)
+        order = np.argsort(np.asarray(replies.column("range")))
+        wanted = heads[np.concatenate([_from_bits(replies.column("data")[int(k)].as_buffer()) for k in order])]
+        if len(wanted):
+            own = codes >> np.uint64(drop)
+            use = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
+            codes, pages, outside = group.counted(places[use], codes[use])
+            for r, a, b in _by_range((codes >> np.uint64(32)) * np.uint64(more // 4 + 1) >> np.uint64(32)):
+                out.add(host=key[0].as_py(), part=key[1].as_py(), range=r, codes=codes[a:b].tobytes(), pages=_planes(pages[a:b]), outside=_bits(outside[a:b]))
+    return out.table()
+
+
+def _tell(key, table):
+    """By range of a host: to each group its runs that stand on enough pages of the whole host."""
+    out = _Out(_ASKED)
+    codes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("codes")]
+    values, place = np.unique(np.concatenate(codes), return_inverse=True)
+    pages, outside = np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    np.add.at(pages, place, np.concatenate([_from_planes(x.as_buffer()) for x in table.column("pages")]))
+    np.logical_or.at(outside, place, np.concatenate([_from_bits(x.as_buffer()) for x in table.column("outside")]))
+    at = 0
+    for k, x in enumerate(codes):
+        where = place[at : at + len(x)]
+        where = where[pages[where] >= PAGES]
+        at += len(x)
+        if len(where):
+            out.add(host=key[0].as_py(), part=table.column("part")[k].as_py(), range=key[1].as_py(), codes=values[where].tobytes(), pages=_planes(pages[where]), outside=_bits(outside[where]))
+    return out.table()
+
+
+def _finish(key, table, told):
+    """By group: its pages' texts."""
+    group = Group(_rows_of(table))
+    runs = Runs(group) if len(group.counts) else None
+    if runs and told.num_rows:
+        codes = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in told.column("codes")])
+        pages = np.concatenate([_from_planes(x.as_buffer()) for x in told.column("pages")])
+        outside = np.concatenate([_from_bits(x.as_buffer()) for x in told.column("outside")])
+        order = np.argsort(codes)
+        runs.told(codes[order], pages[order], outside[order])
+    text = main_texts(group, runs)
+    flat = lambda name: pa.concat_arrays([c.flatten() for c in table.column(name).chunks]) if table.num_rows else table.column(name).combine_chunks().flatten()
+    out = pa.table({"page_id": flat("page_ids"), "url": flat("urls"), "text": pa.array(text, pa.string()), "n_chars": pa.array([len(t) for t in text], pa.int64())})
+    release()
+    return out
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -293,73 +503,49 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     Character references are decoded, white space in a block is one space, blocks are joined by line ends in page order.
     A null or empty page has an empty text. Pages without a url, or with one that names no host, are taken as those of
-    one host. Rows that share a page_id are pages of their own; other columns are not read.
+    one host. Rows that share a page_id, a url or both are pages of their own; other columns are not read.
     """
     key, url = (pages.schema[c].dataType.simpleString() for c in ("page_id", "url"))
-    parsed_schema = f"page_id {key}, url {url}, kinds array<int>, blocks array<string>"
+    host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
+    large = pages.select(host.alias("host")).groupBy("host").agg((F.count("*") / GROUP_PAGES).cast("long").alias("more")).filter("more > 0")
+    if large.count() <= BROADCAST_HOSTS:
+        large = F.broadcast(large)
+    groups = pages.count() // GROUP_PAGES + int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packs pages by group; a large host's groups take its pages in turn, as they come in a task."""
+        turn, held, size = TaskContext.get().partitionId(), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal turn, size
+            table = pa.Table.from_batches([x.select(["page_id", "url"]) for x, _ in held])
+            found = [page for _, part in held for page in part]
+            by_host: dict[str, list[int]] = {}
+            for k, name in enumerate(pa.chunked_array([x.column("host") for x, _ in held]).to_pylist()):
+                by_host.setdefault(name, []).append(k)
+            more = pa.chunked_array([x.column("more") for x, _ in held]).to_pylist()
+            for name, own in by_host.items():
+                rows, data = table.take(pa.array(own, pa.int64())).combine_chunks(), packed([found[k] for k in own])
+                ids, urls = (pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), rows.column(c).chunk(0)) for c in ("page_id", "url"))
+                parts = more[own[0]] + 1
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([turn % parts], pa.int64()), pa.array([parts - 1], pa.int64()), ids, urls, *(pa.array([data[k]], pa.binary()) for k in _PARTS)], names=["host", "part", "more", "page_ids", "urls", *_PARTS])
+            turn, size = turn + 1, 0
+            held.clear()
+
         for batch in batches:
             for part in slices(batch, "html"):
-                found = [blocks_of(t or "") for t in part.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array([[k for k, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[t for _, t in x] for x in found], pa.list_(pa.string()))], names=["page_id", "url", "kinds", "blocks"])
-
-    def blocks_in(table) -> list[list[tuple[int, str]]]:
-        return [list(zip(k, t, strict=True)) for k, t in zip(table.column("kinds").to_pylist(), table.column("blocks").to_pylist(), strict=True)]
-
-    def ask(key, table):
-        """By group of a large host: the runs' hashes with the group's pages, by range."""
-        more = table.column("more")[0].as_py() or 0
-        out: dict[str, list] = {k: [] for k in ("host", "part", "range", "codes", "pages", "outside")}
-        if more:
-            runs = Runs(blocks_in(table))
-            codes = runs.codes()
-            held = np.flatnonzero(codes)
-            range_of = codes[held] % np.uint64(more + 1)
-            held = held[np.argsort(range_of, kind="stable")]
-            cuts = np.concatenate([[0], np.cumsum(np.bincount(range_of.astype(np.int64), minlength=more + 1))])
-            for k in np.flatnonzero(np.diff(cuts)).tolist():
-                own = held[cuts[k] : cuts[k + 1]]
-                for name, value in (("host", key[0].as_py()), ("part", key[1].as_py()), ("range", k), ("codes", codes[own].tobytes()), ("pages", runs.pages[own].astype(np.int32).tobytes()), ("outside", runs.outside[own].astype(np.uint8).tobytes())):
-                    out[name].append(value)
-        return pa.table({k: pa.array(out[k], t) for k, t in kinds_asked.items()})
-
-    def tell(key, table):
-        """By range of a host: to each group its runs that stand on enough pages of the whole host."""
-        parts = [_unpacked(table, "codes", np.uint64, k) for k in range(table.num_rows)]
-        codes, place = np.unique(np.concatenate(parts), return_inverse=True)
-        pages = np.bincount(place, weights=np.concatenate([_unpacked(table, "pages", np.int32, k) for k in range(table.num_rows)])).astype(np.int64)
-        outside = np.bincount(place, weights=np.concatenate([_unpacked(table, "outside", np.uint8, k) for k in range(table.num_rows)])) > 0
-        out: dict[str, list] = {k: [] for k in kinds_told}
-        at = 0
-        for k, own in enumerate(parts):
-            where = place[at : at + len(own)]
-            where = where[pages[where] >= PAGES]
-            at += len(own)
-            if len(where):
-                for name, value in (("host", key[0].as_py()), ("part", table.column("part")[k].as_py()), ("codes", codes[where].tobytes()), ("pages", pages[where].tobytes()), ("outside", outside[where].astype(np.uint8).tobytes())):
-                    out[name].append(value)
-        return pa.table({k: pa.array(v, kinds_told[k]) for k, v in out.items()})
-
-    def finish(key, table, told):
-        pages = blocks_in(table)
-        runs = Runs(pages) if pages else None
-        if told.num_rows:
-            codes, counts, outside = (np.concatenate([_unpacked(told, c, t, k) for k in range(told.num_rows)]) for c, t in (("codes", np.uint64), ("pages", np.int64), ("outside", np.uint8)))
-            order = np.argsort(codes)
-            runs.told(codes[order], counts[order], outside[order] > 0)
-        text = main_texts(pages, runs)
-        return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(text, pa.string()), "n_chars": pa.array([len(t) for t in text], pa.int64())})
-
-    kinds_told = {"host": pa.string(), "part": pa.int64(), "codes": pa.binary(), "pages": pa.binary(), "outside": pa.binary()}
-    kinds_asked = {"host": pa.string(), "part": pa.int64(), "range": pa.int64(), "codes": pa.binary(), "pages": pa.binary(), "outside": pa.binary()}
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
-    large = pages.select(host.alias("host")).groupBy("host").agg((F.count("*") / GROUP_PAGES).cast("int").alias("more")).filter("more > 0")
-    if large.count() <= BROADCAST_HOSTS:
-        large = F.broadcast(large)
-    blocks = pages.select("page_id", "url", "html").mapInArrow(parse, parsed_schema).withColumn("host", host)
-    dealt = blocks.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("more", F.lit(0)) + 1))
-    dealt = dealt.withColumn("part", F.col("part").cast("long")).groupBy("host", "part")
-    asked = dealt.applyInArrow(ask, "host string, part long, range long, codes binary, pages binary, outside binary")
-    told = asked.groupBy("host", "range").applyInArrow(tell, "host string, part long, codes binary, pages binary, outside binary")
-    return dealt.cogroup(told.groupBy("host", "part")).applyInArrow(finish, f"page_id {key}, url {url}, text string, n_chars long")
+                held.append((part.drop_columns(["html"]), [blocks_of(t or "") for t in part.column("html").to_pylist()]))
+                size += part.column("html").nbytes
+                if size >= PACK_BYTES:
+                    yield from flush()
+        if held:
+            yield from flush()
+        release()
+
+    packs = pages.select("page_id", "url", "html", host.alias("host")).join(large, "host", "left").select("page_id", "url", "html", "host", F.coalesce("more", F.lit(0)).alias("more"))
+    packs = packs.mapInArrow(parse, f"host string, part long, more long, page_ids array<{key}>, urls array<{url}>, " + ", ".join(f"{k} binary" for k in _PARTS))
+    dealt = packs.repartition(groups, "host", "part").groupBy("host", "part")
+    sketches = dealt.applyInArrow(_sketch, _ddl(_SKETCH)).groupBy("host", "range").applyInArrow(_shared, _ddl(_SKETCH))
+    asked = dealt.cogroup(sketches.groupBy("host", "part")).applyInArrow(_ask, _ddl(_ASKED))
+    told = asked.groupBy("host", "range").applyInArrow(_tell, _ddl(_ASKED))
+    return dealt.cogroup(told.groupBy("host", "part")).applyInArrow(_finish, f"page_id {key}, url {url}, text string, n_chars long")

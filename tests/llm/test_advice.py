@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline
 from patchloom.llm import gru, lm_scoring
 from patchloom.llm import html_text
-from patchloom.llm.html_text import blocks_of, extract_main_text, main_texts
+from patchloom.llm.html_text import blocks_of, extract_main_text, texts_of
 from patchloom.llm.near_duplicates import link_components, matches_at, near_at
 from patchloom.llm.pii import spans_of, trained
 from patchloom.plans import catalog
@@ -70,16 +70,16 @@ def test_every_window_is_learned_from():
 def test_repeats_inside_articles_go():
     notice = "this story is brought to you by the friends of our paper"
     page = "<nav>menu</nav><article><p>unique text {0} of page {0} and more {0}</p><div>{1}</div></article>"
-    got = main_texts([blocks_of(page.format(k, notice)) for k in range(30)])
+    got = texts_of([blocks_of(page.format(k, notice)) for k in range(30)])
     assert got == [f"unique text {k} of page {k} and more {k}" for k in range(30)]
-    quoted = main_texts([blocks_of(page.format(k, notice if k < 4 else f"other {k}")) for k in range(30)])
+    quoted = texts_of([blocks_of(page.format(k, notice if k < 4 else f"other {k}")) for k in range(30)])
     assert quoted[0].endswith(notice)  # a quotation on few pages stays
 
 
 def test_runs_go_on_over_short_blocks():
     menu = "".join(f"<li>{w}</li>" for w in "Home News Sport Contact About Terms Privacy Login".split())
     page = "<ul class=links>{1}</ul><div>page {0} says {0} in its own words {0}</div><div>(c) Our Paper</div><div>All rights reserved here and there</div>"
-    assert main_texts([blocks_of(page.format(k, menu)) for k in range(5)]) == [f"page {k} says {k} in its own words {k}" for k in range(5)]
+    assert texts_of([blocks_of(page.format(k, menu)) for k in range(5)]) == [f"page {k} says {k} in its own words {k}" for k in range(5)]
 
 
 def test_repeats_count_over_the_whole_host(spark, monkeypatch):

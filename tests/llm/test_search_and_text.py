@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from patchloom.llm.html_text import ARTICLE, OUT, blocks_of, extract_main_text, main_texts, repeated
+from patchloom.llm.html_text import ARTICLE, OUT, blocks_of, extract_main_text, repeated, texts_of
 from patchloom.llm.pii import base_spans, find_personal_data, joined, mask_personal_data, spans_of, trained
 from patchloom.llm.topk_search import top_k
 
@@ -48,14 +48,14 @@ def test_blocks_and_structure():
     assert {t for k, t in found if k == OUT} >= {"menu", "buy", "reader", "side", "sign up", "© x"}
     for broken in ("<", "<a", "<p", "<!--", "<script>", "<p class=\"", "</", "text <b", "<article><p>x", "&", "&#99999999999;"):
         blocks_of(broken)
-    assert main_texts([blocks_of("<article><p>x")]) == ["x"]
+    assert texts_of([blocks_of("<article><p>x")]) == ["x"]
 
 
 def test_repeated_runs_of_a_host_go():
     page = "<html><body><div>Home News Sport Contact About Terms Privacy Login Help</div><div><p>unique text number {} with words like {}</p></div><div>One two three four five six seven eight nine</div></body></html>"
-    assert main_texts([blocks_of(page.format(k, k * 7)) for k in range(5)]) == [f"unique text number {k} with words like {k * 7}" for k in range(5)]
+    assert texts_of([blocks_of(page.format(k, k * 7)) for k in range(5)]) == [f"unique text number {k} with words like {k * 7}" for k in range(5)]
     copies = [blocks_of("<div>the very same text of a page that was copied three times over</div>")] * 3
-    assert main_texts(copies) == ["the very same text of a page that was copied three times over"] * 3
+    assert texts_of(copies) == ["the very same text of a page that was copied three times over"] * 3
 
 
 def test_suffix_array_finds_what_a_table_of_runs_finds():
