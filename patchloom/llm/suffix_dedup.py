@@ -3,7 +3,7 @@
 A byte goes if some ``LENGTH``-byte string over it also starts in a document with a smaller doc_id. Suffix arrays over
 blocks of suffixes decide that; which suffixes meet in a block is settled so that equal strings always do:
 
-1. Documents are dealt into blocks of a few MB by a hash of doc_id (a shuffle that all later steps reuse). In every
+1. Documents are dealt into blocks of a few MB by a hash of doc_id and text (a shuffle that all later steps reuse). In every
    LENGTH-byte string the smallest of its KMER-byte strings' hashes is an anchor: equal strings have equal anchors.
 2. About every sixteenth anchor begins a segment, which reaches LENGTH bytes into the next. Blocks send 128-bit hashes of
    their distinct segments; a segment that a smaller document has too is covered as a whole. That settles the
@@ -13,9 +13,9 @@ blocks of suffixes decide that; which suffixes meet in a block is settled so tha
 4. Blocks send the surroundings of those anchors, each distinct one once a block with its smallest document; later
    documents of the same block are settled at once. An anchor in very many documents has its surroundings sent as
    single LENGTH-byte strings dealt by their own hash, so a passage in a third of all documents makes no large task.
-5. A range orders its suffixes (as far as LENGTH bytes, ties in document order) and takes from each the previous and
-   next one of a smaller document: the longer common prefix is the longest previous factor, and from LENGTH bytes on
-   the bytes are covered. Hashes only tell which suffixes can't have a match; bytes decide.
+5. A range orders its suffixes (as far as LENGTH bytes, ties in document order). In that order the previous and next
+   smaller document of each are found, and the longer of the common prefixes with them is its longest previous factor: from
+   LENGTH bytes on the bytes are covered. Suffixes whose hash occurs once have no match and are left out first; bytes decide.
 6. Covered spans return to the blocks, which merge and cut them.
 """
 
@@ -193,7 +193,7 @@ def _send_segments(bits: int):
             n, a, z = _merged(docs[late], starts[late], ends[late])
             _add(out, range=number % (1 << bits), block=number, kind=-1, codes=b"", docs=b"", numbers=n, starts=a, ends=z)
         codes, docs, starts, ends, ids = (x[~late] for x in (codes, docs, starts, ends, ids))
-        for r, own in _dealt(codes[:, 0] >> np.uint64(64 - bits), 1 << bits):
+        for r, own in _dealt(codes[:, 0] >> np.uint64(64 - bits)):
             _add(out, range=r, block=number, kind=0, codes=codes[own], docs=ids[own], numbers=docs[own], starts=starts[own], ends=ends[own])
         return _rows(out, _SEGMENTS)
 
@@ -209,12 +209,12 @@ def _least(codes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dealt(to: np.ndarray, n: int):
-    """The used ranges, with the numbers of their rows."""
+def _dealt(to: np.ndarray):
+    """The ranges that occur, with the numbers of their rows."""
     by = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[by], np.arange(n + 1, dtype=np.uint64))
-    for r in np.flatnonzero(np.diff(cuts)):
-        yield int(r), by[cuts[r] : cuts[r + 1]]
+    cuts = np.flatnonzero(np.concatenate([[True], to[by][1:] != to[by][:-1], [True]])) if len(to) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield int(to[by[a]]), by[a:b]
 
 
 def _settle_segments(key, table):
@@ -274,11 +274,10 @@ def _send_anchors(bits: int):
         other[starts] = True
         holders = np.minimum(np.add.reduceat(other, starts, dtype=np.int64), 255).astype(np.uint8) if len(codes) else np.zeros(0, np.uint8)
         codes = codes[starts]
-        cuts = np.searchsorted(codes >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
         low = (codes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         out, number = {k: [] for k in _ANCHORS}, key[0].as_py()
-        for r in np.flatnonzero(np.diff(cuts)).tolist():
-            _add(out, range=r, block=number, kind=0, codes=low[cuts[r] : cuts[r + 1]], holders=holders[cuts[r] : cuts[r + 1]], numbers=b"", starts=b"", ends=b"")
+        for r, own in _dealt(codes >> np.uint64(32)):
+            _add(out, range=r, block=number, kind=0, codes=low[own], holders=holders[own], numbers=b"", starts=b"", ends=b"")
         _add(out, range=number % (1 << bits), block=number, kind=-1, codes=b"", holders=b"", numbers=spans[0], starts=spans[1], ends=spans[2])
         return _rows(out, _ANCHORS)
 
@@ -367,10 +366,7 @@ def _send_surroundings(bits: int):
             front, back = _edges(rows[late])
             settled.append((docs[late], at[late] + front, at[late] + SURROUND - back))
             rows, docs, at, to, ids = (x[~late] for x in (rows, docs, at, to, ids))
-            by = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[by], np.arange((1 << bits) + 1, dtype=np.uint64))
-            for r in np.flatnonzero(np.diff(cuts)):
-                own = by[cuts[r] : cuts[r + 1]]
+            for r, own in _dealt(to):
                 for name, value in (("range", r), ("block", number), ("kind", kind), ("strings", rows[own].tobytes()), ("docs", ids[own].tobytes()), ("numbers", docs[own].astype(np.int32).tobytes()), ("places", at[own].astype(np.int32).tobytes())):
                     out[name].append(value)
         docs, starts, ends = _merged(*(np.concatenate(x) for x in zip(*settled, strict=True)))
@@ -396,12 +392,46 @@ def _merged(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return docs[first], starts[first], (most - shift)[np.append(first[1:], len(docs)) - 1]
 
 
+def nearest_smaller(docs: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest one before it with a smaller document (-1: none), and the common prefix with it.
+
+    ``lcp`` is each suffix's common prefix with the one before. All places jump at once: from one whose document isn't smaller
+    to where that one has got to; what lies between is never smaller, so a logarithmic number of rounds will do.
+    """
+    at, common = np.arange(-1, len(docs) - 1), lcp.copy()
+    open_ = np.flatnonzero((at >= 0) & (docs[at] >= docs))
+    while len(open_):
+        over = at[open_]
+        common[open_] = np.minimum(common[open_], common[over])
+        at[open_] = at[over]
+        open_ = open_[(at[open_] >= 0) & (docs[at[open_]] >= docs[open_])]
+    common[at < 0] = 0
+    return at, common
+
+
+def longest_previous_factors(suffixes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of equally long suffixes (rows of bytes), and in that order how long a prefix an earlier document has, too.
+
+    That is the longer of the common prefixes with the previous and with the next smaller document in suffix order.
+    """
+    n, length = suffixes.shape
+    wide = np.zeros((n, -(-length // 8) * 8), np.uint8)
+    wide[:, :length] = suffixes
+    words = wide.view(">u8")
+    order = np.lexsort((docs, *(words[:, k] for k in range(words.shape[1] - 1, -1, -1))))
+    docs, rows = docs[order], suffixes[order]
+    other = rows[1:] != rows[:-1]
+    lcp = np.zeros(n, np.int64)
+    lcp[1:] = np.where(other.any(axis=1), other.argmax(axis=1), length)
+    before = nearest_smaller(docs, lcp)[1]
+    after = nearest_smaller(docs[::-1], np.append(lcp[1:], 0)[::-1])[1][::-1]
+    return order, np.maximum(before, after)
+
+
 def covered_strings(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For distinct surroundings, first and last start of a LENGTH-byte string that a smaller document has (-1: none).
 
-    The suffixes that start a whole string are ordered by their first LENGTH bytes, ties by document. With ties in that
-    order the previous suffix of a smaller document, if it shares LENGTH bytes, stands in the same run, and the next
-    one never shares more; so the longest previous factor reaches LENGTH just where the run began with a smaller one.
+    Those are the suffixes (as far as LENGTH bytes) whose longest previous factor is LENGTH bytes.
     """
     low, high = np.full(len(rows), REACH + 1), np.full(len(rows), -1)
     # equal strings have an anchor in common, so surroundings meet by the bytes of their anchor, a part of them at a time
@@ -436,16 +466,10 @@ def _covered_part(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.nd
     may = twice[np.minimum(np.searchsorted(twice, codes), len(twice) - 1)] == codes
     row, start = row[may], start[may]
     suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, LENGTH)[row * SURROUND + start])
-    words = np.zeros((len(row), 56), np.uint8)
-    words[:, :LENGTH] = suffixes
-    words = words.view(">u8")
-    order = np.lexsort((docs[row], *(words[:, k] for k in range(6, -1, -1))))
-    row, start, words = row[order], start[order], words[order]
-    fresh = np.concatenate([[True], (words[1:] != words[:-1]).any(axis=1)])  # the common prefix with the one before is shorter
-    run_first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    earlier = docs[row] > docs[row[run_first]]
-    np.minimum.at(low, row[earlier], start[earlier])
-    np.maximum.at(high, row[earlier], start[earlier])
+    order, factor = longest_previous_factors(suffixes, docs[row])
+    found = order[factor >= LENGTH]
+    np.minimum.at(low, row[found], start[found])
+    np.maximum.at(high, row[found], start[found])
     return low, high
 
 
@@ -536,7 +560,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, wide: int = WIDE) -
     blocks = max(LEAST, total // BLOCK_BYTES + 1)
     bits = (max(LEAST, total // RANGE_BYTES + 1) - 1).bit_length()
     rest = ["row_rest"] if with_text and "row_rest" in docs.columns else []
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long").alias("block"), F.col("doc_id"), F.col("text"), *rest).repartition(blocks, "block")
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long").alias("block"), F.col("doc_id"), F.col("text"), *rest).repartition(blocks, "block")
     names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
     ddl = lambda kinds: ", ".join(f"{k} {names[t]}" for k, t in kinds.items())
     by_block = dealt.groupBy("block")

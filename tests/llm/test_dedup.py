@@ -5,7 +5,7 @@ import numpy as np
 
 from patchloom.llm.components import components
 from patchloom.llm.near_duplicates import first_of_each, link_components
-from patchloom.llm.suffix_dedup import _merged, remove_repeats
+from patchloom.llm.suffix_dedup import _merged, longest_previous_factors, nearest_smaller, remove_repeats
 
 
 def brute_repeats(rows):
@@ -124,3 +124,22 @@ def test_a_path_is_one_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
+
+
+def test_longest_previous_factors_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for n, letters, docs in ((0, 2, 1), (1, 2, 1), (200, 2, 5), (300, 3, 300), (150, 1, 4)):
+        suffixes, owner = rng.integers(97, 97 + letters, (n, 10)).astype(np.uint8), rng.integers(0, docs, n)
+        order, factor = longest_previous_factors(suffixes, owner)
+        assert sorted(order.tolist()) == list(range(n))
+        for k, found in zip(order.tolist(), factor.tolist(), strict=True):
+            shared = [next((i for i in range(10) if suffixes[k, i] != suffixes[x, i]), 10) for x in range(n) if owner[x] < owner[k]]
+            assert found == max(shared, default=0)
+
+
+def test_nearest_smaller_documents():
+    docs, lcp = np.array([3, 3, 1, 2, 2, 5, 0, 4]), np.array([0, 9, 4, 7, 8, 2, 6, 5])
+    at, common = nearest_smaller(docs, lcp)
+    assert at.tolist() == [-1, -1, -1, 2, 2, 4, -1, 6] and common.tolist() == [0, 0, 0, 7, 7, 2, 0, 5]
+    falling = np.arange(1000)[::-1]
+    assert (nearest_smaller(falling, np.zeros(1000, np.int64))[0] == -1).all()
