@@ -44,8 +44,6 @@ ROUNDS, FAR = 3, 56
 LEAST_PERCENT = 80
 #: Classes with postings up to which their ids (8 bytes each) are broadcast to the second reading of the texts.
 BROADCAST_IDS = 2_000_000
-#: Rows in an Arrow batch that holds whole texts or sets.
-BATCH_ROWS = 1000
 
 _rng = np.random.default_rng(77)
 _FACTORS = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -236,14 +234,14 @@ def link_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     if not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"a similarity of {LEAST_PERCENT} to 100 per cent can be asked for")
-    sigs = saved(signatures(docs), "signatures", BATCH_ROWS)
+    sigs = saved(signatures(docs), "signatures")
     full = sigs.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     mark = ["set_a", "set_b", "n_shingles"]
     classes = full.groupBy(*mark).agg(F.min("doc_id").alias("first_id"))
     members = full.select("doc_id", *mark).join(classes, mark).select("doc_id", F.col("first_id"))
     chosen = full.join(classes.select(F.col("first_id").alias("doc_id"), *mark), ["doc_id", *mark], "left_semi").dropDuplicates(["doc_id", *mark])
     postings = saved(_postings(chosen.select("doc_id", "sig"), percent), "postings")
-    sets = saved(_whole_sets(docs, postings.select("doc_id").distinct()), "sets", BATCH_ROWS)
+    sets = saved(_whole_sets(docs, postings.select("doc_id").distinct()), "sets")
 
     met, rest = None, postings
     for turn in range(ROUNDS):
@@ -253,7 +251,7 @@ def link_components(docs: DataFrame, percent: int = 85) -> DataFrame:
             for _ in range(2):
                 centre = centre.select("key", F.col("top.minus").alias("minus")).join(up, "minus").select("key", "top")
         star = rest.withColumnRenamed("doc_id", "u").join(centre.select("key", (-F.col("top.minus")).alias("v")), "key").filter("u != v")
-        round_met = saved(_met(star.select("u", "v").distinct(), sets, percent), "met", BATCH_ROWS)
+        round_met = saved(_met(star.select("u", "v").distinct(), sets, percent), "met")
         met = round_met if met is None else met.unionByName(round_met)
         rest = saved(star.join(round_met.filter("far").select("u", "v"), ["u", "v"], "left_semi").select("key", F.col("u").alias("doc_id"), "weight"), "far")
         if not rest.limit(1).count():
@@ -285,7 +283,7 @@ def link_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     mixed = left.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most").select("key")
     left = left.join(mixed, "key", "left_semi")
     between = left.join(left.select("key", F.col("u").alias("v"), F.col("component").alias("cv")), "key").filter("u < v AND component != cv").select("u", "v")
-    links = saved(_confirmed(alike.unionByName(between).distinct(), sets, percent), "links", BATCH_ROWS)
+    links = saved(_confirmed(alike.unionByName(between).distinct(), sets, percent), "links")
     joined = components(found.unionByName(links)).withColumnRenamed("node", "first_id")
     whole = members.join(joined, "first_id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "first_id")).alias("component"))
     out = sigs.select("doc_id", "n_shingles").join(whole, "doc_id", "left")
