@@ -2,33 +2,48 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folders: dict[str, SparkSession] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where it is unset, a new temporary folder (tests, one machine)."""
+    """The session's ``spark.checkpoint.dir``. Only where it is unset and all runs in one process (tests), a new temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="patchloom-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return found.rstrip("/")
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes all tables that this application has saved. Results that are still to be computed from them can't be any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    for spark in _folders.values():
+        with contextlib.suppress(Exception):  # the session may have ended before
+            forget(spark)
 
 
-def saved(frame: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+def saved(frame: DataFrame, name: str) -> DataFrame:
     """``frame``, written as Parquet under the shared folder and read again.
 
-    ``batch_rows`` holds for the Arrow batches of this one writing: fewer rows where each is large.
+    The table stays until ``forget`` or until the application's Python process ends, as results are computed from it later.
     """
-    spark, rows = frame.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(rows)
-    try:
-        if batch_rows:
-            spark.conf.set(rows, batch_rows)
-        frame.write.parquet(path)
-    finally:
-        spark.conf.set(rows, before)
+    spark = frame.sparkSession
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    _folders[folder] = spark
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
