@@ -15,7 +15,10 @@
    classes that aren't linked with the pivot; pairs that meet there and lie in different components are confirmed on
    signatures and whole sets.
 5. Classes far from their posting's pivot can't be similar to those near it. They go on as a posting of their own,
-   with a new pivot; what is left after ``ROUNDS`` rounds gives every pair between components.
+   with a new pivot. What is left after ``ROUNDS`` rounds shares frequent values only; similar ones among it must share
+   one of the rarest shingles of either, as many as leave fewer than the wanted similarity needs, and meet there.
+
+Whatever way a pair has met, it is kept only if its signatures collide in ``matches_at`` coordinates and if whole sets confirm it.
 
 Sets are made again for classes with postings, from the table; pairs, links and components are DataFrames.
 """
@@ -42,6 +45,8 @@ COORDINATES, LOST = 64, 4e-7
 ROUNDS, FAR = 3, 56
 #: The least similarity that may be asked for, in per cent.
 LEAST_PERCENT = 80
+#: Classes of exact copies with more than this share of all rows (or HOT_ROWS) are joined to their rows by broadcast; there are HOT at most.
+HOT, HOT_ROWS = 50_000, 1000
 #: Classes with postings up to which their ids (8 bytes each) are broadcast to the second reading of the texts.
 BROADCAST_IDS = 2_000_000
 
@@ -178,21 +183,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _met(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """u, v, linked, far, probe, whole: each class u with its pivot v, and their difference if they are near.
 
+    Linked are those whose signatures collide often enough and whose whole sets are similar enough.
+
     With p the pivot's set, r of it missing in x and a added, x and another class s are similar only if their differences
     share at least (1 + 100 * r + percent * a) / (100 + percent) elements, given that s isn't linked with the pivot. So one
     shared element is among any ``probe`` elements of x's difference, as many as leave fewer than that.
     """
-    key, near = sets.schema["doc_id"].dataType.simpleString(), near_at(percent)
+    key, near, matches = sets.schema["doc_id"].dataType.simpleString(), near_at(percent), matches_at(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked, far, probe, whole, sizes = [], [], [], [], []
             for row in range(batch.num_rows):
-                x, pivot = (np.frombuffer(batch.column(k)[row].as_buffer(), np.uint64) for k in (2, 3))
+                x, pivot = (np.frombuffer(batch.column(k)[row].as_buffer(), np.uint64) for k in (4, 5))
+                collide = (batch.column(2)[row].values.to_numpy() == batch.column(3)[row].values.to_numpy()).sum() >= matches
                 own = _within(x, pivot)
                 shared = int(own.sum())
                 union = len(x) + len(pivot) - shared
-                linked.append(100 * shared >= percent * union)
+                linked.append(bool(collide) and 100 * shared >= percent * union)
                 far.append(100 * shared < FAR * union)
                 full, part = x[:0], 0
                 if 100 * shared >= near * union:
@@ -207,7 +215,7 @@ def _met(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(far, pa.bool_()), pa.array(probe, pa.int32()), _ints(whole, pa.int64()), *(pa.array([x[k] for x in sizes], pa.int64()) for k in range(3))], names=["u", "v", "linked", "far", "probe", "whole", "n", "r", "a"])
         release()
 
-    return _pairs_with_sets(pairs, sets, "shingles").mapInArrow(run, f"u {key}, v {key}, linked boolean, far boolean, probe int, whole array<long>, n long, r long, a long")
+    return _pairs_with_sets(pairs, sets, "sig", "shingles").mapInArrow(run, f"u {key}, v {key}, linked boolean, far boolean, probe int, whole array<long>, n long, r long, a long")
 
 
 def _postings(classes: DataFrame, percent: int) -> DataFrame:
@@ -223,6 +231,30 @@ def _postings(classes: DataFrame, percent: int) -> DataFrame:
     return prefix.select(F.col("one.key").alias("key"), "doc_id", "weight")
 
 
+def _by_rare_shingles(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs u < v of ``classes`` (u, component) of different components that share one of their rarest shingles.
+
+    Two sets with the wanted similarity share at least ``percent`` per cent of either, so they share one among the rarest of
+    either, as many as leave fewer than that. Shingles that no other class in question holds are the rarest and meet nothing.
+    """
+    key = sets.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ints([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)], pa.int64())], names=["u", "component", "e"])
+        release()
+
+    own = classes.join(sets.select(F.col("doc_id").alias("u"), "shingles"), "u").select("u", "component", "shingles").mapInArrow(run, f"u {key}, component {key}, e array<long>")
+    entries = saved(own.select("u", "component", F.size("e").alias("size"), F.explode("e").alias("e")), "shingles")
+    shared = entries.groupBy("e").agg(F.count("*").alias("holders")).filter("holders > 1")
+    held = entries.join(shared, "e").groupBy("u", "component", "size").agg(F.sort_array(F.collect_list(F.struct("holders", "e"))).alias("held"))
+    needed = F.floor((F.lit(percent) * F.col("size") + 99) / 100)
+    room = F.size("held") - needed + 1
+    prefix = saved(held.filter(room > 0).select("u", "component", F.explode(F.slice("held", F.lit(1), room.cast("int"))).alias("one")).select("u", "component", "one.e"), "rare")
+    other = prefix.select("e", F.col("u").alias("v"), F.col("component").alias("other"))
+    return prefix.join(other, "e").filter("u < v AND component != other").select("u", "v")
+
+
 def link_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of ``docs``.
 
@@ -237,8 +269,7 @@ def link_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     sigs = saved(signatures(docs), "signatures")
     full = sigs.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     mark = ["set_a", "set_b", "n_shingles"]
-    classes = full.groupBy(*mark).agg(F.min("doc_id").alias("first_id"))
-    members = full.select("doc_id", *mark).join(classes, mark).select("doc_id", F.col("first_id"))
+    classes = saved(full.groupBy(*mark).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "classes")
     chosen = full.join(classes.select(F.col("first_id").alias("doc_id"), *mark), ["doc_id", *mark], "left_semi").dropDuplicates(["doc_id", *mark])
     postings = saved(_postings(chosen.select("doc_id", "sig"), percent), "postings")
     sets = saved(_whole_sets(docs, postings.select("doc_id").distinct()), "sets")
@@ -281,11 +312,16 @@ def link_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     alike = probes.join(wholes, ["v", "e"]).filter(once & (F.col("component") != F.col("component_w")) & ((100 + percent) * most >= wanted)).select(F.least("u", "u_w").alias("u"), F.greatest("u", "u_w").alias("v"))
     left = labelled(rest.select("key", F.col("doc_id").alias("u")))
     mixed = left.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most").select("key")
-    left = left.join(mixed, "key", "left_semi")
-    between = left.join(left.select("key", F.col("u").alias("v"), F.col("component").alias("cv")), "key").filter("u < v AND component != cv").select("u", "v")
+    between = _by_rare_shingles(left.join(mixed, "key", "left_semi").select("u", "component").distinct(), sets, percent)
     links = saved(_confirmed(alike.unionByName(between).distinct(), sets, percent), "links")
     joined = components(found.unionByName(links)).withColumnRenamed("node", "first_id")
-    whole = members.join(joined, "first_id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "first_id")).alias("component"))
+    named = classes.join(joined, "first_id", "left").select(*mark, "copies", F.coalesce("component", "first_id").alias("component"))
+    # a class with a large share of all rows meets them by broadcast (no more than HOT classes can have such a share), so no task holds them all
+    many = F.col("copies") > max(HOT_ROWS, sigs.count() // HOT)
+    hot = F.broadcast(named.filter(many).select(*mark, "component"))
+    members = full.select("doc_id", *mark)
+    whole = members.join(hot, mark).select("doc_id", "component").unionByName(members.join(hot, mark, "left_anti").join(named.filter(~many), mark).select("doc_id", "component"))
+    whole = whole.groupBy("doc_id").agg(F.min("component").alias("component"))
     out = sigs.select("doc_id", "n_shingles").join(whole, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
@@ -295,7 +331,10 @@ def first_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Rows that share a doc_id stay or go together; rows without one stay.
     """
-    gone = saved(link_components(docs, percent).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    name = "gone"
+    while name in docs.columns:
+        name += "_"
+    gone = saved(link_components(docs, percent).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct(), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -143,3 +143,24 @@ def test_nearest_smaller_documents():
     assert at.tolist() == [-1, -1, -1, 2, 2, 4, -1, 6] and common.tolist() == [0, 0, 0, 7, 7, 2, 0, 5]
     falling = np.arange(1000)[::-1]
     assert (nearest_smaller(falling, np.zeros(1000, np.int64))[0] == -1).all()
+
+
+def test_far_apart_documents_with_a_common_passage_meet_by_rare_shingles(spark):
+    """Many documents share a passage and little else; two of them are near copies, and links of different texts are all found."""
+    rnd = random.Random(3)
+    passage = [f"common{k}" for k in range(60)]
+    rows = []
+    for k in range(120):
+        own = [f"own{rnd.randrange(10**6)}" for _ in range(rnd.randint(45, 70))]
+        rows.append((k, " ".join(passage + own)))
+        if k % 10 == 0:
+            own[3] = "changed"
+            rows.append((1000 + k, " ".join(passage + own)))
+    want = brute_components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want and sum(c != i for i, (_, c) in got.items()) == 12
+
+
+def test_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", 5, "x"), (2, "a b c d e f g", 6, "y"), (3, "other", 7, "z")], "doc_id long, text string, gone int, gone_ string")
+    assert sorted(r.gone for r in first_of_each(docs).collect()) == [5, 7]
