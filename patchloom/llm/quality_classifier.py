@@ -1,13 +1,14 @@
 """Quality scores by positive-unlabelled learning: a linear model that minimises the non-negative unbiased risk.
 
-Positives are trusted documents (label 1); unlabelled are web texts without a trusted label. Their risk is the one of
-du Plessis, Niu and Sugiyama with the correction of Kiryo and others: with class prior p and logistic loss l,
+Positives are trusted documents (label 1); unlabelled are web texts without a trusted label. Documents with label 0 take no part:
+neither the risk nor the scale of scores learns from them. The risk is the one of du Plessis, Niu and Sugiyama with the
+correction of Kiryo and others: with class prior p and logistic loss l,
 
     p * mean over positives of l(f) + max(0, mean over unlabelled of l(-f) - p * mean over positives of l(-f)),
 
-and where the second term is negative the step goes against it. The prior is estimated from the sample by Elkan and
-Noto's way: a first model tells positives from unlabelled, and the unlabelled's share of its mean score on held-back positives
-is the prior. Last, scores are set on the scale of probabilities with a logistic curve on the labelled sample.
+and where the second term is negative the step goes against it. The prior is estimated by Elkan and Noto's way: a first
+model tells positives from unlabelled; a positive's odds there are the sizes' ratio divided by the prior, so the mean score of
+held-back positives gives it. Last, scores are shifted so that their mean over the unlabelled is the prior.
 
 Fitting takes a bounded sample (``SAMPLE`` rows of each kind, those with the smallest hashes of doc_id) to the driver as
 features, never as text; scoring is a map over all documents. Features are of the text alone.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from patchloom.llm.textbatch import buffer_of, lowered, slices, span_hashes, word_spans
 
-#: Rows of each kind (positive, negative, unlabelled) that a fit may take, at most.
+#: Rows of each kind (positive, unlabelled) that a fit may take, at most.
 SAMPLE = 4000
 #: Buckets of hashed word endings.
 BUCKETS = 512
@@ -123,27 +124,30 @@ def class_prior(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray) ->
     """Share of positives among the unlabelled, by a model of which rows carry the positive label."""
     train = np.concatenate([positive[::2], unlabelled[::2]])
     w = logistic(x[train], np.isin(train, positive).astype(float), 1.0)
-    score = lambda rows: _sigmoid(x[rows] @ w)
-    odds = len(positive[::2]) / max(1, len(unlabelled[::2]))
-    c = float(np.clip(score(positive[1::2]).mean(), 1e-3, 1 - 1e-3)) if len(positive) > 1 else 0.5
-    p = score(unlabelled[1::2])
-    ratio = (1 - c) / c * (p / np.maximum(1 - p, 1e-9)).mean() if len(p) else 0.5
-    return float(np.clip(ratio * max(odds, 1e-9) / max(odds, 1e-9), 0.05, 0.95))
+    c = float(np.clip(_sigmoid(x[positive[1::2]] @ w).mean(), 1e-3, 1 - 1e-3)) if len(positive) > 1 else 0.5
+    return float(np.clip(len(positive[::2]) / len(unlabelled[::2]) * (1 - c) / c, 0.05, 0.95))
+
+
+def _shift(f: np.ndarray, prior: float) -> float:
+    """What to add to ``f`` so that the mean score is ``prior``."""
+    low, high = -40.0, 40.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _sigmoid(f + middle).mean() < prior else (low, middle)
+    return (low + high) / 2
 
 
 def fit(x: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Weights of a score from features and labels (1, 0, or -1: none). Without positives every score is one half."""
-    positive, unlabelled = np.flatnonzero(label == 1), np.flatnonzero(label != 1)
+    """Weights of a score from features and labels (1: positive, -1: unlabelled; others take no part).
+
+    Without positives or without unlabelled rows every score is one half.
+    """
+    positive, unlabelled = np.flatnonzero(label == 1), np.flatnonzero(label == -1)
     if not len(positive) or not len(unlabelled):
         return np.zeros(x.shape[1])
     prior = class_prior(x, positive, unlabelled)
     w = non_negative_risk(x, positive, unlabelled, prior)
-    known = np.flatnonzero(label >= 0)
-    if 0 < (label[known] == 1).sum() < len(known):
-        f = x[known] @ w
-        a, b = logistic(np.stack([f, np.ones(len(f))], axis=1), label[known].astype(float), 1e-2)
-        w = w * max(a, 1e-3)
-        w[0] += b
+    w[0] += _shift(x[unlabelled] @ w, prior)
     return w
 
 
@@ -167,9 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     order = F.xxhash64("doc_id", F.lit("sample"))
     open_labels = known.filter(~held_out(F.col("doc_id")))
-    chosen = [open_labels.filter(F.col("label") == y).orderBy(order, "doc_id").limit(sample) for y in (1, 0)]
+    chosen = open_labels.filter("label = 1").orderBy(order, "doc_id").limit(sample)
     free = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").join(known, "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(sample).select("doc_id", F.lit(-1).alias("label"))
-    picked = F.broadcast(chosen[0].unionByName(chosen[1]).unionByName(free))  # 3 * sample rows at most
+    picked = F.broadcast(chosen.unionByName(free))  # 2 * sample rows at most
     rows = _feature_rows(docs.select("doc_id", "text").join(picked, "doc_id"), "doc_id", "label").dropDuplicates(["doc_id"]).toArrow()
     if not rows.num_rows:
         return np.zeros(N_PLAIN + BUCKETS)

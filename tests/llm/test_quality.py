@@ -1,6 +1,9 @@
 import re
 from collections import Counter
 
+import numpy as np
+
+from patchloom.llm import quality_classifier
 from patchloom.llm.quality_classifier import fit, score_quality
 from patchloom.llm.quality_rules import clean_documents, quality_report
 
@@ -62,3 +65,30 @@ def test_no_positives_score_one_half():
     import numpy as np
 
     assert (fit(np.ones((3, 2)), np.array([0, -1, 0])) == 0).all()
+
+
+def test_class_prior_of_made_data():
+    rng = np.random.default_rng(2)
+    for share in (0.25, 0.6, 0.85):
+        n = int(8000 * share)
+        x = np.concatenate([rng.normal(2.0, 1, (8000 + n, 3)), rng.normal(-2.0, 1, (8000 - n, 3))])
+        x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+        assert abs(quality_classifier.class_prior(x, np.arange(8000), 8000 + rng.permutation(8000)) - share) < 0.06
+
+
+def test_negative_labels_teach_nothing():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.ones((300, 1)), rng.normal(0, 1, (300, 4))], axis=1)
+    label = np.repeat([1, -1, 0], 100)
+    flipped = x.copy()
+    flipped[200:] *= -7
+    assert np.array_equal(quality_classifier.fit(x, label), quality_classifier.fit(flipped, label))
+    assert not quality_classifier.fit(x[100:200], label[100:200]).any()  # no positive
+
+
+def test_scores_at_the_threshold(spark):
+    """Rows that tie at the threshold, as all do without positives if it is one half, are predicted to be good."""
+    docs = spark.createDataFrame([(1, "a text"), (2, None), (3, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    rows = quality_classifier.score_quality(docs, labels).collect()
+    assert [(r.score, r.predicted) for r in rows] == [(0.5, 1)] * 3
