@@ -1,19 +1,23 @@
-"""Personal data: four exact patterns, and secrets found by a skip-chain conditional random field.
-
-The patterns find e-mail and IP addresses, card and telephone numbers. The field labels the other tokens that could be
-secrets (those with digits, those that hold or follow a word such as "password", and all that are like one of these): each token has features of its own form and of the
-words before it; neighbours, and distant tokens that are the same or similar, share potentials. Loopy message passing
-runs over a whole document, so a secret that is named once is found wherever it is repeated. The field's weights are
-fitted here, by pseudo-likelihood on sentences made from a fixed seed; no document is needed for that.
-
-Work is row by row: no shuffle, no skew. A very long text costs time in proportion to its length; each token is tied to
-the last token like it only, so a token repeated a thousand times makes a thousand ties.
+"""Personal data: four exact patterns, and a skip-chain conditional random field that adds what they miss.
+
+The patterns find e-mail and IP addresses, card and telephone numbers. The field labels all of these and secrets. Its
+nodes are the patterns' spans, whose labels are known; tokens that could be secrets (those with digits, those that hold or
+follow a word such as "password", and all that are like one of these); and numbers and addresses that the patterns
+don't match but that are written like one they do (no plus sign, other gaps, "(at)"). Each token has features of its own form
+and of the words before it; neighbours, and distant nodes that are the same or similar, share potentials. Loopy message
+passing over a whole document makes their labels agree, so a secret that is named once, or a number that is written out
+once, is found wherever it is repeated. The field's weights are fitted here, by pseudo-likelihood on sentences made from
+a fixed seed; no document is needed for that.
+
+Work is row by row: no shuffle, no skew. A very long text costs time in proportion to its length; each node is tied to
+the last one like it only, so a token repeated a thousand times makes a thousand ties.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -42,6 +46,10 @@ _ASSIGNED = re.compile(r"(?i)^[\"'(\[{]*([a-z_-]*(?:" + "|".join(CUES) + r"))[\"
 _ANY_CUE = re.compile(r"(?i)(?<![a-z])(?:" + "|".join(CUES) + r")(?![a-z])")
 _SIGNS = ("=", ":", "=>", ":=")
 _NUMBER = re.compile(r"[0-9]+([.,:/-][0-9]+)*")
+_RUN = re.compile(r"\+?[0-9][0-9\x20().-]*[0-9]")
+_SPELLED = re.compile(r"\x20?[(\[{](?:at|AT)[)\]}]\x20?")
+#: The log-odds of a node that is written like a known number or address, before its ties speak; digits that must agree.
+WRITTEN_ALIKE, SAME_DIGITS = -1.0, 8
 #: Rounds of message passing, and the share of a new message that is taken over.
 ROUNDS, TAKEN = 12, 0.7
 N_FEATURES = 15
@@ -140,50 +148,137 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return sorted(found.items())
 
 
-class Graph:
-    """The tokens of one document that may be secrets, their features and ties."""
+def _digits(text: str) -> str:
+    return "".join(c for c in text if "0" <= c <= "9")
+
+
+def written_alike(text: str, base: list[list[tuple[int, int]]]) -> list[tuple[int, int, int, str]]:
+    """Start, end, kind and what they share of numbers and addresses that are written like one of ``base`` but match no pattern."""
+    found = []
+    if base[2] or base[3]:
+        ends = {}
+        for kind in (2, 3):
+            for a, b in base[kind]:
+                own = _digits(text[a:b])
+                for k in range(SAME_DIGITS, len(own) + 1):
+                    ends.setdefault(own[-k:], (kind, own))
+        for m in _RUN.finditer(text):
+            own = _digits(m.group()).lstrip("0")
+            if own in ends:
+                kind, known = ends[own]
+                if kind == 3 or own == known:  # a card's number is whole
+                    found.append((*m.span(), kind, known))
+    if base[0]:
+        for m in _SPELLED.finditer(text):
+            start = m.start()
+            while start and text[start - 1] in EMAIL_BEFORE:
+                start -= 1
+            after = EMAIL_AFTER.match(text, m.end())
+            if start < m.start() and after:
+                found.append((start, after.end(), 0, f"{text[start : m.start()]}@{after.group()}".lower()))
+    taken = sorted(s for spans in base for s in spans)
+    starts = [a for a, _ in taken]
+    out = []
+    for a, b, kind, shared in sorted(found):
+        k = bisect_right(starts, a) - 1
+        if not (k >= 0 and taken[k][1] > a) and not (k + 1 < len(taken) and taken[k + 1][0] < b) and not (out and out[-1][1] > a):
+            out.append((a, b, kind, shared))
+    return out
+
 
-    def __init__(self, text: str):
+class Graph:
+    """The nodes of one document in order: their spans, what they could be (a kind of ``KINDS``), if known, features and ties."""
+
+    def __init__(self, text: str, base: list[list[tuple[int, int]]] | None = None):
+        base = base or [[], [], [], []]
+        other = written_alike(text, base)
+        tokens = candidates(text)
+        held = sorted([s for spans in base for s in spans] + [(a, b) for a, b, _, _ in other])
+        if held and tokens:  # tokens inside other nodes are none of their own
+            starts, most = [a for a, _ in held], np.maximum.accumulate([b for _, b in held])
+            tokens = [(a, b) for a, b in tokens if not ((k := bisect_right(starts, a) - 1) >= 0 and most[k] >= b)]
+        words = [m.span() for m in _TOKEN.finditer(text)] if tokens else []
+        begins = [a for a, _ in words]
         self.spans: list[tuple[int, int]] = []
-        rows, values, places = [], [], []
+        self.kinds: list[int] = []
+        self.known: list[bool] = []
+        rows, self.values, places = [], [], []
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
         last: dict[str, int] = {}
-        for start, stop in candidates(text):
-            before = _TOKEN.findall(text, max(0, start - 80), start)[-2:]
-            x, value = features(text[start:stop], before)
-            k = len(rows)
-            rows.append(x)
-            values.append(value)
-            places.append(start)
-            if x[5] or (x[12] and not _ASSIGNED.match(text[start:stop])):  # its name goes with it
-                name = before[-2] if before[-1] in _SIGNS and len(before) > 1 else before[-1]
-                start = text.rfind(name, 0, start)
-            self.spans.append((start, stop))
-            if k and places[k] - self.spans[k - 1][1] <= 1:
-                self.chain.append((k - 1, k))
-            for key in _alike(value):
+
+        def tie(keys: set[str], k: int) -> None:
+            for key in keys:
                 if key in last and (last[key], k) not in self.skip[-2:]:
                     self.skip.append((last[key], k))
                 last[key] = k
-        self.rows, self.values = np.array(rows).reshape(-1, N_FEATURES), values
-
 
-def labels_of(graph: Graph, weights: np.ndarray) -> np.ndarray:
-    """Which tokens are secrets, by loopy message passing: messages are log-odds along both ways of each tie."""
-    field = graph.rows @ weights[:N_FEATURES]
-    ties = np.array(graph.chain + graph.skip, np.int64).reshape(-1, 2)
+        nodes = [(a, b, kind, True, "") for kind, spans in enumerate(base) for a, b in spans] + [(a, b, kind, False, shared) for a, b, kind, shared in other] + [(a, b, 4, False, "") for a, b in tokens]
+        for start, stop, kind, known, shared in sorted(nodes):
+            k = len(rows)
+            if kind < 4:
+                shared = shared or (text[start:stop].lower() if kind < 2 else _digits(text[start:stop]))
+                rows.append(np.zeros(N_FEATURES))
+                self.values.append(shared)
+                places.append(-2)
+                self.spans.append((start, stop))
+                tie({f"{kind}:{shared}"}, k)
+            else:
+                number = bisect_left(begins, start)
+                before = [text[a:b] for a, b in words[max(0, number - 2) : number]]
+                x, value = features(text[start:stop], before)
+                rows.append(x)
+                self.values.append(value)
+                places.append(start)
+                if x[5] or (x[12] and not _ASSIGNED.match(text[start:stop])):  # its name goes with it
+                    start = words[number - 2 if before[-1] in _SIGNS and len(before) > 1 else number - 1][0]
+                self.spans.append((start, stop))
+                if k and self.kinds[-1] == 4 and places[k] - self.spans[k - 1][1] <= 1:
+                    self.chain.append((k - 1, k))
+                tie(_alike(value), k)
+            self.kinds.append(kind)
+            self.known.append(known)
+        self.rows = np.array(rows).reshape(-1, N_FEATURES)
+
+
+def beliefs(own: np.ndarray, ties: np.ndarray, strength: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Log-potentials of nodes by label, with the messages of all ties: (from, to) pairs whose equal labels weigh e**strength more.
+
+    Messages run both ways along every tie at once; on a tree enough rounds give the exact marginals (as logs, up to a constant).
+    """
     if not len(ties):
-        return field > 0
-    strength = np.tanh(np.repeat(weights[N_FEATURES:], [len(graph.chain), len(graph.skip)]) / 2)
-    a, b, pull = np.concatenate([ties[:, 0], ties[:, 1]]), np.concatenate([ties[:, 1], ties[:, 0]]), np.concatenate([strength, strength])
+        return own
+    a, b, pull = np.concatenate([ties[:, 0], ties[:, 1]]), np.concatenate([ties[:, 1], ties[:, 0]]), np.expm1(np.concatenate([strength, strength]))[:, None]
     back = np.concatenate([np.arange(len(ties)) + len(ties), np.arange(len(ties))])
-    sent = np.zeros(len(a))
-    for _ in range(ROUNDS):
-        total = field + np.bincount(b, weights=sent, minlength=len(field))
-        new = 2 * np.arctanh(np.clip(pull * np.tanh((total[a] - sent[back]) / 2), -0.999999, 0.999999))
+    sent = np.zeros((len(a), own.shape[1]))
+    for _ in range(rounds):
+        total = own.copy()
+        np.add.at(total, b, sent)
+        q = total[a] - sent[back]
+        q = np.exp(q - q.max(axis=1, keepdims=True))
+        new = np.log(q.sum(axis=1, keepdims=True) + pull * q)
+        new -= new.mean(axis=1, keepdims=True)
         sent += TAKEN * (new - sent)
-    return field + np.bincount(b, weights=sent, minlength=len(field)) > 0
+    total = own.copy()
+    np.add.at(total, b, sent)
+    return total
+
+
+def labels_of(graph: Graph, weights: np.ndarray) -> np.ndarray:
+    """The most likely kind of each node, -1 for none, by loopy message passing. A known node keeps its kind."""
+    kinds, known = np.array(graph.kinds), np.array(graph.known)
+    ties = np.array(graph.chain + graph.skip, np.int64).reshape(-1, 2)
+    tied = np.zeros(len(kinds), bool)
+    tied[ties.ravel()] = True
+    labels = np.array(sorted({4, *kinds[tied].tolist()}))  # kinds that no tie can spread need no place among the labels
+    own = np.zeros((len(kinds), 1 + len(labels)))
+    own[:, 1:] = -30.0
+    place = 1 + np.minimum(np.searchsorted(labels, kinds), len(labels) - 1)
+    each = np.arange(len(kinds))
+    own[each, place] = np.where(kinds == 4, graph.rows @ weights[:N_FEATURES], np.where(known, 30.0, WRITTEN_ALIKE))
+    total = beliefs(own, ties, np.repeat(weights[N_FEATURES:], [len(graph.chain), len(graph.skip)]))
+    best = total.argmax(axis=1)
+    return np.where(known, kinds, np.where(best > 0, labels[np.maximum(best - 1, 0)], -1))
 
 
 def _examples(seed: int = 5):
@@ -208,8 +303,12 @@ def _examples(seed: int = 5):
             elif kind == 3:
                 secret = pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 4) + pick("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 16)
                 parts.append(secret)
-            elif kind == 4:
-                parts.append(secret)
+            elif kind == 4:  # hexadecimal digits alone are as often a build's or a version's
+                if not re.search("[G-Zg-z]", secret):
+                    parts.append(secret)
+                    secret = ""
+                else:
+                    parts.append(secret)
             elif kind == 5 and secrets:  # said again
                 secret = secrets[0]
                 parts.append(secret)
@@ -253,28 +352,28 @@ def trained() -> tuple[float, ...]:
     return tuple(w.tolist())
 
 
-def secret_spans(text: str, weights: np.ndarray) -> list[tuple[int, int]]:
-    """Spans of secrets, with their names and without closing punctuation."""
-    graph = Graph(text)
-    if not graph.spans:
-        return []
-    found = []
-    for k in np.flatnonzero(labels_of(graph, weights)):
+def spans_of(text: str, weights: np.ndarray, base: list[list[tuple[int, int]]] | None = None) -> list[list[tuple[int, int]]]:
+    """Spans by kind, as ``KINDS`` lists them: the patterns' own, and those that the field adds.
+
+    A secret's span has its name with it, but no closing punctuation.
+    """
+    base = base_spans(text) if base is None else base
+    graph = Graph(text, base)
+    out = [*map(list, base), []]
+    if not graph.spans or all(graph.known):
+        return out
+    for k, kind in enumerate(labels_of(graph, weights).tolist()):
+        if kind < 0 or graph.known[k]:
+            continue
         a, b = graph.spans[k]
-        while b > a and text[b - 1] in ".,;:!?)]}":
-            b -= 1
-        if found and a < found[-1][1]:
-            a = found[-1][1]
+        if kind == 4:
+            while b > a and text[b - 1] in ".,;:!?)]}":
+                b -= 1
+            if out[4] and a < out[4][-1][1]:
+                a = out[4][-1][1]
         if b > a:
-            found.append((a, b))
-    return found
-
-
-def spans_of(text: str, weights: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Spans by kind, as ``KINDS`` lists them; secrets that a base span covers are left out."""
-    base = base_spans(text)
-    held = [s for spans in base for s in spans]
-    return [*base, [(a, b) for a, b in secret_spans(text, weights) if not any(x <= a and b <= y for x, y in held)]]
+            out[kind].append((a, b))
+    return [sorted(x) for x in out]
 
 
 def joined(spans: list[list[tuple[int, int]]]) -> str:
@@ -294,7 +393,7 @@ def masked(text: str, spans: list[list[tuple[int, int]]]) -> str:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, n_secret, base_sha256, spans: one row for each row of ``docs``.
 
-    Places are code points, ends exclusive. A null or empty text has no spans; rows that share a doc_id and null
+    The first four counts and the hash are of the patterns' spans alone; ``spans`` has those that the field adds, too. Places are code points, ends exclusive. A null or empty text has no spans; rows that share a doc_id and null
     doc_ids make no difference. Only ``doc_id`` and ``text`` are read.
     """
     weights, key = trained(), docs.schema["doc_id"].dataType.simpleString()
@@ -304,9 +403,11 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         w = np.array(weights)
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [spans_of(t or "", w) for t in part.column("text").to_pylist()]
-                counts = [pa.array([len(x[k]) for x in found], pa.int64()) for k in range(len(KINDS))]
-                sha = pa.array([hashlib.sha256(joined(x[:4]).encode()).hexdigest() for x in found], pa.string())
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                base = [base_spans(t) for t in texts]
+                found = [spans_of(t, w, x) for t, x in zip(texts, base, strict=True)]
+                counts = [*(pa.array([len(x[k]) for x in base], pa.int64()) for k in range(4)), pa.array([len(x[4]) for x in found], pa.int64())]
+                sha = pa.array([hashlib.sha256(joined(x).encode()).hexdigest() for x in base], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, sha, pa.array([joined(x) for x in found], pa.string())], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
