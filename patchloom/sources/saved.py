@@ -36,14 +36,26 @@ def _at_exit() -> None:
             forget(spark)
 
 
-def saved(frame: DataFrame, name: str) -> DataFrame:
+def _with_batches(frame: DataFrame, rows: int):
+    """The JVM's ``frame`` in a session of its own, whose Arrow batches hold ``rows`` rows; nothing changes for the caller's session."""
+    spark = frame.sparkSession
+    own = spark._jsparkSession.cloneSession()
+    own.conf().set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, frame._jdf.queryExecution().logical())
+
+
+def saved(frame: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """``frame``, written as Parquet under the shared folder and read again.
 
-    The table stays until ``forget`` or until the application's Python process ends, as results are computed from it later.
+    ``batch_rows`` holds for the Arrow batches of this one writing: fewer rows where each is large. The table stays until
+    ``forget`` or until the application's Python process ends, as results are computed from it later.
     """
     spark = frame.sparkSession
     folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
     _folders[folder] = spark
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    if batch_rows:
+        _with_batches(frame, batch_rows).write().parquet(path)
+    else:
+        frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
