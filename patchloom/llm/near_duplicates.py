@@ -49,6 +49,8 @@ LEAST_PERCENT = 80
 HOT, HOT_ROWS = 50_000, 1000
 #: Classes with postings up to which their ids (8 bytes each) are broadcast to the second reading of the texts.
 BROADCAST_IDS = 2_000_000
+#: Rows in an Arrow batch that holds whole texts or sets.
+BATCH_ROWS = 1000
 
 _rng = np.random.default_rng(77)
 _FACTORS = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -245,7 +247,7 @@ def _by_rare_shingles(classes: DataFrame, sets: DataFrame, percent: int) -> Data
         release()
 
     own = classes.join(sets.select(F.col("doc_id").alias("u"), "shingles"), "u").select("u", "component", "shingles").mapInArrow(run, f"u {key}, component {key}, e array<long>")
-    entries = saved(own.select("u", "component", F.size("e").alias("size"), F.explode("e").alias("e")), "shingles")
+    entries = saved(own.select("u", "component", F.size("e").alias("size"), F.explode("e").alias("e")), "shingles", BATCH_ROWS)
     shared = entries.groupBy("e").agg(F.count("*").alias("holders")).filter("holders > 1")
     held = entries.join(shared, "e").groupBy("u", "component", "size").agg(F.sort_array(F.collect_list(F.struct("holders", "e"))).alias("held"))
     needed = F.floor((F.lit(percent) * F.col("size") + 99) / 100)
@@ -266,13 +268,13 @@ def link_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     if not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"a similarity of {LEAST_PERCENT} to 100 per cent can be asked for")
-    sigs = saved(signatures(docs), "signatures")
+    sigs = saved(signatures(docs), "signatures", BATCH_ROWS)
     full = sigs.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     mark = ["set_a", "set_b", "n_shingles"]
     classes = saved(full.groupBy(*mark).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "classes")
     chosen = full.join(classes.select(F.col("first_id").alias("doc_id"), *mark), ["doc_id", *mark], "left_semi").dropDuplicates(["doc_id", *mark])
     postings = saved(_postings(chosen.select("doc_id", "sig"), percent), "postings")
-    sets = saved(_whole_sets(docs, postings.select("doc_id").distinct()), "sets")
+    sets = saved(_whole_sets(docs, postings.select("doc_id").distinct()), "sets", BATCH_ROWS)
 
     met, rest = None, postings
     for turn in range(ROUNDS):
@@ -282,7 +284,7 @@ def link_components(docs: DataFrame, percent: int = 85) -> DataFrame:
             for _ in range(2):
                 centre = centre.select("key", F.col("top.minus").alias("minus")).join(up, "minus").select("key", "top")
         star = rest.withColumnRenamed("doc_id", "u").join(centre.select("key", (-F.col("top.minus")).alias("v")), "key").filter("u != v")
-        round_met = saved(_met(star.select("u", "v").distinct(), sets, percent), "met")
+        round_met = saved(_met(star.select("u", "v").distinct(), sets, percent), "met", BATCH_ROWS)
         met = round_met if met is None else met.unionByName(round_met)
         rest = saved(star.join(round_met.filter("far").select("u", "v"), ["u", "v"], "left_semi").select("key", F.col("u").alias("doc_id"), "weight"), "far")
         if not rest.limit(1).count():
@@ -313,7 +315,7 @@ def link_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     left = labelled(rest.select("key", F.col("doc_id").alias("u")))
     mixed = left.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most").select("key")
     between = _by_rare_shingles(left.join(mixed, "key", "left_semi").select("u", "component").distinct(), sets, percent)
-    links = saved(_confirmed(alike.unionByName(between).distinct(), sets, percent), "links")
+    links = saved(_confirmed(alike.unionByName(between).distinct(), sets, percent), "links", BATCH_ROWS)
     joined = components(found.unionByName(links)).withColumnRenamed("node", "first_id")
     named = classes.join(joined, "first_id", "left").select(*mark, "copies", F.coalesce("component", "first_id").alias("component"))
     # a class with a large share of all rows meets them by broadcast (no more than HOT classes can have such a share), so no task holds them all
