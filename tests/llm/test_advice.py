@@ -9,7 +9,6 @@ from patchloom.llm import html_text
 from patchloom.llm.html_text import blocks_of, extract_main_text, texts_of
 from patchloom.llm.near_duplicates import link_components, matches_at, near_at
 from patchloom.llm.pii import spans_of, trained
-from patchloom.plans import catalog
 from tests.llm.test_dedup import near_copies, shingles
 
 
@@ -97,19 +96,3 @@ def test_secrets_without_digits_are_found():
     assert found == ["password: correct-horse-battery", "token=abcdefGHIJKL", "correct-horse-battery", "abcdefGHIJKL"]
     for clean in ("the key role of a password reset", "a secret garden and the token economy, key principles", "key: value", "no secret is well-established here"):
         assert spans_of(clean, w)[4] == [], clean
-
-
-def test_change_groups_over_all_parts(spark, tmp_path):
-    rnd = random.Random(9)
-    lines = [(k, rnd.randint(1, 120)) for k in range(60) for _ in range(rnd.randint(1, 3))] + [(100, 7), (100, 999), (101, 999), (101, 8)]
-    spark.createDataFrame([(k,) for k in range(1, 121)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
-    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
-    group = {k: {k} for k in range(1, 121)}
-    for order, part in lines:
-        for other, second in lines:
-            if order == other and part in group and second in group and group[part] is not group[second]:
-                group[part] |= group[second]
-                for k in group[second]:
-                    group[k] = group[part]
-    want = {f"part:{k}": min(f"part:{x}" for x in group[k]) for k in group}
-    assert {r.path: r.group for r in catalog.QUERIES["change_groups_whole"](spark, str(tmp_path)).collect()} == want
