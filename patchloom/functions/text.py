@@ -123,3 +123,38 @@ def evaluation_category(category: Column, rule_id: Column) -> Column:
     """The category with underscores, else what the rule's id says."""
     by_rule = F.when(rule_id.startswith("human/"), F.regexp_replace(rule_id, "^human/", "")).otherwise(F.split_part(rule_id, F.lit("/"), F.lit(1)))
     return F.regexp_replace(F.coalesce(F.nullif(category, F.lit("")), by_rule), "-", "_")
+
+
+def evidence_id(value: Column, most: int = 300) -> Column:
+    """A short id as it is, a longer one as its hash."""
+    return F.when(F.length(value) <= most, value).otherwise(F.concat(F.lit("evidence:sha256:"), F.sha2(value, 256)))
+
+
+def base_name(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def folder_of(path: Column) -> Column:
+    """All before the last slash, empty without one."""
+    return F.regexp_replace(path, "/?[^/]*$", "")
+
+
+def extension_of(path: Column) -> Column:
+    """The last dot of the last part and what follows, lower-case; empty without one, or where the dot begins the part."""
+    return F.lower(F.regexp_extract(path, r"[^/](\.[^./]*)$", 1))
+
+
+def canonical_digest(fields: dict[str, Column]) -> Column:
+    """The hash of fields as JSON, keys in order, nulls left out."""
+    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])), 256)
+
+
+def embedded_json(text: Column) -> Column:
+    """What stands in the first fenced block, of JSON or without a name, else the whole text, trimmed."""
+    fenced = F.regexp_extract(text, r"(?i)```(?:json)?\s*([\s\S]*?)```", 1)
+    return F.regexp_replace(F.when(text.rlike(r"(?i)```(?:json)?\s*[\s\S]*?```"), fenced).otherwise(text), r"^\s+|\s+$", "")
+
+
+def scope_hash(paths: Column) -> Column:
+    """The hash of an array of paths, whatever its order."""
+    return F.sha2(F.array_join(F.array_sort(paths), "\n"), 256)

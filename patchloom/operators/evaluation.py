@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions.text import wilson
+from patchloom.operators.ranks import numbered
 
 
 def share(hits: Column, total: Column) -> Column:
@@ -33,12 +34,25 @@ def category_counts(predicted: DataFrame, expected: DataFrame, key: list[str], c
     return out.select(category, zero("predicted"), zero("expected"), zero("tp"))
 
 
-def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float], by: list[str]) -> DataFrame:
-    """Nearest-rank percentiles of each group to 2 decimals: the value at place ceil(n * share)."""
-    w = Window.partitionBy(*by)
-    placed = rows.filter(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w.orderBy(value)).alias("k"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.round(F.max(F.when(F.col("k") == F.ceil(F.col("n") * F.lit(p)), F.col(value))), 2)
-    return placed.groupBy(*by).agg(F.max("n").alias("n"), *[at(p).alias(name) for name, p in shares.items()])
+def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float], by: list[str], accuracy: int = 10_000) -> DataFrame:
+    """Nearest-rank percentiles of each group to 2 decimals: the value at place ceil(n * share).
+
+    Equal values are counted first. Approximate percentiles on both sides of a share bound where its value lies; only the
+    values in these bounds, a share of 4 / ``accuracy`` of a group's, are put in order.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    bounds = [F.expr(f"percentile_approx(`{value}`, array({max(0.0, p - 2 / accuracy)}, {min(1.0, p + 2 / accuracy)}), {accuracy})").alias(f"__b_{name}") for name, p in shares.items()]
+    known = rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), *bounds)
+    out = known.select(*by, "n")
+    for name, p in shares.items():
+        low, high = F.col(f"__b_{name}")[0], F.col(f"__b_{name}")[1]
+        near = counts.join(known.select(*by, "n", f"__b_{name}"), by)
+        below = near.groupBy(*by).agg(F.sum(F.when(F.col("__v") < low, F.col("__c")).otherwise(0)).alias("__below"))
+        inside = near.filter(F.col("__v").between(low, high)).join(below, by)
+        upto = F.col("__below") + F.sum("__c").over(Window.partitionBy(*by).orderBy("__v"))
+        at = inside.withColumn("__k", upto).filter(F.col("__k") >= F.ceil(F.col("n") * F.lit(p))).groupBy(*by).agg(F.round(F.min("__v"), 2).alias(name))
+        out = out.join(at, by)
+    return out
 
 
 def gate(metrics: DataFrame, checks: list[tuple[str, str]]) -> DataFrame:
@@ -60,20 +74,13 @@ def conflicts(facts: DataFrame, key: list[str], reviewer: str, reviewers: int) -
     return facts.groupBy(*key).agg(F.countDistinct(reviewer).alias("n")).agg(F.count("*").alias("facts"), F.count_if(F.col("n") < reviewers).alias("conflicts"))
 
 
-def review_queue(a: DataFrame, b: DataFrame, key: list[str], every: int, buckets: int = 64) -> DataFrame:
-    """All facts that one side alone states, and every ``every``-th of the others in their order.
-
-    Places are counted in ranges of the first key and shifted by the ranges before, so no task orders all facts.
-    """
+def review_queue(a: DataFrame, b: DataFrame, key: list[str], every: int) -> DataFrame:
+    """All facts that one side alone states, and every ``every``-th of the others in their order."""
     mark = lambda x, c: x.select(*key).distinct().withColumn(c, F.lit(True))
     both = mark(a, "x").join(mark(b, "y"), key, "full_outer")
     apart = both.filter("x IS NULL OR y IS NULL").select(*key, F.lit("disagreement").alias("reason"))
-    agreed = both.filter("x AND y").select(*key)
-    ranged = agreed.withColumn("part", F.floor(F.col(key[0]) / F.lit(buckets)))
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = ranged.join(sizes.select("part", before.alias("before")), "part").withColumn("k", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(*key)) - 1)
-    return apart.unionByName(placed.filter(F.col("k") % every == 0).select(*key, F.lit("sample").alias("reason")))
+    agreed = numbered(both.filter("x AND y").select(*key), [], key)
+    return apart.unionByName(agreed.filter(F.col("place") % every == 0).select(*key, F.lit("sample").alias("reason")))
 
 
 def hash_sample(rows: DataFrame, salt: str, columns: list[str], n: int) -> DataFrame:
@@ -83,5 +90,62 @@ def hash_sample(rows: DataFrame, salt: str, columns: list[str], n: int) -> DataF
 
 
 def fingerprint_of(rows: DataFrame) -> DataFrame:
-    """One row: the hash of all rows as JSON in order of their text. For small tables: their text meets in one row."""
-    return rows.select(F.to_json(F.struct("*")).alias("j")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("j")), "\n"), 256).alias("fingerprint"), F.count("*").alias("n_rows"))
+    """One row: a hash of all rows as JSON, whatever their order, and their number.
+
+    Each row's SHA-256 is cut into four numbers of 60 bits, which are added up over all rows, so nothing is gathered; the
+    hash of the sums and the number is the table's.
+    """
+    hashed = rows.select(F.sha2(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), 256).alias("h"))
+    lanes = [F.coalesce(F.sum(F.conv(F.substring("h", 15 * k + 1, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").cast("string").alias(f"s{k}") for k in range(4)]
+    sums = hashed.agg(F.count("*").alias("n_rows"), *lanes)
+    return sums.select(F.sha2(F.concat_ws(":", F.col("n_rows").cast("string"), "s0", "s1", "s2", "s3"), 256).alias("fingerprint"), "n_rows")
+
+
+def canonical_call(key: Column) -> Column:
+    """A call target without type arguments, with single-identifier parameters that look like type variables as java.lang.Object.
+
+    ``<init>`` behind a # is a constructor's name and stays. Nested arguments go from the inside outwards, eight deep.
+    """
+    marked = F.regexp_replace(key, "#<init>", "#\u0001")
+    for _ in range(8):
+        marked = F.regexp_replace(marked, "<[^<>]*>", "")
+    plain = F.regexp_replace(marked, "#\u0001", "#<init>")
+    open_, close = F.length(plain) - F.instr(F.reverse(plain), "(") + 1, F.length(plain) - F.instr(F.reverse(plain), ")") + 1
+    inside = F.substring(plain, open_ + 1, close - open_ - 1)
+    turned = F.array_join(F.transform(F.split(inside, ","), lambda x: F.when(x.rlike("^[A-Z][A-Za-z0-9_]*$"), F.lit("java.lang.Object")).otherwise(x)), ",")
+    has = (F.instr(plain, "(") > 0) & (F.instr(plain, ")") > 0) & (close > open_)
+    return F.when(has & (F.trim(inside) != ""), F.concat(F.substring(plain, F.lit(1), open_), turned, F.substring(plain, close, F.length(plain)))).otherwise(plain)
+
+
+def canonical_facts(facts: DataFrame) -> DataFrame:
+    """source_path, line, from_key, to_key of call facts, the caller named by its place, the target canonical."""
+    return facts.select("source_path", "line", F.concat_ws(":", F.lit("java:callsite"), "source_path", F.col("line").cast("string")).alias("from_key"), canonical_call(F.col("to_key")).alias("to_key")).distinct()
+
+
+def load_summary(samples: DataFrame, status: str, ms: str, wall_ms: float, by: list[str]) -> DataFrame:
+    """Requests of each group: completed (200), rejected (409) and other, completed a second, and each kind's latencies."""
+    if not wall_ms > 0:
+        raise ValueError("wall time must be positive")
+    kind = F.when(F.col(status) == 200, "completed").when(F.col(status) == 409, "rejected").otherwise("failures")
+    rows = samples.withColumn("__kind", kind)
+    out = rows.groupBy(*by).agg(F.count("*").alias("requests"), *[F.count_if(F.col("__kind") == k).alias(k) for k in ("completed", "rejected", "failures")])
+    out = out.withColumn("completed_per_second", F.round(F.col("completed") * 1000.0 / F.lit(float(wall_ms)), 4))
+    most = rows.groupBy(*by, "__kind").agg(F.round(F.max(ms), 2).alias("max"))
+    each = nearest_rank(rows, ms, {"p50": 0.5, "p95": 0.95}, [*by, "__kind"]).join(most, [*by, "__kind"])
+    for k in ("completed", "rejected", "failures"):
+        out = out.join(each.filter(F.col("__kind") == k).select(*by, *[F.col(c).alias(f"{k}_{c}") for c in ("p50", "p95", "max")]), by, "left")
+    return out
+
+
+def holdout(files: DataFrame, policy: str, n: int, least: int = 60, most: int = 240, calls: int = 3) -> DataFrame:
+    """The ``n`` files of a repository and commit whose hashes are smallest, of those with enough lines and call-like places.
+
+    ``files`` (repository, commit_sha, path, content). Fewer than ``n`` eligible files are an error.
+    """
+    lines = F.size(F.split("content", "\n"))
+    places = F.size(F.regexp_extract_all("content", F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*\s*\("), F.lit(0)))
+    rows = files.withColumn("n_lines", lines).withColumn("n_calls", places).filter(F.col("n_lines").between(least, most) & (F.col("n_calls") >= calls))
+    rank = F.sha2(F.concat_ws("\n", F.lit(policy), "repository", "commit_sha", "path"), 256)
+    chosen = rows.select("repository", "commit_sha", "path", "n_lines", "n_calls", rank.alias("sample_rank")).orderBy("sample_rank", "path").limit(n)
+    short = chosen.agg(F.count("*").alias("found")).select(F.when(F.col("found") < n, F.raise_error(F.concat(F.lit("eligible holdout files "), F.col("found").cast("string"), F.lit(f" < requested {n}")))).alias("error"))
+    return chosen.join(F.broadcast(short), F.col("error").isNull()).drop("error")

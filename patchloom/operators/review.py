@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchloom.operators.ranks import numbered
 from patchloom.sources.saved import saved
 
 
@@ -55,21 +56,21 @@ def quota_sample(rows: DataFrame, stratum: str, order: str, target: int) -> Data
     quota = F.ceil(F.lit(target) / F.greatest(F.size("all"), F.lit(1))).cast("long")
     empty = F.struct(quota.alias("quota"), F.lit(0).cast("long").alias("carried"), F.lit(0).cast("long").alias("taken"), F.array().cast(f"array<struct<s:{kind},take:bigint>>").alias("out"))
     takes = strata.select(F.explode(F.aggregate("all", empty, step, lambda acc: acc["out"])).alias("o")).select(F.col("o.s").alias(stratum), "o.take")
-    placed = rows.join(takes, stratum).withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy(order)))
-    return placed.filter(F.col("_n") <= F.col("take")).drop("_n", "take")
+    placed = numbered(rows, [stratum], [order], "__place").join(F.broadcast(takes), stratum)
+    return placed.filter(F.col("__place") < F.col("take")).drop("__place", "take")
 
 
 def interleaved(rows: DataFrame, positive: str, order: str) -> DataFrame:
     """Rows with ``place``: one positive, then as many others as there are for each; what is left comes last.
 
-    Places are numbers in a total order, so both kinds are numbered over all rows; meant for review queues, not for corpora.
     """
-    n = rows.withColumn("k", F.row_number().over(Window.partitionBy(positive).orderBy(order)) - 1)
-    totals = rows.agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    each = F.greatest(F.lit(1), F.floor(F.try_divide(F.col("n").cast("double"), F.col("p").cast("double"))))
-    n = n.join(F.broadcast(totals.select(F.lit(1).alias("one"), "p", each.alias("each"))), F.lit(1) == F.col("one"))
-    place = F.when(F.col(positive), F.col("k") * (F.col("each") + 1)).otherwise(F.when(F.floor(F.col("k") / F.col("each")) < F.col("p"), F.floor(F.col("k") / F.col("each")) * (F.col("each") + 1) + 1 + F.col("k") % F.col("each")).otherwise(F.col("k") + F.col("p")))
-    return n.withColumn("place", place.cast("long")).drop("k", "one", "p", "each")
+    n = numbered(rows, [positive], [order], "__k")
+    totals = rows.agg(F.count_if(positive).alias("__p"), F.count_if(~F.col(positive)).alias("__n"))
+    share = F.greatest(F.lit(1), F.floor(F.try_divide(F.col("__n").cast("double"), F.col("__p").cast("double"))))
+    n = n.withColumn("__one", F.lit(1)).join(F.broadcast(totals.select(F.lit(1).alias("__one"), "__p", share.alias("__each"))), "__one")
+    k, each, p = F.col("__k"), F.col("__each"), F.col("__p")
+    place = F.when(F.col(positive), k * (each + 1)).otherwise(F.when(F.floor(k / each) < p, F.floor(k / each) * (each + 1) + 1 + k % each).otherwise(k + p))
+    return n.withColumn("place", place.cast("long")).drop("__k", "__one", "__p", "__each")
 
 
 def manifest_check(applied: DataFrame, expected: DataFrame) -> DataFrame:
@@ -97,12 +98,15 @@ def change_groups(files: DataFrame, ties: DataFrame, rounds: int = 30) -> DataFr
     raise RuntimeError("groups did not settle")
 
 
-def markdown_rules(texts: DataFrame, most: int = 100, size: int = 20_000) -> DataFrame:
-    """Bullets of each document's first ``size`` characters as rules, ``most`` at most: source, ordinal, rule_key, rule."""
+def markdown_rules(texts: DataFrame, most: int = 100, size: int = 20_000, quoted: bool = False) -> DataFrame:
+    """Bullets of each document's first ``size`` characters as rules, ``most`` at most: source, ordinal, rule_key, rule.
+
+    The key is a hash of the rule, or, ``quoted``, of the rule as a JSON string.
+    """
     lines = texts.select("source", F.posexplode(F.split(F.substring("text", 1, size), "\n")).alias("pos", "line"))
     rules = lines.select("source", "pos", F.trim(F.regexp_extract("line", r"^\s*[-*]\s+(.+)$", 1)).alias("rule")).filter("rule <> ''")
     rules = rules.withColumn("ordinal", F.row_number().over(Window.partitionBy("source").orderBy("pos"))).filter(F.col("ordinal") <= most)
-    return rules.select("source", "ordinal", F.concat(F.lit("md-"), F.substring(F.sha2("rule", 256), 1, 12)).alias("rule_key"), "rule")
+    return rules.select("source", "ordinal", F.concat(F.lit("md-"), F.substring(F.sha2(F.regexp_replace(F.to_json(F.struct("rule")), r"^\{\"rule\":(.*)\}$", "$1") if quoted else F.col("rule"), 256), 1, 12)).alias("rule_key"), "rule")
 
 
 def unreferenced(snapshots: DataFrame, analyses: DataFrame) -> DataFrame:

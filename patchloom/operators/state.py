@@ -24,9 +24,14 @@ def rate_limited(rows: DataFrame, client: str, ts: str, order: list[str], limit:
     return rows.withColumn("allowed", F.row_number().over(Window.partitionBy(client, "window_start").orderBy(*order)) <= limit)
 
 
-def expire_leases(jobs: DataFrame, now: Column, most: int = 3) -> DataFrame:
-    """Jobs in work whose lease is over: one attempt more, then failed at ``most`` attempts, else to be tried again."""
-    rows = jobs.filter((F.col("status") == "processing") & (F.col("lease_expires_at") < now)).withColumn("attempts", F.col("attempts") + 1)
+def expire_leases(jobs: DataFrame, now: Column, most: int = 3, batch: int | None = None, key: str = "id") -> DataFrame:
+    """Jobs in work whose lease is over: one attempt more, then failed at ``most`` attempts, else to be tried again.
+
+    With ``batch`` the first so many by (lease_expires_at, ``key``), which is what one round takes.
+    """
+    rows = jobs.filter((F.col("status") == "processing") & (F.col("lease_expires_at") <= now)).withColumn("attempts", F.col("attempts") + 1)
+    if batch:
+        rows = rows.orderBy("lease_expires_at", key).limit(batch)
     return rows.withColumn("status", F.when(F.col("attempts") >= most, "failed").otherwise("retry"))
 
 
@@ -70,15 +75,28 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return a.join(b, key, "full_outer").select(*key, *[F.coalesce(f"_n_{c}", f"_o_{c}").alias(c) for c in rest])
 
 
-def retained(rows: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
-    """Rows that are ``days`` old at most."""
-    if days < 1:
-        raise ValueError("days must be positive")
-    return rows.filter(~(F.col(ts) < now - F.make_dt_interval(F.lit(days))))
+#: States in which a run has ended.
+TERMINAL = ("completed", "failed", "stale", "skipped")
+
 
+def retained(rows: DataFrame, ts: str, now: Column, days: int, status: str | None = None) -> DataFrame:
+    """Rows that are ``days`` old at most; with ``status`` only those in a terminal state can be too old. A null time is never too old."""
+    if not isinstance(days, int) or days < 1:
+        raise ValueError("days must be a positive whole number")
+    old = F.coalesce(F.col(ts) < now - F.make_dt_interval(F.lit(days)), F.lit(False))
+    return rows.filter(~(old & F.coalesce(F.col(status).isin(*TERMINAL), F.lit(False)) if status else old))
 
-def feedback_matches(feedback: DataFrame, findings: DataFrame) -> DataFrame:
-    """Each comment's newest finding whose fingerprint begins as the comment says; prefixes are 12 characters and more."""
+
+def feedback_matches(feedback: DataFrame, findings: DataFrame, place: list[str] | None = None, seen: DataFrame | None = None) -> DataFrame:
+    """Each comment's newest verified finding of its ``place`` (repository, pull) whose fingerprint begins as the comment says.
+
+    Prefixes are 12 characters and more. Findings without a ``status`` column count as verified. Comments of ``seen``
+    (comment_id) have been taken before and give nothing.
+    """
     short = lambda c: F.substring(c, 1, 12)
-    rows = feedback.withColumn("p", short("prefix")).join(findings.withColumn("p", short("fingerprint")), "p").filter(F.col("fingerprint").startswith(F.col("prefix")))
+    if "status" in findings.columns:
+        findings = findings.filter("status = 'verified'")
+    if seen is not None:
+        feedback = feedback.join(seen.select("comment_id"), "comment_id", "left_anti")
+    rows = feedback.withColumn("p", short("prefix")).join(findings.withColumn("p", short("fingerprint")), ["p", *(place or [])]).filter(F.col("fingerprint").startswith(F.col("prefix")))
     return latest(rows, ["comment_id"], ["created_at", "fingerprint"]).select("comment_id", "fingerprint")
