@@ -46,6 +46,19 @@ def patches(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.floor(F.col("doc_id") / 20).alias("change_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang").alias("path"), patch.alias("patch"), F.floor((size + 1) / 3).cast("long").alias("additions"), F.floor(size / 3).cast("long").alias("deletions"))
 
 
+def graph_symbols(spark: SparkSession, d: str, head: bool) -> DataFrame:
+    """Parts of one side, orders and customers as symbols with paths; orders of the first priority stand for tests."""
+    part = symbols(spark, d, head).join(table(spark, d, "part").select(_KEY("part", "p_partkey").alias("stable_key"), F.concat(F.lit("part/"), (F.col("p_partkey") % 50).cast("string")).alias("path")), "stable_key")
+    orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
+    rows = part.select("stable_key", "kind", "qualified_name", "path", F.lit(False).alias("test_source"))
+    rows = rows.unionByName(orders.select(_KEY("order", "o_orderkey").alias("stable_key"), F.lit("order").alias("kind"), F.concat(F.lit("order."), F.col("o_orderkey").cast("string")).alias("qualified_name"), F.concat(F.lit("order/"), (F.col("o_orderkey") % 100).cast("string")).alias("path"), F.col("o_orderpriority").startswith("1").alias("test_source")))
+    return rows.unionByName(customer.select(_KEY("customer", "c_custkey").alias("stable_key"), F.lit("customer").alias("kind"), F.col("c_name").alias("qualified_name"), F.concat(F.lit("customer/"), (F.col("c_custkey") % 10).cast("string")).alias("path"), F.lit(False).alias("test_source")))
+
+
+GRAPH_SYMBOLS_SQL = """
+gs AS (SELECT 'part:' || p_partkey AS stable_key, p_brand AS kind, p_name AS qualified_name, 'part/' || (p_partkey % 50) AS path, false AS test_source, p_partkey % 10 <> 0 AS in_base, p_partkey % 10 <> 1 AS in_head FROM part
+  UNION ALL SELECT 'order:' || o_orderkey, 'order', 'order.' || o_orderkey, 'order/' || (o_orderkey % 100), o_orderpriority LIKE '1%', true, true FROM orders
+  UNION ALL SELECT 'customer:' || c_custkey, 'customer', c_name, 'customer/' || (c_custkey % 10), false, true, true FROM customer)"""
 SYMBOLS_SQL = """
 base AS (SELECT 'part:' || p_partkey AS stable_key, p_brand AS kind, p_name AS qualified_name, p_type AS signature,
   sha256(p_type || p_name) AS content_hash, p_size % 2 = 0 AS exported FROM part WHERE p_partkey % 10 <> 0),

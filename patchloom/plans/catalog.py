@@ -64,9 +64,17 @@ def patch_budget_prefix(s, d):
     return diff.patch_budget(A.patches(s, d), "change_id", "doc_id", 30_000).select("path", "kept_chars")
 
 
-@query("patch_budget_lines")
+_REDACT = "regexp_replace(regexp_replace(regexp_replace(patch, '-----BEGIN [^-]+-----[\\s\\S]*?-----END [^-]+-----', '[REDACTED_PEM]', 'g'), '(?i)bearer\\s+[a-z0-9._~+/-]{8,}', 'Bearer [REDACTED]', 'g'), '(?i)(api[_-]?key|token|secret|password|private[_-]?key)(\\s*[:=]\\s*)[^\\s,;]+', '\\1\\2[REDACTED]', 'g')"
+_BUDGET = _PAT.replace("WITH", "WITH RECURSIVE", 1) + f""", x AS (SELECT change_id, path, row_number() OVER (PARTITION BY change_id ORDER BY doc_id) AS n, {_REDACT} AS p FROM patches),
+r AS (SELECT change_id, 0::BIGINT AS n, 0::BIGINT AS used, NULL::VARCHAR AS path, NULL::VARCHAR AS omission, 0::BIGINT AS patch_chars, 0::BIGINT AS kept_chars, NULL::VARCHAR AS patch_hash, NULL::VARCHAR AS kept_hash FROM (SELECT DISTINCT change_id FROM x) UNION ALL
+  SELECT change_id, n, used + length(kept), path, omission, length(p), length(kept), sha256(p), CASE WHEN NOT out THEN sha256(kept) END FROM (SELECT *, CASE WHEN out THEN '' WHEN length(p) <= 30000 - used THEN p ELSE regexp_extract(substr(p, 1, CAST(30000 - used AS BIGINT)), '^([\\s\\S]*\\n)', 1) END AS kept, CASE WHEN n > 15 THEN 'file_limit' WHEN used >= 30000 THEN 'patch_budget' WHEN length(p) > 30000 - used THEN 'patch_truncated' WHEN p = '' THEN 'patch_unavailable' END AS omission
+    FROM (SELECT x.change_id, x.n, r.used, x.path, x.p, x.n > 15 OR r.used >= 30000 AS out FROM r JOIN x ON x.change_id = r.change_id AND x.n = r.n + 1)))
+SELECT change_id, path, omission, patch_chars, kept_chars, patch_hash, kept_hash FROM r WHERE n > 0"""
+
+
+@query("patch_budget_lines", _BUDGET)
 def patch_budget_lines(s, d):
-    return diff.patch_budget_by_line(A.patches(s, d), "change_id", "doc_id", 30_000).select("path", "kept_chars")
+    return diff.patch_budget_by_line(A.patches(s, d), "change_id", "doc_id", 30_000, 15)
 
 
 @query("change_totals", f"{_PAT} SELECT change_id, CAST(sum(CASE WHEN n <= 12 THEN additions ELSE 0 END) AS BIGINT) AS additions, CAST(sum(CASE WHEN n <= 12 THEN deletions ELSE 0 END) AS BIGINT) AS deletions, count(*) > 12 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY doc_id) AS n FROM patches) GROUP BY change_id")
@@ -143,10 +151,13 @@ def symbol_change_counts(s, d):
     return symbol_changes(s, d).groupBy("change").agg(F.count("*").alias("n"))
 
 
-_MOVED = _SYM.replace("p_name AS qualified_name", "lower(p_type) AS qualified_name") + """, lost AS (SELECT * FROM base WHERE stable_key NOT IN (SELECT stable_key FROM head)), new AS (SELECT * FROM head WHERE stable_key NOT IN (SELECT stable_key FROM base)),
-exact AS (SELECT from_key, to_key FROM (SELECT kind, qualified_name, content_hash, min(stable_key) AS from_key FROM lost GROUP BY 1, 2, 3 HAVING count(*) = 1) JOIN (SELECT kind, qualified_name, content_hash, min(stable_key) AS to_key FROM new GROUP BY 1, 2, 3 HAVING count(*) = 1) USING (kind, qualified_name, content_hash))
-SELECT from_key, to_key, CAST(1 AS INT) AS tier FROM exact UNION ALL
-SELECT from_key, to_key, CAST(2 AS INT) FROM (SELECT kind, qualified_name, min(stable_key) AS from_key FROM lost WHERE stable_key NOT IN (SELECT from_key FROM exact) GROUP BY 1, 2 HAVING count(*) = 1) JOIN (SELECT kind, qualified_name, min(stable_key) AS to_key FROM new WHERE stable_key NOT IN (SELECT to_key FROM exact) GROUP BY 1, 2 HAVING count(*) = 1) USING (kind, qualified_name)"""
+_MOVED = _SYM.replace("WITH", "WITH RECURSIVE", 1).replace("p_name AS qualified_name", "lower(p_type) AS qualified_name") + """, lost AS (SELECT *, row_number() OVER (PARTITION BY kind, qualified_name ORDER BY stable_key) AS n FROM base WHERE stable_key NOT IN (SELECT stable_key FROM head)),
+new AS (SELECT kind, qualified_name, list({'k': stable_key, 'h': content_hash} ORDER BY stable_key) AS heads FROM head WHERE stable_key NOT IN (SELECT stable_key FROM base) GROUP BY 1, 2),
+r AS (SELECT kind, qualified_name, 0::BIGINT AS n, CAST([] AS VARCHAR[]) AS used, NULL::VARCHAR AS from_key, NULL::VARCHAR AS to_key, 0::INT AS tier FROM new UNION ALL
+  SELECT kind, qualified_name, n, CASE WHEN len(same) = 1 OR len(free) = 1 THEN list_append(used, CASE WHEN len(same) = 1 THEN same[1].k ELSE free[1].k END) ELSE used END, stable_key,
+    CASE WHEN len(same) = 1 THEN same[1].k WHEN len(free) = 1 THEN free[1].k END, CASE WHEN len(same) = 1 THEN 1 WHEN len(free) = 1 THEN 2 END FROM (SELECT l.kind, l.qualified_name, l.n, r.used, l.stable_key, [x FOR x IN heads IF NOT list_contains(r.used, x.k)] AS free, [x FOR x IN heads IF NOT list_contains(r.used, x.k) AND x.h = l.content_hash] AS same
+    FROM r JOIN lost l ON l.kind = r.kind AND l.qualified_name = r.qualified_name AND l.n = r.n + 1 JOIN new ON new.kind = l.kind AND new.qualified_name = l.qualified_name))
+SELECT from_key, to_key, tier FROM r WHERE to_key IS NOT NULL"""
 
 
 @query("symbol_changes_moved", _MOVED)
@@ -184,9 +195,16 @@ def impact_paths_plain(s, d):
     return graph.impact_paths(A.changes(s, d), A.edges(s, d), None, rounded=False)
 
 
-@query("semantic_impact", _EDG + " SELECT change_key, impacted_key, score, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY change_key ORDER BY score DESC, impacted_key) AS place FROM (SELECT to_key AS change_key, from_key AS impacted_key, CASE WHEN type = 'TESTS' THEN 1.0 ELSE confidence END AS score, row_number() OVER (PARTITION BY to_key, from_key ORDER BY ord) AS n FROM edges JOIN changes ON stable_key = to_key WHERE type_resolved AND from_key <> to_key) WHERE n = 1) WHERE place <= 12")
+_GS = f"{_EDG}, {A.GRAPH_SYMBOLS_SQL}"
+_SEMANTIC = _GS + """, inside AS (SELECT stable_key AS to_key, qualified_name AS changed_name FROM gs WHERE (in_base OR in_head) AND path = 'part/0'), outside AS (SELECT stable_key AS from_key, qualified_name AS impacted_name FROM gs WHERE (in_base OR in_head) AND path <> 'part/0'),
+p AS (SELECT to_key, from_key, changed_name, impacted_name, arg_min(CASE WHEN type = 'TESTS' THEN 1.0 ELSE confidence END, ord) AS score FROM edges JOIN inside USING (to_key) JOIN outside USING (from_key) WHERE type_resolved AND type IN ('CALLS', 'READS', 'WRITES', 'EXTENDS', 'IMPLEMENTS', 'OVERRIDES', 'TESTS') GROUP BY ALL)
+SELECT changed_name, impacted_name, score, CAST(row_number() OVER (ORDER BY score DESC, changed_name, impacted_name, to_key, from_key) AS INT) AS place FROM p ORDER BY place LIMIT 12"""
+
+
+@query("semantic_impact", _SEMANTIC)
 def semantic_impact(s, d):
-    return graph.semantic_impact(A.changes(s, d), A.edges(s, d))
+    changed = s.createDataFrame([("part/0",)], "path string")
+    return graph.semantic_impact(A.graph_symbols(s, d, False), A.graph_symbols(s, d, True), A.edges(s, d), changed)
 
 
 @query("blast_radius", _paths_sql(_STRICT_W, True) + ", r AS (SELECT (SELECT count(*) FROM changes) AS changes, (SELECT count(*) FROM paths) AS paths, CAST(least(100, round(3 * (SELECT count(*) FROM changes) + 5 * (SELECT count(*) FILTER (exported) FROM changes) + 8 * (SELECT coalesce(sum(score), 0) FROM paths))) AS INT) AS score) SELECT *, CASE WHEN score >= 60 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level FROM r")
@@ -214,9 +232,25 @@ def test_edges(s, d):
     return graph.derive_test_edges(A.edges(s, d), orders.unionByName(parts))
 
 
-@query("reuse_candidates")
+_TOKENS = r"list_distinct([t FOR t IN string_split_regex(lower(regexp_replace(qualified_name, '([a-z])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+') IF length(t) >= 3])"
+_SIMPLE = r"lower(list_last(string_split_regex(regexp_replace(qualified_name, '[.#:$]+$', ''), '[.#:$]')))"
+_REUSE = _GS + _SHARED + f""", direct AS (SELECT DISTINCT CASE WHEN a.stable_key IS NOT NULL THEN to_key ELSE from_key END AS stable_key FROM edges LEFT JOIN changes a ON a.stable_key = from_key LEFT JOIN changes b ON b.stable_key = to_key WHERE type_resolved AND (a.stable_key IS NULL) <> (b.stable_key IS NULL)),
+tk AS (SELECT DISTINCT unnest({_TOKENS}) AS t FROM changes), ov AS (SELECT stable_key, count(*) AS overlap FROM (SELECT stable_key, unnest({_TOKENS}) AS t FROM gs WHERE in_head) JOIN tk USING (t) GROUP BY 1),
+f AS (SELECT gs.stable_key, qualified_name, test_source AND direct.stable_key IS NOT NULL AS fixture, {_SIMPLE} IN (SELECT {_SIMPLE} FROM changes) AS name, kind IN (SELECT kind FROM changes) AS kd, shared.candidate_key IS NOT NULL AS called, coalesce(overlap, 0) AS overlap
+  FROM gs LEFT JOIN direct ON direct.stable_key = gs.stable_key LEFT JOIN shared ON candidate_key = gs.stable_key LEFT JOIN ov ON ov.stable_key = gs.stable_key WHERE in_head AND gs.stable_key NOT IN (SELECT stable_key FROM changes)),
+t AS (SELECT stable_key, qualified_name, CASE WHEN fixture THEN 'test_fixture' WHEN name AND kd THEN 'same_contract' WHEN called AND kd THEN 'same_role' WHEN called THEN 'caller_pattern' WHEN overlap >= 1 AND kd THEN 'similar_logic' END AS tier, overlap FROM f)
+SELECT stable_key, qualified_name, tier, CASE tier WHEN 'same_contract' THEN 'direct' WHEN 'test_fixture' THEN 'extendable' WHEN 'same_role' THEN 'extendable' ELSE 'partial' END AS fit, CAST(CASE tier WHEN 'test_fixture' THEN 0.90 WHEN 'same_contract' THEN 0.95 WHEN 'same_role' THEN 0.84 WHEN 'caller_pattern' THEN 0.72 ELSE round(least(0.69, 0.50 + 0.08 * overlap), 2) END AS DOUBLE) AS score FROM t WHERE tier IS NOT NULL ORDER BY score DESC, qualified_name, stable_key"""
+
+
+@query("reuse_candidates", _REUSE + " LIMIT 12")
 def reuse_candidates(s, d):
-    return graph.reuse_candidates(A.symbols(s, d, True), A.changes(s, d), shared_callers(s, d))
+    return graph.reuse_candidates(A.graph_symbols(s, d, True), A.changes(s, d), A.edges(s, d))
+
+
+@query("reuse_candidates_small", _REUSE + " LIMIT 8")
+def reuse_candidates_small(s, d):
+    """The variant without an inheritance tier, the eight best."""
+    return graph.reuse_candidates(A.graph_symbols(s, d, True), A.changes(s, d), A.edges(s, d), 8, inheritance=False)
 
 
 @query("index_equality", _SYM + " SELECT (SELECT count(*) FROM (SELECT * FROM base EXCEPT ALL SELECT * FROM head)) AS missing, (SELECT count(*) FROM (SELECT * FROM head EXCEPT ALL SELECT * FROM base)) AS extra")
@@ -305,9 +339,12 @@ def holdout_sample(s, d):
     return evaluation.hash_sample(rows, "policy-1", ["source", "doc_id"], 50)
 
 
-@query("table_fingerprint")
+_LANES = " || ':' || ".join(f"CAST(sum(CAST('0x' || substr(h, {15 * k + 1}, 15) AS HUGEINT)) AS VARCHAR)" for k in range(4))
+
+
+@query("table_fingerprint", f"WITH x AS (SELECT sha256(CAST(to_json({{'p_partkey': p_partkey, 'p_name': p_name, 'p_size': p_size}}) AS VARCHAR)) AS h FROM part) SELECT sha256(CAST(count(*) AS VARCHAR) || ':' || {_LANES}) AS fingerprint, count(*) AS n_rows FROM x")
 def table_fingerprint(s, d):
-    return evaluation.fingerprint_of(table(s, d, "nation"))
+    return evaluation.fingerprint_of(table(s, d, "part").select("p_partkey", "p_name", "p_size"))
 
 
 # --- state -----------------------------------------------------------------------------------------------------------
@@ -324,7 +361,7 @@ def rate_limit_windows(s, d):
     return state.rate_limited(table(s, d, "events"), "user_id", "ts", ["event_id"], 2, 86400).select("event_id", "user_id", F.col("window_start").cast("long").alias("window_start"), "allowed")
 
 
-_LEASE = "SELECT o_orderkey, attempts, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'retry' END AS status, CAST(2 * pow(2, attempts) AS BIGINT) AS delay FROM (SELECT o_orderkey, CAST(o_orderkey % 3 + 1 AS BIGINT) AS attempts FROM orders WHERE o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1998-01-01 00:00:00')"
+_LEASE = "SELECT o_orderkey, attempts, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'retry' END AS status, CAST(2 * pow(2, attempts) AS BIGINT) AS delay FROM (SELECT o_orderkey, CAST(o_orderkey % 3 + 1 AS BIGINT) AS attempts FROM orders WHERE o_orderstatus = 'O' AND o_orderdate <= TIMESTAMP '1998-01-01 00:00:00')"
 
 
 @query("lease_expiry", _LEASE)
@@ -376,11 +413,12 @@ def upsert_merge(s, d):
     return state.upsert(part.filter("p_partkey % 3 <> 0"), new, ["p_partkey"])
 
 
-@query("feedback_match", "WITH f AS (SELECT o_custkey AS comment_id, substr(sha256('f' || o_orderkey), 1, 14) AS prefix FROM orders WHERE o_orderkey % 97 = 0) SELECT comment_id, fingerprint FROM (SELECT comment_id, sha256('f' || o_orderkey) AS fingerprint, row_number() OVER (PARTITION BY comment_id ORDER BY o_orderdate DESC, sha256('f' || o_orderkey) DESC) AS n FROM f JOIN orders ON sha256('f' || o_orderkey) LIKE prefix || '%') WHERE n = 1")
+@query("feedback_match", "WITH x AS (SELECT o_orderkey, o_custkey % 20 AS repository_id, sha256('f' || o_orderkey) AS fingerprint, o_orderdate AS created_at, o_orderstatus FROM orders), f AS (SELECT o_orderkey AS comment_id, repository_id, substr(fingerprint, 1, 14) AS prefix FROM x WHERE o_orderkey % 3 <> 0) SELECT comment_id, fingerprint FROM (SELECT comment_id, fingerprint, row_number() OVER (PARTITION BY comment_id ORDER BY created_at DESC, fingerprint DESC) AS n FROM f JOIN x ON substr(fingerprint, 1, 14) = prefix AND x.repository_id = f.repository_id AND o_orderstatus = 'F') WHERE n = 1")
 def feedback_match(s, d):
-    found = table(s, d, "orders").select("o_orderkey", "o_custkey", F.sha2(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")), 256).alias("fingerprint"), F.col("o_orderdate").alias("created_at"))
-    comments = found.filter("o_orderkey % 97 = 0").select(F.col("o_custkey").alias("comment_id"), F.substring("fingerprint", 1, 14).alias("prefix"))
-    return state.feedback_matches(comments, found.select("fingerprint", "created_at"))
+    found = table(s, d, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("repository_id"), F.sha2(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")), 256).alias("fingerprint"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "F", "verified").otherwise("rejected").alias("status"))
+    comments = found.select(F.col("o_orderkey").alias("comment_id"), "repository_id", F.substring("fingerprint", 1, 14).alias("prefix"))
+    seen = comments.filter("comment_id % 3 = 0")
+    return state.feedback_matches(comments, found.drop("o_orderkey"), ["repository_id"], seen)
 
 
 # --- scalars ---------------------------------------------------------------------------------------------------------
@@ -413,9 +451,21 @@ def glob_policy(s, d):
     return A.patches(s, d).select("doc_id", T.path_included(F.col("path"), ["src1*/**"], ["**/*.fr"]).alias("included"))
 
 
-@query("language_and_role", "SELECT doc_id, CASE lang WHEN 'go' THEN 'go' END AS language, 'other' AS role FROM documents")
+def _listed(value: str, rows) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({value}, '{p}') THEN '{n}'" for n, p in rows) + " END"
+
+
+_NAMES = ("src/a.go", "src/B.java", "lib/c.TSX", "test/d.py", "x/e_spec.rb", "docs/f.md", "pom.xml", "conf/g.yaml", "h.rs", "src/test/i.kt", "j.cc", "k.swift", "l.bin", "web/m.mjs", "n.phtml", "o.cs", "p.h")
+_MADE = f"WITH m AS (SELECT doc_id, source || '/' || ([{', '.join(repr(x) for x in _NAMES)}])[1 + doc_id % {len(_NAMES)}] AS path FROM documents)"
+
+
+def _made_paths(s, d):
+    return table(s, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.element_at(F.array(*[F.lit(x) for x in _NAMES]), (1 + F.col("doc_id") % len(_NAMES)).cast("int"))).alias("path"))
+
+
+@query("language_and_role", f"{_MADE} SELECT doc_id, {_listed('lower(path)', T.LANGUAGES)} AS language, coalesce({_listed('lower(path)', T.ROLES)}, 'other') AS role FROM m")
 def language_and_role(s, d):
-    return A.patches(s, d).select("doc_id", T.language_of_path(F.col("path")).alias("language"), T.file_role(F.col("path")).alias("role"))
+    return _made_paths(s, d).select("doc_id", T.language_of_path(F.col("path")).alias("language"), T.file_role(F.col("path")).alias("role"))
 
 
 @query("name_tokens", "SELECT DISTINCT p_partkey, t AS token FROM (SELECT p_partkey, unnest(string_split_regex(lower(regexp_replace(p_name, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+')) AS t FROM part) WHERE length(t) >= 3")
@@ -454,7 +504,9 @@ def decision_history(s, d):
     return review.decision_history(table(s, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
 
 
-@query("quota_shortfall")
+@query("quota_shortfall", """WITH RECURSIVE t AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM labels JOIN documents USING (doc_id)), z AS (SELECT source, count(*) AS size, row_number() OVER (ORDER BY source) AS n FROM t GROUP BY 1), q AS (SELECT CAST(ceil(300 / count(*)) AS BIGINT) AS quota FROM z),
+r AS (SELECT 0::BIGINT AS n, 0::BIGINT AS carried, 0::BIGINT AS taken, NULL::VARCHAR AS source, 0::BIGINT AS take UNION ALL SELECT z.n, quota + carried - least(quota + carried, 300 - taken, size), taken + least(quota + carried, 300 - taken, size), z.source, least(quota + carried, 300 - taken, size) FROM r JOIN z ON z.n = r.n + 1, q)
+SELECT source, doc_id FROM t JOIN r USING (source) WHERE k <= take""")
 def quota_shortfall(s, d):
     return review.quota_sample(table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "source"), "doc_id").select("source", "doc_id"), "source", "doc_id", 300)
 
@@ -489,24 +541,20 @@ def audit_outcomes(s, d):
     return review.audit_outcome(table(s, d, "orders").select("o_orderkey"), ended, ["o_orderkey"])
 
 
-@query("load_summary", "SELECT event_type, count(*) AS requests, count(*) FILTER (event_id % 5 = 0) AS refused, round(count(*) FILTER (event_id % 5 = 0) / CAST(count(*) AS DOUBLE), 4) AS refused_rate FROM events GROUP BY 1")
-def load_summary(s, d):
-    refused = F.count_if(F.col("event_id") % 5 == 0)
-    return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("requests"), refused.alias("refused"), evaluation.share(refused, F.count("*")).alias("refused_rate"))
+def _kind_latencies(k: str) -> str:
+    at = lambda p: f"round(max(CASE WHEN kind = '{k}' AND r = ceil(n * {p}) THEN ms END), 2)"
+    return f"{at(0.5)} AS {k}_p50, {at(0.95)} AS {k}_p95, round(max(CASE WHEN kind = '{k}' THEN ms END), 2) AS {k}_max"
 
 
-@query("change_groups", "WITH RECURSIVE c AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey % 50 = 0), t AS (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM c a JOIN c b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey), r AS (SELECT p_partkey AS a, p_partkey AS b FROM part WHERE p_partkey % 50 = 0 UNION SELECT r.a, t.b FROM r JOIN t ON t.a = r.b) SELECT 'part:' || a AS path, min('part:' || b) AS \"group\" FROM r GROUP BY a")
-def change_groups(s, d):
-    key = lambda c, n: F.concat(F.lit("part:"), F.col(c).cast("string")).alias(n)
-    files = table(s, d, "part").filter("p_partkey % 50 = 0").select(key("p_partkey", "path"))
-    lines = table(s, d, "lineitem").filter("l_partkey % 50 = 0").select("l_orderkey", "l_partkey").distinct()
-    ties = lines.join(lines.select("l_orderkey", F.col("l_partkey").alias("other")), "l_orderkey").filter("l_partkey != other").select(key("l_partkey", "a"), key("other", "b")).distinct()
-    return review.change_groups(files, ties)
+@query("load_summary", f"WITH s AS (SELECT event_type, value AS ms, CASE event_id % 5 WHEN 0 THEN 'rejected' WHEN 1 THEN 'failures' ELSE 'completed' END AS kind FROM events WHERE value IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY event_type, kind ORDER BY ms) AS r, count(*) OVER (PARTITION BY event_type, kind) AS n FROM s) SELECT event_type, count(*) AS requests, count(*) FILTER (kind = 'completed') AS completed, count(*) FILTER (kind = 'rejected') AS rejected, count(*) FILTER (kind = 'failures') AS failures, round(count(*) FILTER (kind = 'completed') * 1000.0::DOUBLE / 60000.0::DOUBLE, 4) AS completed_per_second, {_kind_latencies('completed')}, {_kind_latencies('rejected')}, {_kind_latencies('failures')} FROM o GROUP BY 1")
+def load_summary(s, d):
+    status = F.when(F.col("event_id") % 5 == 0, 409).when(F.col("event_id") % 5 == 1, 500).otherwise(200)
+    return evaluation.load_summary(table(s, d, "events").filter("value IS NOT NULL").select("event_type", "value", status.alias("status")), "status", "value", 60_000.0, ["event_type"])
 
 
-@query("change_groups_whole")
-def change_groups_whole(s, d):
-    """change_groups over all parts and lines: each order ties its parts to its smallest one. No SQL: a recursive one is too slow."""
+@query("change_groups", "WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part)), f AS (SELECT l_orderkey, min('part:' || l_partkey) AS b FROM l GROUP BY 1), t AS (SELECT DISTINCT 'part:' || l_partkey AS a, b FROM l JOIN f USING (l_orderkey)), e AS (SELECT a, b FROM t WHERE a <> b UNION SELECT b, a FROM t WHERE a <> b), g(path, grp) USING KEY (path) AS (SELECT 'part:' || p_partkey, 'part:' || p_partkey FROM part UNION SELECT e.a, min(v.grp) FROM recurring.g AS u JOIN e ON e.a = u.path JOIN recurring.g AS v ON v.path = e.b WHERE v.grp < u.grp GROUP BY e.a) SELECT path, grp AS \"group\" FROM g")
+def change_groups(s, d):
+    """Groups of all parts that lines of one order tie: each order ties its parts to its smallest one."""
     key = lambda c, n: F.concat(F.lit("part:"), F.col(c).cast("string")).alias(n)
     parts = table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"))
     lines = table(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct().join(parts, "l_partkey", "left_semi")
@@ -520,3 +568,6 @@ def fact_audit(s, d):
     rows = A.edges(s, d).filter("type = 'CALLS' AND type_resolved").join(flag("to_key"), "to_key", "left").join(flag("from_key"), "from_key", "left")
     into = F.col("to_key_changed").isNotNull() & F.col("from_key_changed").isNull()
     return rows.agg(F.count("*").alias("calls"), F.count_if(into).alias("from_unchanged"), F.countDistinct(F.when(into, F.col("from_key"))).alias("callers"))
+
+
+from patchloom.plans import families  # noqa: E402,F401 (registers the other families)

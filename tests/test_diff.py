@@ -31,7 +31,7 @@ def test_reversed_twice_is_the_same(spark):
 def test_budget_by_line_charges_what_is_kept(spark):
     rows = spark.createDataFrame([(1, 1, "a", "12345\n678"), (1, 2, "b", "xxxxxxxxxx"), (1, 3, "c", "ab")], "g int, k int, path string, patch string")
     out = {r.path: r.kept_chars for r in diff.patch_budget_by_line(rows, "g", "k", 8).collect()}
-    assert out == {"a": 5, "b": 0, "c": 2}
+    assert out == {"a": 6, "b": 0, "c": 2}  # the line end that a cut falls behind is kept and charged
     plain = {r.path: r.kept_chars for r in diff.patch_budget(rows, "g", "k", 12).collect()}
     assert plain == {"a": 9, "b": 3}
 
