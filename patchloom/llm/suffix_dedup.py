@@ -36,7 +36,7 @@ LENGTH, KMER = 50, 25
 REACH = LENGTH - KMER
 SURROUND = LENGTH + REACH
 #: Bytes of text in a block and in what one range orders, and the least number of either.
-BLOCK_BYTES, RANGE_BYTES, LEAST = 6 << 20, 12 << 20, 64
+BLOCK_BYTES, RANGE_BYTES, LEAST = 6 << 20, 12 << 20, 16
 #: Documents that hold an anchor from which on it is dealt string by string (at least; a block counts up to 255).
 WIDE = 2000
 #: UTF-8 has no such byte: it stands around every document.
@@ -564,11 +564,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, wide: int = WIDE) -
     names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
     ddl = lambda kinds: ", ".join(f"{k} {names[t]}" for k, t in kinds.items())
     by_block = dealt.groupBy("block")
-    segments = by_block.applyInArrow(_send_segments(bits), ddl(_SEGMENTS)).groupBy("range").applyInArrow(_settle_segments, ddl(_SPANS))
+    by_range = lambda frame: frame.repartition(1 << bits, "range").groupBy("range")  # noqa: E731 (tasks grow in number with the ranges)
+    segments = by_range(by_block.applyInArrow(_send_segments(bits), ddl(_SEGMENTS))).applyInArrow(_settle_segments, ddl(_SPANS))
     sent = by_block.cogroup(segments.groupBy("block")).applyInArrow(_send_anchors(bits), ddl(_ANCHORS))
-    replies = sent.groupBy("range").applyInArrow(_shared_anchors(wide), ddl(_REPLIES))
+    replies = by_range(sent).applyInArrow(_shared_anchors(wide), ddl(_REPLIES))
     strings = by_block.cogroup(replies.groupBy("block")).applyInArrow(_send_surroundings(bits), ddl(_SENT))
-    spans = strings.groupBy("range").applyInArrow(_settle, ddl(_SPANS))
+    spans = by_range(strings).applyInArrow(_settle, ddl(_SPANS))
     key = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if with_text:
