@@ -63,8 +63,9 @@ def line_fails(line: Column) -> Column:
 def repeated_words(words: Column, ranked: Column) -> Column:
     """How many words lie in a 3-word window found twice or more.
 
-    ``ranked`` holds (hash, place) of every window in order. Windows of one hash stand side by side, and their
-    words are compared, so only the words decide.
+    ``ranked`` holds (hash, place) of every window in order. Windows of one 64-bit hash stand side by side, and their
+    words are compared: unequal windows are never taken for equal. A repeated one could be missed only where windows of other
+    words share its hash and stand between all of its places.
     """
 
     def same(a: Column, b: Column) -> Column:

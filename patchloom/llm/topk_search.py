@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchloom.llm.saved import saved
+
 #: Rows in a shard, and queries in a block.
 SHARD_ROWS, BLOCK_ROWS = 16384, 1024
 #: Rows scored in full before a query meets a shard, which give its first threshold.
@@ -150,7 +152,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int, id_column: str = "vec_id",
     vector scores 0 with every other, and of two widths the shorter counts as ending in zeros. A query meets
     every row of another id; rows that share an id are candidates one by one. Fewer than k others give fewer rows.
     """
-    shards = _blocks(rows, id_column, vector_column, scale, shard_rows)
+    shards = saved(_blocks(rows, id_column, vector_column, scale, shard_rows), "shards")  # numbered by task, so read once
     queries = _blocks(rows.filter(is_query), id_column, vector_column, scale, block_rows)
     numbers = shards.agg(F.collect_list("block").alias("all")).scalar()
     met = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], F.explode(numbers).alias("shard"))
