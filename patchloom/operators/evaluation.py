@@ -55,6 +55,10 @@ def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float], by: list
     return out
 
 
+#: What a benchmark must show.
+BENCHMARK = [("cases", "cases >= 100"), ("positive", "positive >= 20"), ("negative", "negative >= 20"), ("precision", "precision >= 0.8"), ("recall", "recall >= 0.7"), ("latency", "p95 <= 1000")]
+
+
 def gate(metrics: DataFrame, checks: list[tuple[str, str]]) -> DataFrame:
     """``metrics`` with the names of failed checks (SQL conditions that must hold), and whether all passed."""
     failed = F.filter(F.array(*[F.when(~F.coalesce(F.expr(c), F.lit(False)), F.lit(n)) for n, c in checks]), lambda x: x.isNotNull())

@@ -52,9 +52,9 @@ def verify(candidates: DataFrame, right: DataFrame, table: dict[str, float] | No
 
 
 def publish_strict(verified: DataFrame, group: str, cap: int) -> DataFrame:
-    """Verified findings of each group by severity and confidence; beyond ``cap`` they stay verified, but unpublished."""
+    """Verified findings of each group by severity and confidence; beyond ``cap`` they stay verified, but unpublished, with the reason publication_limit."""
     order = Window.partitionBy(group).orderBy(severity_rank(F.col("severity")).desc(), F.col("confidence").desc(), "ordinal")
-    return verified.filter("status = 'verified'").withColumn("publishable", F.row_number().over(order) <= cap)
+    return verified.filter("status = 'verified'").withColumn("publishable", F.row_number().over(order) <= cap).withColumn("rejection_reason", F.when(~F.col("publishable"), "publication_limit"))
 
 
 def publish_plain(candidates: DataFrame, group: str, cap: int, table: dict[str, float] | None = None) -> DataFrame:

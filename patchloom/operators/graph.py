@@ -60,11 +60,17 @@ def moved_symbols(base: DataFrame, head: DataFrame, order: str = "stable_key") -
     return lost.join(new, ["kind", "qualified_name"]).select(F.explode(F.aggregate("lost", empty, step, lambda acc: acc["out"])).alias("o")).select("o.*")
 
 
-def link_unique_names(edges: DataFrame, symbols: DataFrame, confidence: float) -> DataFrame:
-    """``unresolved:<name>`` targets become the key of the only symbol of that name; others stay."""
+def link_unique_names(edges: DataFrame, symbols: DataFrame, confidence: float, files: bool = True, again: bool = False) -> DataFrame:
+    """``unresolved:<name>`` targets become the key of the only symbol of that name; others stay.
+
+    Without ``files`` symbols of kind ``file`` don't count; ``again`` keeps one of edges that have become the same, the surest.
+    """
+    if not files:
+        symbols = symbols.filter("kind <> 'file'")
     only = symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("stable_key").alias("found")).filter("n = 1").select(F.concat(F.lit("unresolved:"), "name").alias("to_key"), "found")
     out = edges.join(only, "to_key", "left")
-    return out.select("from_key", F.coalesce("found", "to_key").alias("to_key"), F.when(F.col("found").isNotNull(), F.lit(confidence)).otherwise(F.col("confidence")).alias("confidence"))
+    linked = out.select("from_key", F.coalesce("found", "to_key").alias("to_key"), F.when(F.col("found").isNotNull(), F.lit(confidence)).otherwise(F.col("confidence")).alias("confidence"))
+    return linked.groupBy("from_key", "to_key").agg(F.max("confidence").alias("confidence")) if again else linked
 
 
 def normal_path(path: Column) -> Column:
@@ -291,6 +297,20 @@ def reuse_candidates(symbols: DataFrame, changed: DataFrame, edges: DataFrame, t
     return rows.withColumn("c", case).filter("c IS NOT NULL").select("stable_key", "qualified_name", "c.*").orderBy(F.col("score").desc(), "qualified_name", "stable_key").limit(top)
 
 
+def fact_audit(edges: DataFrame, changed: DataFrame, symbols: DataFrame) -> DataFrame:
+    """One row: resolved calls, those from unchanged into changed symbols and their distinct callers, and annotations whose path isn't their owner's.
+
+    ``symbols`` (stable_key, path); an edge of type ANNOTATED_WITH names its owner as from_key and its own place as source_path.
+    """
+    flag = lambda c: changed.select(F.col("stable_key").alias(c), F.lit(True).alias(f"{c}_changed"))
+    rows = edges.filter("type = 'CALLS' AND type_resolved").join(flag("to_key"), "to_key", "left").join(flag("from_key"), "from_key", "left")
+    into = F.col("to_key_changed").isNotNull() & F.col("from_key_changed").isNull()
+    calls = rows.agg(F.count("*").alias("calls"), F.count_if(into).alias("from_unchanged"), F.countDistinct(F.when(into, F.col("from_key"))).alias("callers"))
+    owners = edges.filter("type = 'ANNOTATED_WITH'").join(symbols.select(F.col("stable_key").alias("from_key"), F.col("path").alias("__path")), "from_key", "left")
+    wrong = owners.agg(F.count_if(~F.col("source_path").eqNullSafe(F.col("__path"))).alias("annotation_mismatches"))
+    return calls.withColumn("__k", F.lit(1)).join(wrong.withColumn("__k", F.lit(1)), "__k").drop("__k")
+
+
 def snapshot_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: how many rows of ``a`` are missing in ``b`` and how many are extra, as sets."""
     return a.exceptAll(b).agg(F.count("*").alias("missing")).withColumn("k", F.lit(1)).join(b.exceptAll(a).agg(F.count("*").alias("extra")).withColumn("k", F.lit(1)), "k").drop("k")

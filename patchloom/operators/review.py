@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchloom.functions.text import is_safe_path, language_of_path
 from patchloom.operators.ranks import numbered
 from patchloom.sources.saved import saved
 
@@ -20,11 +21,38 @@ def truth_set(expected: DataFrame, actual: DataFrame, key: list[str], by: str) -
     return rows.unionByName(pooled).withColumn("precision", precision)
 
 
-def coverage_level(files: DataFrame, by: str) -> DataFrame:
-    """Counts by status and the level: FAILED without an indexed file, PARTIAL with any failed or skipped, else SEMANTIC."""
+#: How many files and bytes of a file an index takes.
+INDEX_FILES, INDEX_FILE_BYTES = 100, 500_000
+
+
+def index_status(files: DataFrame, group: str, order: str, most_files: int = INDEX_FILES, most_bytes: int = INDEX_FILE_BYTES) -> DataFrame:
+    """``group``, path, status, reason of files that an index is asked for, the first reason that fits.
+
+    skipped: unsafe_path, unsupported (no language), budget (beyond the first ``most_files`` supported ones), too_large; absent:
+    not_found (no content at that revision); failed: parse_error; else indexed. ``files`` (``group``, path, content, parse_error).
+    """
+    safe, known = is_safe_path(F.col("path")), language_of_path(F.col("path")).isNotNull()
+    rows = files.withColumn("__use", safe & known)
+    place = F.row_number().over(Window.partitionBy(group, "__use").orderBy(order))
+    reason = (
+        F.when(~safe, "unsafe_path").when(~known, "unsupported").when(place > most_files, "budget").when(F.col("content").isNull(), "not_found")
+        .when(F.octet_length("content") > most_bytes, "too_large").when(F.coalesce("parse_error", F.lit(False)), "parse_error")
+    )
+    rows = rows.withColumn("reason", reason)
+    status = F.when(F.col("reason").isNull(), "indexed").when(F.col("reason") == "not_found", "absent").when(F.col("reason") == "parse_error", "failed").otherwise("skipped")
+    return rows.select(group, "path", status.alias("status"), "reason")
+
+
+def coverage_level(files: DataFrame, by: str, degraded: DataFrame | None = None) -> DataFrame:
+    """Counts by status and the level: FAILED without an indexed file, PARTIAL with any failed or skipped or a ``degraded`` build (``by``), else SEMANTIC."""
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
     out = files.groupBy(by).agg(F.count("*").alias("total"), n("indexed"), n("skipped"), n("absent"), n("failed"))
-    return out.withColumn("level", F.when(F.col("indexed") == 0, "FAILED").when((F.col("failed") > 0) | (F.col("skipped") > 0), "PARTIAL").otherwise("SEMANTIC"))
+    worse = (F.col("failed") > 0) | (F.col("skipped") > 0)
+    if degraded is not None:
+        out = out.join(degraded.select(by, F.lit(True).alias("__degraded")).distinct(), by, "left")
+        worse = worse | F.col("__degraded").isNotNull()
+    out = out.withColumn("level", F.when(F.col("indexed") == 0, "FAILED").when(worse, "PARTIAL").otherwise("SEMANTIC"))
+    return out.drop("__degraded")
 
 
 def reasons(checks: list[tuple[str, Column]]) -> Column:
@@ -86,15 +114,17 @@ def change_groups(files: DataFrame, ties: DataFrame, rounds: int = 30) -> DataFr
     """
     near = ties.join(files.select(F.col("path").alias("a")), "a", "left_semi").join(files.select(F.col("path").alias("b")), "b", "left_semi")
     near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = files.select("path", F.col("path").alias("group")).distinct()
+    near = saved(near, "ties")
+    labels, seen = files.select("path", F.col("path").alias("group")).distinct(), None
     for _ in range(rounds):
         least = near.join(labels.select(F.col("path").alias("b"), F.col("group").alias("g")), "b").groupBy(F.col("a").alias("path")).agg(F.min("g").alias("g"))
         moved = labels.join(least, "path", "left").select("path", F.least("group", F.coalesce("g", "group")).alias("group"))
         jumped = moved.join(moved.select(F.col("path").alias("group"), F.col("group").alias("far")), "group").select("path", F.least("group", "far").alias("group"))
-        jumped = saved(jumped, "groups")
-        if not jumped.exceptAll(labels).limit(1).count():
-            return jumped
-        labels = jumped
+        labels = saved(jumped, "groups")
+        state = labels.agg(F.count("*"), F.sum(F.xxhash64("path", "group") % 2**40)).first()
+        if state == seen:
+            return labels
+        seen = state
     raise RuntimeError("groups did not settle")
 
 

@@ -10,6 +10,31 @@ def first_of_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
+def last_of_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order]))).filter("_n = 1").drop("_n")
+
+
+def distinct_edges(edges: DataFrame, order: list[str], typed: bool = True, last: bool = False) -> DataFrame:
+    """Edges once by source, target and place: with their type and line, or, not ``typed``, with path and line; the first counts, or the ``last``."""
+    key = ["from_key", "to_key", "type", "source_line"] if typed else ["from_key", "to_key", "source_path", "source_line"]
+    return (last_of_key if last else first_of_key)(edges, key, order)
+
+
+def replace_children(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """``old`` without the rows of any key that ``new`` has, and all rows of ``new``."""
+    return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
+
+
+def status_counts(runs: DataFrame, status: str, ts: str, cutoff: Column) -> DataFrame:
+    """Runs by status from ``cutoff`` on."""
+    return runs.filter(F.col(ts) >= cutoff).groupBy(status).agg(F.count("*").alias("n"))
+
+
+def deletion_receipts(deleted: DataFrame, repository: str, counts: list[str]) -> DataFrame:
+    """What was deleted of each repository, under a hash that doesn't name it: receipt, ``counts``."""
+    return deleted.select(F.sha2(F.concat(F.col(repository).cast("string"), F.lit(":receipt")), 256).alias("receipt"), *counts)
+
+
 def deliveries(rows: DataFrame, key: str, payload: list[str], order: list[str]) -> DataFrame:
     """Each delivery's outcome: the first of its key is accepted; later ones are duplicates, or conflicts if they differ."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -116,9 +116,9 @@ def verified_findings(s, d):
     return _verified(s, d).select("fingerprint", "rule_id", "path", "line", "status", "rejection_reason")
 
 
-@query("published_findings_strict", _VER_SQL + f" SELECT fingerprint, row_number() OVER (PARTITION BY change_id ORDER BY {_RANK_SQL} DESC, confidence DESC, ordinal) <= 10 AS publishable FROM v WHERE rejection_reason IS NULL")
+@query("published_findings_strict", _VER_SQL + f" SELECT fingerprint, row_number() OVER (PARTITION BY change_id ORDER BY {_RANK_SQL} DESC, confidence DESC, ordinal) <= 10 AS publishable, CASE WHEN row_number() OVER (PARTITION BY change_id ORDER BY {_RANK_SQL} DESC, confidence DESC, ordinal) > 10 THEN 'publication_limit' END AS rejection_reason FROM v WHERE rejection_reason IS NULL")
 def published_findings_strict(s, d):
-    return findings.publish_strict(_verified(s, d), "change_id", 10).select("fingerprint", "publishable")
+    return findings.publish_strict(_verified(s, d), "change_id", 10).select("fingerprint", "publishable", "rejection_reason")
 
 
 @query("published_findings_plain", _ORD_SQL + f" SELECT fingerprint, publishable, CASE WHEN publishable THEN 'verified' ELSE 'rejected' END AS status FROM (SELECT sha256(rule_id || chr(10) || path || chr(10) || line) AS fingerprint, row_number() OVER (PARTITION BY change_id ORDER BY {_RANK_SQL} DESC, ordinal) <= 10 AND confidence >= CASE severity WHEN 'critical' THEN 0.90 WHEN 'high' THEN 0.85 ELSE 0.80 END AS publishable FROM o)")
@@ -292,9 +292,13 @@ def mismatches(s, d):
     return p.join(e.select("doc_id"), "doc_id", "left_anti").withColumn("kind", F.lit("false_positive")).unionByName(e.join(p.select("doc_id"), "doc_id", "left_anti").withColumn("kind", F.lit("false_negative")))
 
 
-@query("benchmark_gate", _METRICS + " SELECT tp, fp, fn, failures, failures = '' AS passed FROM (SELECT *, concat_ws(',', CASE WHEN NOT precision >= 0.8 THEN 'precision' END, CASE WHEN NOT recall >= 0.7 THEN 'recall' END, CASE WHEN NOT tp + fn >= 100 THEN 'cases' END) AS failures FROM m)")
+@query("benchmark_gate", _METRICS + ", n AS (SELECT count(*) AS cases, count(*) FILTER (quality = 0) AS positive, count(*) FILTER (quality = 1) AS negative FROM labels), t AS (SELECT round(max(CASE WHEN k = ceil(c * 0.95) THEN value END), 2) AS p95 FROM (SELECT value, row_number() OVER (ORDER BY value) AS k, count(*) OVER () AS c FROM events WHERE value IS NOT NULL)) SELECT tp, fp, fn, cases, positive, negative, p95, failures, failures = '' AS passed FROM (SELECT *, concat_ws(',', CASE WHEN NOT cases >= 100 THEN 'cases' END, CASE WHEN NOT positive >= 20 THEN 'positive' END, CASE WHEN NOT negative >= 20 THEN 'negative' END, CASE WHEN NOT precision >= 0.8 THEN 'precision' END, CASE WHEN NOT recall >= 0.7 THEN 'recall' END, CASE WHEN NOT p95 <= 1000 THEN 'latency' END) AS failures FROM m, n, t)")
 def benchmark_gate(s, d):
-    return evaluation.gate(replay_metrics(s, d), [("precision", "precision >= 0.8"), ("recall", "recall >= 0.7"), ("cases", "tp + fn >= 100")]).select("tp", "fp", "fn", "failures", "passed")
+    cases = table(s, d, "labels").agg(F.count("*").alias("cases"), F.count_if(F.col("quality") == 0).alias("positive"), F.count_if(F.col("quality") == 1).alias("negative"))
+    times = evaluation.nearest_rank(table(s, d, "events").select("value", F.lit(1).alias("k")), "value", {"p95": 0.95}, ["k"])
+    one = lambda x: x.withColumn("k", F.lit(1))
+    metrics = one(replay_metrics(s, d)).join(one(cases), "k").join(times.drop("n"), "k")
+    return evaluation.gate(metrics, evaluation.BENCHMARK).select("tp", "fp", "fn", "cases", "positive", "negative", "p95", "failures", "passed")
 
 
 @query("latency_percentiles", "SELECT event_type, max(n) AS n, round(max(CASE WHEN k = ceil(n * 0.5) THEN value END), 2) AS p50, round(max(CASE WHEN k = ceil(n * 0.95) THEN value END), 2) AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY 1")
@@ -562,12 +566,10 @@ def change_groups(s, d):
     return review.change_groups(parts.select(key("l_partkey", "path")), ties)
 
 
-@query("fact_audit", _EDG + " SELECT count(*) AS calls, count(*) FILTER (c.stable_key IS NOT NULL AND b.stable_key IS NULL) AS from_unchanged, count(DISTINCT from_key) FILTER (c.stable_key IS NOT NULL AND b.stable_key IS NULL) AS callers FROM edges LEFT JOIN changes c ON c.stable_key = to_key LEFT JOIN changes b ON b.stable_key = from_key WHERE type = 'CALLS' AND type_resolved")
+@query("fact_audit", _GS + " SELECT count(*) AS calls, count(*) FILTER (c.stable_key IS NOT NULL AND b.stable_key IS NULL) AS from_unchanged, count(DISTINCT from_key) FILTER (c.stable_key IS NOT NULL AND b.stable_key IS NULL) AS callers, (SELECT count(*) FROM orders WHERE o_orderkey % 100 <> o_custkey % 100) AS annotation_mismatches FROM edges LEFT JOIN changes c ON c.stable_key = to_key LEFT JOIN changes b ON b.stable_key = from_key WHERE type = 'CALLS' AND type_resolved")
 def fact_audit(s, d):
-    flag = lambda c: A.changes(s, d).select(F.col("stable_key").alias(c), F.lit(True).alias(f"{c}_changed"))
-    rows = A.edges(s, d).filter("type = 'CALLS' AND type_resolved").join(flag("to_key"), "to_key", "left").join(flag("from_key"), "from_key", "left")
-    into = F.col("to_key_changed").isNotNull() & F.col("from_key_changed").isNull()
-    return rows.agg(F.count("*").alias("calls"), F.count_if(into).alias("from_unchanged"), F.countDistinct(F.when(into, F.col("from_key"))).alias("callers"))
+    notes = table(s, d, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("from_key"), F.lit("note").alias("to_key"), F.lit("ANNOTATED_WITH").alias("type"), F.lit(1.0).alias("confidence"), F.col("o_orderkey").alias("ord"), F.lit(True).alias("type_resolved"), F.concat(F.lit("order/"), (F.col("o_custkey") % 100).cast("string")).alias("source_path"))
+    return graph.fact_audit(A.edges(s, d).withColumn("source_path", F.lit(None).cast("string")).unionByName(notes), A.changes(s, d), A.graph_symbols(s, d, True))
 
 
 from patchloom.plans import families  # noqa: E402,F401 (registers the other families)

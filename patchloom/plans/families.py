@@ -704,3 +704,76 @@ def extracted_calls(s, d):
 def markdown_rules_quoted(s, d):
     rows = table(s, d, "part").filter("instr(p_name, '\"') = 0").select(_text("p_partkey").alias("source"), F.concat(F.lit("- "), "p_name").alias("text"))
     return review.markdown_rules(rows, quoted=True).select(F.col("source").cast("long").alias("p_partkey"), "rule_key")
+
+
+# --- state -----------------------------------------------------------------------------------------------------------
+
+
+@query("index_coverage", "WITH f AS (SELECT doc_id // 50 AS g, doc_id, (['src/a.java', 'b.py', 'c.unknown', '../d.go', 'e.rb'])[1 + doc_id % 5] AS path, CASE WHEN doc_id % 7 <> 0 THEN text END AS content, doc_id % 11 = 0 AS bad FROM documents), p AS (SELECT *, path <> '../d.go' AND path <> 'c.unknown' AS use FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY g, use ORDER BY doc_id) AS n FROM p), s AS (SELECT g, CASE WHEN path = '../d.go' THEN 'skipped' WHEN path = 'c.unknown' THEN 'skipped' WHEN n > 20 THEN 'skipped' WHEN content IS NULL THEN 'absent' WHEN strlen(content) > 4000 THEN 'skipped' WHEN bad THEN 'failed' ELSE 'indexed' END AS status FROM r), c AS (SELECT g, count(*) AS total, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'absent') AS absent, count(*) FILTER (status = 'failed') AS failed FROM s GROUP BY 1) SELECT *, CASE WHEN indexed = 0 THEN 'FAILED' WHEN failed > 0 OR skipped > 0 OR g % 2 = 0 THEN 'PARTIAL' ELSE 'SEMANTIC' END AS level FROM c")
+def index_coverage(s, d):
+    k = F.col("doc_id")
+    names = F.array(*[F.lit(x) for x in ("src/a.java", "b.py", "c.unknown", "../d.go", "e.rb")])
+    files = table(s, d, "documents").select(F.floor(k / 50).alias("g"), "doc_id", F.element_at(names, (1 + k % 5).cast("int")).alias("path"), F.when(k % 7 != 0, F.col("text")).alias("content"), (k % 11 == 0).alias("parse_error"))
+    status = review.index_status(files, "g", "doc_id", 20, 4000)
+    return review.coverage_level(status, "g", status.filter("g % 2 = 0"))
+
+
+@query("distinct_edges", "WITH e AS (SELECT 'o' || l_orderkey AS from_key, 'p' || (l_partkey % 20) AS to_key, l_returnflag AS type, l_linenumber AS source_line, 's' || (l_suppkey % 2) AS source_path, " + _LINE + " AS k FROM lineitem) SELECT 'typed_first' AS variant, from_key, to_key, k FROM (SELECT *, row_number() OVER (PARTITION BY from_key, to_key, type, source_line ORDER BY k) AS n FROM e) WHERE n = 1 UNION ALL SELECT 'typed_last', from_key, to_key, k FROM (SELECT *, row_number() OVER (PARTITION BY from_key, to_key, type, source_line ORDER BY k DESC) AS n FROM e) WHERE n = 1 UNION ALL SELECT 'placed_first', from_key, to_key, k FROM (SELECT *, row_number() OVER (PARTITION BY from_key, to_key, source_path, source_line ORDER BY k) AS n FROM e) WHERE n = 1")
+def distinct_edges(s, d):
+    edges = table(s, d, "lineitem").select(F.concat(F.lit("o"), _text("l_orderkey")).alias("from_key"), F.concat(F.lit("p"), (F.col("l_partkey") % 20).cast("string")).alias("to_key"), F.col("l_returnflag").alias("type"), F.col("l_linenumber").alias("source_line"), F.concat(F.lit("s"), (F.col("l_suppkey") % 2).cast("string")).alias("source_path"), F.expr(_LINE).alias("k"))
+    one = lambda name, **how: state.distinct_edges(edges, ["k"], **how).select(F.lit(name).alias("variant"), "from_key", "to_key", "k")
+    return one("typed_first").unionByName(one("typed_last", last=True)).unionByName(one("placed_first", typed=False))
+
+
+@query("replaced_children", "SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS side FROM lineitem WHERE l_orderkey % 3 <> 0 OR l_linenumber <= 2")
+def replaced_children(s, d):
+    line = table(s, d, "lineitem").select("l_orderkey", "l_linenumber")
+    new = line.filter("l_orderkey % 3 = 0 AND l_linenumber <= 2")
+    kept = state.replace_children(line.withColumn("side", F.lit("old")), new.withColumn("side", F.lit("new")), ["l_orderkey"])
+    none = line.filter("l_orderkey % 3 = 0").select("l_orderkey").distinct().join(new.select("l_orderkey").distinct(), "l_orderkey", "left_anti")
+    return kept.join(none, "l_orderkey", "left_anti")
+
+
+@query("status_counts", f"SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 700 DAY GROUP BY 1")
+def status_counts(s, d):
+    return state.status_counts(table(s, d, "orders"), "o_orderstatus", "o_orderdate", _ts(NOW) - F.expr("INTERVAL 700 DAY"))
+
+
+@query("deletion_receipts", "SELECT sha256(o_custkey || ':receipt') AS receipt, count(*) AS runs FROM orders GROUP BY o_custkey")
+def deletion_receipts(s, d):
+    return state.deletion_receipts(table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("runs")), "o_custkey", ["runs"])
+
+
+@query("budget_states", f"WITH {_PLANS}, sp AS (SELECT pl.run_id, count(*) AS calls, CAST(sum(request_bytes) AS BIGINT) AS bytes, count(*) FILTER (ca.id IS NULL OR status = 'reserved') AS pending, count(*) FILTER (max_calls <> 4) AS changed FROM pl LEFT JOIN ca ON ca.id = call_id GROUP BY 1), un AS (SELECT run_id, count(*) AS unplanned FROM ca WHERE id NOT IN (SELECT call_id FROM pl) GROUP BY 1) SELECT coalesce(sp.run_id, un.run_id) AS run_id, coalesce(calls, 0) AS calls, coalesce(bytes, 0) AS bytes, coalesce(pending, 0) AS pending, coalesce(unplanned, 0) AS unplanned, coalesce(changed, 0) AS changed FROM sp FULL JOIN un ON sp.run_id = un.run_id")
+def budget_states(s, d):
+    line = table(s, d, "lineitem")
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    plans = line.filter("l_suppkey % 9 <> 0").select(key.alias("call_id"), F.col("l_orderkey").alias("run_id"), (F.col("l_quantity") * 10).cast("long").alias("request_bytes"), F.when(F.col("l_partkey") % 50 == 0, 3).otherwise(4).alias("max_calls"), F.lit(1000).alias("max_input_bytes"))
+    calls = line.filter("l_suppkey % 7 <> 0").select(key.alias("id"), F.col("l_orderkey").alias("run_id"), F.when(F.col("l_partkey") % 40 == 0, "reserved").otherwise("done").alias("status"))
+    return jobs.budget_state(plans, calls, 4, 1000)
+
+
+@query("unified_edits", "SELECT p_partkey AS change_id, 'f' AS path, 1::BIGINT AS removed, 2::BIGINT AS added, CASE WHEN p_partkey % 5 = 0 THEN 'invalid_range' END AS refused, CASE WHEN p_partkey % 5 <> 0 THEN '--- a/f' || chr(10) || '+++ b/f' || chr(10) || '@@ -2,1 +2,2 @@' || chr(10) || '-' || p_type || chr(10) || '+x' || chr(10) || '+' || p_brand END AS diff FROM part")
+def unified_edits(s, d):
+    part = table(s, d, "part")
+    files = part.select(F.col("p_partkey").alias("change_id"), F.lit("f").alias("path"), F.concat_ws("\n", "p_name", "p_type", F.lit("end")).alias("content"))
+    at = F.when(F.col("p_partkey") % 5 == 0, 9).otherwise(2)
+    edits = part.select(F.col("p_partkey").alias("change_id"), F.lit("f").alias("path"), at.alias("start_line"), at.alias("end_line"), F.array(F.lit("x"), F.col("p_brand")).alias("replacement"))
+    return diff.unified_edits(files, edits)
+
+
+@query("holdout_files", "SELECT 'r' AS repository, 'c' AS commit_sha, 'd/' || doc_id AS path, CAST(n_lines AS INT) AS n_lines, CAST(0 AS INT) AS n_calls, sha256('v1' || chr(10) || 'r' || chr(10) || 'c' || chr(10) || 'd/' || doc_id) AS sample_rank FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n_lines FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[A-Za-z_$][A-Za-z0-9_$]*\\s*\\(')) WHERE n_lines BETWEEN 2 AND 240 ORDER BY sample_rank LIMIT 10")
+def holdout_files(s, d):
+    from patchloom.operators import evaluation
+
+    docs = table(s, d, "documents").filter(F.col("text").isNotNull() & ~F.col("text").rlike(r"[A-Za-z_$][A-Za-z0-9_$]*\s*\("))
+    return evaluation.holdout(docs.select(F.lit("r").alias("repository"), F.lit("c").alias("commit_sha"), F.concat(F.lit("d/"), _text("doc_id")).alias("path"), F.col("text").alias("content")), "v1", 10, least=2, calls=0)
+
+
+@query("unique_name_links_distinct", "WITH names AS (SELECT p_name AS name, count(*) AS n, 'part:' || min(p_partkey) AS k FROM part WHERE p_size % 10 <> 0 GROUP BY p_name), e AS (SELECT 'order:' || l_orderkey AS from_key, p_name AS name, l_linenumber FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT from_key, CASE WHEN n = 1 THEN k ELSE 'unresolved:' || e.name END AS to_key, max(CASE WHEN n = 1 THEN 0.75 ELSE 0.4 END)::DOUBLE AS confidence FROM e LEFT JOIN names ON names.name = e.name GROUP BY 1, 2")
+def unique_name_links_distinct(s, d):
+    """The variant without file symbols, of equal edges one."""
+    part, line = table(s, d, "part"), table(s, d, "lineitem")
+    known = part.select(F.concat(F.lit("part:"), _text("p_partkey")).alias("stable_key"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 10 == 0, "file").otherwise("part").alias("kind"))
+    used = line.select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(part, "p_partkey").select(F.concat(F.lit("order:"), _text("l_orderkey")).alias("from_key"), F.concat(F.lit("unresolved:"), "p_name").alias("to_key"), F.lit(0.4).alias("confidence"))
+    return graph.link_unique_names(used, known, 0.75, files=False, again=True)

@@ -10,7 +10,8 @@ from patchloom.functions import text as T
 from patchloom.operators import diff, evaluation, graph, jobs, packets, policy, review, state
 from patchloom.operators.ranks import numbered
 from patchloom.sources import context
-from patchloom.sources.tables import load_snapshot, replay_cases, save_snapshot
+from patchloom.sources.tables import SCHEMAS, conforming, load_ready, load_snapshot, relation, replay_cases, save_index, save_snapshot
+from patchloom.streaming import intake
 
 SYMBOL = "stable_key string, kind string, qualified_name string, signature string, content_hash string"
 
@@ -300,3 +301,37 @@ def test_fingerprints_of_tables(spark):
 def test_scalars(spark):
     row = frame(spark, [("x/.env", "a/b.TAR.GZ", "```\n{}\n```", "z" * 301)], "p string, q string, j string, e string").select(T.extension_of(F.col("p")), T.extension_of(F.col("q")), T.folder_of(F.col("q")), T.base_name(F.col("q")), T.embedded_json(F.col("j")), F.length(T.evidence_id(F.col("e")))).first()
     assert tuple(row) == ("", ".gz", "a", "b.TAR.GZ", "{}", 80)
+
+
+def test_relations_from_outside_are_checked(spark, tmp_path):
+    edge = SCHEMAS["code_edges"]
+    good = frame(spark, [("s", "a", "b", "CALLS", 0.5, "p", 3)], edge)
+    assert conforming(good.withColumn("extra", F.lit(1)), "code_edges").columns == good.columns and conforming(good, "code_edges").count() == 1
+    with pytest.raises(ValueError, match="needs confidence as double"):
+        conforming(good.withColumn("confidence", F.lit("x")), "code_edges")
+    with pytest.raises(ValueError, match="needs to_key"):
+        conforming(good.drop("to_key"), "code_edges")
+    for bad in (("s", None, "b", "CALLS", 0.5, "p", 3), ("s", "a", "b", "CALLS", 1.5, "p", 3), ("s", "a", "b", "CALLS", None, "p", 3)):
+        with pytest.raises(Exception, match="breaks its rule"):
+            conforming(frame(spark, [bad], edge), "code_edges").collect()
+    (tmp_path / "f.json").write_text('{"path": "a", "status": "added", "additions": 1, "deletions": 0, "patch": "x"}\n\n{"path": "b"}\n')
+    assert sorted(r.path for r in relation(spark, str(tmp_path / "f.json"), "changed_files").collect()) == ["a", "b"]
+    (tmp_path / "g.json").write_text('{"path": "a", "additions": "many"}\n')
+    with pytest.raises(Exception, match="(?i)malformed|cannot"):
+        relation(spark, str(tmp_path / "g.json"), "changed_files").collect()
+
+
+def test_only_ready_indexes_are_read(spark, tmp_path):
+    children = frame(spark, [("a",), ("b",)], "stable_key string")
+    for key, status in (("k1", "ready"), ("k2", "running")):
+        save_index(spark, frame(spark, [(status,)], "status string"), children, str(tmp_path), key)
+    save_index(spark, frame(spark, [("ready",)], "status string"), children.limit(1), str(tmp_path), "k1")
+    assert (load_ready(spark, str(tmp_path), "k1").count(), load_ready(spark, str(tmp_path), "k2").count()) == (1, 0)
+
+
+def test_status_counts_on_a_stream(spark, tmp_path):
+    spark.range(40).selectExpr("if(id % 4 = 0, 'failed', 'completed') AS status", "timestamp_seconds(id * 3600) AS ts").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("status string, ts timestamp").parquet(str(tmp_path / "in"))
+    query = intake.status_counts(stream, "status", "ts").writeStream.outputMode("complete").format("memory").queryName("statuses").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert {(r.window_start.day, r.status): r.n for r in spark.table("statuses").collect()} == {(1, "failed"): 6, (1, "completed"): 18, (2, "failed"): 4, (2, "completed"): 12}
