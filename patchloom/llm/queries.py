@@ -78,6 +78,26 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patchloom.llm.hard_negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, label)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patchloom.llm.warc import archived_pages
+
+    captures = archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patchloom.llm.filter_audit import audit_filters
+
+    return audit_filters(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -90,6 +110,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_pii": op9_pii,
         "op10_minhash_dedup": op10_minhash_dedup,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_warc": op12_warc,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -121,5 +144,36 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
+_NEGATIVES_SQL = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, CAST(list_inner_product(a.e, v.e) AS BIGINT) AS score FROM v AS a JOIN v ON v.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5),
+h AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS n FROM p JOIN s USING (anchor_id)
+  WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(n AS INT) AS rank, negative_id, positive_score, negative_score FROM h WHERE n <= 3"""
+
+_WARC_SQL = """WITH t AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+x AS (SELECT page_id, html, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM t),
+d AS (SELECT page_id, octet_length(encode(html)) AS n, first, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(5 * (j // 4) + 1 AS INT), 5) AS BIGINT) >> (15 - 5 * (j % 4))) & 31 AS INT) + 1, 1) FOR j IN range(32)], '') AS digest FROM x)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first OR first IS NULL THEN NULL ELSE first END AS refers_to FROM d"""
+
+_AUDIT_SQL = r"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, CAST(coalesce(good, false) AS INT) AS good, CAST(coalesce(toxic, false) AS INT) AS toxic,
+  CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails FROM t LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS v),
+o AS (SELECT a.v || b.v || c.v || d.v || e.v AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.v, b.v, c.v, d.v, e.v])) = 5),
+s AS (SELECT filter_order, CAST(step AS INT) AS step, substr(filter_order, 1, step - 1) AS before, substr(filter_order, step, 1) AS own FROM o, range(1, 6) AS r(step)),
+z AS (SELECT *, length(translate(fails, before, '')) < length(fails) AS earlier, contains(fails, own) AS failed FROM c, s)
+SELECT part, filter_order, step, CAST(coalesce(sum(n) FILTER (NOT earlier AND NOT failed), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (NOT earlier AND failed), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (earlier AND failed), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails = own), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (NOT earlier AND failed), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (NOT earlier AND failed), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(n * 120 // nullif(length(fails), 0)) FILTER (failed), 0) AS BIGINT) AS shapley FROM z GROUP BY part, filter_order, step"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _quality_sql(), "op3_topk_search": _SEARCH_SQL}
+    return {"op2_quality_rules": _quality_sql(), "op3_topk_search": _SEARCH_SQL, "op11_hard_negatives": _NEGATIVES_SQL, "op12_warc": _WARC_SQL, "op13_filter_audit": _AUDIT_SQL}
