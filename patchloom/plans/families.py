@@ -338,9 +338,25 @@ def expired_batch(s, d):
     return state.expire_leases(_jobs(s, d), _ts(NOW), batch=100).select("id", "attempts", "status")
 
 
-@query("lease_replay", None)
+def lease_sql(events: str, lease: int, timed: bool) -> str:
+    """The recursion over ``events`` (id, n from 1 on in order, seq, kind, generation, ms) that gives r: each event's result, and whether a lease ran out before it."""
+    over = "r.status = 'processing' AND r.until <= e.ms"
+    lapsed = over if timed else "false"
+    mine = "e.kind IN ('renew', 'complete') AND x.status = 'processing' AND e.generation = x.generation AND x.until > e.ms"
+    return f"""e AS ({events}),
+r AS (SELECT DISTINCT id, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS kind, 0::BIGINT AS ms, false AS ok, 'queued' AS status, 0 AS attempts, 0::BIGINT AS generation, 0::BIGINT AS until, false AS lapsed, 0::BIGINT AS ended FROM e
+UNION ALL SELECT id, n, seq, kind, ms, claims OR expires OR mine, CASE WHEN claims THEN 'processing' WHEN expires THEN CASE WHEN attempts + 1 >= 3 THEN 'failed' ELSE 'retry' END WHEN mine AND kind = 'complete' THEN 'completed' ELSE status END,
+  attempts + CASE WHEN expires THEN 1 ELSE 0 END, generation + CASE WHEN claims THEN 1 ELSE 0 END, CASE WHEN claims OR (mine AND kind = 'renew') THEN ms + {lease} ELSE until END, lapsed, until
+FROM (SELECT e.id, e.n, e.seq, e.kind, e.ms, x.status, x.attempts, x.generation, x.until, x.lapsed, e.kind = 'claim' AND x.status IN ('queued', 'retry') AND x.attempts < 3 AS claims, e.kind = 'expire' AND x.status = 'processing' AND x.until <= e.ms AS expires, {mine} AS mine
+  FROM (SELECT r.id, r.n, r.generation, r.until, {lapsed} AS lapsed, CASE WHEN {lapsed} THEN CASE WHEN r.attempts + 1 >= 3 THEN 'failed' ELSE 'retry' END ELSE r.status END AS status, r.attempts + CASE WHEN {lapsed} THEN 1 ELSE 0 END AS attempts FROM r JOIN e ON e.id = r.id AND e.n = r.n + 1) x JOIN e ON e.id = x.id AND e.n = x.n + 1))"""
+
+
+_LEASES = lease_sql("SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_id AS seq, (['claim', 'renew', 'expire', 'complete'])[1 + event_id % 4] AS kind, 1 + event_id % 3 AS generation, CAST(floor(epoch(ts)) AS BIGINT) AS ms FROM events", jobs.LEASE_SECONDS, False)
+
+
+@query("lease_replay", f"WITH RECURSIVE {_LEASES} SELECT id, seq, kind, ok, status, attempts, generation FROM r WHERE n > 0")
 def lease_replay(s, d):
-    """The life of each user's job, as their events tell it. No SQL; held against a plain loop in the tests."""
+    """The life of each user's job, as their events tell it."""
     kind = F.element_at(F.array(*[F.lit(x) for x in ("claim", "renew", "expire", "complete")]), (1 + F.col("event_id") % 4).cast("int"))
     rows = table(s, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), kind.alias("kind"), (1 + F.col("event_id") % 3).alias("generation"), F.unix_timestamp("ts").alias("ts"))
     return jobs.replay_leases(rows)
@@ -353,9 +369,17 @@ def run_times(s, d):
     return jobs.run_times(rows, ["l_shipdate", "l_orderkey", "l_linenumber"]).select("id", "status", _text("started_at").alias("started_at"), _text("completed_at").alias("completed_at"))
 
 
-@query("journal_replay", None)
+_JOURNAL = """WITH RECURSIVE e AS (SELECT l_orderkey AS run_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, kind, hash, remote_id NULLS FIRST) AS n, l_linenumber AS seq, kind, hash, remote_id
+  FROM (SELECT *, CASE WHEN l_linenumber = 1 THEN 'sent' ELSE 'confirmed' END AS kind, 'h' || (l_suppkey % 2) AS hash, CASE WHEN l_linenumber > 1 THEN l_partkey % 2 + 1 END AS remote_id FROM lineitem)),
+r AS (SELECT DISTINCT run_id, 0::BIGINT AS n, 0::BIGINT AS seq, NULL::VARCHAR AS kind, false AS ok, 'none' AS state, NULL::VARCHAR AS known, NULL::BIGINT AS remote_id FROM e
+UNION ALL SELECT run_id, n, seq, kind, sent OR confirmed, CASE WHEN sent THEN 'sent' WHEN confirmed THEN 'confirmed' ELSE state END, CASE WHEN sent THEN hash ELSE known END, CASE WHEN sent OR confirmed THEN coalesce(told, remote) ELSE remote END
+FROM (SELECT e.run_id, e.n, e.seq, e.kind, e.hash, e.remote_id AS told, r.state, r.known, r.remote_id AS remote, e.kind = 'sent' AND r.known IS NULL AS sent, e.kind = 'confirmed' AND coalesce(r.known = e.hash, false) AND e.remote_id IS NOT NULL AND coalesce(r.remote_id = e.remote_id, true) AS confirmed FROM r JOIN e ON e.run_id = r.run_id AND e.n = r.n + 1))
+SELECT run_id, 'check_result' AS operation, seq, kind, ok, state, remote_id FROM r WHERE n > 0"""
+
+
+@query("journal_replay", _JOURNAL)
 def journal_replay(s, d):
-    """Publications as lines of an order tell them. No SQL; held against a plain loop in the tests."""
+    """Publications as lines of an order tell them."""
     rows = table(s, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.lit("check_result").alias("operation"), F.col("l_linenumber").alias("seq"), F.when(F.col("l_linenumber") == 1, "sent").otherwise("confirmed").alias("kind"), F.concat(F.lit("h"), (F.col("l_suppkey") % 2).cast("string")).alias("hash"), F.when(F.col("l_linenumber") > 1, F.col("l_partkey") % 2 + 1).alias("remote_id"))
     return jobs.replay_journal(rows)
 

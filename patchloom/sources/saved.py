@@ -44,6 +44,13 @@ def _with_batches(frame: DataFrame, rows: int):
     return spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, frame._jdf.queryExecution().logical())
 
 
+def kept_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this application below the shared one, which goes when the application's tables go."""
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    _folders[folder] = spark
+    return f"{folder}/{name}"
+
+
 def saved(frame: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """``frame``, written as Parquet under the shared folder and read again.
 
@@ -51,9 +58,7 @@ def saved(frame: DataFrame, name: str, batch_rows: int | None = None) -> DataFra
     ``forget`` or until the application's Python process ends, as results are computed from it later.
     """
     spark = frame.sparkSession
-    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
-    _folders[folder] = spark
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = kept_folder(spark, f"{name}-{uuid.uuid4().hex}")
     if batch_rows:
         _with_batches(frame, batch_rows).write().parquet(path)
     else:
