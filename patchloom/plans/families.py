@@ -257,13 +257,6 @@ def module_links(s, d):
     return graph.link_modules(edges, files.unionByName(own)).select("id", "to_key", "confidence")
 
 
-@query("impact_evidence", None)
-def impact_evidence(s, d):
-    """Impact paths over calls alone, capped at 12 and trimmed, with keys and edges of each path. No SQL; held against a search in the tests."""
-    out = graph.impact_paths(A.changes(s, d), A.edges(s, d), None, rounded=False, cap=12, types=("CALLS",), trim=True, evidence=True)
-    return out.select("change_key", "impacted_key", "depth", "score", F.array_join("path", ",").alias("path"), F.array_join(F.transform("edge_ords", lambda x: x.cast("string")), ",").alias("edge_ords"))
-
-
 @query("blast_radius_plain", _EDG + """, w AS (SELECT *, confidence AS gain FROM edges),
 d1 AS (SELECT change_key, node, ord AS o1, gain AS score FROM (SELECT stable_key AS change_key, from_key AS node, ord, gain, row_number() OVER (PARTITION BY stable_key, from_key ORDER BY ord) AS n FROM changes JOIN w ON to_key = stable_key WHERE from_key <> stable_key) WHERE n = 1),
 d2 AS (SELECT change_key, node FROM (SELECT change_key, from_key AS node, row_number() OVER (PARTITION BY change_key, from_key ORDER BY o1, ord) AS n FROM d1 JOIN w ON to_key = node WHERE from_key <> change_key) t WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM d1 WHERE d1.change_key = t.change_key AND d1.node = t.node)),
