@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.functions.text import wilson
+from patchloom.operators.percentiles import nearest_rank
 from patchloom.operators.ranks import numbered
 
 
@@ -34,27 +35,6 @@ def category_counts(predicted: DataFrame, expected: DataFrame, key: list[str], c
     return out.select(category, zero("predicted"), zero("expected"), zero("tp"))
 
 
-def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float], by: list[str], accuracy: int = 10_000) -> DataFrame:
-    """Nearest-rank percentiles of each group to 2 decimals: the value at place ceil(n * share).
-
-    Equal values are counted first. Approximate percentiles on both sides of a share bound where its value lies; only the
-    values in these bounds, a share of 4 / ``accuracy`` of a group's, are put in order.
-    """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
-    bounds = [F.expr(f"percentile_approx(`{value}`, array({max(0.0, p - 2 / accuracy)}, {min(1.0, p + 2 / accuracy)}), {accuracy})").alias(f"__b_{name}") for name, p in shares.items()]
-    known = rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), *bounds)
-    out = known.select(*by, "n")
-    for name, p in shares.items():
-        low, high = F.col(f"__b_{name}")[0], F.col(f"__b_{name}")[1]
-        near = counts.join(known.select(*by, "n", f"__b_{name}"), by)
-        below = near.groupBy(*by).agg(F.sum(F.when(F.col("__v") < low, F.col("__c")).otherwise(0)).alias("__below"))
-        inside = near.filter(F.col("__v").between(low, high)).join(below, by)
-        upto = F.col("__below") + F.sum("__c").over(Window.partitionBy(*by).orderBy("__v"))
-        at = inside.withColumn("__k", upto).filter(F.col("__k") >= F.ceil(F.col("n") * F.lit(p))).groupBy(*by).agg(F.round(F.min("__v"), 2).alias(name))
-        out = out.join(at, by)
-    return out
-
-
 #: What a benchmark must show.
 BENCHMARK = [("cases", "cases >= 100"), ("positive", "positive >= 20"), ("negative", "negative >= 20"), ("precision", "precision >= 0.8"), ("recall", "recall >= 0.7"), ("latency", "p95 <= 1000")]
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from patchloom.functions.text import evidence_id, is_safe_path, redact
 from patchloom.operators.diff import changed_line_sets, parse_patch, reversed_patch
 from patchloom.operators.evaluation import share
+from patchloom.operators.intervals import holding, runs
 
 #: What titles, labels and paths say of a fix, and which lines say nothing.
 FIX_TITLE = r"(?i)\b(fix(?:es|ed)?|bug|panic|race|deadlock|leak|security|vulnerab\w*|timeout|crash|nil pointer|incorrect|corrupt\w*|data loss|hang|regression)\b"
@@ -54,9 +55,16 @@ def truth_gate(evaluations: DataFrame, repositories: int = LEAST_REPOSITORIES, p
 
 
 def scoped_calls(facts: DataFrame, paths: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Resolved call facts whose source path is in scope and whose target begins with a prefix in scope."""
+    """Resolved call facts whose source path is in scope and whose target begins with a prefix in scope.
+
+    A target meets prefixes by its beginnings of the lengths that prefixes have, so the join is by key. The lengths are one small array.
+    """
     near = facts.filter("type = 'CALLS' AND type_resolved").join(paths.select(F.col("path").alias("source_path")), "source_path", "left_semi")
-    return near.join(F.broadcast(prefixes.select("prefix")), F.col("to_key").startswith(F.col("prefix")), "left_semi")
+    use = prefixes.filter("prefix IS NOT NULL").select("prefix").distinct()
+    sizes = use.agg(F.collect_set(F.length("prefix")).alias("__sizes"), F.lit(1).alias("__k"))
+    names = near.select("to_key").distinct().withColumn("__k", F.lit(1)).join(F.broadcast(sizes), "__k")
+    begun = names.select("to_key", F.explode(F.filter("__sizes", lambda n: n <= F.length("to_key"))).alias("n")).select("to_key", F.substring(F.col("to_key"), F.lit(1), F.col("n")).alias("prefix"))
+    return near.join(begun.join(use, "prefix", "left_semi").select("to_key").distinct(), "to_key", "left_semi").select(*near.columns)
 
 
 def reviewer_agreement(facts: DataFrame, key: list[str], reviewer: str) -> DataFrame:
@@ -154,12 +162,16 @@ def progress(cases: DataFrame, decisions: DataFrame, contexts: DataFrame) -> Dat
 
 
 def diff_evidence_problems(evidence: DataFrame, files: DataFrame) -> DataFrame:
-    """``evidence`` (id, path, side, start_line, end_line) with ``problem``: a path that isn't changed, or a line that its side of the diff doesn't have; else null."""
-    wanted = evidence.withColumn("line", F.explode(F.sequence("start_line", "end_line")))
-    there = changed_line_sets(files).withColumn("__hit", F.lit(True))
-    missing = wanted.join(there, ["path", "side", "line"], "left").groupBy("id").agg(F.count_if(F.col("__hit").isNull()).alias("__missing"))
-    known = evidence.join(files.select("path", F.lit(True).alias("__known")).distinct(), "path", "left").join(missing, "id", "left")
-    return known.select(*evidence.columns, F.when(F.col("__known").isNull(), "unknown_path").when(F.col("__missing") > 0, "line_not_in_diff").alias("problem"))
+    """``evidence`` (id, path, side, start_line, end_line) with ``problem``: a path that isn't changed, or a line that its side of the diff doesn't have; else null.
+
+    A span is there if the run of changed lines that holds its first line holds its last one too; a span without a line lacks none.
+    """
+    there = runs(changed_line_sets(files), ["path", "side"], "line")
+    asked = evidence.filter("start_line <= end_line").select("id", "path", "side", "start_line", "end_line")
+    whole = holding(asked, "start_line", there, ["path", "side"], "first_line", "last_line").filter("end_line <= last_line").select("id").distinct()
+    known = evidence.join(files.select("path", F.lit(True).alias("__known")).distinct(), "path", "left").join(whole.withColumn("__whole", F.lit(True)), "id", "left")
+    lacks = F.col("__whole").isNull() & (F.col("start_line") <= F.col("end_line"))
+    return known.select(*evidence.columns, F.when(F.col("__known").isNull(), "unknown_path").when(lacks, "line_not_in_diff").alias("problem"))
 
 
 def context_evidence_problems(evidence: DataFrame, bundle: DataFrame, symbols: DataFrame) -> DataFrame:

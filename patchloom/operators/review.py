@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions.text import is_safe_path, language_of_path
+from patchloom.operators.components import components
 from patchloom.operators.ranks import numbered
-from patchloom.sources.saved import saved
 
 
 def truth_set(expected: DataFrame, actual: DataFrame, key: list[str], by: str) -> DataFrame:
@@ -69,7 +69,7 @@ def decision_history(events: DataFrame, key: str, order: str) -> DataFrame:
 def quota_sample(rows: DataFrame, stratum: str, order: str, target: int) -> DataFrame:
     """``target`` rows from strata in order, each with its share rounded up; what one can't fill passes to the next.
 
-    The fold is over strata and their sizes, not rows.
+    The fold is over strata and their sizes, not rows. Of each stratum a task sends on its first ``target`` rows at most.
     """
     sizes = rows.groupBy(stratum).agg(F.count("*").alias("size"))
     strata = sizes.agg(F.array_sort(F.collect_list(F.struct(F.col(stratum).alias("s"), F.col("size")))).alias("all"))
@@ -84,8 +84,9 @@ def quota_sample(rows: DataFrame, stratum: str, order: str, target: int) -> Data
     quota = F.ceil(F.lit(target) / F.greatest(F.size("all"), F.lit(1))).cast("long")
     empty = F.struct(quota.alias("quota"), F.lit(0).cast("long").alias("carried"), F.lit(0).cast("long").alias("taken"), F.array().cast(f"array<struct<s:{kind},take:bigint>>").alias("out"))
     takes = strata.select(F.explode(F.aggregate("all", empty, step, lambda acc: acc["out"])).alias("o")).select(F.col("o.s").alias(stratum), "o.take")
-    placed = numbered(rows, [stratum], [order], "__place").join(F.broadcast(takes), stratum)
-    return placed.filter(F.col("__place") < F.col("take")).drop("__place", "take")
+    first = F.row_number().over(Window.partitionBy(stratum).orderBy(order))
+    placed = rows.withColumn("__place", first).filter(F.col("__place") <= target).join(F.broadcast(takes), stratum)
+    return placed.filter(F.col("__place") <= F.col("take")).drop("__place", "take")
 
 
 def interleaved(rows: DataFrame, positive: str, order: str) -> DataFrame:
@@ -107,25 +108,12 @@ def manifest_check(applied: DataFrame, expected: DataFrame) -> DataFrame:
     return both.withColumn("problem", F.when(F.col("e").isNull(), "unknown").when(F.col("a").isNull(), "missing").when(F.col("a") != F.col("e"), "mismatch")).filter("problem IS NOT NULL").select("name", "problem")
 
 
-def change_groups(files: DataFrame, ties: DataFrame, rounds: int = 30) -> DataFrame:
-    """path, group of changed files: connected by ties (a, b) between changed files, named by the smallest path.
-
-    Labels move to the smallest neighbour, then to that one's label, until none changes. Changes hold a bounded number of files.
-    """
-    near = ties.join(files.select(F.col("path").alias("a")), "a", "left_semi").join(files.select(F.col("path").alias("b")), "b", "left_semi")
-    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    near = saved(near, "ties")
-    labels, seen = files.select("path", F.col("path").alias("group")).distinct(), None
-    for _ in range(rounds):
-        least = near.join(labels.select(F.col("path").alias("b"), F.col("group").alias("g")), "b").groupBy(F.col("a").alias("path")).agg(F.min("g").alias("g"))
-        moved = labels.join(least, "path", "left").select("path", F.least("group", F.coalesce("g", "group")).alias("group"))
-        jumped = moved.join(moved.select(F.col("path").alias("group"), F.col("group").alias("far")), "group").select("path", F.least("group", "far").alias("group"))
-        labels = saved(jumped, "groups")
-        state = labels.agg(F.count("*"), F.sum(F.xxhash64("path", "group") % 2**40)).first()
-        if state == seen:
-            return labels
-        seen = state
-    raise RuntimeError("groups did not settle")
+def change_groups(files: DataFrame, ties: DataFrame) -> DataFrame:
+    """path, group of changed files: connected by ties (a, b) between changed files, named by the smallest path; a file without ties is its own."""
+    known = files.filter("path IS NOT NULL").select("path").distinct()
+    near = ties.join(known.withColumnRenamed("path", "a"), "a", "left_semi").join(known.withColumnRenamed("path", "b"), "b", "left_semi")
+    found = components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return known.join(found.withColumnRenamed("node", "path"), "path", "left").select("path", F.coalesce("component", "path").alias("group"))
 
 
 def markdown_rules(texts: DataFrame, most: int = 100, size: int = 20_000, quoted: bool = False) -> DataFrame:
