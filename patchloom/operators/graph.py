@@ -214,11 +214,13 @@ def semantic_impact(base: DataFrame, head: DataFrame, edges: DataFrame, changed_
     ``base`` and ``head`` (stable_key, qualified_name, path); of a symbol in both the head's counts. Changed symbols are those of
     either side in changed paths; impacted ones are known and lie elsewhere. The first edge of each pair counts; tests score 1.
     """
-    changed = base.unionByName(head).join(changed_paths, "path", "left_semi").select("stable_key").distinct()
-    both = head.unionByName(base.join(head.select("stable_key"), "stable_key", "left_anti")).dropDuplicates(["stable_key"])
-    outside = both.join(changed_paths, "path", "left_anti").select(F.col("stable_key").alias("from_key"), F.col("qualified_name").alias("impacted_name"))
-    inside = both.join(changed, "stable_key", "left_semi").select(F.col("stable_key").alias("to_key"), F.col("qualified_name").alias("changed_name"))
-    rows = edges.filter(F.col("type_resolved") & F.col("type").isin(*IMPACT_TYPES)).join(inside, "to_key").join(outside, "from_key")
+    side = lambda x, n: x.select("stable_key", F.lit(n).alias("__side"), "qualified_name", "path")
+    marked = side(head, 0).unionByName(side(base, 1)).join(changed_paths.select("path", F.lit(True).alias("__in")).distinct(), "path", "left")
+    both = marked.groupBy("stable_key").agg(F.min_by(F.struct("qualified_name", "__in"), "__side").alias("first"), F.max(F.coalesce("__in", F.lit(False))).alias("changed"))
+    inside = both.filter("changed").select(F.col("stable_key").alias("to_key"), F.col("first.qualified_name").alias("changed_name"))
+    near = edges.filter(F.col("type_resolved") & F.col("type").isin(*IMPACT_TYPES)).select("from_key", "to_key", "type", "confidence", "ord").join(inside, "to_key")
+    outside = both.filter("first.__in IS NULL").select(F.col("stable_key").alias("from_key"), F.col("first.qualified_name").alias("impacted_name"))
+    rows = near.join(outside, "from_key")
     score = F.when(F.col("type") == "TESTS", 1.0).otherwise(F.col("confidence"))
     first = rows.groupBy("to_key", "from_key", "changed_name", "impacted_name").agg(F.min_by(score, "ord").alias("score"))
     best = first.orderBy(F.col("score").desc(), "changed_name", "impacted_name", "to_key", "from_key").limit(top)

@@ -32,8 +32,7 @@ def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float], by: list
     n = each.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.min(finite), F.lit(0.0)).alias("low"), F.coalesce(F.max(finite), F.lit(0.0)).alias("high"))
     place = lambda p: F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(p))).cast("long")
     wanted = F.array(*[F.struct(F.lit(name).alias("share"), place(p).alias("place")) for name, p in shares.items()])
-    counts = saved(n, "groups")
-    open_ = counts.withColumn("w", F.explode(wanted)).select(*keys, "w.*", "low", "high", F.lit(0).cast("long").alias("before"))
+    open_ = n.filter("n > 0").withColumn("w", F.explode(wanted)).select(*keys, "n", "w.*", "low", "high", F.lit(0).cast("long").alias("before"))
     same = lambda a, b, cs: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cs]
     done: list[DataFrame] = []
     for step in range(MAX_ROUNDS):
@@ -49,7 +48,7 @@ def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float], by: list
         counted = counted.withColumn("upto", upto)
         ends = [*keys, "low", "high"]
         hit = open_.alias("a").join(counted.alias("b"), same("a", "b", ends)).filter((F.col("a.before") + F.col("b.upto") >= F.col("a.place")) & (F.col("a.before") + F.col("b.upto") - F.col("b.c") < F.col("a.place")))
-        chosen = saved(hit.select(*[F.col(f"a.{k}") for k in keys], "a.share", "a.place", F.col("b.next_low").alias("low"), F.col("b.next_high").alias("high"), (F.col("a.before") + F.col("b.upto") - F.col("b.c")).alias("before")), "ranges")
+        chosen = saved(hit.select(*[F.col(f"a.{k}") for k in keys], "a.n", "a.share", "a.place", F.col("b.next_low").alias("low"), F.col("b.next_high").alias("high"), (F.col("a.before") + F.col("b.upto") - F.col("b.c")).alias("before")), "ranges")
         settled = F.col("low").eqNullSafe(F.col("high"))
         done.append(chosen.filter(settled))
         open_ = chosen.filter(~settled)
@@ -60,9 +59,5 @@ def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float], by: list
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
-    wide = found.groupBy(*keys).agg(*[F.round(F.max(F.when(F.col("share") == name, F.col("low"))), 2).alias(name) for name in shares])
-    if keys:
-        out = counts.alias("a").join(wide.alias("b"), same("a", "b", keys)).select(*[F.col(f"a.{k}").alias(c) for c, k in zip(by, keys, strict=True)], "a.n", *[F.col(f"b.{name}") for name in shares])
-    else:
-        out = counts.filter("n > 0").withColumn("__k", F.lit(1)).join(wide.withColumn("__k", F.lit(1)), "__k").select("n", *shares)
-    return out
+    out = found.groupBy(*keys, "n").agg(*[F.round(F.max(F.when(F.col("share") == name, F.col("low"))), 2).alias(name) for name in shares])
+    return out.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "n", *shares)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from patchloom.functions import text as T
 from patchloom.operators import diff, findings, graph, jobs, packets, policy, review, rules, state, symbols
 from patchloom.plans import adapters as A
-from patchloom.plans.catalog import _EDG, _GS, _ORD_SQL, _PAT, _SYM, NOW, query
+from patchloom.plans.catalog import _EDG, _GS, _ORD_SQL, _PAT, _SYM, NOW, ORACLES, query
 from patchloom.sources import context
 from patchloom.sources.tables import table
 
@@ -507,9 +507,21 @@ def packet_items(s, d):
     return packets.packet_items(a.unionByName(b), a, b, lines).select("source_path", "line", "kind", "excerpt", "item_id")
 
 
-@query("phase_gate", None)
+_GATE = f"""WITH per AS (SELECT l_orderkey AS case_id, count(DISTINCT l_suppkey % 9) AS reviewers, bool_or(l_shipdate < o_orderdate OR l_shipdate >= o_orderdate + INTERVAL 900 DAY) AS bad FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
+fd AS (SELECT l_orderkey AS case_id, count(*) AS causes, count(DISTINCT l_linenumber) AS kinds FROM lineitem WHERE l_discount > 0.08 GROUP BY 1),
+c AS (SELECT o_orderkey AS case_id, coalesce(causes, 0) AS causes, coalesce(reviewers, 0) >= 2 AND NOT coalesce(bad, true) AND coalesce(causes, 0) = coalesce(kinds, 0) AS valid FROM orders LEFT JOIN per ON per.case_id = o_orderkey LEFT JOIN fd ON fd.case_id = o_orderkey),
+ss AS (SELECT l_orderkey AS case_id, CASE WHEN l_partkey % 2 = 0 THEN 'assisted' ELSE 'control' END AS arm, l_quantity <= 40 AS timed FROM lineitem WHERE l_linenumber = 1),
+n AS (SELECT count(*) FILTER (NOT valid) AS invalid_cases, count(*) FILTER (valid) AS cases, count(*) FILTER (valid AND causes > 0) AS positive_cases, CAST(coalesce(sum(causes) FILTER (valid), 0) AS BIGINT) AS root_causes, count(*) FILTER (valid) AS dual_reviewed, count(*) FILTER (valid) AS adjudicated FROM c),
+a AS (SELECT count(*) FILTER (timed) AS timed_sessions, count(*) FILTER (timed AND arm = 'assisted') AS assisted, count(*) FILTER (timed AND arm = 'control') AS control, count(*) FILTER (case_id NOT IN (SELECT case_id FROM c WHERE valid)) AS unknown_cases FROM ss),
+g AS (SELECT count(*) FILTER (k > 1) AS repeated_sessions FROM (SELECT count(*) AS k FROM ss GROUP BY case_id, arm)),
+z AS (SELECT *, 0::BIGINT AS repeated_cases FROM n, a, g),
+f AS (SELECT *, {_fail(("invalid_case", "invalid_cases > 0"), ("unknown_case", "unknown_cases > 0"), ("repeated_session", "repeated_sessions > 0"), ("cases", f"cases < {packets.PHASE_CASES}"), ("root_causes", f"root_causes < {packets.PHASE_CAUSES}"), ("timed_sessions", f"timed_sessions < {packets.PHASE_SESSIONS}"), ("arms", "assisted = 0 OR control = 0"))} AS failures FROM z)
+SELECT *, failures = '' AS passed FROM f"""
+
+
+@query("phase_gate", _GATE)
 def phase_gate(s, d):
-    """Orders as cases, their lines as reviews. No SQL; its rules have a test each."""
+    """Orders as cases, their lines as reviews."""
     orders, line = table(s, d, "orders"), table(s, d, "lineitem")
     cases = orders.select(F.col("o_orderkey").alias("case_id"), F.lit("p").alias("packet_id"), F.col("o_orderdate").alias("frozen_at"), F.lit("judge").alias("adjudicated_by"), F.expr("o_orderdate + INTERVAL 900 DAY").alias("adjudicated_at"), (F.col("o_orderkey") % 2).alias("conflict_count"))
     reviews = line.select(F.col("l_orderkey").alias("case_id"), F.concat(F.lit("r"), (F.col("l_suppkey") % 9).cast("string")).alias("reviewer_id"), F.col("l_shipdate").alias("submitted_at"), F.lit("p").alias("packet_id"), F.expr("l_shipdate - INTERVAL 1 DAY").alias("calibrated_at"))
@@ -526,9 +538,16 @@ def brief_evidence(s, d):
     return packets.brief_evidence(cases, files, none("case_id string, id string, kind string, name string, path string"), none("case_id string, ordinal int, from_id string, type string, to_id string, evidence_path string"), none("case_id string, revision string, path string, role string"))
 
 
-@query("behaviour_cards", None)
+_CARDS = _GS + f""", gr AS (SELECT 'g' || (CAST(substr(path, 7) AS BIGINT) % 5) AS g, path FROM (SELECT DISTINCT path FROM gs WHERE path LIKE 'order/%')), uc AS ({ORACLES["unchanged_callers"]}),
+fl AS (SELECT g, count(*) AS n_files FROM gr GROUP BY g), co AS (SELECT g, least(count(DISTINCT qualified_name), {packets.BRIEF_NAMES}) AS n FROM gr JOIN gs USING (path) WHERE in_head GROUP BY g),
+ne AS (SELECT "group" AS g, least(count(DISTINCT name) FILTER (kind = 'caller'), {packets.BRIEF_NAMES}) AS callers, least(count(DISTINCT name) FILTER (kind = 'test'), {packets.BRIEF_NAMES}) AS tests FROM uc GROUP BY 1)
+SELECT fl.g AS "group", n_files, 2 * n_files AS additions, n_files AS deletions, coalesce(n, 0) AS core, coalesce(callers, 0) AS callers, coalesce(tests, 0) AS tests, CASE WHEN n > 0 THEN 'semantic' ELSE 'diff_only' END AS level,
+  array_to_string(list_slice(list_filter(['contract', 'reuse', CASE WHEN callers > 0 THEN 'callers' END, CASE WHEN tests > 0 THEN 'tests' ELSE 'missing_tests' END], lambda x: x IS NOT NULL), 1, {packets.BRIEF_QUESTIONS}), ',') AS questions FROM fl LEFT JOIN co USING (g) LEFT JOIN ne USING (g)"""
+
+
+@query("behaviour_cards", _CARDS)
 def behaviour_cards(s, d):
-    """No SQL; its parts (unchanged_callers) have it, and the cards a test."""
+    """Cards of groups of files, with how many names each holds."""
     sy, ties, groups, files = _card_inputs(s, d)
     changed = groups.select("path", F.lit(2).alias("additions"), F.lit(1).alias("deletions"))
     out = packets.behaviour_cards(changed, groups, sy, graph.unchanged_callers(sy, ties, groups, files))

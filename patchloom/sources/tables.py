@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from patchloom.sources import graphs
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -55,15 +57,21 @@ def relation(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def save_index(spark: SparkSession, header: DataFrame, children: DataFrame, folder: str, key: str) -> None:
-    """Writes a snapshot's children in place of those it had, then its header in place of the one it had, as ``snapshots`` and ``children`` below ``folder``."""
-    save_snapshot(children, f"{folder}/children", key)
-    save_snapshot(header, f"{folder}/snapshots", key)
+    """Writes a snapshot's children and its header (one row with a ``status``) as a new version, and makes it the current one of ``key`` in one step.
+
+    Whoever reads meanwhile, or after a failure on the way, has the version before, with all of its children.
+    """
+    facts = header.first().asDict()
+    graphs.publish(spark, folder, key, {"children": children}, status=facts["status"], facts={k: str(v) for k, v in facts.items()})
 
 
 def load_ready(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    """The children of a snapshot whose header says that it is ready; none of any other."""
-    ready = load_snapshot(spark, f"{folder}/snapshots", key).filter("status = 'ready'").select(F.lit(True).alias("__ready")).limit(1)
-    return load_snapshot(spark, f"{folder}/children", key).join(F.broadcast(ready), F.col("__ready")).drop("__ready")
+    """The children of a snapshot whose header says that it is ready; none of any other. A key that was never saved is an error."""
+    found = graphs.manifest(spark, folder, key)
+    if found is None:
+        raise KeyError(key)
+    children = graphs.opened(spark, folder, key, "children")
+    return spark.createDataFrame([], StructType.fromJson(found["schemas"]["children"])) if children is None else children
 
 
 def snapshot_key(repository: str, commit: str, adapter: str, build: str) -> str:

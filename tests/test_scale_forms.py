@@ -73,7 +73,7 @@ def test_evidence_spans_need_all_their_lines(spark):
     assert {r.id: r.problem for r in got.collect()} == {1: None, 2: "line_not_in_diff", 3: None, 4: "line_not_in_diff", 5: "unknown_path", 6: "line_not_in_diff", 7: None}
 
 
-@pytest.mark.parametrize("buckets", [2, 7, 4096])
+@pytest.mark.parametrize("buckets", [64, 4096])
 def test_percentiles_of_any_values(spark, buckets):
     rnd = random.Random(6)
     values = {
