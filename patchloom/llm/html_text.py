@@ -52,6 +52,8 @@ NAMES = frozenset(
 )
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|aria-label|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[a-z][^\s/>]*", re.I)
+#: Up to the end of a tag: quotes open after = alone, and whatever they hold belongs to the value; without a second one they are plain.
+_TO_END = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+""")
 _WORDS = re.compile(r"[a-z]+")
 
 ARTICLE, OTHER, OUT = 0, 1, 2
@@ -109,14 +111,9 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             parts.append("<")
             at = tag + 1
             continue
-        end = page.find(">", m.end())
-        if end < 0:  # cut off inside a tag
+        end = _TO_END.match(page, m.end()).end()
+        if end >= size:  # cut off inside a tag
             break
-        for _ in range(8):  # a > inside quotes
-            inside = page[m.end() : end]
-            if not (inside.count('"') % 2 or inside.count("'") % 2) or (further := page.find(">", end + 1)) < 0 or "<" in page[end + 1 : further]:
-                break
-            end = further
         name, attributes, at = m[0].lower(), page[m.end() : end], end + 1
         if name in RAW and not closing:
             close = re.compile(f"</{name}[\\s>]", re.I).search(page, at)

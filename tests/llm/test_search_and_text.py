@@ -116,3 +116,13 @@ def test_personal_data_over_a_table(odd_docs, no_docs, spark):
     assert rows[1].spans == "email:5:13,ip:19:27" == joined(plain_spans("mail a.b@c.de from 10.0.0.1")) and rows[1].n_email == rows[1].n_ip == 1
     assert [tuple(r) for r in mask_personal_data(docs).orderBy("doc_id").collect()] == [(1, "mail <email> from <ip>", 5), (2, None, 6)]
     assert mask_personal_data(no_docs).count() == 0
+
+
+def test_quoted_values_may_hold_any_marks():
+    from patchloom.llm.html_text import blocks_of
+
+    for value in ("a>b " * 40, "<b>x</b>", "it's > that", "", "<!-- > -->"):
+        assert [t for _, t in blocks_of(f'<div data-x="{value}" id=q>Hello world</div><p>more</p>')] == ["Hello world", "more"]
+    assert [t for _, t in blocks_of("<p title=it's>one</p><p title='a \"b\" > c'>two</p>")] == ["one", "two"]
+    assert [t for _, t in blocks_of('<p title="never closed>one</p>')] == ["one"] and blocks_of('<p title="a>b') == [(blocks_of("b")[0][0], "b")]
+    assert [t for _, t in blocks_of('<a href="x>y"z>text</a>')] == ["text"]
