@@ -241,7 +241,8 @@ def _met(groups: DataFrame, blocks: DataFrame, n_chunks: int, join: Callable[[di
     bare = [F.lit(None).cast("binary").alias(c) if c not in blocks.columns else F.col(c) for c in names]
     sent = pairs.join(blocks.withColumnRenamed("number", "block"), "block").withColumn("number", F.col("block")).select("group", "chunk", F.lit(1).alias("kind"), *bare)
     asked = pairs.select("group", "chunk").distinct().join(groups.withColumnRenamed("number", "group"), "group").withColumn("number", F.col("group")).select("group", "chunk", F.lit(0).alias("kind"), *names)
-    both = asked.unionByName(sent).repartition("group", "chunk").sortWithinPartitions("group", "chunk", "kind")
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is given: bytes don't tell how long a unit takes
+    both = asked.unionByName(sent).repartition(parts, "group", "chunk").sortWithinPartitions("group", "chunk", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _rows(batches)
