@@ -1,6 +1,6 @@
 """The job queue, publication journal and intake as replays of event logs, and the joins that recovery reads.
 
-A replay folds the events of one key in their order; one job, run or pull request has a bounded number of events. Time is
+A replay folds the events of one key in their order, one state at a time. Time is
 a column of the events or a parameter, never the clock.
 """
 
@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Actions of a pull request that ask for a review; how often a job may be tried; how long a lease lasts.
+from patchloom.operators import folds
+from patchloom.operators.folds import LEASE_SECONDS, MOST_ATTEMPTS
+
+#: Actions of a pull request that ask for a review.
 REVIEW_ACTIONS = ("opened", "reopened", "synchronize", "ready_for_review")
-MOST_ATTEMPTS, LEASE_SECONDS = 3, 120
 
 
 def claimable(jobs: DataFrame, now: Column, most: int = MOST_ATTEMPTS) -> DataFrame:
@@ -39,24 +41,8 @@ def replay_leases(events: DataFrame) -> DataFrame:
     the generation they hold, and need it to be the current one, in work and not over. ``expire`` is a look at the lease: if it is
     over, an attempt is counted, and the job fails with the third. ``events`` (id, seq, kind, generation, ts).
     """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "kind", F.col("generation").cast("long").alias("generation"), F.col("ts").cast("long").alias("ts"))))
-
-    def step(acc: Column, x: Column) -> Column:
-        working = acc["status"] == "processing"
-        mine = working & (acc["generation"] == x["generation"]) & (acc["until"] > x["ts"])
-        claims = (x["kind"] == "claim") & acc["status"].isin("queued", "retry") & (acc["attempts"] < MOST_ATTEMPTS)
-        over = (x["kind"] == "expire") & working & (acc["until"] <= x["ts"])
-        ok = claims | over | (x["kind"].isin("renew", "complete") & F.coalesce(mine, F.lit(False)))
-        attempts = acc["attempts"] + F.when(over, 1).otherwise(0)
-        status = F.when(claims, "processing").when(over, F.when(attempts >= MOST_ATTEMPTS, "failed").otherwise("retry")).when(ok & (x["kind"] == "complete"), "completed").otherwise(acc["status"])
-        generation = acc["generation"] + F.when(claims, 1).otherwise(0)
-        until = F.when(claims | (ok & (x["kind"] == "renew")), x["ts"] + LEASE_SECONDS).otherwise(acc["until"])
-        one = F.struct(x["seq"].alias("seq"), x["kind"].alias("kind"), ok.alias("ok"), status.alias("status"), attempts.cast("int").alias("attempts"), generation.cast("long").alias("generation"))
-        return F.struct(status.alias("status"), attempts.cast("int").alias("attempts"), generation.cast("long").alias("generation"), until.cast("long").alias("until"), F.array_append(acc["out"], one).alias("out"))
-
-    kind = events.schema["seq"].dataType.simpleString()
-    empty = F.struct(F.lit("queued").alias("status"), F.lit(0).alias("attempts"), F.lit(0).cast("long").alias("generation"), F.lit(0).cast("long").alias("until"), F.array().cast(f"array<struct<seq:{kind},kind:string,ok:boolean,status:string,attempts:int,generation:bigint>>").alias("out"))
-    return events.groupBy("id").agg(F.aggregate(ordered, empty, step, lambda acc: acc["out"]).alias("out")).select("id", F.explode("out").alias("o")).select("id", "o.*")
+    found = folds.in_order(events, ["id"], ["seq"], folds.Leases(timed=False, lease_ms=LEASE_SECONDS), "ts")
+    return found.withColumn("seq", F.col("seq").cast(events.schema["seq"].dataType))
 
 
 def run_times(events: DataFrame, order: list[str]) -> DataFrame:
@@ -72,19 +58,8 @@ def replay_journal(events: DataFrame) -> DataFrame:
     The intent is written once; a confirmation needs its hash, and the first remote id stays. ``events`` (run_id,
     operation, seq, kind, hash, remote_id).
     """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "kind", "hash", F.col("remote_id").cast("long").alias("remote_id"))))
-
-    def step(acc: Column, x: Column) -> Column:
-        sent = (x["kind"] == "sent") & acc["hash"].isNull()
-        confirmed = (x["kind"] == "confirmed") & F.coalesce(acc["hash"] == x["hash"], F.lit(False)) & F.coalesce(acc["remote_id"] == x["remote_id"], F.lit(True)) & x["remote_id"].isNotNull()
-        state = F.when(sent, "sent").when(confirmed, "confirmed").otherwise(acc["state"])
-        remote = F.when(sent | confirmed, F.coalesce(x["remote_id"], acc["remote_id"])).otherwise(acc["remote_id"])
-        one = F.struct(x["seq"].alias("seq"), x["kind"].alias("kind"), (sent | confirmed).alias("ok"), state.alias("state"), remote.alias("remote_id"))
-        return F.struct(F.when(sent, x["hash"]).otherwise(acc["hash"]).alias("hash"), state.alias("state"), remote.alias("remote_id"), F.array_append(acc["out"], one).alias("out"))
-
-    kind = events.schema["seq"].dataType.simpleString()
-    empty = F.struct(F.lit(None).cast("string").alias("hash"), F.lit("none").alias("state"), F.lit(None).cast("long").alias("remote_id"), F.array().cast(f"array<struct<seq:{kind},kind:string,ok:boolean,state:string,remote_id:bigint>>").alias("out"))
-    return events.groupBy("run_id", "operation").agg(F.aggregate(ordered, empty, step, lambda acc: acc["out"]).alias("out")).select("run_id", "operation", F.explode("out").alias("o")).select("run_id", "operation", "o.*")
+    found = folds.in_order(events, ["run_id", "operation"], ["seq"], folds.Journal())
+    return found.withColumn("seq", F.col("seq").cast(events.schema["seq"].dataType))
 
 
 def slot_claims(claims: DataFrame, runs: DataFrame, slots: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchloom.operators import folds
+from patchloom.operators.folds import TERMINAL
+
 
 def first_of_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n")
@@ -68,18 +71,11 @@ def retry_delay(attempts: Column) -> Column:
 def admit_by_budget(calls: DataFrame, group: str, order: str, size: str, most_calls: int, most_size: int) -> DataFrame:
     """Calls of a group in order, admitted while number and total size stay in the budget; refused calls charge nothing.
 
-    A fold over a group's calls, of which only order and size are held. Groups are runs, which have a bounded number of calls.
+    A fold over a group's calls in the order of ``order``, with one state at a time.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(size).cast("long").alias("n"))))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["calls"] + 1 <= most_calls) & (acc["used"] + x["n"] <= most_size)
-        one = F.array(F.struct(x["k"].alias("k"), x["n"].alias("n"), fits.alias("admitted")))
-        return F.struct((acc["calls"] + fits.cast("int")).cast("int").alias("calls"), (acc["used"] + F.when(fits, x["n"]).otherwise(F.lit(0))).cast("long").alias("used"), F.concat(acc["out"], one).alias("out"))
-
-    kind = calls.schema[order].dataType.simpleString()
-    empty = F.struct(F.lit(0).alias("calls"), F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<k:{kind},n:bigint,admitted:boolean>>").alias("out"))
-    return calls.groupBy(group).agg(F.aggregate(ordered, empty, step, lambda acc: acc["out"]).alias("out")).select(group, F.explode("out").alias("o")).select(group, F.col("o.k").alias(order), F.col("o.n").alias(size), "o.admitted")
+    rows = calls.select(F.col(group).alias("__group"), F.col(order).alias("seq"), F.col(size).alias("size"))
+    found = folds.in_order(rows, ["__group"], ["seq"], folds.Budget(most_calls, most_size))
+    return found.select(F.col("__group").alias(group), F.col("seq").cast(calls.schema[order].dataType).alias(order), F.col("size").alias(size), "admitted")
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -100,10 +96,6 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return a.join(b, key, "full_outer").select(*key, *[F.coalesce(f"_n_{c}", f"_o_{c}").alias(c) for c in rest])
 
 
-#: States in which a run has ended.
-TERMINAL = ("completed", "failed", "stale", "skipped")
-
-
 def retained(rows: DataFrame, ts: str, now: Column, days: int, status: str | None = None) -> DataFrame:
     """Rows that are ``days`` old at most; with ``status`` only those in a terminal state can be too old. A null time is never too old."""
     if not isinstance(days, int) or days < 1:

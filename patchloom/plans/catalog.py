@@ -572,4 +572,4 @@ def fact_audit(s, d):
     return graph.fact_audit(A.edges(s, d).withColumn("source_path", F.lit(None).cast("string")).unionByName(notes), A.changes(s, d), A.graph_symbols(s, d, True))
 
 
-from patchloom.plans import families, impacts, landings, streams  # noqa: E402,F401 (registers the other families)
+from patchloom.plans import families, impacts, landings, languages, streams  # noqa: E402,F401 (registers the other families)

@@ -126,3 +126,34 @@ def test_journal_and_idle_keys(spark, tmp_path):
 def test_fold_needs_its_state_store(spark):
     with pytest.raises(ValueError, match="RocksDB"):
         machines.folded(spark.readStream.format("rate").load().select(F.lit(1).alias("id"), F.lit(1).alias("seq"), F.lit("a").alias("payload"), "timestamp"), ["id"], "timestamp", machines.Deliveries())
+
+
+def test_folds_over_a_table(spark):
+    from patchloom.operators import folds
+
+    rnd = random.Random(8)
+    events = [(rnd.choice((None, "a", "b")), "x", k, rnd.choice(("sent", "confirmed")), rnd.choice("hg"), rnd.choice((None, 1, 2))) for k in range(400)]
+    schema = "run_id string, operation string, seq long, kind string, hash string, remote_id long"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a key's rows span batches
+    try:
+        got = folds.in_order(spark.createDataFrame(events, schema).repartition(5), ["run_id", "operation"], ["seq"], folds.Journal()).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for run in (None, "a", "b"):
+        state = folds.Journal().empty()
+        for _, _, *event in sorted((e for e in events if e[0] == run), key=lambda e: e[2]):
+            state, out = folds.Journal().step(state, 0, tuple(event))
+            want += [(run, "x", *o) for o in out]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert folds.in_order(spark.createDataFrame([], schema), ["run_id"], ["seq"], folds.Journal()).count() == 0
+
+
+def test_budgets_of_one_long_run(spark):
+    calls = spark.range(50_000).select(F.lit("r").alias("run"), F.col("id").alias("n"), (1 + F.col("id") % 7).cast("int").alias("size")).repartition(6)
+    got = state.admit_by_budget(calls, "run", "n", "size", 1000, 3000).filter("admitted").agg(F.count("*"), F.sum("size"), F.max("n")).first()
+    used, n, last = 0, 0, None
+    for k in range(50_000):
+        if n < 1000 and used + 1 + k % 7 <= 3000:
+            used, n, last = used + 1 + k % 7, n + 1, k
+    assert tuple(got) == (n, used, last)
