@@ -392,23 +392,71 @@ def _merged(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return docs[first], starts[first], (most - shift)[np.append(first[1:], len(docs)) - 1]
 
 
+#: Places whose smallest document and common prefix are held together, for what jumps don't settle.
+MINIMA = 64
+
+
 def nearest_smaller(docs: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each place the nearest one before it with a smaller document (-1: none), and the common prefix with it.
 
     ``lcp`` is each suffix's common prefix with the one before. All places jump at once: from one whose document isn't smaller
-    to where that one has got to; what lies between is never smaller, so a logarithmic number of rounds will do.
+    to where that one has got to. Some orders, such as documents that rise and then fall, would need a jump for each place; what
+    is open after some jumps is found by minima over blocks and over runs of blocks, in rounds that don't grow but by the logarithm.
     """
     at, common = np.arange(-1, len(docs) - 1), lcp.copy()
     open_ = np.flatnonzero((at >= 0) & (docs[at] >= docs))
-    while len(open_):
+    for _ in range(2 * len(docs).bit_length()):
+        if not len(open_):
+            break
         over = at[open_]
         common[open_] = np.minimum(common[open_], common[over])
         at[open_] = at[over]
         open_ = open_[(at[open_] >= 0) & (docs[at[open_]] >= docs[open_])]
+    if len(open_):
+        at[open_], common[open_] = _by_minima(docs, lcp, docs[open_], at[open_], common[open_])
     common[at < 0] = 0
     return at, common
 
 
+def _by_minima(docs: np.ndarray, lcp: np.ndarray, own: np.ndarray, at: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the search of ``nearest_smaller`` ends for places with the documents ``own`` that have got to ``at``, which isn't smaller, with ``common``."""
+    n_blocks = -(-len(docs) // MINIMA)
+    pad = n_blocks * MINIMA - len(docs)
+    most = np.iinfo(np.int64).max
+    least = [np.pad(x.astype(np.int64), (0, pad), constant_values=most).reshape(n_blocks, MINIMA).min(axis=1) for x in (docs, lcp)]
+    tables = [tuple(least)]  # of runs of 1, 2, 4 ... blocks that end at a block
+    while 2 << len(tables) - 1 <= n_blocks:
+        width = 1 << len(tables) - 1
+        tables.append(tuple(np.minimum(t, np.concatenate([np.full(width, most), t[:-width]])) for t in tables[-1]))
+
+    def walk(todo: np.ndarray, stop_at_edge: bool) -> np.ndarray:
+        """Moves down place by place; which have come to the last place of a block without an end."""
+        edge = []
+        while len(todo):
+            common[todo] = np.minimum(common[todo], lcp[at[todo]])
+            at[todo] -= 1
+            todo = todo[at[todo] >= 0]
+            todo = todo[docs[at[todo]] >= own[todo]]
+            if stop_at_edge:
+                last = at[todo] % MINIMA == MINIMA - 1
+                edge.append(todo[last])
+                todo = todo[~last]
+        return np.concatenate(edge) if edge else todo
+
+    far = walk(np.arange(len(own)), True)
+    block = at[far] // MINIMA
+    for k in range(len(tables) - 1, -1, -1):
+        there = block - (1 << k) + 1 >= 0
+        docs_of, lcp_of = tables[k]
+        skip = there & (docs_of[block] >= own[far])
+        common[far[skip]] = np.minimum(common[far[skip]], lcp_of[block[skip]])
+        block[skip] -= 1 << k
+    at[far] = np.where(block < 0, -1, block * MINIMA + MINIMA - 1)
+    near = far[block >= 0]
+    walk(near[docs[at[near]] >= own[near]], False)
+    return at, common
+
+
 def longest_previous_factors(suffixes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of equally long suffixes (rows of bytes), and in that order how long a prefix an earlier document has, too.
 

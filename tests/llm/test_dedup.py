@@ -164,3 +164,35 @@ def test_far_apart_documents_with_a_common_passage_meet_by_rare_shingles(spark):
 def test_columns_with_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g", 5, "x"), (2, "a b c d e f g", 6, "y"), (3, "other", 7, "z")], "doc_id long, text string, gone int, gone_ string")
     assert sorted(r.gone for r in first_of_each(docs).collect()) == [5, 7]
+
+
+def plain_nearest(docs, lcp):
+    at, common, stack = [], [], []  # of (place, common prefix with the one below it)
+    for i, d in enumerate(docs):
+        c = lcp[i]
+        while stack and docs[stack[-1][0]] >= d:
+            c = min(c, stack.pop()[1])
+        at.append(stack[-1][0] if stack else -1)
+        common.append(c if stack else 0)
+        stack.append((i, c))
+    return at, common
+
+
+def test_nearest_smaller_of_any_order():
+    rnd = np.random.default_rng(5)
+    shapes = [np.concatenate([np.arange(3000), [0], np.arange(3000)[::-1]]), np.append(np.arange(2000), 1), np.arange(500)[::-1], np.zeros(700, np.int64), rnd.integers(0, 3, 5000), rnd.integers(0, 10_000, 5000), np.tile(np.arange(200), 20), np.repeat(np.arange(300)[::-1], 9), np.array([], np.int64), np.array([4])]
+    for docs in shapes:
+        lcp = rnd.integers(0, 60, len(docs))
+        at, common = nearest_smaller(docs, lcp)
+        want = plain_nearest(docs.tolist(), lcp.tolist())
+        assert at.tolist() == want[0] and common.tolist() == want[1]
+
+
+def test_nearest_smaller_does_not_grow_with_the_square():
+    import time
+
+    half = np.arange(500_000)
+    docs = np.concatenate([half + 1, half[::-1]])
+    began = time.process_time()
+    at, _ = nearest_smaller(docs, np.full(len(docs), 9))
+    assert time.process_time() - began < 20 and at[-1] == -1 and at[500_000] == 499_997
