@@ -166,7 +166,8 @@ def _feature_rows(docs: DataFrame, *extra: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights from at most ``sample`` documents of each kind, none of them held out.
 
-    Labels other than 0 and 1, and null ones, count as none; a document with two labels counts by the larger.
+    Labels other than 0 and 1, and null ones, count as none; a document with two labels counts by the larger, and a doc_id with
+    several texts is learned from by the first of them in the order of bytes.
     """
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     order = F.xxhash64("doc_id", F.lit("sample"))
@@ -174,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     chosen = open_labels.filter("label = 1").orderBy(order, "doc_id").limit(sample)
     free = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").join(known, "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(sample).select("doc_id", F.lit(-1).alias("label"))
     picked = F.broadcast(chosen.unionByName(free))  # 2 * sample rows at most
-    rows = _feature_rows(docs.select("doc_id", "text").join(picked, "doc_id"), "doc_id", "label").dropDuplicates(["doc_id"]).toArrow()
+    texts = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = _feature_rows(texts, "doc_id", "label").toArrow()
     if not rows.num_rows:
         return np.zeros(N_PLAIN + BUCKETS)
     rows = rows.sort_by("doc_id")

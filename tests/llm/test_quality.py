@@ -92,3 +92,19 @@ def test_scores_at_the_threshold(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     rows = quality_classifier.score_quality(docs, labels).collect()
     assert [(r.score, r.predicted) for r in rows] == [(0.5, 1)] * 3
+
+
+def test_a_shared_doc_id_is_learned_from_by_its_first_text(spark):
+    from patchloom.llm.quality_classifier import train
+
+    rows = [(k, f"plain text number {k} with words " * (1 + k % 3)) for k in range(40)] + [(k, f"zzz other {k} !!! ###") for k in range(40)] + [(3, None), (4, "")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(0, 40, 3)], "doc_id long, quality int")
+    first = {}
+    for k, text in rows:
+        if text is not None:
+            first[k] = min(first.get(k, text), text)
+    want = train(spark.createDataFrame(sorted(first.items()), "doc_id long, text string"), labels)
+    for parts in (1, 5):
+        got = train(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), labels)
+        assert (got == want).all()
+    assert (train(spark.createDataFrame(rows, "doc_id long, text string"), labels.filter("false")) == train(spark.createDataFrame(sorted(first.items()), "doc_id long, text string"), labels.filter("false"))).all()
