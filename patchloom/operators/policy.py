@@ -114,10 +114,13 @@ def read_yaml(text: str):
     lines = []
     for line in text.splitlines():
         cut = line if line.strip()[:1] not in ("#",) else ""
-        quoted = False
+        quote = ""
         for k, c in enumerate(cut):
-            quoted ^= c in "\"'"
-            if c == "#" and not quoted and k and cut[k - 1] == " ":
+            if quote:
+                quote = "" if c == quote else quote
+            elif c in "\"'" and cut[:k].rstrip()[-1:] in ("", ":", "-", "[", ","):  # a quote opens where a scalar begins
+                quote = c
+            elif c == "#" and k and cut[k - 1] == " ":
                 cut = cut[:k]
                 break
         if "\t" in cut[: len(cut) - len(cut.lstrip())]:

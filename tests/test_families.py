@@ -335,3 +335,8 @@ def test_status_counts_on_a_stream(spark, tmp_path):
     query = intake.status_counts(stream, "status", "ts").writeStream.outputMode("complete").format("memory").queryName("statuses").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert {(r.window_start.day, r.status): r.n for r in spark.table("statuses").collect()} == {(1, "failed"): 6, (1, "completed"): 18, (2, "failed"): 4, (2, "completed"): 12}
+
+
+def test_comments_and_quotes_of_a_policy():
+    text = "rules:\n  - id: a\n    description: don't do # x\n  - id: 'b # c' # note\n    description: \"it's # fine\" # more\ninclude: ['x # y', z] # z\n"
+    assert policy.read_yaml(text) == {"rules": [{"id": "a", "description": "don't do"}, {"id": "b # c", "description": "it's # fine"}], "include": ["x # y", "z"]}
