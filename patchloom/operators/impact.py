@@ -72,12 +72,11 @@ def search(
         ahead = frontier.withColumnsRenamed({"node": "at", "ords": "parent"}).join(to, [*graphs, "at"]).join(seen, [*graphs, "change_key", "node"], "left_anti")
         ahead = ahead.select(*graphs, *place, "change_key", "node", "parent", F.concat("parent", F.array("ord")).alias("ords"), F.concat(F.array("node"), "path").alias("path"), (F.round(gain, 3) if rounded else gain).alias("score"))
         first = F.row_number().over(Window.partitionBy(*graphs, "change_key", "node").orderBy("ords"))
-        ahead = saved(ahead.withColumn("n", first).filter("n = 1").drop("n"), "level")
-        if cap is not None:
-            ahead = _open_steps(ahead, found, cap)
+        reached = saved(ahead.withColumn("n", first).filter("n = 1").drop("n"), "level")
+        ahead = reached if cap is None else _open_steps(reached, found, cap)
         own = ahead.withColumn("depth", F.lit(level))
         found = own if found is None else found.unionByName(own)
-        if level < depth and ahead.isEmpty():
+        if level < depth and reached.isEmpty():
             break
         frontier, seen = ahead.drop("parent"), seen.unionByName(ahead.select(*graphs, "change_key", "node"))
     if over_all:
