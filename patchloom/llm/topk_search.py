@@ -9,12 +9,17 @@ then the rows whose partial score plus the bounds left still competes are probed
 bound first, and the threshold rises as they finish. Shard results merge into the k best of each query.
 
 Shards are cut inside scan tasks, whatever the keys, so no key or group of equal vectors makes a large task.
-The query set meets the shards in blocks: a query block and a shard are one row each, joined by the shard's
-number. Sums are 64-bit integers; components whose products pass 2**62 raise an error instead of wrapping.
+The query set meets the shards in a grid: groups of shards by groups of query blocks, a task a cell. A cell holds its
+query blocks and reads its shards one by one, and a query's k best so far are the threshold for the next shard. There are
+about as many cells as shards, their sides so that either side's copies take as many bytes: with n rows, what is
+shuffled grows with n to the power 1.5, up to some 800 million rows; from there on a cell's memory is what bounds its
+queries, so there are more cells. Sums are 64-bit integers; components whose products pass 2**62 raise an error
+instead of wrapping.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +34,9 @@ from patchloom.llm.saved import saved
 SHARD_ROWS, BLOCK_ROWS = 16384, 1024
 #: Rows scored in full before a query meets a shard, which give its first threshold.
 SEED_ROWS = 64
-#: Groups of shards whose results merge first, so that no query's results from all shards meet in one row.
+#: Query blocks that a cell of the grid holds at most.
+HELD_BLOCKS = 512
+#: Groups of cells whose results merge first, so that no query's results from all cells meet in one row.
 MERGE_PARTS = 256
 
 _BLOCK = "block long, n int, width int, ids binary, values binary"
@@ -100,8 +107,8 @@ class Shard:
         self.ids, self.postings = ids[order], np.ascontiguousarray(postings[:, order])
         self.low, self.high = self.postings.min(axis=1), self.postings.max(axis=1)
 
-    def search(self, own_id: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores that may be among the query's k best, by score and then id; the k best are among them."""
+    def search(self, own_id: int, weights: np.ndarray, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores that may be among the query's k best, by score and then id; the shard's k best from ``floor`` on are among them."""
         n, width = len(self.ids), min(len(weights), len(self.postings))
         weights = weights[:width]
         if float(np.abs(weights).sum()) * float(max(-self.low.min(initial=0), self.high.max(initial=0))) >= 2.0**62:
@@ -116,6 +123,8 @@ class Shard:
             return self._best(rows, scores, k)
         scores = weights @ self.postings[:width, seed]
         threshold = int(np.partition(scores, len(scores) - k)[len(scores) - k])
+        if floor is not None:
+            threshold = max(threshold, floor)
         terms = np.argsort(-bounds, kind="stable")
         left = int(bounds.sum())  # what the terms not yet visited can add
         total = np.full(n, int(base.sum()), np.int64)
@@ -145,6 +154,41 @@ class Shard:
         return self.ids[rows[best]], scores[best]
 
 
+class Held:
+    """A block of queries and the k best of each over the shards seen so far."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, k: int):
+        self.ids, self.values, self.k = ids, values, k
+        self.found, self.score, self.n = np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k), np.int64), np.zeros(len(ids), np.int64)
+
+    def meet(self, shard: Shard) -> None:
+        for q, own in enumerate(self.ids):
+            n = self.n[q]
+            ids, scores = shard.search(own, self.values[:, q].astype(np.int64), self.k, int(self.score[q, n - 1]) if n == self.k else None)
+            if n:
+                ids, scores = np.concatenate([self.found[q, :n], ids]), np.concatenate([self.score[q, :n], scores])
+                best = np.lexsort((ids, -scores))[: self.k]
+                ids, scores = ids[best], scores[best]
+            self.found[q, : len(ids)], self.score[q, : len(ids)], self.n[q] = ids, scores, len(ids)
+
+    def results(self, part: int, names: list[str]) -> pa.RecordBatch:
+        use = np.arange(self.k) < self.n[:, None]
+        columns = np.repeat(self.ids, self.n), self.found[use], self.score[use], np.full(int(self.n.sum()), part, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+
+
+def grid_sides(shards: int, blocks: int, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> tuple[int, int]:
+    """How many groups of shards and of query blocks: some ``shards`` cells, either side's copies of about the same size."""
+    across = max(math.isqrt(max(0, blocks * block_rows // shard_rows - 1)) + 1, -(-blocks // HELD_BLOCKS))
+    across = max(1, min(across, blocks))
+    return max(1, -(-shards // across)), across
+
+
+def _dealt(sides: int) -> Column:
+    """A block's group: the blocks of a task, and those of tasks one after the other, go round all groups."""
+    return F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(sides)).cast("int")
+
+
 def top_k(rows: DataFrame, is_query: Column, k: int, id_column: str = "vec_id", vector_column: str = "embedding", scale: float = 256.0, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank (from 1), <id>, score: the k highest inner products of each query, ties to smaller ids.
 
@@ -153,28 +197,31 @@ def top_k(rows: DataFrame, is_query: Column, k: int, id_column: str = "vec_id",
     every row of another id; rows that share an id are candidates one by one. Fewer than k others give fewer rows.
     """
     shards = saved(_blocks(rows, id_column, vector_column, scale, shard_rows), "shards")  # numbered by task, so read once
-    queries = _blocks(rows.filter(is_query), id_column, vector_column, scale, block_rows)
-    numbers = shards.agg(F.collect_list("block").alias("all")).scalar()
-    met = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], F.explode(numbers).alias("shard"))
-    pairs = met.join(shards.withColumnRenamed("block", "shard"), "shard").select("q_ids", "q_values", "q_n", "q_width", "ids", "values", "n", "width", F.pmod(F.xxhash64("shard"), F.lit(MERGE_PARTS)).alias("part"))
+    queries = saved(_blocks(rows.filter(is_query), id_column, vector_column, scale, block_rows), "queries")
+    down, across = grid_sides(shards.count(), queries.count(), shard_rows, block_rows)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sent = queries.select(F.lit(False).alias("is_shard"), _dealt(across).alias("column"), each(down).alias("line"), "n", "width", "ids", "values")
+    sent = sent.unionByName(shards.select(F.lit(True).alias("is_shard"), each(across).alias("column"), _dealt(down).alias("line"), "n", "width", "ids", "values"))
+    cells = sent.repartitionById(down * across, F.col("line") * across + F.col("column")).sortWithinPartitions("is_shard").drop("column", "line")
+    names = ["query_id", id_column, "score", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, shard = None, None
+        blocks: list[Held] = []
         for batch in batches:
             for row in range(batch.num_rows):
-                q_ids, q_values, q_n, q_width, ids, values, n, width, part = (c[row].as_py() for c in batch.columns)
-                if ids != last:
-                    last, shard = ids, Shard(*_opened(ids, values, n, width))
-                keys, weights = _opened(q_ids, q_values, q_n, q_width)
-                query, found, score = [], [], []
-                for q in range(q_n):
-                    a, b = shard.search(keys[q], weights[:, q], k)
-                    query.append(np.full(len(a), keys[q]))
-                    found.append(a)
-                    score.append(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (query, found, score, [np.full(sum(map(len, found)), part)])], names=["query_id", id_column, "score", "part"])
-
-    found = pairs.mapInArrow(run, f"query_id long, {id_column} long, score long, part long")
+                n, width = batch.column("n")[row].as_py(), batch.column("width")[row].as_py()
+                ids, values = (batch.column(c)[row].as_buffer() for c in ("ids", "values"))
+                if not batch.column("is_shard")[row].as_py():
+                    blocks.append(Held(np.frombuffer(ids, np.int64).copy(), np.frombuffer(values, np.int32).reshape(width, n).copy(), k))
+                elif blocks:
+                    shard = Shard(*_opened(ids, values, n, width))
+                    for block in blocks:
+                        block.meet(shard)
+        part = TaskContext.get().partitionId() % MERGE_PARTS
+        for block in blocks:
+            yield block.results(part, names)
+
+    found = saved(cells.mapInArrow(run, f"query_id long, {id_column} long, score long, part long"), "found", batch_rows=8)
     entry = F.struct((-F.col("score")).alias("minus"), F.col(id_column).alias("id"))
     best = found.groupBy("query_id", "part").agg(F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("best"))
     best = best.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))

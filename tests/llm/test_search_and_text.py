@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from patchloom.llm.html_text import ARTICLE, OUT, blocks_of, extract_main_text, repeated, texts_of
 from patchloom.llm.pii import base_spans, find_personal_data, joined, mask_personal_data, spans_of, trained
-from patchloom.llm.topk_search import top_k
+from patchloom.llm.topk_search import BLOCK_ROWS, SHARD_ROWS, grid_sides, top_k
 
 
 def brute_top(rows, queries, k):
@@ -26,7 +26,7 @@ def test_search_equals_brute_force(spark):
     rows = [(k, [float(x) for x in rng.normal(0, 0.2, 12)]) for k in range(700)]
     rows += [(1000 + k, rows[3][1]) for k in range(30)] + [(2000, None), (2001, [1.0, None]), (2002, [float("nan")] * 12), (2003, []), (2004, [0.5] * 5), (2050, [0.25] * 14), (None, rows[1][1])]
     frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
-    for shard, block in ((16384, 1024), (64, 7)):
+    for shard, block in ((16384, 1024), (64, 7), (5, 1), (3, 4)):
         got = top_k(frame.repartition(3), F.col("vec_id") % 50 == 0, 5, shard_rows=shard, block_rows=block)
         exact = [(i, np.array(v, np.float32).tolist() if v is not None and None not in v else v) for i, v in rows]
         assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()} == brute_top(exact, lambda q: q % 50 == 0, 5)
@@ -37,6 +37,18 @@ def test_search_equals_brute_force(spark):
         top_k(spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<float>"), F.col("vec_id") == 0, 1).collect()
 
 
+def test_copies_over_a_grid_grow_with_the_power_of_one_and_a_half():
+    def shuffled(rows):
+        shards, blocks = -(-rows // SHARD_ROWS), -(-rows // (50 * BLOCK_ROWS))
+        down, across = grid_sides(shards, blocks)
+        assert down * across >= shards and blocks <= 512 * across and 1 <= across <= blocks
+        return shards * across * SHARD_ROWS + blocks * down * BLOCK_ROWS
+
+    assert grid_sides(0, 0) == grid_sides(1, 1) == (1, 1) and grid_sides(7, 1) == (7, 1)
+    for rows in (10**7, 10**8, 2 * 10**8):
+        assert shuffled(4 * rows) < 1.1 * 8 * shuffled(rows)
+
+
 def test_blocks_and_structure():
     page = (
         "<html><head><title>no</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li>menu</li></ul></nav><!-- c --><div class=\"ad\">buy</div>"
