@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
 _SYMBOL = r"[#*$%&|<>]"
-_SHOUT = r"[!?]{2,}([\x20\x09-\x0D]|$)"
+_SHOUT = r"[!?]{2}([\x20\x09-\x0D]|$)"
 _ANY_MARK, _MARK = r"[|»›·•→>/]", r"^[|»›·•→>/]$"
 
 #: Fixed values. Phrases of cookie bars, legal lines, share bars and script warnings.
@@ -47,7 +47,7 @@ def _size_without(text: Column, pattern: str) -> Column:
 def line_fails(line: Column) -> Column:
     """True if a line breaks a rule; a line without words never does, as it holds no text to lose."""
     chars = F.length(line)
-    words = F.size(F.split(F.trim(line), _SPACE + "+"))
+    words = F.size(F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _SPACE + "+"))
     symbols = chars - _size_without(line, _SYMBOL)
     shouts = (chars - F.length(F.regexp_replace(line, _SHOUT, "$1"))) / 2
     marks = F.when(line.rlike(_ANY_MARK), F.size(F.filter(F.split(line, " "), lambda w: w.rlike(_MARK)))).otherwise(0)

@@ -126,9 +126,9 @@ def _quality_sql() -> str:
 x AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM t),
 c AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM x),
 p AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM c, range(0, 3) AS o(k) WHERE n > 1 GROUP BY r),
-l AS (SELECT r, line, len(regexp_split_to_array(trim(line), '{space}+')) AS words, length(line) AS chars FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '{word}')),
-f AS (SELECT r, line, chars - {size("line", symbol)} > {Q.LINE_SYMBOLS} * words OR (chars - length(regexp_replace(line, '{Q._SHOUT}', '\\1', 'g'))) / 2.0 > {Q.LINE_SHOUTS} * words
-  OR (len([m FOR m IN string_split(line, ' ') IF regexp_matches(m, '{Q._MARK}')]) >= {Q.NAV_MARKS} AND 4 * len([m FOR m IN string_split(line, ' ') IF regexp_matches(m, '{Q._MARK}')]) >= words)
+l AS (SELECT r, line, regexp_extract_all(line, '{word}+') AS words, length(line) AS chars FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '{word}')),
+f AS (SELECT r, line, chars - {size("line", symbol)} > {Q.LINE_SYMBOLS} * len(words) OR len([m FOR m IN words IF regexp_matches(m, '[!?][!?]$')]) > {Q.LINE_SHOUTS} * len(words)
+  OR (len([m FOR m IN string_split(line, ' ') IF regexp_matches(m, '{Q._MARK}')]) >= {Q.NAV_MARKS} AND 4 * len([m FOR m IN string_split(line, ' ') IF regexp_matches(m, '{Q._MARK}')]) >= len(words))
   OR regexp_matches(line, '{Q.BOILERPLATE}') OR NOT regexp_matches(line, '\\p{{L}}|\\p{{N}}') AS bad FROM l),
 g AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (bad) AS n_lines_removed, coalesce(sum({size("line", space + "+")}) FILTER (NOT bad), 0) AS left_chars FROM f GROUP BY r),
 z AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, {size("text", space + "+")} AS word_chars, length(text) - {size("text", symbol)} AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,

@@ -2,10 +2,11 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from patchloom.llm import quality_classifier
 from patchloom.llm.quality_classifier import fit, score_quality
-from patchloom.llm.quality_rules import clean_documents, quality_report
+from patchloom.llm.quality_rules import clean_documents, line_fails, quality_report
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -48,6 +49,12 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert left[1] == clean and "cookies" not in left[5] and "Sport" not in left[5] and "Last line" in left[5]
 
 
+def test_lines_are_judged_by_their_words(spark):
+    cases = [("wow!!!! it is all so very fine here", False), ("wow!!!! fine?!?", True), ("a b!! c", True), ("a b!!c d", False), ("a!! b c d", False), ("a!!! b\tc d", False), ("!!!!!! one two three", False), ("\t a!! b c", True), ("\ta# b c\x0b", True), ("\ta# b c d ", False)]
+    frame = spark.createDataFrame(cases, "line string, fails boolean")
+    assert [r.line for r in frame.filter(line_fails(F.col("line")) != F.col("fails")).collect()] == []
+
+
 def test_classifier_on_documents(spark, odd_docs, no_docs):
     good = [(k, " ".join(f"w{(k * 31 + j * 17) % 400}er" for j in range(80)) + ".") for k in range(200)]
     bad = [(1000 + k, " ".join(f"w{(k * 31 + j * 17) % 400}###" for j in range(80))) for k in range(200)]
