@@ -48,9 +48,39 @@ def test_lanes_hold_every_document_once():
         assert set(seen.values()) == {1} and len(seen) == len(lengths) and (np.diff(filled) <= 0).all() and filled[0] == 5000
 
 
-def test_long_documents_are_cut_for_training_only():
-    starts, lengths = gru.segments(np.array([0, 10, 11]), np.array([10, 1, 4]), 4)
-    assert (starts.tolist(), lengths.tolist()) == ([0, 4, 8, 10, 11], [4, 4, 2, 1, 4])
+def plain_log_probs(p, lay, ids):
+    """One token after the other: log-probabilities of a document's ids, and the last state."""
+    p, d = {k: v.astype(np.float64) for k, v in p.items()}, gru.WIDTH
+    h, last, out = np.zeros(d), lay.n, []
+    softmax_at = lambda x, k: x[k] - np.log(np.exp(x).sum())
+    for word in ids.tolist():
+        x = p["embed"][last] @ p["wx"] + p["b"]
+        r, z = np.split(1 / (1 + np.exp(-x[: 2 * d] - h @ p["wh"][:, : 2 * d])), 2)
+        n = np.tanh(x[2 * d :] + (r * h) @ p["wh"][:, 2 * d :])
+        h = (1 - z) * n + z * h
+        c = lay.of[word]
+        lo, hi = lay.first[c], lay.last[c]
+        out.append(softmax_at(h @ p["wc"] + p["bc"], c) + softmax_at(p["wo"][lo:hi] @ h + p["bo"][lo:hi], word - lo))
+        last = word
+    return np.array(out), h
+
+
+def test_scores_and_states_equal_a_plain_loop_over_whole_documents():
+    rng = np.random.default_rng(4)
+    lay = gru.Layout(np.sort(rng.integers(1, 500, 60))[::-1])
+    p = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in gru.fresh(lay).items()}
+    lengths = np.array([3000, 1, 40, 700, 17, 16, 900])
+    ids, starts = rng.integers(0, 60, lengths.sum()).astype(np.int32), np.cumsum(lengths) - lengths
+    got = gru.score(p, lay, ids, starts, lengths)
+    for a, n in zip(starts, lengths, strict=True):
+        want, _ = plain_log_probs(p, lay, ids[a : a + n])
+        assert np.abs(got[a : a + n] - want).max() < 1e-3
+    trainer, states = gru.Trainer(p, lay, 0.0, lanes=1), []
+    window = trainer._window
+    trainer._window = lambda *x: (states.append(window(*x)), states[-1])[1]
+    trainer.learn(ids[:3000], starts[:1], lengths[:1])
+    assert len(states) == -(-3000 // gru.WINDOW)
+    assert np.abs(states[-1][0] - plain_log_probs(p, lay, ids[:3000])[1]).max() < 1e-4  # carried from the first token on
 
 
 # --- pages ---
