@@ -87,21 +87,22 @@ def link_modules(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 
     Relative specifiers are taken from the source's folder; without an extension the first of ``MODULE_SUFFIXES`` that is a file
     counts. ``*`` is the file's own symbol, ``default`` the exported symbol marked so, else the exported symbol of that name;
-    it must be the only one. Linked edges have a confidence of 0.9 at least; all others stay as they are.
+    it must be the only one. Linked edges have a confidence of 0.9 at least; all others stay as they are. Targets are looked up once
+    for each folder and come back by (folder, target), never by a row number, which a second reading could deal out differently.
     ``symbols`` (stable_key, kind, path, name, exported, is_default).
     """
-    keyed = edges.withColumn("__e", F.monotonically_increasing_id())
+    keyed = edges.withColumn("__dir", F.regexp_replace(F.coalesce("source_path", F.lit("")), "/?[^/]*$", ""))
     spec = F.regexp_extract("to_key", "^external:(.*)#[^#]*$", 1)
-    wanted = keyed.filter(F.col("to_key").startswith("external:") & spec.startswith(".")).select("__e", F.regexp_extract("to_key", "#([^#]*)$", 1).alias("__name"), normal_path(F.concat_ws("/", F.regexp_replace("source_path", "/?[^/]*$", ""), spec)).alias("__base"))
+    wanted = keyed.filter(F.col("to_key").startswith("external:") & spec.startswith(".")).select("__dir", "to_key").distinct().select("__dir", "to_key", F.regexp_extract("to_key", "#([^#]*)$", 1).alias("__name"), normal_path(F.concat_ws("/", "__dir", spec)).alias("__base"))
     extension = F.regexp_extract("__base", r"[^/.][^/]*(\.[^/.]*)$", 1) != ""
     tried = F.when(extension, F.array(F.struct(F.lit(0).alias("n"), F.col("__base").alias("path")))).otherwise(F.array(*[F.struct(F.lit(k).alias("n"), F.concat("__base", F.lit(x)).alias("path")) for k, x in enumerate(MODULE_SUFFIXES)]))
     files = symbols.filter("kind = 'file'").groupBy("path").agg(F.max("stable_key").alias("file_key"))
-    hit = wanted.select("__e", "__name", F.explode(tried).alias("t")).select("__e", "__name", "t.n", "t.path").join(files, "path").groupBy("__e", "__name").agg(F.min_by(F.struct("path", "file_key"), "n").alias("f")).select("__e", "__name", "f.path", "f.file_key")
+    hit = wanted.select("__dir", "to_key", "__name", F.explode(tried).alias("t")).select("__dir", "to_key", "__name", "t.n", "t.path").join(files, "path").groupBy("__dir", "to_key", "__name").agg(F.min_by(F.struct("path", "file_key"), "n").alias("f")).select("__dir", "to_key", "__name", "f.path", "f.file_key")
     named = symbols.filter("exported AND kind <> 'file'").select("path", F.col("name").alias("__name"), "stable_key")
     chosen = symbols.filter("exported AND is_default").select("path", F.lit("default").alias("__name"), "stable_key")
     only = named.filter("__name <> 'default'").unionByName(chosen).groupBy("path", "__name").agg(F.count("*").alias("n"), F.min("stable_key").alias("found")).filter("n = 1").drop("n")
-    linked = hit.join(only, ["path", "__name"], "left").select("__e", F.when(F.col("__name") == "*", F.col("file_key")).otherwise(F.col("found")).alias("__to")).filter("__to IS NOT NULL")
-    out = keyed.join(linked, "__e", "left").withColumn("confidence", F.when(F.col("__to").isNotNull(), F.greatest("confidence", F.lit(0.9))).otherwise(F.col("confidence"))).withColumn("to_key", F.coalesce("__to", "to_key"))
+    linked = hit.join(only, ["path", "__name"], "left").select("__dir", "to_key", F.when(F.col("__name") == "*", F.col("file_key")).otherwise(F.col("found")).alias("__to")).filter("__to IS NOT NULL")
+    out = keyed.join(linked, ["__dir", "to_key"], "left").withColumn("confidence", F.when(F.col("__to").isNotNull(), F.greatest("confidence", F.lit(0.9))).otherwise(F.col("confidence"))).withColumn("to_key", F.coalesce("__to", "to_key"))
     return out.select(*edges.columns)
 
 
