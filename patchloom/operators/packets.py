@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchloom.functions.text import evidence_id, is_safe_path, redact
+from patchloom.functions.text import ascii_bounds, evidence_id, is_safe_path, redact
 from patchloom.operators.diff import changed_line_sets, parse_patch, reversed_patch
 from patchloom.operators.evaluation import share
 from patchloom.operators.intervals import holding, runs
@@ -224,7 +224,7 @@ def reverse_fixes(changes: DataFrame, files: DataFrame) -> DataFrame:
     Fix-like title or labels and no title of little value; 1 to 25 files; modified Go files outside vendored and generated
     folders, without secrets, of 120,000 characters at most in all; and one line that means something is added outside tests.
     """
-    said = ~F.col("title").rlike(LOW_VALUE_TITLE) & (F.col("title").rlike(FIX_TITLE) | F.coalesce("labels", F.lit("")).rlike(FIX_LABEL))
+    said = ~F.col("title").rlike(ascii_bounds(LOW_VALUE_TITLE)) & (F.col("title").rlike(ascii_bounds(FIX_TITLE)) | F.coalesce("labels", F.lit("")).rlike(ascii_bounds(FIX_LABEL)))
     fixes = changes.filter(F.col("merged") & ~F.col("bot") & said).select("change_id")
     small = files.groupBy("change_id").agg(F.count("*").alias("n")).filter(F.col("n") <= MOST_FILES).select("change_id")
     use = (F.col("status") == "modified") & F.lower("path").endswith(".go") & ~F.col("path").rlike(UNREVIEWED_PATH) & (F.length(F.coalesce("patch", F.lit(""))) > 0) & (redact(F.col("patch")) == F.col("patch"))
