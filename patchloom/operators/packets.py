@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchloom.functions.text import ascii_bounds, evidence_id, is_safe_path, redact
+from patchloom.functions.text import ascii_bounds, evidence_id, is_clean, is_safe_path, redact
 from patchloom.operators.diff import changed_line_sets, parse_patch, reversed_patch
 from patchloom.operators.evaluation import share
 from patchloom.operators.intervals import holding, runs
@@ -207,14 +207,15 @@ def eligible_changes(changes: DataFrame, files: DataFrame, extensions: tuple[str
     """Changes that may become cases: merged, by a person, of 1 to 25 files, with reviewable patches of 120,000 characters at most and no secret anywhere.
 
     ``changes`` (change_id, merged, bot, title, body), ``files`` (change_id, path, patch). change_id, n_files, patch_chars.
+    A patch that is too long alone isn't searched for secrets, as its change falls out by its length.
     """
-    clean = lambda c: redact(F.col(c)) == F.coalesce(c, F.lit(""))
     ends = F.lit(False)
     for x in extensions:
         ends = ends | F.lower("path").endswith(x)
-    reviewable = ends & ~F.col("path").rlike(BUILT_PATH) & (F.length(F.coalesce("patch", F.lit(""))) > 0)
-    per = files.groupBy("change_id").agg(F.count("*").alias("n_files"), F.count_if(reviewable).alias("reviewable"), F.coalesce(F.sum(F.when(reviewable, F.length("patch"))), F.lit(0)).cast("long").alias("patch_chars"), F.count_if(reviewable & ~clean("patch")).alias("secret"))
-    use = changes.filter(F.col("merged") & ~F.col("bot") & clean("title") & clean("body")).select("change_id")
+    reviewable = ends & ~F.col("path").rlike(BUILT_PATH) & (F.octet_length(F.coalesce("patch", F.lit(""))) > 0)
+    sized = files.select("change_id", "patch", F.when(reviewable, F.length("patch")).alias("chars"))  # each patch is measured once
+    per = sized.groupBy("change_id").agg(F.count("*").alias("n_files"), F.count("chars").alias("reviewable"), F.coalesce(F.sum("chars"), F.lit(0)).cast("long").alias("patch_chars"), F.count_if((F.col("chars") <= MOST_PATCH_CHARS) & ~is_clean(F.col("patch"))).alias("secret"))
+    use = changes.filter(F.col("merged") & ~F.col("bot") & is_clean(F.col("title")) & is_clean(F.col("body"))).select("change_id")
     return per.filter((F.col("n_files") <= MOST_FILES) & (F.col("reviewable") >= 1) & (F.col("patch_chars") <= MOST_PATCH_CHARS) & (F.col("secret") == 0)).join(use, "change_id", "left_semi").select("change_id", "n_files", "patch_chars")
 
 
