@@ -14,6 +14,11 @@ from patchloom.sources.tables import table
 _KEY = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by ``key`` over four tasks a core: a small file, which a scan gives to a task or two, may hold much work."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def symbols(spark: SparkSession, d: str, head: bool) -> DataFrame:
     part = table(spark, d, "part")
     rows = part.filter(F.col("p_partkey") % 10 != (1 if head else 0))

@@ -723,7 +723,7 @@ def parsed_policies(s, d):
 def _sources(s, d):
     k = _text("p_partkey")
     body = F.concat(F.lit("public class P"), k, F.lit(" {\n  void run(int a, Map<String, Integer> b) {\n    helper(a); // other(a)\n    missing(b);\n  }\n  private void helper(int a) { count += a; }\n}\n"))
-    return table(s, d, "part").select(F.concat(F.lit("src/P"), k, F.lit(".java")).alias("path"), body.alias("content"))
+    return A.dealt(table(s, d, "part").select("p_partkey"), "p_partkey").select(F.concat(F.lit("src/P"), k, F.lit(".java")).alias("path"), body.alias("content"))
 
 
 @query("extracted_symbols", "WITH p AS (SELECT p_partkey AS k FROM part) SELECT 'java:src/P' || k || '.java:' || x.t AS stable_key, x.kind, x.s AS start_line, x.e AS end_line, x.x AS exported FROM (SELECT k, unnest([{t: 'file:$module', kind: 'file', s: 1, e: 8, x: true}, {t: 'class:P' || k, kind: 'class', s: 1, e: 7, x: true}, {t: 'method:P' || k || '.run/2', kind: 'method', s: 2, e: 5, x: false}, {t: 'method:P' || k || '.helper/1', kind: 'method', s: 6, e: 6, x: false}]) AS x FROM p)")

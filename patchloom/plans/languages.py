@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patchloom.operators import policy, rules, symbols
+from patchloom.plans import adapters as A
 from patchloom.plans.catalog import query
 from patchloom.sources.tables import table
 
@@ -238,7 +239,7 @@ def _files_sql() -> str:
 def _files(s, d):
     pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in SOURCES.values()]), (1 + F.col("p_partkey") % len(SOURCES)).cast("int"))
     key = F.col("p_partkey").cast("string")
-    return table(s, d, "part").select(F.concat(F.lit("src/f"), key, F.lit("."), pick(0)).alias("path"), F.replace(pick(1), F.lit("#"), key).alias("content"))
+    return A.dealt(table(s, d, "part").select("p_partkey"), "p_partkey").select(F.concat(F.lit("src/f"), key, F.lit("."), pick(0)).alias("path"), F.replace(pick(1), F.lit("#"), key).alias("content"))
 
 
 _SYMBOLS = _values((n, *x.rsplit(" ", 3)) for n, (_, _, own, _) in enumerate(SOURCES.values()) for x in own)
