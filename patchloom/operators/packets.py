@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions.text import ascii_bounds, evidence_id, is_clean, is_safe_path, redact
-from patchloom.operators.diff import changed_line_sets, parse_patch, reversed_patch
+from patchloom.operators.diff import HUNK, changed_line_sets, reversed_patch
 from patchloom.operators.evaluation import share
 from patchloom.operators.intervals import holding, runs
 
@@ -227,14 +227,21 @@ def reverse_fixes(changes: DataFrame, files: DataFrame) -> DataFrame:
     """
     said = ~F.col("title").rlike(ascii_bounds(LOW_VALUE_TITLE)) & (F.col("title").rlike(ascii_bounds(FIX_TITLE)) | F.coalesce("labels", F.lit("")).rlike(ascii_bounds(FIX_LABEL)))
     fixes = changes.filter(F.col("merged") & ~F.col("bot") & said).select("change_id")
-    small = files.groupBy("change_id").agg(F.count("*").alias("n")).filter(F.col("n") <= MOST_FILES).select("change_id")
-    use = (F.col("status") == "modified") & F.lower("path").endswith(".go") & ~F.col("path").rlike(UNREVIEWED_PATH) & (F.length(F.coalesce("patch", F.lit(""))) > 0) & (redact(F.col("patch")) == F.col("patch"))
-    turned = files.filter(use).join(fixes, "change_id", "left_semi").join(small, "change_id", "left_semi").select("change_id", "path", F.col("deletions").alias("additions"), F.col("additions").alias("deletions"), reversed_patch(F.col("patch")).alias("patch"))
-    fits = turned.groupBy("change_id").agg(F.sum(F.length("patch")).alias("chars")).filter(F.col("chars") <= MOST_PATCH_CHARS).select("change_id")
-    line = F.trim("content")
-    says = (line != "") & ~line.startswith("//") & ~line.startswith("/*") & ~line.startswith("*") & ~line.rlike(r"^[{}(),;]+$")
-    added = parse_patch(turned, keys=("change_id", "path")).filter((F.col("kind") == "added") & ~F.col("path").rlike(GO_TEST_PATH) & says).select("change_id").distinct()
-    return turned.join(fits, "change_id", "left_semi").join(added, "change_id", "left_semi")
+    use = (F.col("status") == "modified") & F.lower("path").endswith(".go") & ~F.col("path").rlike(UNREVIEWED_PATH) & (F.length(F.coalesce("patch", F.lit(""))) > 0) & is_clean(F.col("patch"))
+
+    def says(line: Column) -> Column:
+        text = F.trim(F.substring(line, 2, 1 << 30))
+        return line.startswith("+") & ~line.startswith("+++") & (text != "") & ~text.startswith("//") & ~text.startswith("/*") & ~text.startswith("*") & ~text.rlike(r"^[{}(),;]+$")
+
+    # what a patch adds is seen in its own lines, so changes are judged by one grouping; a file's row meets their keys by hash and is never sorted
+    lines = F.split(reversed_patch(F.col("patch")), "\n")
+    head = F.array_position(F.transform(lines, lambda x: x.rlike(HUNK)), True).cast("int")
+    adds = ~F.col("path").rlike(GO_TEST_PATH) & (head > 0) & F.exists(F.slice(lines, F.greatest(head, F.lit(1)), F.size(lines)), says)
+    marked = files.select("change_id", F.when(use, F.length("patch")).alias("chars"), (use & adds).alias("adds"))  # a reversed patch is as long
+    per = marked.groupBy("change_id").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.max("adds").alias("adds"))
+    fit = per.filter((F.col("n") <= MOST_FILES) & (F.col("chars") <= MOST_PATCH_CHARS) & F.col("adds")).join(fixes, "change_id", "left_semi").select("change_id")
+    turned = files.filter(use).select("change_id", "path", F.col("deletions").alias("additions"), F.col("additions").alias("deletions"), reversed_patch(F.col("patch")).alias("patch"))
+    return turned.join(fit.hint("shuffle_hash"), "change_id", "left_semi")
 
 
 def exported_labels(cases: DataFrame, decisions: DataFrame) -> DataFrame:
