@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from patchloom.functions.text import is_safe_path, language_of_path
 from patchloom.operators.components import components
+from patchloom.operators.evaluation import two_sets
 from patchloom.operators.ranks import numbered
 
 
 def truth_set(expected: DataFrame, actual: DataFrame, key: list[str], by: str) -> DataFrame:
     """By repository and pooled (``by`` null): true and false positives, false negatives, precision (0 without any)."""
-    mark = lambda x, c: x.select(by, *key).distinct().withColumn(c, F.lit(True))
-    both = mark(actual, "a").join(mark(expected, "e"), [by, *key], "full_outer")
+    both = two_sets(actual, expected, [by, *key], "a", "e")
     counts = [F.count_if(F.col("a") & F.col("e")).alias("tp"), F.count_if(F.col("e").isNull()).alias("fp"), F.count_if(F.col("a").isNull()).alias("fn")]
     rows = both.groupBy(by).agg(*counts)
     pooled = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")]).select(F.lit(None).cast(rows.schema[by].dataType).alias(by), "tp", "fp", "fn")
