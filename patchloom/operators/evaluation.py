@@ -10,6 +10,10 @@ from patchloom.operators.percentiles import nearest_rank
 from patchloom.operators.ranks import numbered
 
 
+#: Tasks that take up what one task of a scan gives.
+SHARES = 8
+
+
 def share(hits: Column, total: Column) -> Column:
     """hits / total to 4 decimals, null without cases."""
     return F.round(F.try_divide(hits.cast("double"), total.cast("double")), 4)
@@ -65,7 +69,9 @@ def agreement(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
 
 def conflicts(facts: DataFrame, key: list[str], reviewer: str, reviewers: int) -> DataFrame:
     """One row: facts that not all of ``reviewers`` state."""
-    return facts.groupBy(*key).agg(F.countDistinct(reviewer).alias("n")).agg(F.count("*").alias("facts"), F.count_if(F.col("n") < reviewers).alias("conflicts"))
+    # dealt by the facts' key, so that reviewers are made distinct and counted in one place, in tasks whose number grows with the scan's
+    dealt = facts.repartition(SHARES * facts.rdd.getNumPartitions(), *key)
+    return dealt.groupBy(*key).agg(F.countDistinct(reviewer).alias("n")).agg(F.count("*").alias("facts"), F.count_if(F.col("n") < reviewers).alias("conflicts"))
 
 
 def review_queue(a: DataFrame, b: DataFrame, key: list[str], every: int) -> DataFrame:
