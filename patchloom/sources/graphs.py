@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 
 #: Columns by which the parts of a graph are dealt into buckets and sorted.
 PARTS = {"edges": "to_key", "symbols": "stable_key"}
+#: Tasks that write a part, where it has fewer buckets: a few buckets are sorted in shares, which become files of their own.
+LEAST_TASKS = 64
 
 
 def _files(spark: SparkSession, path: str):
@@ -57,7 +59,8 @@ def publish(spark: SparkSession, folder: str, key: str, parts: dict[str, DataFra
         writer = rows.write.format("parquet")
         if name in PARTS:
             table = f"stored_{uuid.uuid4().hex}"
-            rows.repartition(buckets, PARTS[name]).write.format("parquet").bucketBy(buckets, PARTS[name]).sortBy(PARTS[name]).option("path", f"{version}/{name}").saveAsTable(table)
+            tasks = buckets * max(1, LEAST_TASKS // buckets)  # a multiple of the buckets: a task's rows all belong to one
+            rows.repartition(tasks, PARTS[name]).write.format("parquet").bucketBy(buckets, PARTS[name]).sortBy(PARTS[name]).option("path", f"{version}/{name}").saveAsTable(table)
             spark.sql(f"DROP TABLE {table}")  # the table is external: its files stay
         else:
             writer.save(f"{version}/{name}")
