@@ -6,9 +6,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from patchloom.llm import gru, html_text
+from patchloom.llm import gru, html_text, lm_scoring
 from patchloom.llm.html_text import ARTICLE, OTHER, blocks_of, extract_main_text
 from patchloom.llm.lm_scoring import score_documents
 from patchloom.llm.near_duplicates import link_components
@@ -238,3 +239,25 @@ def test_pipeline_with_long_texts_and_clashing_names(spark, tmp_path):
     assert sorted((r.block, r.gone, r.n_words) for r in kept if r.block != 3) == [(1, "a", 2), (5, "b", None), (6, "c", 7)] and len(kept) == 4
     pieces = corpus_pipeline.run(spark, str(tmp_path)).filter("doc_id = 1").collect()
     assert len(pieces) > 10 and sorted(r.piece for r in pieces) == list(range(len(pieces)))
+
+
+def test_one_copy_learns_from_several_blocks(spark, monkeypatch):
+    """Blocks that learn together are one copy: no fewer documents, and not a copy a block."""
+    monkeypatch.setattr("patchloom.llm.lm_scoring.BLOCK_BYTES", 4_000)
+    rng, seen = np.random.default_rng(6), []
+    docs = spark.createDataFrame([(k, " ".join(f"w{x}" for x in rng.integers(0, 50, 40))) for k in range(300)], "doc_id long, text string")
+    own = lm_scoring.train
+
+    def train(encoded, layout, blocks):
+        seen.append((blocks, {r.block for r in encoded.select("block").collect()}))
+        parts = encoded.select(F.expr(f"block div {lm_scoring.TOGETHER}").alias("copy"), "block", "held", "lengths", "ids")
+        rows = parts.groupBy("copy").applyInArrow(lm_scoring._lessons, lm_scoring._ddl(lm_scoring._LESSONS)).collect()
+        seen.append((len(rows), sorted(n for r in rows for n in np.frombuffer(r.lengths, np.int64).tolist())))
+        return own(encoded, layout, blocks)
+
+    monkeypatch.setattr(lm_scoring, "train", train)
+    got = score_documents(docs).collect()
+    (blocks, numbers), (rows, lengths) = seen
+    assert blocks > 2 * lm_scoring.TOGETHER and numbers <= set(range(blocks))
+    assert rows == lm_scoring.ROUNDS * len({k // lm_scoring.TOGETHER for k in numbers})
+    assert lengths == [41] * sum(not r.held_out for r in got)
