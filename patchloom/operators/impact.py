@@ -2,7 +2,8 @@
 
 A search takes symbols in the order in which they were found. That order is the list of the edges' places from the change to the
 symbol, compared from the front, so no queue is needed: of a level's candidates for one symbol the smallest list wins, and a
-level's symbols come in the order of their lists. A level is one join of the last level's symbols with the edges, by key, and an anti-join with
+level's symbols come in the order of their lists. Edges are saved once, in buckets of their target. A level is one join of the last level's
+symbols with them, in which only the symbols move, and an anti-join with
 what has been found; it is saved, so that a lost executor costs one level. Levels are as many as the depth at most.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.operators.graph import SECOND
-from patchloom.sources.saved import saved
+from patchloom.sources.saved import saved, saved_by
 
 
 def _open_steps(level: DataFrame, found: DataFrame | None, cap: int) -> DataFrame:
@@ -62,14 +63,16 @@ def search(
     to = use.select(*graphs, F.col("to_key").alias("at"), F.col("from_key").alias("node"), "ord", (weight * F.col("confidence")).alias("gain"))
     if known is not None:
         to = to.join(known.select(*graphs, F.col("stable_key").alias("node")), [*graphs, "node"], "left_semi")
+    to = saved_by(to.filter(F.col("at").isNotNull()), "edges", [*graphs, "at"])
     kind = edges.schema["ord"].dataType.simpleString()
     place = ["change_place"] if over_all else []
     start = changes.filter(F.col("stable_key").isNotNull()).groupBy(*graphs, F.col("stable_key").alias("change_key")).agg(*([F.min("place").alias("change_place")] if over_all else [F.lit(0).alias("one")])).drop("one")
+    start = saved(start, "changes")  # or its grouping would be kept in the first join, and the edges move
     frontier = start.select(*graphs, *place, "change_key", F.col("change_key").alias("node"), F.array().cast(f"array<{kind}>").alias("ords"), F.array("change_key").alias("path"), F.lit(1.0).alias("score"))
     seen, found = frontier.select(*graphs, "change_key", "node"), None
     for level in range(1, depth + 1):
         gain = F.col("score") * F.col("gain") if level == 1 else F.col("score") * F.col("gain") * F.lit(decay)
-        ahead = frontier.withColumnsRenamed({"node": "at", "ords": "parent"}).join(to, [*graphs, "at"]).join(seen, [*graphs, "change_key", "node"], "left_anti")
+        ahead = frontier.withColumnsRenamed({"node": "at", "ords": "parent"}).hint("shuffle_hash").join(to, [*graphs, "at"]).join(seen, [*graphs, "change_key", "node"], "left_anti")
         ahead = ahead.select(*graphs, *place, "change_key", "node", "parent", F.concat("parent", F.array("ord")).alias("ords"), F.concat(F.array("node"), "path").alias("path"), (F.round(gain, 3) if rounded else gain).alias("score"))
         first = F.row_number().over(Window.partitionBy(*graphs, "change_key", "node").orderBy("ords"))
         reached = saved(ahead.withColumn("n", first).filter("n = 1").drop("n"), "level")
