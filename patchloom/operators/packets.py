@@ -81,11 +81,22 @@ def packet_items(queue: DataFrame, adapter: DataFrame, oracle: DataFrame, lines:
     Facts (source_path, line, from_key, to_key). Tools agree where both sets are the same. ``lines`` (path, line, content) gives
     the lines around a place; the id is a hash of all of it.
     """
-    sets = lambda facts, name: facts.groupBy("source_path", "line").agg(F.array_sort(F.collect_set("from_key")).alias(f"{name}_callers"), F.array_sort(F.collect_set("to_key")).alias(f"{name}_targets"))
-    places = queue.select("source_path", "line").distinct()
-    rows = places.join(sets(adapter, "adapter"), ["source_path", "line"], "left").join(sets(oracle, "oracle"), ["source_path", "line"], "left")
-    names = ["adapter_callers", "oracle_callers", "adapter_targets", "oracle_targets"]
-    rows = rows.select("source_path", "line", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in names])
+    told = lambda facts, a, b: facts.select("source_path", "line", "from_key", "to_key", F.lit(a).alias("adapter"), F.lit(b).alias("oracle"), F.lit(False).alias("queued"))
+    places = queue.select("source_path", "line", F.lit(None).cast("string").alias("from_key"), F.lit(None).cast("string").alias("to_key"), F.lit(False).alias("adapter"), F.lit(False).alias("oracle"), F.lit(True).alias("queued"))
+    return told_items(told(adapter, True, False).unionByName(told(oracle, False, True)).unionByName(places), lines, around)
+
+
+def told_items(facts: DataFrame, lines: DataFrame, around: int = 2) -> DataFrame:
+    """``packet_items`` of one relation: facts (source_path, line, from_key, to_key), which of the two tools tells each (adapter, oracle), and whether its place is ``queued``.
+
+    Facts are dealt by their place once, and all sets come from one grouping. Only places in files that have lines look for those around them.
+    """
+    whole = F.col("source_path").isNotNull() & F.col("line").isNotNull()  # a place that isn't known has no facts
+    names = {"adapter_callers": ("adapter", "from_key"), "oracle_callers": ("oracle", "from_key"), "adapter_targets": ("adapter", "to_key"), "oracle_targets": ("oracle", "to_key")}
+    sets = [F.array_sort(F.collect_set(F.when(F.col(tool) & whole, F.col(c)))).alias(name) for name, (tool, c) in names.items()]
+    rows = facts.repartition("source_path", "line").groupBy("source_path", "line").agg(*sets, F.max("queued").alias("__queued")).filter("__queued").drop("__queued")
+    paths = lines.select(F.col("path").alias("source_path")).distinct()
+    places = facts.filter("queued").select("source_path", "line").join(paths, "source_path", "left_semi").distinct()
     shown = places.withColumn("__at", F.explode(F.sequence(F.col("line") - around, F.col("line") + around))).join(lines.select(F.col("path").alias("source_path"), F.col("line").alias("__at"), "content"), ["source_path", "__at"])
     excerpt = shown.groupBy("source_path", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", "content"))), lambda x: x["content"]), "\n").alias("excerpt"))
     out = rows.join(excerpt, ["source_path", "line"], "left").withColumn("excerpt", F.coalesce("excerpt", F.lit("")))

@@ -501,10 +501,10 @@ def _sets(name: str) -> str:
 
 @query("packet_items", f"WITH {_PK}, {_sets('ad')}, {_sets('oc')}, pl AS (SELECT source_path, line FROM ad UNION SELECT source_path, line FROM oc), ex AS (SELECT pl.source_path, pl.line, string_agg(content, chr(10) ORDER BY ln.line) AS excerpt FROM pl JOIN ln ON ln.path = pl.source_path AND ln.line BETWEEN pl.line - 2 AND pl.line + 2 GROUP BY 1, 2), s AS (SELECT pl.source_path, pl.line, coalesce(ads.f, '') AS a, coalesce(ocs.f, '') AS b, coalesce(ads.t, '') AS c, coalesce(ocs.t, '') AS e, coalesce(excerpt, '') AS excerpt FROM pl LEFT JOIN ads USING (source_path, line) LEFT JOIN ocs USING (source_path, line) LEFT JOIN ex USING (source_path, line)) SELECT source_path, line, CASE WHEN a = b AND c = e THEN 'agreement_sample' ELSE 'tool_disagreement' END AS kind, excerpt, substr(sha256(source_path || chr(10) || line || chr(10) || a || chr(10) || b || chr(10) || c || chr(10) || e || chr(10) || sha256(excerpt)), 1, 20) AS item_id FROM s")
 def packet_items(s, d):
-    facts = lambda c: table(s, d, "lineitem").filter(c).select(F.concat(F.lit("doc/"), _text("l_partkey")).alias("source_path"), (1 + F.col("l_orderkey") % 6).cast("int").alias("line"), F.concat(F.lit("c"), (F.col("l_suppkey") % 2).cast("string")).alias("from_key"), F.concat(F.lit("t"), (F.col("l_linenumber") % 3).cast("string")).alias("to_key")).distinct()
+    adapter, oracle = (F.coalesce(F.expr(c), F.lit(False)) for c in ("l_quantity < 45", "l_discount > 0.005"))
+    facts = table(s, d, "lineitem").select(F.concat(F.lit("doc/"), _text("l_partkey")).alias("source_path"), (1 + F.col("l_orderkey") % 6).cast("int").alias("line"), F.concat(F.lit("c"), (F.col("l_suppkey") % 2).cast("string")).alias("from_key"), F.concat(F.lit("t"), (F.col("l_linenumber") % 3).cast("string")).alias("to_key"), adapter.alias("adapter"), oracle.alias("oracle"), (adapter | oracle).alias("queued")).filter("queued")
     lines = table(s, d, "documents").select(F.concat(F.lit("doc/"), _text("doc_id")).alias("path"), F.posexplode(F.split("text", "\n")).alias("n", "content")).select("path", (F.col("n") + 1).alias("line"), "content")
-    a, b = facts("l_quantity < 45"), facts("l_discount > 0.005")
-    return packets.packet_items(a.unionByName(b), a, b, lines).select("source_path", "line", "kind", "excerpt", "item_id")
+    return packets.told_items(facts, lines).select("source_path", "line", "kind", "excerpt", "item_id")
 
 
 _GATE = f"""WITH per AS (SELECT l_orderkey AS case_id, count(DISTINCT l_suppkey % 9) AS reviewers, bool_or(l_shipdate < o_orderdate OR l_shipdate >= o_orderdate + INTERVAL 900 DAY) AS bad FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
