@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions.text import name_tokens, simple_name
+from patchloom.sources.saved import saved
 
 #: Fixed values.
 WEIGHTS = {"CALLS": 1.0, "IMPORTS": 0.6}
@@ -160,8 +161,8 @@ def incremental_index(base_symbols: DataFrame, base_edges: DataFrame, new_symbol
     """
     kept = base_symbols.join(affected, "path", "left_anti")
     symbols = kept.unionByName(new_symbols.select(*kept.columns))
-    was = base_symbols.join(affected_paths(base_symbols, base_edges, changed).join(changed, "path", "left_semi"), "path", "left_semi").select("stable_key")
-    gone = was.join(symbols.select("stable_key"), "stable_key", "left_anti").select(F.col("stable_key").alias("to_key"))
+    was = base_symbols.join(changed.select("path"), "path", "left_semi").select("stable_key")
+    gone = saved(was.join(symbols.select("stable_key"), "stable_key", "left_anti").select(F.col("stable_key").alias("to_key")), "gone")  # its size is known then: a few meet the edges where they stand
     reused = base_edges.filter("type <> 'TESTS'").join(affected.select(F.col("path").alias("source_path")), "source_path", "left_anti").join(gone, "to_key", "left_anti").select(*base_edges.columns)
     edges = reused.unionByName(new_edges.filter("type <> 'TESTS'").select(*base_edges.columns)).distinct()
     return symbols, edges

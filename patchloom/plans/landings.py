@@ -10,7 +10,7 @@ from patchloom.operators import graph, state
 from patchloom.plans import adapters as A
 from patchloom.plans.catalog import _GS, _PAT, query
 from patchloom.sources import archives, context, tables
-from patchloom.sources.saved import kept_folder, saved
+from patchloom.sources.saved import kept_folder, saved, saved_by
 from patchloom.sources.tables import table
 
 
@@ -92,8 +92,10 @@ def _incremental(s, d):
     part = F.split("path", "/")
     base, head = (saved(A.graph_symbols(s, d, x).select("stable_key", "path"), "symbols") for x in (False, True))
     changed = head.unionByName(base).filter(F.col("path").startswith("part/") & (part[1].cast("int") % 10 == 3)).select("path").distinct()
-    of = lambda symbols: A.edges(s, d).join(symbols.select(F.col("stable_key").alias("from_key"), F.col("path").alias("source_path")), "from_key").select("from_key", "to_key", "type", "ord", "source_path")
-    base_edges, head_edges = saved(of(base), "edges"), of(head)  # a base is a stored snapshot, and so are the paths parsed again
+    buckets = max(64, 8 * table(s, d, "lineitem").rdd.getNumPartitions())  # they grow in number with the scan
+    edges = saved_by(A.edges(s, d).select("from_key", "to_key", "type", "ord"), "edges", ["from_key"], buckets)  # stored once, where both sides' symbols come to them
+    of = lambda symbols: edges.join(symbols.select(F.col("stable_key").alias("from_key"), F.col("path").alias("source_path")).hint("shuffle_hash"), "from_key").select("from_key", "to_key", "type", "ord", "source_path")
+    base_edges, head_edges = of(base), of(head)
     affected = saved(graph.affected_paths(base, base_edges, changed), "affected")
     again = lambda rows, c: rows.join(affected.select(F.col("path").alias(c)), c, "left_semi")
     return graph.incremental_index(base, base_edges, again(head, "path"), again(head_edges, "source_path"), changed, affected)
