@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions.text import ascii_bounds, evidence_id, is_clean, is_safe_path, redact
 from patchloom.operators.diff import HUNK, changed_line_sets, reversed_patch
-from patchloom.operators.evaluation import share
+from patchloom.operators.evaluation import SHARES, share
 from patchloom.operators.intervals import holding, runs
 
 #: What titles, labels and paths say of a fix, and which lines say nothing.
@@ -114,22 +114,38 @@ def phase_gate(cases: DataFrame, reviews: DataFrame, causes: DataFrame, sessions
     calibration, adjudication after all reviews and, where there were conflicts, by a third person, and no root cause twice.
     Invalid cases fail the gate and don't count.
     """
-    of_case = reviews.join(cases.select("case_id", F.col("packet_id").alias("__packet"), "frozen_at", "adjudicated_by", "adjudicated_at"), "case_id")
-    bad = (F.col("packet_id") != F.col("__packet")) | (F.col("submitted_at") < F.col("frozen_at")) | (F.col("calibrated_at") > F.col("submitted_at")) | (F.col("adjudicated_at") <= F.col("submitted_at"))
-    per = of_case.groupBy("case_id").agg(F.countDistinct("reviewer_id").alias("reviewers"), F.max(F.coalesce(bad, F.lit(True))).alias("bad"), F.max(F.col("reviewer_id") == F.col("adjudicated_by")).alias("own"))
-    found = causes.groupBy("case_id").agg(F.count("*").alias("causes"), F.countDistinct("root_cause_id").alias("distinct_causes"))
-    rows = cases.join(per, "case_id", "left").join(found, "case_id", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    valid = (n("reviewers") >= 2) & ~F.coalesce("bad", F.lit(True)) & ~((n("conflict_count") > 0) & F.coalesce("own", F.lit(False))) & (n("causes") == n("distinct_causes"))
-    rows = rows.withColumn("valid", valid)
-    ids = rows.filter("valid").groupBy("case_id").agg(F.count("*").alias("again"))
-    counted = rows.agg(F.count_if(~F.col("valid")).alias("invalid_cases"), F.count_if("valid").alias("cases"), F.count_if(F.col("valid") & (n("causes") > 0)).alias("positive_cases"), F.coalesce(F.sum(F.when(F.col("valid"), n("causes"))), F.lit(0)).cast("long").alias("root_causes"), F.count_if(F.col("valid") & (n("reviewers") >= 2)).alias("dual_reviewed"), F.count_if(F.col("valid") & (F.coalesce("adjudicated_by", F.lit("")) != "")).alias("adjudicated"))
-    known = sessions.join(ids.select("case_id", F.lit(True).alias("known")), "case_id", "left")
+    tasks = SHARES * max(1, *[x.rdd.getNumPartitions() for x in (cases, reviews, causes, sessions)])
     timed = F.col("excluded_reason").isNull()
-    keys = sessions.groupBy("case_id", "reviewer_id", "arm").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_sessions"))
-    arms = known.agg(F.count_if(timed).alias("timed_sessions"), F.count_if(timed & (F.col("arm") == "assisted")).alias("assisted"), F.count_if(timed & (F.col("arm") == "control")).alias("control"), F.count_if(F.col("known").isNull()).alias("unknown_cases"))
+    calm, judged = n("conflict_count") <= 0, F.coalesce("adjudicated_by", F.lit("")) != ""
+    # a case is sound if every review fits every one of its rows, which the least and the largest values tell
+    facts = [
+        cases.select("case_id", F.lit(1).alias("case"), calm.cast("int").alias("calm"), judged.cast("int").alias("judged"), (calm & judged).cast("int").alias("calm_judged"), "packet_id", F.col("adjudicated_by").alias("judge"), "frozen_at", "adjudicated_at", (F.col("packet_id").isNotNull() & F.col("frozen_at").isNotNull() & F.col("adjudicated_at").isNotNull()).alias("sound")),
+        reviews.filter("case_id IS NOT NULL").select("case_id", "packet_id", F.col("reviewer_id").alias("reviewer"), "submitted_at", F.coalesce(F.col("packet_id").isNotNull() & (F.col("calibrated_at") <= F.col("submitted_at")), F.lit(False)).alias("sound")),
+        causes.filter("case_id IS NOT NULL").select("case_id", F.lit(1).alias("cause"), F.col("root_cause_id").alias("root")),
+        sessions.select("case_id", F.lit(1).alias("session"), timed.cast("int").alias("timed"), (timed & (F.col("arm") == "assisted")).cast("int").alias("assisted"), (timed & (F.col("arm") == "control")).cast("int").alias("control")),
+    ]
+    told = facts[0]
+    for x in facts[1:]:
+        told = told.unionByName(x, allowMissingColumns=True)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    sets = [F.collect_set(F.when(F.col("case_id").isNotNull(), F.col(c))).alias(f"{c}s") for c in ("reviewer", "judge", "root")]
+    ends = [F.min("packet_id").alias("p0"), F.max("packet_id").alias("p1"), F.max("frozen_at").alias("frozen"), F.min("submitted_at").alias("s0"), F.max("submitted_at").alias("s1"), F.min("adjudicated_at").alias("ended"), F.min("sound").alias("sound")]
+    # dealt by case once, in tasks whose number grows with the scans'
+    per = told.repartition(tasks, "case_id").groupBy("case_id").agg(*sets, *ends, *[total(c) for c in ("case", "calm", "judged", "calm_judged", "cause", "session", "timed", "assisted", "control")])
+    fits = F.col("sound") & (F.col("p0") == F.col("p1")) & (F.col("s0") >= F.col("frozen")) & (F.col("s1") < F.col("ended")) & (F.size("reviewers") >= 2) & (F.col("cause") == F.size("roots"))
+    own = F.arrays_overlap("reviewers", "judges")
+    of = lambda all_, some: F.when(F.coalesce(fits, F.lit(False)), F.when(own, F.col(some)).otherwise(F.col(all_))).otherwise(0)
+    per = per.withColumn("valid", of("case", "calm")).withColumn("of_judges", of("judged", "calm_judged"))
+    count = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    valid = F.col("valid")
+    counted = per.agg(
+        count(F.col("case") - valid, "invalid_cases"), count(valid, "cases"), count(F.when(F.col("cause") > 0, valid), "positive_cases"), count(valid * F.col("cause"), "root_causes"), count(valid, "dual_reviewed"), count("of_judges", "adjudicated"),
+        count("timed", "timed_sessions"), count("assisted", "assisted"), count("control", "control"), count(F.when(valid == 0, F.col("session")), "unknown_cases"), F.count_if(valid > 1).alias("repeated_cases"),
+    )
+    keys = sessions.repartition(tasks, "case_id", "reviewer_id", "arm").groupBy("case_id", "reviewer_id", "arm").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_sessions"))
     one = lambda x: x.withColumn("__k", F.lit(1))
-    out = one(counted).join(one(arms), "__k").join(one(keys), "__k").join(one(ids.agg(F.count_if(F.col("again") > 1).alias("repeated_cases"))), "__k").drop("__k")
+    out = one(counted).join(one(keys), "__k").select(*[c for c in counted.columns if c != "repeated_cases"], "repeated_sessions", "repeated_cases")
     failures = _named([
         ("invalid_case", F.col("invalid_cases") > 0), ("repeated_case", F.col("repeated_cases") > 0), ("unknown_case", F.col("unknown_cases") > 0), ("repeated_session", F.col("repeated_sessions") > 0), ("cases", F.col("cases") < least_cases), ("root_causes", F.col("root_causes") < least_causes),
         ("dual_reviewed", F.col("dual_reviewed") != F.col("cases")), ("adjudicated", F.col("adjudicated") != F.col("cases")), ("timed_sessions", F.col("timed_sessions") < least_sessions), ("arms", (F.col("assisted") == 0) | (F.col("control") == 0)),
