@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions.text import is_safe_path, language_of_path
 from patchloom.operators.components import components
-from patchloom.operators.evaluation import two_sets
+from patchloom.operators.evaluation import SHARES, two_sets
 from patchloom.operators.ranks import numbered
 
 
@@ -116,6 +116,22 @@ def change_groups(files: DataFrame, ties: DataFrame) -> DataFrame:
     return known.join(found.withColumnRenamed("node", "path"), "path", "left").select("path", F.coalesce("component", "path").alias("group"))
 
 
+def tied_groups(files: DataFrame, members: DataFrame, tie: str, by: str) -> DataFrame:
+    """``change_groups`` where changed files with the same ``tie`` belong together: each tie's files are tied to its smallest one.
+
+    ``files`` (path, ``by``) and ``members`` (``tie``, ``by``) name a file by ``by``, which may be shorter than its path; groups are named
+    by their smallest path. Members are dealt twice, by ``by`` and by ``tie``, the latter in tasks whose number grows with the scan's.
+    """
+    known = files.filter(F.col("path").isNotNull() & F.col(by).isNotNull()).select("path", by).distinct()
+    near = members.filter(F.col(tie).isNotNull()).join(known.select(by).hint("shuffle_hash"), by, "left_semi")
+    near = near.select(tie, by).repartition(SHARES * max(1, members.rdd.getNumPartitions()), tie)
+    first = near.groupBy(tie).agg(F.min(by).alias("v"))
+    found = components(near.join(first.hint("shuffle_hash"), tie).select(F.col(by).alias("u"), "v"))
+    of = known.join(found.withColumnRenamed("node", by), by, "left")
+    names = of.filter("component IS NOT NULL").groupBy("component").agg(F.min("path").alias("group"))
+    return of.join(names, "component", "left").select("path", F.coalesce("group", "path").alias("group"))
+
+
 def markdown_rules(texts: DataFrame, most: int = 100, size: int = 20_000, quoted: bool = False) -> DataFrame:
     """Bullets of each document's first ``size`` characters as rules, ``most`` at most: source, ordinal, rule_key, rule.
 

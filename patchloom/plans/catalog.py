@@ -559,11 +559,8 @@ def load_summary(s, d):
 @query("change_groups", "WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part)), f AS (SELECT l_orderkey, min('part:' || l_partkey) AS b FROM l GROUP BY 1), t AS (SELECT DISTINCT 'part:' || l_partkey AS a, b FROM l JOIN f USING (l_orderkey)), e AS (SELECT a, b FROM t WHERE a <> b UNION SELECT b, a FROM t WHERE a <> b), g(path, grp) USING KEY (path) AS (SELECT 'part:' || p_partkey, 'part:' || p_partkey FROM part UNION SELECT e.a, min(v.grp) FROM recurring.g AS u JOIN e ON e.a = u.path JOIN recurring.g AS v ON v.path = e.b WHERE v.grp < u.grp GROUP BY e.a) SELECT path, grp AS \"group\" FROM g")
 def change_groups(s, d):
     """Groups of all parts that lines of one order tie: each order ties its parts to its smallest one."""
-    key = lambda c, n: F.concat(F.lit("part:"), F.col(c).cast("string")).alias(n)
-    parts = table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"))
-    lines = table(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct().join(parts, "l_partkey", "left_semi")
-    ties = lines.join(lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("first")), "l_orderkey").filter("l_partkey != first").select(key("l_partkey", "a"), key("first", "b")).distinct()
-    return review.change_groups(parts.select(key("l_partkey", "path")), ties)
+    parts = table(s, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_partkey").alias("l_partkey"))
+    return review.tied_groups(parts, table(s, d, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey")
 
 
 @query("fact_audit", _GS + " SELECT count(*) AS calls, count(*) FILTER (c.stable_key IS NOT NULL AND b.stable_key IS NULL) AS from_unchanged, count(DISTINCT from_key) FILTER (c.stable_key IS NOT NULL AND b.stable_key IS NULL) AS callers, (SELECT count(*) FROM orders WHERE o_orderkey % 100 <> o_custkey % 100) AS annotation_mismatches FROM edges LEFT JOIN changes c ON c.stable_key = to_key LEFT JOIN changes b ON b.stable_key = from_key WHERE type = 'CALLS' AND type_resolved")
